@@ -149,7 +149,7 @@ def _some(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return docs.join(picked, docs["doc_id"] == picked["_id"]).select("toxic", F.coalesce(docs["text"], F.lit("")).alias("text"))
 
 
-def learn_lexicon(some: DataFrame, entries: int = 2000, least: int = 4, precision: float = 0.95) -> dict[str, float]:
+def learn_lexicon(some: DataFrame, entries: int = 2000, least: int = 4, precision: float = 0.8) -> dict[str, float]:
     """Words and stems (4 to 8 letters, marked *) of toxic texts that clean ones lack, with log odds as weights.
 
     Counted over `some` in Spark, by text; the `entries` with the highest odds reach the driver. A word that a stem
@@ -181,7 +181,7 @@ def learn_score(some: DataFrame, lexicon: dict[str, float]) -> list[float]:
     if not len(rows):
         return [-10.0] + [0.0] * FEATURES
     x, y, b = np.c_[np.ones(len(rows)), rows[:, 1:]], rows[:, 0], np.zeros(FEATURES + 1)
-    ridge = np.diag([1e-6] + [0.05] * FEATURES)
+    ridge = np.diag([1e-6] + [0.5] * FEATURES)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
         step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (y - p) - ridge @ b)
