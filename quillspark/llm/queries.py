@@ -41,6 +41,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85, bands=25, rows=5)
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
