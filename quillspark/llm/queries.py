@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm.common import table
+from quillspark.llm.common import new_path, table
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,19 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.warc import archive
+
+    out = archive(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.toxicity import fit, score
 
@@ -53,5 +66,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     from quillspark.llm.mixing import MIX_SQL
+    from quillspark.llm.topk import TOP_K_SQL
+    from quillspark.llm.warc import WARC_SQL
 
-    return {"op3_mixing": f"SELECT doc_id, size, source_size, target, taken FROM ({MIX_SQL.format(documents='documents')})"}
+    return {"op5_warc": WARC_SQL.format(pages="pages"), "op7_topk": TOP_K_SQL.format(embeddings="embeddings"), "op3_mixing": f"SELECT doc_id, size, source_size, target, taken FROM ({MIX_SQL.format(documents='documents')})"}
