@@ -3,17 +3,56 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspark.llm.common import written
+from quillspark.llm.common import table, written
 
-STAGES: list = []
 
-#: Suffix sorting, learned scores and packing have no SQL form; tests hold the pipeline against brute force.
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the clause grammar, learned from `labels`, does not predict to be toxic."""
+    from quillspark.llm.toxicity import fit, keep_clean
+
+    return keep_clean(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose five-word shingles are similar to 0.8 or more."""
+    from quillspark.llm.neardup import near_duplicates
+
+    gone = near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without bytes that a 400-byte string found twice covers."""
+    from quillspark.llm.repeats import remove_repeats
+
+    out = remove_repeats(docs, text=True)
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often, and at the edge of a source's target as far, as the mix takes them."""
+    from quillspark.llm.mixing import mixed
+
+    return mixed(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of tokenized documents in sequences of at most 1024 tokens."""
+    from quillspark.llm.packing import pack
+
+    return pack(docs)
+
+
+STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("repeat_removal", repeat_removal), ("mixing", mixing), ("packing", packing)]
+
+#: Learned scores, string matching over all positions and tokenizing have no SQL form; tests use brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:

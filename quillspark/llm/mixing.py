@@ -1,9 +1,12 @@
-"""Mixing sources to target weights by Efraimidis-Spirakis sampling (DataFrame operations only)."""
+"""Mixing sources to target weights by Efraimidis-Spirakis sampling."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,7 +62,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most: int = 3, rows_a_bucket: int = 4096) -> DataFrame:
     """Words that the mix takes from each document.
 
-    Takes columns doc_id, text, source; returns doc_id, size, source_size, target, taken, source. Sources in code-point order,
+    Takes columns doc_id, text, source; returns doc_id, size, source_size, target, taken, source and digest (of the text). Sources in code-point order,
     null last, weigh `weights` in turn. A source's target first covers complete epochs (all its documents, whole);
     the rest is taken in the order of the Efraimidis-Spirakis keys, the document at the budget's edge in part, so
     that each source's taken words are its target rounded to a word.
@@ -87,7 +90,38 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     left = F.round("target").cast("long") - F.col("epochs") * F.col("source_size")
     x = x.withColumn("epochs", epochs)
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left - F.col("before") - F.col("within")))
-    return x.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"), "source")
+    return x.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"), "source", "digest")
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The rows that the mix takes, with all columns of docs: whole documents as often as they are taken, and of the one
+    at a source's edge the first words. Rows equal in id and text are taken together; n_chars, if there, follows the text."""
+    plan = mix(docs, **how).filter("taken > 0").groupBy("doc_id", "digest").agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"))
+    plan = plan.withColumnsRenamed({"doc_id": "_plan_id", "digest": "_plan_digest"})
+    names = docs.columns
+    one = docs.withColumn("_digest", F.coalesce(F.md5("text"), F.lit(""))).dropDuplicates(["doc_id", "_digest"])
+    x = one.join(plan, F.col("doc_id").eqNullSafe(F.col("_plan_id")) & (F.col("_digest") == F.col("_plan_digest")))
+    x = x.select(*names, "_taken", "_size")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word = re.compile(WORD)
+        for batch in batches:
+            place = batch.schema.get_field_index("text")
+            texts, taken, size = (batch.column(i).to_pylist() for i in (place, len(names), len(names) + 1))
+            rows, out = [], []
+            for i, t in enumerate(texts):
+                whole, part = divmod(taken[i], size[i])
+                rows += [i] * whole
+                out += [t] * whole
+                if part:
+                    rows.append(i)
+                    out.append(t[: next(islice(word.finditer(t), part - 1, None)).end()])
+            kept = batch.take(pa.array(rows, pa.int64()))
+            columns = [pa.array(out, pa.string()) if k == place else kept.column(k) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    out = x.mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in names else out
 
 
 #: The same in DuckDB, for the default arguments.

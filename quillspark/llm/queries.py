@@ -25,7 +25,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.mixing import mix
 
-    return mix(table(spark, sf_dir, "documents")).drop("source")
+    return mix(table(spark, sf_dir, "documents")).drop("source", "digest")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.topk import top_k
 

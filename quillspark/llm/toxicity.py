@@ -220,3 +220,18 @@ def score(docs: DataFrame, model: tuple[dict[str, float], list[float]]) -> DataF
         z = z + F.col(f"f{i}") * w
     out = _features(docs, lexicon, "doc_id", dict(docs.dtypes)["doc_id"]).withColumn("score", 1 / (1 + F.exp(-z)))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, model: tuple[dict[str, float], list[float]], threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores below the threshold."""
+    lexicon, b = model
+    bar = math.log(threshold / (1 - threshold))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(lexicon)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text"))
+            z = [b[0] + sum(w * f for w, f in zip(b[1:], scorer.features(x.as_py() or ""))) for x in texts]
+            yield batch.filter(pa.array([v < bar for v in z], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
