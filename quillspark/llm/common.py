@@ -1,4 +1,4 @@
-"""What several operators share: tables in the shared folder, clean-up, joins against groups of very uneven size."""
+"""What several operators share: tables in the shared folder, clean-up, the held-out fold."""
 
 from __future__ import annotations
 
@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 #: Code points that separate words: space, and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Groups larger than a 1/HOT_SHARE part of all rows are hot; there are fewer than HOT_SHARE of them.
-HOT_SHARE = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,20 +58,3 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 def sampled(key: Column, rate: float) -> Column:
     """The same share of rows at every run, chosen by a hash of the key."""
     return F.pmod(F.xxhash64(F.lit(17), key), F.lit(1 << 30)) < int(min(1.0, rate) * (1 << 30))
-
-
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int, unique: str) -> DataFrame:
-    """rows left-joined to one row for each group (key unique in groups), however uneven the groups are.
-
-    A group with more than total/HOT_SHARE of the rows is hot; as the groups' counts add up to total there are
-    fewer than HOT_SHARE such groups, so they are broadcast. All other rows take a plain join; hot rows carry a
-    key of their own through it and meet nothing there. `unique` is a column that spreads them."""
-    cols = [c for c in groups.columns if c != key]
-    bar = max(total // HOT_SHARE, 1)
-    hot = F.broadcast(groups.filter(F.col(count) > bar).select(F.col(key).alias("_hk"), *[F.col(c).alias(f"_h_{c}") for c in cols]))
-    cold = groups.filter(F.col(count) <= bar).select(F.struct(F.col(key).alias("k"), F.lit(None).cast("long").alias("s")).alias("_ck"), *[F.col(c).alias(f"_c_{c}") for c in cols])
-    x = rows.join(hot, F.col(key) == F.col("_hk"), "left")
-    own = F.when(F.col("_hk").isNotNull(), F.xxhash64(F.col(unique)))
-    x = x.withColumn("_k", F.struct(F.when(F.col("_hk").isNull(), F.col(key)).alias("k"), own.alias("s")))
-    x = x.join(cold, F.col("_k").eqNullSafe(F.col("_ck")), "left")
-    return x.select(*[rows[c] for c in rows.columns], *[F.coalesce(F.col(f"_h_{c}"), F.col(f"_c_{c}")).alias(c) for c in cols])
