@@ -36,7 +36,7 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l
     blocks = -(-q.count() // QUERY_BLOCK)
     for i in range(max(1, blocks)):
         rows = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))) == i).orderBy("query_id").collect()
-        ids, matrix = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float).reshape(len(rows), -1)
+        ids, matrix = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float).reshape(len(rows), len(rows[0][1]) if rows else 0)
 
         def run(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
             best: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
