@@ -9,8 +9,8 @@ in SPAN / 2 is sampled. The steps are those of the difference-cover method, each
 1. sampled suffixes are named by their first LENGTH - SPAN + 1 bytes, which every string with that anchor holds;
 2. suffixes whose name stands alone are done: the strings with that anchor occur once;
 3. where equal names also agree on all bytes that the strings around their anchor reach, all those strings repeat;
-4. elsewhere the remaining suffixes, one for each start around the anchor, are merged by the name of their first
-   LENGTH bytes, once for each distinct neighbourhood, and neighbours that agree repeat."""
+4. elsewhere the remaining suffixes, one for each start around the anchor, are merged by the names of their first
+   LENGTH bytes, once for each distinct neighbourhood, by recursion on the names of halved ranges of starts."""
 
 from __future__ import annotations
 
@@ -28,7 +28,7 @@ from quillspark.llm.common import release, remove, written
 LENGTH, SPAN = 400, 200
 #: Bytes of text sampled at once.
 CHUNK = 1_500_000
-SAMPLE = "digest binary, doc_id long, core long, around long, n int, ranges binary"
+SAMPLE = "digest binary, doc_id long, core long, around long, reach int, n int, ranges binary"
 
 
 def _sliding_min(x: np.ndarray, span: int) -> np.ndarray:
@@ -76,12 +76,12 @@ def _sample(docs: DataFrame, length: int, span: int) -> DataFrame:
         starts = np.cumsum([0, *map(len, texts)])
         out: dict[tuple, list[int]] = {}
         for t, lo, hi, p in zip(*(x.tolist() for x in anchors(texts, length, span))):
-            key = t, xxhash.xxh3_64_intdigest(data[p : p + core_length]), xxhash.xxh3_64_intdigest(data[lo : hi + length], p - lo)
+            key = t, xxhash.xxh3_64_intdigest(data[p : p + core_length]), xxhash.xxh3_64_intdigest(data[lo : hi + length], p - lo), p - lo
             out.setdefault(key, []).extend((lo - starts[t], hi - starts[t]))
         digests = {t: hashlib.md5(texts[t]).digest() for t in {k[0] for k in out}}
         return pa.RecordBatch.from_arrays([
             pa.array([digests[k[0]] for k in out], pa.binary()), pa.array([ids[k[0]] for k in out], pa.int64()), pa.array([_signed(k[1]) for k in out], pa.int64()),
-            pa.array([_signed(k[2]) for k in out], pa.int64()), pa.array([len(v) // 2 for v in out.values()], pa.int32()), pa.array([np.array(v, np.int32).tobytes() for v in out.values()], pa.binary()),
+            pa.array([_signed(k[2]) for k in out], pa.int64()), pa.array([k[3] for k in out], pa.int32()), pa.array([len(v) // 2 for v in out.values()], pa.int32()), pa.array([np.array(v, np.int32).tobytes() for v in out.values()], pa.binary()),
         ], names=[x.split()[0] for x in SAMPLE.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,34 +101,84 @@ def _sample(docs: DataFrame, length: int, span: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SAMPLE)
 
 
-def _window_names(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """For each wanted neighbourhood (group, digest, doc_id, lo, hi): its starts' offsets and names of the strings there."""
+def _neighbourhoods(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """group, reach and the bytes of each wanted neighbourhood."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, some in zip(batch.column(0), batch.column(1)):
-                data = text.as_py().encode()
-                for x in some.as_py():
-                    span = range(x["lo"], x["hi"] + 1)
-                    names = b"".join(xxhash.xxh3_128_digest(data[i : i + length]) for i in span)
-                    column = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(span), [None, pa.py_buffer(names)]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([column, pa.array([x["group"]] * len(span), pa.int64()), pa.array(range(len(span)), pa.int32())], names=["name", "group", "place"])
+                data, some = text.as_py().encode(), some.as_py()
+                columns = [x["group"] for x in some], [x["reach"] for x in some], [data[x["lo"] : x["hi"] + length] for x in some]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary()))], names=["group", "reach", "bytes"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in run(batches):
             held.append(b)
-            size += len(b)
-            if size > 50_000:
+            size += b.nbytes
+            if size > 4 << 20:
                 yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 held, size = [], 0
         if held:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-    by_text = wanted.groupBy("digest", "doc_id").agg(F.collect_list(F.struct("group", "lo", "hi")).alias("some")).withColumnsRenamed({"doc_id": "w_id", "digest": "w_digest"})
+    by_text = wanted.groupBy("digest", "doc_id").agg(F.collect_list(F.struct("group", "reach", "lo", "hi")).alias("some")).withColumnsRenamed({"doc_id": "w_id", "digest": "w_digest"})
     x = docs.select(F.col("doc_id").cast("long"), "text", F.unhex(F.md5("text")).alias("digest"))
     x = x.join(by_text, (F.col("digest") == F.col("w_digest")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
-    return x.select("text", "some").mapInArrow(joined, "name binary, group long, place int")
+    return x.select("text", "some").mapInArrow(joined, "group long, reach int, bytes binary")
+
+
+HALF = "group long, reach int, bytes binary, first int, low int, high int, inner long, outer binary"
+
+
+def _refined(near: DataFrame, length: int, span: int) -> DataFrame:
+    """(group, places) of the starts that repeat: recursion on the names of ever narrower ranges of starts.
+
+    Starts are numbered by their distance from the anchor, and ranges of distances are halved. All strings of a range
+    hold the same inner bytes at the same place, so a range whose inner bytes no other group has is done; one whose
+    outer bytes (all that its strings reach) another group has repeats wholly; where inner bytes have several outer ones,
+    ranges are halved again."""
+    spark = near.sparkSession
+    width = 1 << (span - 1).bit_length()
+
+    def halves(half: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out: list[tuple] = []
+                for group, reach, data, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
+                    b = data.as_py()
+                    for a in (first, first + half):
+                        low, high = max(a, reach - (len(b) - length)), min(a + half - 1, reach)
+                        if low <= high:
+                            inner = xxhash.xxh3_64_intdigest(b[reach - a : reach - a - half + 1 + length], a)
+                            outer = xxhash.xxh3_128_digest(b[reach - high : reach - low + length], low << 16 | high)
+                            out.append((group, reach, b, a, low, high, _signed(inner), outer))
+                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+                columns = list(zip(*out)) if out else [()] * 8
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[x.split()[0] for x in HALF.split(", ")])
+
+        return run
+
+    rows, found, paths = near.select("group", "reach", "bytes", F.lit(0).alias("first")), [], []
+    while width > 1 and rows.limit(1).count():
+        width //= 2
+        parts, path = written(rows.select("group", "reach", "bytes", "first").mapInArrow(halves(width), HALF), "halves")
+        same = parts.groupBy("inner", "outer").agg(F.count(F.lit(1)).alias("n_outer"), F.min("group").alias("least"))
+        other = same.groupBy("inner").agg(F.count(F.lit(1)).alias("n_inner"))
+        kept = same.join(other, "inner").filter("n_outer > 1 OR n_inner > 1").join(parts, ["inner", "outer"]).withColumn("whole", F.col("n_outer") > 1)
+        kept, kept_path = written(kept, "ranges")
+        remove(spark, path)
+        release(spark)
+        paths.append(kept_path)
+        found.append(kept.filter("whole").select("group", F.sequence(F.col("reach") - F.col("high"), F.col("reach") - F.col("low")).alias("places")))
+        # one of those that repeat wholly stays for the others to meet
+        rows = kept.filter("n_inner > 1 AND (NOT whole OR group = least)")
+    out = spark.createDataFrame([], "group long, places array<int>")
+    for x in found:
+        out = out.union(x)
+    out, _ = written(out.groupBy("group").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")), "places")
+    remove(spark, *paths)
+    return out
 
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH, span: int = SPAN) -> DataFrame:
@@ -145,13 +195,14 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, span: int = SPAN) ->
     release(spark)
     part = found.filter("NOT whole")
     # one text for each distinct neighbourhood; its first range stands for all
-    first = part.groupBy("group").agg(F.sum("n").alias("total"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "digest", "ranges")).alias("x"))
+    first = part.groupBy("core", "group").agg(F.sum("n").alias("total"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "digest", "ranges", "reach")).alias("x"))
     little = lambda at: sum((F.conv(F.hex(F.substring(F.col("x.ranges"), at + i, 1)), 16, 10).cast("int") * (1 << 8 * i) for i in range(1, 4)), F.conv(F.hex(F.substring(F.col("x.ranges"), at, 1)), 16, 10).cast("int"))
-    wanted, wanted_path = written(first.select("group", "total", F.col("x.doc_id").alias("doc_id"), F.col("x.digest").alias("digest"), little(1).alias("lo"), little(5).alias("hi")), "wanted")
-    windows, windows_path = written(_window_names(docs, wanted.drop("total"), length), "windows")
+    wanted = first.select("core", "group", "total", F.col("x.reach").alias("reach"), F.col("x.doc_id").alias("doc_id"), F.col("x.digest").alias("digest"), little(1).alias("lo"), little(5).alias("hi"))
+    wanted, wanted_path = written(wanted, "wanted")
+    near, near_path = written(_neighbourhoods(docs, wanted, length), "near")
     release(spark)
-    twice = windows.groupBy("name").agg(F.min("group").alias("lowest"), F.max("group").alias("highest")).filter("lowest <> highest").select("name")
-    places = windows.join(twice, "name").groupBy("group").agg(F.collect_set("place").alias("places"))
+    places = _refined(near, length, span)
+    remove(spark, near_path)
     # a neighbourhood that occurs twice repeats wholly
     groups = wanted.select("group", (F.col("total") > 1).alias("all")).join(places, "group", "left").filter("all OR places IS NOT NULL")
     groups = groups.select("group", F.when(~F.col("all"), F.col("places")).alias("places"))
@@ -160,7 +211,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, span: int = SPAN) ->
     # copies of a text give equal rows: one of each is enough
     rows = whole.union(some).groupBy("digest", "ranges").agg(F.first("places").alias("places"))
     starts, _ = written(rows.groupBy("digest").agg(F.collect_list(F.struct("ranges", "places")).alias("starts")), "starts")
-    remove(spark, found_path, wanted_path, windows_path)
+    remove(spark, found_path, wanted_path)
     release(spark)
     return starts
 
