@@ -24,7 +24,8 @@ THREATS = "kill* murder* hurt strangle* tuer* massacrer* frapper* töten umbring
 TARGETS = "you your yours u he she they them him her people tu vous toi ils elle du dich dir euch sie ihr tú usted ustedes vosotros ellos".split()
 NEGATIONS = "not no never isn't aren't wasn't don't pas jamais nicht kein keine nie nunca jamás".split()
 REPORTS = "said says say called calls wrote quoted claimed dit disait sagte sagt nannte dijo dice llamó".split()
-CLAUSE_END = re.compile(r"[.!?;:\n]")
+CLAUSE_ENDS = ".!?;:\n"
+CLAUSE_END = re.compile(f"[{CLAUSE_ENDS}]")
 TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[\"“”«»„]")
 SYMBOLS = ("word", "insult", "threat", "target", "negation", "report", "quote")
 #: Weights of the symbols that the composed transducers write.
@@ -127,8 +128,8 @@ class Scorer:
         for at in sorted(starts):
             if at < done:
                 continue
-            ends = [m.end() for m in CLAUSE_END.finditer(low, max(0, at - 2000), at)]
-            begin = ends[-1] if ends else max(0, at - 2000)
+            # the clause holds no earlier match, so it begins after the last one's
+            begin = max(done, 0, *(low.rfind(c, max(done, 0), at) + 1 for c in CLAUSE_ENDS))
             stop = CLAUSE_END.search(low, at)
             done = stop.start() if stop else len(low)
             state, score = self.grammar.start, 0.0
