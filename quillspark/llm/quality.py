@@ -142,7 +142,8 @@ def fit_rules(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> list[li
     picked = F.broadcast(rows.filter(sampled(F.col("_id"), most / n)))
     some = docs.join(picked, docs["doc_id"] == picked["_id"]).select("quality", docs["text"])
     named = ratios()
-    pdf = with_stats(some, ("quality",)).select("quality", *[v.alias(k) for k, v in named.items()]).orderBy(*range(1, len(named) + 2)).toPandas()
+    pdf = with_stats(some, ("quality",)).select("quality", *[v.alias(k) for k, v in named.items()]).toPandas()
+    pdf = pdf.sort_values(list(pdf.columns))  # the same split at every run
     return learn_list(pdf[list(named)].to_numpy(), pdf["quality"].to_numpy() == 0, list(named))
 
 

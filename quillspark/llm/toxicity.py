@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import held_out, sampled
+from quillspark.llm.common import held_out, remove, sampled, written
 
 #: Word lists of the grammar, in English, French, German and Spanish. A trailing * stands for any ending.
 THREATS = "kill* murder* hurt strangle* tuer* massacrer* frapper* töten umbringen verprügel* matar* golpear*".split()
@@ -150,11 +150,13 @@ def _some(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return docs.join(picked, docs["doc_id"] == picked["_id"]).select("toxic", F.coalesce(docs["text"], F.lit("")).alias("text"))
 
 
-def learn_lexicon(some: DataFrame, entries: int = 2000, least: int = 4, precision: float = 0.8) -> dict[str, float]:
+def learn_lexicon(some: DataFrame, entries: int = 2000, least: int = 4, precision: float = 0.8, chance: float = 0.5) -> dict[str, float]:
     """Words and stems (4 to 8 letters, marked *) of toxic texts that clean ones lack, with log odds as weights.
 
-    Counted over `some` in Spark, by text; the `entries` with the highest odds reach the driver. A word that a stem
-    covers is left out, and so is a stem that a shorter one covers."""
+    Counted over `some` in Spark, by text; the `entries` with the highest odds reach the driver. Entries are as many as
+    there are, so an entry counts only if its likelihood ratio is one that less than about one in all of them would
+    have by chance (`chance` of them, to be exact). Where a stem covers another entry, the one with the higher odds
+    stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,18 +169,31 @@ def learn_lexicon(some: DataFrame, entries: int = 2000, least: int = 4, precisio
     if not n.get(1) or not n.get(0):
         return {}
     counts = some.mapInArrow(run, "toxic int, entry string").groupBy("entry").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    counts, path = written(counts.filter(F.col("a") + F.col("b") >= least), "entries")
+    tried = max(1, counts.count())
+    # log likelihood of the entry's own share of toxic texts against the share of all
+    seen, overall = F.col("a") + F.col("b"), n[1] / (n[1] + n[0])
+    own = F.when(F.col("a") > 0, F.col("a") * F.ln(F.col("a") / seen / overall)).otherwise(0) + F.when(F.col("b") > 0, F.col("b") * F.ln(F.col("b") / seen / (1 - overall))).otherwise(0)
+    surely = own >= math.log(tried / chance)
     share = (F.col("a") / n[1]) / (F.col("a") / n[1] + F.col("b") / n[0])
     odds = F.ln((F.col("a") + 0.5) / (n[1] + 1)) - F.ln((F.col("b") + 0.5) / (n[0] + 1))
-    rows = counts.filter((F.col("a") >= least) & (F.col("a") >= precision * (F.col("a") + F.col("b"))) & (share >= precision)).withColumn("odds", odds).orderBy(F.desc("odds"), "entry").limit(entries).collect()
-    out = {r["entry"]: float(r["odds"]) for r in rows}
-    stems = {x[:-1] for x in out if x.endswith("*")}
-    covered = lambda x: any(x[:n] in stems for n in range(4, 9) if n <= len(x.rstrip("*")) and (n < len(x) - 1 or not x.endswith("*")))
-    return {x: w for x, w in out.items() if not covered(x)}
+    rows = counts.filter((F.col("a") >= least) & (F.col("a") >= precision * (F.col("a") + F.col("b"))) & (share >= precision) & surely).withColumn("odds", odds).orderBy(F.desc("odds"), "entry").limit(entries).collect()
+    remove(some.sparkSession, path)
+    out, stems, begun = {}, set(), set()
+    for r in rows:
+        body = r["entry"].rstrip("*")
+        begins, stem = {body[:k] for k in range(4, min(8, len(body)) + 1)}, body != r["entry"]
+        if not begins & stems and not (stem and body in begun):
+            out[r["entry"]] = float(r["odds"])
+            begun |= begins
+            stems |= {body} if stem else set()
+    return out
 
 
 def learn_score(some: DataFrame, lexicon: dict[str, float]) -> list[float]:
     """Logistic regression of `toxic` on FEATURES, by Newton steps with a small ridge; an intercept comes first."""
-    rows = np.array(_features(some, lexicon, "toxic", "int").orderBy(*range(1, FEATURES + 2)).toPandas(), dtype=float).reshape(-1, FEATURES + 1)
+    rows = np.array(_features(some, lexicon, "toxic", "int").toPandas(), dtype=float).reshape(-1, FEATURES + 1)
+    rows = rows[np.lexsort(rows.T)]  # sums agree at every run
     if not len(rows):
         return [-10.0] + [0.0] * FEATURES
     x, y, b = np.c_[np.ones(len(rows)), rows[:, 1:]], rows[:, 0], np.zeros(FEATURES + 1)
