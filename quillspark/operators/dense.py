@@ -69,9 +69,16 @@ def rescored(pool: DataFrame, vectors: DataFrame, queries: DataFrame, k: int) ->
     return ranked(x.select("query_id", "chunk_id", V.cosine(F.col("q"), F.col("v")).alias("score")), k)
 
 
-def max_sim(pairs: DataFrame) -> DataFrame:
-    """Late interaction: sum over query tokens of the best product with a document token.
+def max_sim_top_k(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Late interaction: sum over query tokens of the best product with a document token; the k best other documents.
 
-    pairs: query_id, chunk_id, q_tokens and d_tokens (arrays of vectors)."""
+    docs: chunk_id and d_tokens, queries: query_id and q_tokens (arrays of vectors). Queries are sent out in blocks of
+    about QUERY_BLOCK, so what is broadcast has a bound; documents are not shuffled."""
     best = F.transform("q_tokens", lambda q: F.array_max(F.transform("d_tokens", lambda d: V.dot(q, d))))
-    return pairs.select("query_id", "chunk_id", F.round(F.aggregate(best, F.lit(0.0), lambda s, x: s + x), 6).alias("score"))
+    score = F.round(F.aggregate(best, F.lit(0.0), lambda s, x: s + x), 6).alias("score")
+    blocks, found = max(1, -(-queries.count() // QUERY_BLOCK)), None
+    for i in range(blocks):
+        some = F.broadcast(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i))
+        one = docs.join(some, F.col("chunk_id") != F.col("query_id")).select("query_id", "chunk_id", score)
+        found = one if found is None else found.union(one)
+    return ranked(found, k)

@@ -34,10 +34,10 @@ def section_nodes(units: DataFrame) -> DataFrame:
     return x.groupBy("source_id", F.array_join("path", " / ").alias("section"), F.size("path").alias("depth")).agg(F.count(F.lit(1)).alias("units"))
 
 
-def siblings(members: DataFrame) -> DataFrame:
-    """Pairs of chunks in one section (chunk_id, section), without a chunk and itself."""
-    a, b = members.select("section", F.col("chunk_id").alias("a")), members.select("section", F.col("chunk_id").alias("b"))
-    return a.join(b, "section").filter("a <> b")
+def siblings(members: DataFrame, seeds: DataFrame) -> DataFrame:
+    """For each seed, the other chunks of its sections: section, seed, chunk_id. Takes members (section, chunk_id)."""
+    own = seeds.join(members.withColumnRenamed("chunk_id", "seed"), "seed").select("section", "seed").distinct()
+    return own.join(members, "section").filter("seed <> chunk_id")
 
 
 def hops(edges: DataFrame, seeds: DataFrame, most: int, closed: DataFrame | None = None) -> DataFrame:
@@ -94,7 +94,9 @@ def reports(claims: DataFrame, most_claims: int, most_labels: int = 3) -> DataFr
     w = Window.partitionBy("community").orderBy("claim", "node")
     kept = claims.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most_claims)
     body = kept.groupBy("community").agg(F.count(F.lit(1)).alias("n_claims"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "claim"))), lambda x: x["claim"]), " ").alias("summary"))
-    title = claims.groupBy("community").agg(F.array_join(F.slice(F.array_sort(F.collect_set("label")), 1, most_labels), " / ").alias("title"))
+    first = F.row_number().over(Window.partitionBy("community").orderBy("label"))
+    labels = claims.select("community", "label").distinct().withColumn("n", first).filter(F.col("n") <= most_labels)
+    title = labels.groupBy("community").agg(F.array_join(F.array_sort(F.collect_list("label")), " / ").alias("title"))
     return body.join(title, "community")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import dense, evaluate
 from quillspark.plans.registry import query
-from quillspark.plans.retrieval import dense_sql, query_vectors, vectors
+from quillspark.plans.retrieval import EVERY, dense_sql, query_vectors, vectors
 from quillspark.storage import table
 
 
@@ -17,11 +17,11 @@ def near(spark, d, k):
 def relevant(spark, d):
     """Chunks with the query's label."""
     v = vectors(spark, d).select("chunk_id", "label")
-    q = v.filter("chunk_id < 20").select(F.col("chunk_id").alias("query_id"), "label")
+    q = v.filter(F.col("chunk_id") % EVERY == 0).select(F.col("chunk_id").alias("query_id"), "label")
     return q.join(v, "label").filter("chunk_id <> query_id").select("query_id", "chunk_id")
 
 
-REL = "t AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id < 20)"
+REL = f"t AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % {EVERY} = 0)"
 
 
 @query(f"""WITH {dense_sql('p', 'cosine', k=100)}, {REL}, s AS (SELECT query_id, least(count(*), 20) AS size FROM t GROUP BY 1),

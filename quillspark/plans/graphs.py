@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.operators import graph
@@ -28,36 +29,41 @@ def section_prefix_nodes(spark, d):
     return graph.section_nodes(table(spark, d, "part").select(F.col("p_brand").alias("source_id"), F.split("p_type", " ").alias("heading_path")))
 
 
-@query("SELECT a.s_nationkey AS section, a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey WHERE a.s_suppkey <= 50 AND b.s_suppkey <= 50")
+@query("SELECT a.p_brand AS section, a.p_partkey AS seed, b.p_partkey AS chunk_id FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey WHERE a.p_partkey % 100 = 0")
 def section_siblings(spark, d):
-    return graph.siblings(table(spark, d, "supplier").filter("s_suppkey <= 50").select(F.col("s_nationkey").alias("section"), F.col("s_suppkey").alias("chunk_id")))
+    members = table(spark, d, "part").select(F.col("p_brand").alias("section"), F.col("p_partkey").alias("chunk_id"))
+    return graph.siblings(members, members.filter("chunk_id % 100 = 0").select(F.col("chunk_id").alias("seed")))
 
 
-#: Suppliers are linked through the parts that they both sell.
-LINKS_SQL = """e AS (SELECT DISTINCT a.l_suppkey AS from_node, b.l_suppkey AS to_node FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber WHERE a.l_suppkey <> b.l_suppkey AND a.l_orderkey % 50 = 0)"""
+#: Parts on consecutive lines of an order are linked.
+LINKS_SQL = """e AS (SELECT DISTINCT a.l_partkey AS from_node, b.l_partkey AS to_node FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber WHERE a.l_partkey <> b.l_partkey)"""
 
 
 def links(spark, d):
-    x = table(spark, d, "lineitem").filter("l_orderkey % 50 = 0").select("l_orderkey", "l_linenumber", "l_suppkey")
-    b = x.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_suppkey").alias("to_node"))
-    return x.join(b, ["l_orderkey", "l_linenumber"]).select(F.col("l_suppkey").alias("from_node"), "to_node").filter("from_node <> to_node").distinct()
+    x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    b = x.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("to_node"))
+    return x.join(b, ["l_orderkey", "l_linenumber"]).select(F.col("l_partkey").alias("from_node"), "to_node").filter("from_node <> to_node").distinct()
 
 
 @query(f"""WITH RECURSIVE {LINKS_SQL},
-h(seed, node, hop) AS (SELECT DISTINCT from_node, from_node, 0 FROM e WHERE from_node BETWEEN 1 AND 10 UNION SELECT seed, to_node, hop + 1 FROM h JOIN e ON node = from_node WHERE hop < 2)
-SELECT seed, node, min(hop)::INT AS hop, round(power(0.5, greatest(min(hop), 1)) / seed, 6) AS score FROM h GROUP BY seed, node HAVING min(hop) > 0""")
+h(seed, node, hop) AS (SELECT DISTINCT from_node, from_node, 0 FROM e WHERE from_node % 100 = 0 UNION SELECT seed, to_node, hop + 1 FROM h JOIN e ON node = from_node WHERE hop < 2)
+SELECT seed, node, min(hop)::INT AS hop, round(power(0.5, greatest(min(hop), 1)) / (seed + 1), 6) AS score FROM h GROUP BY seed, node HAVING min(hop) > 0""")
 def khop_expand(spark, d):
     e = links(spark, d)
-    seeds = e.filter("from_node BETWEEN 1 AND 10").select(F.col("from_node").alias("seed")).distinct().withColumn("score", 1.0 / F.col("seed"))
+    seeds = e.filter("from_node % 100 = 0").select(F.col("from_node").alias("seed")).distinct().withColumn("score", 1.0 / (F.col("seed") + 1))
     return graph.hops(e, seeds, 2)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT user_id AS a, 1000000 + (event_id // 3) % 5000 AS b FROM events WHERE event_id % 9 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+@query("""WITH RECURSIVE n AS (SELECT event_id AS a, lead(event_id) OVER w AS b, epoch_us(lead(ts) OVER w) - epoch_us(ts) AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+e AS (SELECT a, b FROM n WHERE gap < 43200000000), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(node, seen) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.seen = u.a)
 SELECT node, min(seen) AS community FROM r GROUP BY 1""")
 def connected_components(spark, d):
-    x = table(spark, d, "events").filter("event_id % 9 = 0")
-    return graph.communities(x.select(F.col("user_id").alias("a"), (F.lit(1_000_000) + F.floor(F.col("event_id") / 3) % 5000).alias("b")))
+    """Sessions: a user's events that follow within twelve hours are linked."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    x = table(spark, d, "events").select(F.col("event_id").alias("a"), F.lead("event_id").over(w).alias("b"), (F.lead(at).over(w) - at).alias("gap"))
+    return graph.communities(x.filter("gap < 43200000000").select("a", "b"))
 
 
 @query(f"""SELECT p_brand AS entity_type, CASE WHEN {norm_key_sql('p_type')} <> '' THEN {norm_key_sql('p_type')} END AS key, array_to_string(list_sort(list_distinct(list(p_type))), '|') AS labels, count(DISTINCT p_partkey) AS n_nodes, count(DISTINCT p_size) AS n_sources FROM part GROUP BY ALL""")

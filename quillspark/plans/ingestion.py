@@ -83,11 +83,11 @@ def span_integrity(spark, d):
     return ingest.span_faults(spans, chunks, evidence)
 
 
-@query("""WITH i AS (SELECT sha256(text) AS input_hash, count(*) AS inputs FROM documents GROUP BY 1), c AS (SELECT DISTINCT sha256(text) AS input_hash FROM documents WHERE doc_id % 3 = 0)
+@query("""WITH i AS (SELECT sha256(text) AS input_hash, count(*) AS inputs FROM documents GROUP BY 1), c AS (SELECT DISTINCT sha256(text) AS input_hash FROM documents WHERE lang = 'en')
 SELECT input_hash, inputs, (c.input_hash IS NOT NULL) AS hit FROM i LEFT JOIN c USING (input_hash)""")
 def embedding_cache_hits(spark, d):
-    x = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("input_hash"))
-    return ingest.cache_plan(x, x.filter("doc_id % 3 = 0"))
+    x = table(spark, d, "documents").select("lang", F.sha2("text", 256).alias("input_hash"))
+    return ingest.cache_plan(x, x.filter("lang = 'en'"))
 
 
 @query("SELECT doc_id AS source_id, (doc_id % 3 <> 0 AND doc_id % 4 <> 0) AS noop FROM documents")

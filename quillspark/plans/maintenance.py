@@ -10,16 +10,18 @@ from quillspark.storage import table
 
 
 @query("""SELECT source_id, CASE WHEN a.source_id IS NULL THEN 'added' WHEN b.source_id IS NULL THEN 'removed' ELSE 'unchanged' END AS status
-FROM (SELECT c_custkey AS source_id FROM customer WHERE c_custkey % 4 <> 0) a FULL JOIN (SELECT c_custkey AS source_id FROM customer WHERE c_custkey % 5 <> 0) b USING (source_id)""")
+FROM (SELECT DISTINCT o_custkey AS source_id FROM orders WHERE year(o_orderdate) = 1996) a FULL JOIN (SELECT DISTINCT o_custkey AS source_id FROM orders WHERE year(o_orderdate) = 1997) b USING (source_id)""")
 def collection_diff(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("source_id"))
-    return catalog.membership_diff(c.filter("source_id % 4 <> 0"), c.filter("source_id % 5 <> 0"))
+    """Customers of one year against those of the next."""
+    in_year = lambda y: table(spark, d, "orders").filter(F.year("o_orderdate") == y).select(F.col("o_custkey").alias("source_id")).distinct()
+    return catalog.membership_diff(in_year(1996), in_year(1997))
 
 
-@query("SELECT doc_id AS source_id, 'old' AS stored_hash, sha256(text) AS current_hash FROM documents WHERE doc_id % 6 = 0")
+@query("SELECT doc_id AS source_id, 'old' AS stored_hash, sha256(text) AS current_hash FROM documents WHERE lang = 'de'")
 def stale_sources(spark, d):
-    now = table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), F.sha2("text", 256).alias("hash"))
-    return catalog.stale(now.withColumn("hash", F.when(F.col("source_id") % 6 == 0, "old").otherwise(F.col("hash"))), now)
+    x = table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), "lang", F.sha2("text", 256).alias("hash"))
+    was = x.select("source_id", F.when(F.col("lang") == "de", "old").otherwise(F.col("hash")).alias("hash"))
+    return catalog.stale(was, x.select("source_id", "hash"))
 
 
 @query("""WITH c AS (SELECT source, count(*) AS n_children FROM documents GROUP BY 1), v AS (SELECT source, count(*) AS n_vectors FROM documents JOIN embeddings ON doc_id = vec_id GROUP BY 1)
@@ -41,11 +43,11 @@ def purge_unreferenced(spark, d):
     return catalog.unreferenced(table(spark, d, "part").select("p_partkey"), table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey")), "p_partkey")
 
 
-@query("""WITH t AS (SELECT user_id AS id, max(event_id % 50) AS version FROM events WHERE event_id % 11 = 0 AND event_id % 4 <= 2 GROUP BY 1)
+@query("""WITH t AS (SELECT user_id AS id, max(event_id % 10) AS version FROM events WHERE event_type = 'purchase' AND event_id % 4 <= 2 GROUP BY 1)
 SELECT c_custkey AS id, c_custkey % 50 AS version FROM customer WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.id = c_custkey AND t.version >= c_custkey % 50)""")
 def tombstone_exclude(spark, d):
     rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 50).alias("version"))
-    t = table(spark, d, "events").filter("event_id % 11 = 0").select(F.col("user_id").alias("id"), (F.col("event_id") % 50).alias("version"), (F.col("event_id") % 4).alias("generation"))
+    t = table(spark, d, "events").filter("event_type = 'purchase'").select(F.col("user_id").alias("id"), (F.col("event_id") % 10).alias("version"), (F.col("event_id") % 4).alias("generation"))
     return filters.without_tombstones(rows, t, 2)
 
 
@@ -92,11 +94,13 @@ def dup_paths(spark, d):
     return x.groupBy("url").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy(F.desc("n"), "url").limit(5)
 
 
-@query("""WITH b AS (SELECT user_id AS id, count(*) AS n, min(event_id) AS version FROM events WHERE event_id % 40 = 0 GROUP BY 1)
-SELECT id, CASE WHEN n > 1 THEN 'repeated' ELSE 'not_newer' END AS fault FROM b LEFT JOIN (SELECT c_custkey AS id, c_custkey * 20 AS was FROM customer) USING (id) WHERE n > 1 OR version <= was""")
+@query("""WITH b AS (SELECT l_orderkey AS id, count(*) AS n, min(year(l_shipdate) * 12 + month(l_shipdate)) AS version FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+SELECT id, CASE WHEN n > 1 THEN 'repeated' ELSE 'not_newer' END AS fault FROM b LEFT JOIN (SELECT o_orderkey AS id, year(o_orderdate) * 12 + month(o_orderdate) + 2 AS was FROM orders) USING (id) WHERE n > 1 OR version <= was""")
 def mutation_faults(spark, d):
-    b = table(spark, d, "events").filter("event_id % 40 = 0").select(F.col("user_id").alias("id"), F.col("event_id").alias("version"))
-    return catalog.mutation_faults(b, table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") * 20).alias("version")))
+    """Returned lines as mutations of their orders, which must be newer than two months after the order."""
+    month = lambda c: F.year(c) * 12 + F.month(c)
+    b = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id"), month("l_shipdate").alias("version"))
+    return catalog.mutation_faults(b, table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (month("o_orderdate") + 2).alias("version")))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_orderdate::DATE BETWEEN DATE '1994-01-01' AND DATE '1996-06-30' AND o_orderpriority IS NOT NULL AND o_custkey % 10 <> 3 AND left(o_orderpriority, 1) IN ('1', '2')")

@@ -9,6 +9,8 @@ from quillspark.plans.registry import query, terms_sql
 from quillspark.storage import table
 
 BM25_K, DENSE_K, LIMIT = 50, 80, 12
+#: Vectors whose id is divisible by this are the queries, asked against all vectors.
+EVERY = 100
 
 
 def chunks(spark, d):
@@ -24,7 +26,7 @@ def vectors(spark, d):
 
 
 def query_vectors(spark, d):
-    return vectors(spark, d).filter("chunk_id < 20").select(F.col("chunk_id").alias("query_id"), "embedding")
+    return vectors(spark, d).filter(F.col("chunk_id") % EVERY == 0).select(F.col("chunk_id").alias("query_id"), "embedding")
 
 
 def bm25_sql(name: str, where: str = "true", k: int = BM25_K, scope: str = "", text: str = "text", k1: float = 1.2, b: float = 0.75) -> str:
@@ -46,7 +48,7 @@ def dense_sql(name: str, metric: str = "l2", where: str = "true", k: int = DENSE
     dot = "list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
     norm = lambda t: f"sqrt(list_sum(list_transform({t}.embedding, lambda x: x::DOUBLE * x::DOUBLE)))"
     score = {"l2": "1 / (1 + sqrt(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda z: power(z[1]::DOUBLE - z[2]::DOUBLE, 2)))))", "dot": dot, "cosine": f"{dot} / ({norm('q')} * {norm('e')})"}[metric]
-    return f"""{name}_r AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, round({score}, 6) AS score FROM embeddings e JOIN embeddings q ON q.vec_id < 20 WHERE {where}),
+    return f"""{name}_r AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, round({score}, 6) AS score FROM embeddings e JOIN embeddings q ON q.vec_id % {EVERY} = 0 WHERE {where}),
 {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM {name}_r) WHERE rank <= {k})"""
 
 
@@ -81,12 +83,12 @@ def bm25_idf_per_source(spark, d):
     return lexical.bm25_top_k(chunks(spark, d), questions(spark, d), BM25_K, scope=["source"]).select(*COLUMNS)
 
 
-@query(f"""WITH {bm25_sql('a', text='substr(text, 1, 200)', k=1_000_000_000)}, {bm25_sql('b', k=1_000_000_000)},
+@query(f"""WITH {bm25_sql('a', text="split_part(text, chr(10), 1)", k=1_000_000_000)}, {bm25_sql('b', k=1_000_000_000)},
 u AS (SELECT query_id, chunk_id, 2.0::DOUBLE * w AS w FROM a_w UNION ALL SELECT query_id, chunk_id, w FROM b_w),
 s AS (SELECT query_id, chunk_id, round(sum(w), 6) AS score FROM u GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM s) WHERE rank <= {BM25_K}""")
 def bm25f_topk(spark, d):
-    x = chunks(spark, d).withColumn("heading", F.substring("text", 1, 200))
+    x = chunks(spark, d).withColumn("heading", F.split_part("text", F.lit("\n"), F.lit(1)))
     return lexical.bm25_fields_top_k(x, questions(spark, d), {"heading": 2.0, "text": 1.0}, BM25_K).select(*COLUMNS)
 
 
@@ -169,11 +171,11 @@ def retrieve_page(spark, d):
     return fusion.page(lexical.bm25_top_k(chunks(spark, d), questions(spark, d), 12), 2, 5, 12).select(*COLUMNS)
 
 
-@query("""WITH e AS (SELECT event_id % 200 AS chunk_id, CASE WHEN event_type = 'click' THEN 'Generated' WHEN event_type = 'view' THEN 'Image' ELSE 'Text' END AS kind FROM events WHERE event_id % 7 < 2)
+@query("""WITH e AS (SELECT event_id // 2 AS chunk_id, CASE WHEN event_type = 'click' THEN 'Generated' WHEN event_type = 'view' THEN 'Image' ELSE 'Text' END AS kind FROM events)
 SELECT chunk_id FROM e GROUP BY chunk_id HAVING bool_and(kind IN ('Text', 'Image'))""")
 def source_bounded_filter(spark, d):
-    e = table(spark, d, "events").filter("event_id % 7 < 2").select((F.col("event_id") % 200).alias("chunk_id"), F.when(F.col("event_type") == "click", "Generated").when(F.col("event_type") == "view", "Image").otherwise("Text").alias("kind"))
-    return filters.source_bounded(spark.range(200).select(F.col("id").alias("chunk_id")), e)
+    e = table(spark, d, "events").select(F.expr("event_id div 2").alias("chunk_id"), F.when(F.col("event_type") == "click", "Generated").when(F.col("event_type") == "view", "Image").otherwise("Text").alias("kind"))
+    return filters.source_bounded(e.select("chunk_id").distinct(), e)
 
 
 @query(f"""WITH {dense_sql('v', 'dot', k=40)}, {dense_sql('c', 'cosine', k=1_000_000_000)}
@@ -183,13 +185,16 @@ def rescore_topk(spark, d):
     return dense.rescored(pool, vectors(spark, d), query_vectors(spark, d), 10).select(*COLUMNS)
 
 
-@query("""WITH t AS (SELECT label, list(embedding ORDER BY vec_id) AS v FROM embeddings WHERE vec_id < 40 GROUP BY label),
-p AS (SELECT a.label AS query_id, b.label AS chunk_id, unnest(a.v) AS q, b.v AS d FROM t a JOIN t b ON a.label <> b.label)
-SELECT query_id, chunk_id, round(sum(list_max(list_transform(d, lambda e: list_sum(list_transform(list_zip(q, e), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))))), 6) AS score FROM p GROUP BY ALL""")
+@query(f"""WITH t AS (SELECT vec_id // 4 AS chunk_id, list(embedding ORDER BY vec_id) AS v FROM embeddings GROUP BY 1),
+p AS (SELECT a.chunk_id AS query_id, b.chunk_id, unnest(a.v) AS q, b.v AS d FROM t a JOIN t b ON a.chunk_id % {EVERY} = 0 AND a.chunk_id <> b.chunk_id),
+s AS (SELECT query_id, chunk_id, round(sum(list_max(list_transform(d, lambda e: list_sum(list_transform(list_zip(q, e), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))))), 6) AS score FROM p GROUP BY ALL)
+SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM s QUALIFY rank <= {LIMIT}""")
 def maxsim(spark, d):
-    t = vectors(spark, d).filter("chunk_id < 40").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "embedding"))).alias("v")).select(F.col("label").cast("int").alias("label"), F.col("v.embedding").alias("v"))
-    a, b = t.select(F.col("label").alias("query_id"), F.col("v").alias("q_tokens")), t.select(F.col("label").alias("chunk_id"), F.col("v").alias("d_tokens"))
-    return dense.max_sim(a.join(b, F.col("query_id") != F.col("chunk_id")))
+    """Four vectors make one document of four tokens."""
+    t = vectors(spark, d).withColumn("id", F.expr("chunk_id div 4")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "embedding"))).alias("v"))
+    docs = t.select(F.col("id").alias("chunk_id"), F.col("v.embedding").alias("d_tokens"))
+    asked = t.filter(F.col("id") % EVERY == 0).select(F.col("id").alias("query_id"), F.col("v.embedding").alias("q_tokens"))
+    return dense.max_sim_top_k(docs, asked, LIMIT).select(*COLUMNS)
 
 
 @query(f"""{BOTH}, {fused_sql('r', ['b', 'v'], 1_000_000_000)}, k AS (SELECT r.query_id, r.chunk_id, r.score, d.source, substr(d.text, 1, 80) AS snippet, d.text FROM r JOIN documents d ON d.doc_id = r.chunk_id WHERE d.lang = 'en')
