@@ -38,9 +38,11 @@ def missing_orphan_rows(spark, d):
     return catalog.index_faults(table(spark, d, "documents").select(F.col("doc_id").alias("id")), table(spark, d, "embeddings").select(F.col("vec_id").alias("id")), "id")
 
 
-@query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)")
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
 def purge_unreferenced(spark, d):
-    return catalog.unreferenced(table(spark, d, "part").select("p_partkey"), table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey")), "p_partkey")
+    """Orders to which no returned line refers."""
+    returned = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return catalog.unreferenced(table(spark, d, "orders").select("o_orderkey"), returned, "o_orderkey")
 
 
 @query("""WITH t AS (SELECT user_id AS id, max(event_id % 10) AS version FROM events WHERE event_type = 'purchase' AND event_id % 4 <= 2 GROUP BY 1)
