@@ -37,8 +37,10 @@ def match_expression(query: Column) -> Column:
 
 def support_score(query: Column, text: Column) -> Column:
     """Share of the query's terms (repeats count) that the text holds; 0 for a query without terms."""
-    q, t = terms(query), F.array_distinct(terms(text))
-    return F.coalesce(F.size(F.filter(q, lambda x: F.array_contains(t, x))) / F.nullif(F.size(q), F.lit(0)), F.lit(0.0))
+    # a struct in an array: terms are cut once a row, not once for each term of the query
+    both = F.array(F.struct(terms(query).alias("q"), F.array_distinct(terms(text)).alias("t")))
+    share = F.transform(both, lambda x: F.size(F.filter(x["q"], lambda w: F.array_contains(x["t"], w))) / F.nullif(F.size(x["q"]), F.lit(0)))
+    return F.coalesce(share[0], F.lit(0.0))
 
 
 def token_set(text: Column) -> Column:

@@ -80,3 +80,22 @@ def mutation_faults(batch: DataFrame, committed: DataFrame) -> DataFrame:
     once = batch.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("version").alias("version"))
     x = once.join(committed.select("id", F.col("version").alias("was")), "id", "left")
     return x.withColumn("fault", F.when(F.col("n") > 1, "repeated").when(F.col("version") <= F.col("was"), "not_newer")).filter("fault IS NOT NULL").select("id", "fault")
+
+
+def first_page(tasks: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first n tasks in the order, each with the number of all."""
+    total = tasks.agg(F.count(F.lit(1)).alias("total"))
+    return tasks.orderBy(*order).limit(n).crossJoin(F.broadcast(total))  # total is one row
+
+
+def reclaimable(generations: DataFrame, leases: DataFrame, now) -> DataFrame:
+    """Generations (profile, generation) that no live lease (profile, generation, expires) holds."""
+    live = leases.filter(F.col("expires") > now).select("profile", "generation").distinct()
+    return generations.join(live, ["profile", "generation"], "left_anti")
+
+
+def reconciled(store: DataFrame, index: DataFrame, key: str) -> DataFrame:
+    """What store and index (key, version) disagree on: missing, orphan, behind or ahead in the index."""
+    s, i = store.select(key, F.col("version").alias("stored")), index.select(key, F.col("version").alias("indexed"))
+    finding = F.when(F.col("indexed").isNull(), "missing").when(F.col("stored").isNull(), "orphan").when(F.col("indexed") < F.col("stored"), "behind").when(F.col("indexed") > F.col("stored"), "ahead")
+    return s.join(i, key, "full").withColumn("finding", finding).filter("finding IS NOT NULL")

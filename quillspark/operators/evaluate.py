@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,3 +62,32 @@ def gates(metrics: DataFrame, bars: dict[str, float], required: list[str]) -> Da
     b = spark.createDataFrame([(k, float(v), k in required) for k, v in sorted(bars.items())], "metric string, bar double, required boolean")
     x = b.join(metrics, "metric", "left").filter("value IS NOT NULL OR required")
     return x.select("metric", "bar", "value", F.when(F.col("value").isNull(), "missing").when(F.col("value") >= F.col("bar"), "pass").otherwise("fail").alias("verdict"))
+
+
+def selections(chosen: DataFrame, allowed: DataFrame, kinds: list[str]) -> DataFrame:
+    """A verdict on each evidence id that an answer selects (answer, position, evidence_id) against what is stored and
+    allowed (evidence_id, kind, allowed): unknown, not_allowed, not_citable, repeated (in its answer) or ok."""
+    again = F.row_number().over(Window.partitionBy("answer", "evidence_id").orderBy("position")) > 1
+    x = chosen.withColumn("again", again).join(allowed, "evidence_id", "left")
+    verdict = F.when(F.col("kind").isNull(), "unknown").when(~F.col("allowed"), "not_allowed").when(~F.col("kind").isin(*kinds), "not_citable").when(F.col("again"), "repeated").otherwise("ok")
+    return x.select("answer", "position", "evidence_id", verdict.alias("verdict"))
+
+
+def diversified(pool: DataFrame, vectors: DataFrame, k: int, share: float = 0.7) -> DataFrame:
+    """Maximal marginal relevance: k rows a query, each the best by share * score - (1 - share) * its highest cosine
+    similarity to those before it, ties to smaller chunk ids. A group is one query's pool, a ranked list of bounded length."""
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("chunk_id").reset_index(drop=True)
+        v = np.array(pdf["embedding"].tolist(), float)
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+        score, near, left, out = pdf["score"].to_numpy(), np.zeros(len(pdf)), np.ones(len(pdf), bool), []
+        while left.any() and len(out) < k:
+            i = int(np.argmax(np.where(left, np.round(share * score - (1 - share) * near, 6), -np.inf)))
+            near = v @ v[i] if not out else np.maximum(near, v @ v[i])
+            left[i] = False
+            out.append(i)
+        return pd.DataFrame({"query_id": pdf["query_id"].iloc[out], "chunk_id": pdf["chunk_id"].iloc[out], "rank": range(1, len(out) + 1)})
+
+    x = pool.select("query_id", "chunk_id", "score").join(vectors.select("chunk_id", F.col("embedding").cast("array<double>")), "chunk_id")
+    return x.groupBy("query_id").applyInPandas(pick, "query_id long, chunk_id long, rank int")

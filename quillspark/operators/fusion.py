@@ -64,3 +64,23 @@ def page(rows: DataFrame, number: int, size: int, limit: int) -> DataFrame:
 def after(rows: DataFrame, score: float, chunk_id: int, n: int) -> DataFrame:
     """The n rows of a query that follow a keyset cursor (score, chunk_id)."""
     return rows.filter((F.col("score") < score) | ((F.col("score") == score) & (F.col("chunk_id") > chunk_id))).orderBy(F.desc("score"), "chunk_id").limit(n)
+
+
+def reranked(fused: DataFrame, relevance: DataFrame, top: int = 50) -> DataFrame:
+    """The first `top` rows of each query by a model's relevance (query_id, chunk_id, relevance), ties in fused order.
+
+    Values that are null, NaN or infinite do not count, of repeated ones the highest does; rows without one are left
+    out. A query for which the model gave nothing keeps its fused order."""
+    good = relevance.filter(~F.isnan("relevance") & (F.abs("relevance") < float("inf"))).groupBy("query_id", "chunk_id").agg(F.max("relevance").alias("relevance"))
+    x = fused.filter(F.col("rank") <= top).join(good, ["query_id", "chunk_id"], "left")
+    any_good = F.max(F.col("relevance").isNotNull()).over(Window.partitionBy("query_id"))
+    x = x.withColumn("fused_rank", F.col("rank")).withColumn("any", any_good).filter("NOT any OR relevance IS NOT NULL")
+    order = Window.partitionBy("query_id").orderBy(F.desc("relevance"), "fused_rank")
+    return x.withColumn("rank", F.row_number().over(order)).drop("any")
+
+
+def source_pack(hits: DataFrame, evidence: DataFrame, most: int) -> DataFrame:
+    """Evidence (chunk_id, evidence_id) behind ranked hits, each once a query where it comes first, labelled E1 to E<most>."""
+    first = hits.join(evidence, "chunk_id").groupBy("query_id", "evidence_id").agg(F.min(F.struct("rank", "chunk_id")).alias("x"))
+    n = F.row_number().over(Window.partitionBy("query_id").orderBy("x.rank", "x.chunk_id", "evidence_id"))
+    return first.withColumn("n", n).filter(F.col("n") <= most).select("query_id", F.concat(F.lit("E"), "n").alias("label"), "evidence_id", F.col("x.chunk_id").alias("chunk_id"))

@@ -112,3 +112,37 @@ def is_noop(prepared: DataFrame, stored: DataFrame) -> DataFrame:
     s = stored.select("source_id", F.col("hash").alias("_hash"), F.col("parser").alias("_parser"), "n_children", "n_vectors")
     same = F.col("hash").eqNullSafe(F.col("_hash")) & F.col("parser").eqNullSafe(F.col("_parser")) & F.coalesce(F.col("n_children") == F.col("n_vectors"), F.lit(False))
     return prepared.join(s, "source_id", "left").select("source_id", same.alias("noop"))
+
+
+def canonical_children(units: DataFrame, target: int = TARGET, overlap: int = 2, most: int = 20) -> DataFrame:
+    """Child chunks (source_id, boundary, child, text, first_unit, last_unit, n_units) of whole canonical units
+    (source_id, position, book, chapter, text).
+
+    No chunk crosses a book, and a unit without one stands alone. Units of a chapter are packed up to the target and
+    a fifth, or `most` units, and the next chunk repeats the last `overlap`. Nothing is repeated across a chapter, nor
+    where a run of units has `most` of them or twice the target. A group is one book of one source."""
+    w = Window.partitionBy("source_id").orderBy("position")
+    new = F.col("book").isNull() | ~F.col("book").eqNullSafe(F.lag("book").over(w))
+    x = units.withColumn("boundary", F.sum(new.cast("int")).over(w)).select(F.col("source_id").cast("long"), F.col("boundary").cast("long"), F.col("position").cast("long"), F.col("chapter").cast("string"), "text")
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("position")
+        place, chapter, text = pdf["position"].tolist(), pdf["chapter"].tolist(), pdf["text"].tolist()
+        cost = [estimate(t) for t in text]
+        whole = lambda some: " ".join(text[i] for i in some if text[i])
+        out, now, run, spent = [], [], 0, 0
+        for i in range(len(place)):
+            turned = i and chapter[i - 1] is not None and chapter[i] != chapter[i - 1]
+            if run and (turned or run >= most or spent + cost[i] > 2 * target):
+                out.append(now)
+                now, run, spent = [], 0, 0
+            elif now and (len(now) >= most or estimate(whole([*now, i])) > target + target // SLACK):
+                out.append(now)
+                now = now[max(1, len(now) - overlap) :] if overlap else []
+            now = [*now, i]
+            run, spent = run + 1, spent + cost[i]
+        out.append(now)
+        rows = [(pdf["source_id"].iloc[0], pdf["boundary"].iloc[0], n, whole(c), place[c[0]], place[c[-1]], len(c)) for n, c in enumerate(out)]
+        return pd.DataFrame(rows, columns=["source_id", "boundary", "child", "text", "first_unit", "last_unit", "n_units"])
+
+    return x.groupBy("source_id", "boundary").applyInPandas(fold, "source_id long, boundary long, child long, text string, first_unit long, last_unit long, n_units long")

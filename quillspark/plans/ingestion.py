@@ -102,3 +102,10 @@ def json_flatten(spark, d):
     from quillspark.sources.readers import flattened_json
 
     return flattened_json(table(spark, d, "events"), "event_id", "props").select("event_id", "path", "value")
+
+
+@query()
+def canonical_chunks(spark, d):
+    """Lines as verses: eight make a chapter, a document's language is its book."""
+    books = table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), F.col("lang").alias("book")).dropDuplicates(["source_id"])
+    return ingest.canonical_children(units(spark, d).join(books, "source_id").withColumn("chapter", F.expr("position div 8")))

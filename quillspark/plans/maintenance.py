@@ -132,3 +132,38 @@ def parent_hydration(spark, d):
 @query("SELECT event_type, approx.p50, approx.p95 FROM (SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1) approx")
 def latency_percentiles(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.95), 6).alias("p95"))
+
+
+@query("SELECT event_id, event_type, ts, (SELECT count(*) FROM events WHERE event_type = 'error') AS total FROM events WHERE event_type = 'error' ORDER BY ts, event_id LIMIT 20")
+def task_page(spark, d):
+    return catalog.first_page(table(spark, d, "events").filter("event_type = 'error'").select("event_id", "event_type", "ts"), ["ts", "event_id"], 20)
+
+
+@query("SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS active, min(ts) FILTER (WHERE event_type = 'view') AS oldest FROM events GROUP BY 1")
+def active_tasks(spark, d):
+    running = F.col("event_type") == "view"
+    return table(spark, d, "events").groupBy("user_id").agg(F.count_if(running).alias("active"), F.min(F.when(running, F.col("ts"))).alias("oldest"))
+
+
+@query("""SELECT lang, count(*) AS n_chunks, count(vec_id) AS n_vectors, count(l.doc_id) AS n_labels FROM documents d LEFT JOIN (SELECT DISTINCT vec_id FROM embeddings) ON vec_id = d.doc_id LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id GROUP BY 1""")
+def storage_counts(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(1).alias("v")).distinct()
+    m = table(spark, d, "labels").select("doc_id", F.lit(1).alias("m")).distinct()
+    return docs.join(v, "doc_id", "left").join(m, "doc_id", "left").groupBy("lang").agg(F.count(F.lit(1)).alias("n_chunks"), F.count("v").alias("n_vectors"), F.count("m").alias("n_labels"))
+
+
+@query("""WITH g AS (SELECT DISTINCT o_custkey AS profile, year(o_orderdate) AS generation FROM orders),
+l AS (SELECT DISTINCT o_custkey AS profile, year(o_orderdate) AS generation FROM orders WHERE o_orderstatus = 'O' AND o_orderdate > TIMESTAMP '1997-06-30')
+SELECT profile, generation FROM g ANTI JOIN l USING (profile, generation)""")
+def lease_reclaim(spark, d):
+    """Open orders hold their customer's year until their date is past."""
+    x = table(spark, d, "orders").select(F.col("o_custkey").alias("profile"), F.year("o_orderdate").alias("generation"), F.col("o_orderdate").alias("expires"), "o_orderstatus")
+    return catalog.reclaimable(x.select("profile", "generation").distinct(), x.filter("o_orderstatus = 'O'"), F.lit("1997-06-30 00:00:00").cast("timestamp"))
+
+
+@query("""WITH s AS (SELECT o_custkey AS id, count(*) AS stored FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1), i AS (SELECT o_custkey AS id, count(*) AS indexed FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1)
+SELECT id, stored, indexed, CASE WHEN indexed IS NULL THEN 'missing' WHEN stored IS NULL THEN 'orphan' WHEN indexed < stored THEN 'behind' ELSE 'ahead' END AS finding FROM s FULL JOIN i USING (id) WHERE stored IS DISTINCT FROM indexed""")
+def reconcile_findings(spark, d):
+    count = lambda but: table(spark, d, "orders").filter(F.col("o_orderstatus") != but).groupBy(F.col("o_custkey").alias("id")).agg(F.count(F.lit(1)).alias("version"))
+    return catalog.reconciled(count("P"), count("O"), "id")

@@ -268,3 +268,79 @@ def test_streams(spark, tmp_path):
         q = incremental.event_counts(events).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
         q.awaitTermination()
         assert spark.sql("SELECT sum(n) FROM counts").first()[0] == spark.read.parquet(f"{DATA}/events.parquet").count()
+
+
+def test_reranking_keeps_the_fused_order_without_relevance(spark):
+    fused = spark.createDataFrame([(1, c, 1.0 / c, c) for c in range(1, 6)] + [(2, c, 1.0 / c, c) for c in range(1, 4)], "query_id long, chunk_id long, score double, rank int")
+    got = spark.createDataFrame([(1, 3, 0.9), (1, 2, 0.9), (1, 1, float("nan")), (1, 4, None), (1, 2, 0.1), (1, 5, 1.0), (2, 1, float("inf")), (3, 1, 1.0)], "query_id long, chunk_id long, relevance double")
+    rows = {(r["query_id"], r["rank"]): r["chunk_id"] for r in fusion.reranked(fused, got, 4).collect()}
+    assert rows == {(1, 1): 2, (1, 2): 3, (2, 1): 1, (2, 2): 2, (2, 3): 3}
+    assert fusion.reranked(fused.limit(0), got).count() == 0
+
+
+def test_source_pack_labels_each_evidence_once(spark):
+    hits = spark.createDataFrame([(1, 1, 10), (1, 2, 11), (1, 3, 12), (2, 1, 12)], "query_id long, rank int, chunk_id long")
+    evidence = spark.createDataFrame([(10, "a"), (11, "a"), (11, "b"), (12, "c")], "chunk_id long, evidence_id string")
+    rows = {(r["query_id"], r["label"]): (r["evidence_id"], r["chunk_id"]) for r in fusion.source_pack(hits, evidence, 2).collect()}
+    assert rows == {(1, "E1"): ("a", 10), (1, "E2"): ("b", 11), (2, "E1"): ("c", 12)}
+
+
+def test_selections(spark):
+    chosen = spark.createDataFrame([(1, i, e) for i, e in enumerate(["a", "a", "b", "c", "x"])], "answer long, position long, evidence_id string")
+    stored = spark.createDataFrame([("a", "Text", True), ("b", "Text", False), ("c", "Report", True)], "evidence_id string, kind string, allowed boolean")
+    assert [r["verdict"] for r in evaluate.selections(chosen, stored, ["Text"]).orderBy("position").collect()] == ["ok", "repeated", "not_allowed", "not_citable", "unknown"]
+
+
+def test_diversity_equals_brute_force(spark):
+    rng = random.Random(5)
+    v = {c: [rng.uniform(-1, 1) for _ in range(4)] for c in range(20)}
+    s = {(q, c): round(rng.random(), 6) for q in (1, 2) for c in range(20)}
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    want = []
+    for q in (1, 2):
+        taken = []
+        for rank in range(1, 8):
+            c = min((c for c in v if c not in taken), key=lambda c: (-round(0.7 * s[q, c] - 0.3 * max([cos(v[c], v[t]) for t in taken], default=0), 6), c))
+            taken.append(c)
+            want.append((q, c, rank))
+    pool = spark.createDataFrame([(q, c, x) for (q, c), x in s.items()], "query_id long, chunk_id long, score double")
+    got = evaluate.diversified(pool, spark.createDataFrame(list(v.items()), "chunk_id long, embedding array<double>"), 7)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def canonical_by_hand(units, target, overlap, most):
+    """Runs first (book, chapter, size), then chunks inside each run."""
+    runs, before, used = [], None, 0
+    for u in units:
+        cost = ingest.estimate(u[3])
+        book = before is None or u[1] is None or u[1] != before[1]
+        turned = not book and before[2] is not None and u[2] != before[2]
+        if book or turned or len(runs[-1]) >= most or used + cost > 2 * target:
+            runs.append([])
+            used = 0
+        runs[-1].append(u)
+        used, before = used + cost, u
+    out = []
+    for run in runs:
+        start = at = 0
+        while at < len(run):
+            at += 1
+            full = at < len(run) and (at - start >= most or ingest.estimate(" ".join(x[3] for x in run[start : at + 1])) > target + target // 5)
+            if full or at == len(run):
+                out.append((run[start][0], run[at - 1][0], at - start))
+                start = max(start + 1, at - overlap)
+    return out
+
+
+def test_canonical_chunks_equal_runs_and_windows(spark):
+    rng = random.Random(3)
+    units, book, chapter = [], "a", 1
+    for i in range(300):
+        book = rng.choice([None, "b", "c"]) if rng.random() < 0.03 else book
+        chapter = chapter + 1 if rng.random() < 0.05 else chapter
+        units.append((i, book, chapter, " ".join(rng.choice(["grace", "и", "peace1"]) for _ in range(rng.randint(1, 30)))))
+    df = spark.createDataFrame([(7, *u) for u in units], "source_id long, position long, book string, chapter long, text string")
+    for target, overlap, most in ((40, 2, 6), (300, 2, 20), (25, 0, 3)):
+        got = ingest.canonical_children(df, target, overlap, most).orderBy("boundary", "child").collect()
+        assert [(r["first_unit"], r["last_unit"], r["n_units"]) for r in got] == canonical_by_hand(units, target, overlap, most)
+
