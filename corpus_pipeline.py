@@ -24,10 +24,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without bytes that a 400-byte string found twice covers."""
+    """Documents without what a string of 51 words, or of 400 bytes where words are longer, found twice covers."""
     from quillspark.llm.repeats import remove_repeats
 
-    out = remove_repeats(docs, text=True)
+    out = remove_repeats(docs, text=True, words=51)
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 

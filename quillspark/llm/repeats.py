@@ -10,11 +10,15 @@ in SPAN / 2 is sampled. The steps are those of the difference-cover method, each
 2. suffixes whose name stands alone are done: the strings with that anchor occur once;
 3. where equal names also agree on all bytes that the strings around their anchor reach, all those strings repeat;
 4. elsewhere the remaining suffixes, one for each start around the anchor, are merged by the names of their first
-   LENGTH bytes, once for each distinct neighbourhood, by recursion on the names of halved ranges of starts."""
+   LENGTH bytes, once for each distinct neighbourhood, by recursion on the names of halved ranges of starts.
+
+The same steps find repeated strings of words: a text is then the sequence of its words' 8-byte hashes, and lengths,
+spans and places count words."""
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +32,8 @@ from quillspark.llm.common import release, remove, written
 LENGTH, SPAN = 400, 200
 #: Bytes of text sampled at once.
 CHUNK = 1_500_000
+#: Words are what ASCII space separates, as in common.WORD; bytes of a word's hash.
+WORDS, CODE = re.compile(rb"[^\x20\x09-\x0D]+"), 8
 SAMPLE = "digest binary, doc_id long, core long, around long, reach int, n int, ranges binary"
 
 
@@ -39,21 +45,27 @@ def _sliding_min(x: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (span - width)], x[span - width :]) if span > width else x
 
 
-def anchors(texts: list[bytes], length: int = LENGTH, span: int = SPAN) -> tuple[np.ndarray, ...]:
-    """Runs of starts that share an anchor: text number, first and last start, anchor; places count in the joined texts."""
+def coded(text: bytes) -> bytes:
+    """The hashes of a text's words; bytes.split() cuts where WORDS does."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, text.split()), "<u8").tobytes()
+
+
+def anchors(texts: list[bytes], length: int = LENGTH, span: int = SPAN, unit: int = 1) -> tuple[np.ndarray, ...]:
+    """Runs of starts that share an anchor: text number, first and last start, anchor; places count units of so many bytes in the joined texts."""
     data = np.frombuffer(b"".join(texts) + bytes(8), np.uint8)
-    n = len(data) - 8
+    n = (len(data) - 8) // unit
     none = np.zeros(0, np.int64)
     if n < length:
         return none, none, none, none
-    gram = np.ndarray(n, dtype="<u8", buffer=data, strides=(1,))
+    gram = np.ndarray(n, dtype="<u8", buffer=data, strides=(unit,))
     with np.errstate(over="ignore"):
         h = gram * np.uint64(0x9E3779B97F4A7C15)
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     key = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)  # leftmost of equal hashes
     at = (_sliding_min(key, span) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    ends = np.cumsum([len(t) for t in texts])
-    starts = ends - [len(t) for t in texts]
+    sizes = np.array([len(t) // unit for t in texts], np.int64)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
     long = np.flatnonzero(ends - starts >= length)
     count = ends[long] - starts[long] - length + 1
     first = np.repeat(starts[long] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
@@ -70,13 +82,14 @@ def _signed(x: int) -> int:
     return x - (1 << 63)
 
 
-def _sample(docs: DataFrame, length: int, span: int) -> DataFrame:
+def _sample(docs: DataFrame, length: int, span: int, unit: int) -> DataFrame:
     def rows(ids: list, texts: list[bytes]) -> pa.RecordBatch:
-        data, core_length = b"".join(texts), length - span + 1
-        starts = np.cumsum([0, *map(len, texts)])
+        units = texts if unit == 1 else [coded(t) for t in texts]
+        data, core_length = b"".join(units), length - span + 1
+        starts = np.cumsum([0, *(len(x) // unit for x in units)])
         out: dict[tuple, list[int]] = {}
-        for t, lo, hi, p in zip(*(x.tolist() for x in anchors(texts, length, span))):
-            key = t, xxhash.xxh3_64_intdigest(data[p : p + core_length]), xxhash.xxh3_64_intdigest(data[lo : hi + length], p - lo), p - lo
+        for t, lo, hi, p in zip(*(x.tolist() for x in anchors(units, length, span, unit))):
+            key = t, xxhash.xxh3_64_intdigest(data[p * unit : (p + core_length) * unit]), xxhash.xxh3_64_intdigest(data[lo * unit : (hi + length) * unit], p - lo), p - lo
             out.setdefault(key, []).extend((lo - starts[t], hi - starts[t]))
         digests = {t: hashlib.md5(texts[t]).digest() for t in {k[0] for k in out}}
         return pa.RecordBatch.from_arrays([
@@ -101,14 +114,15 @@ def _sample(docs: DataFrame, length: int, span: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SAMPLE)
 
 
-def _neighbourhoods(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+def _neighbourhoods(docs: DataFrame, wanted: DataFrame, length: int, unit: int) -> DataFrame:
     """group, reach and the bytes of each wanted neighbourhood."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, some in zip(batch.column(0), batch.column(1)):
                 data, some = text.as_py().encode(), some.as_py()
-                columns = [x["group"] for x in some], [x["reach"] for x in some], [data[x["lo"] : x["hi"] + length] for x in some]
+                data = data if unit == 1 else coded(data)
+                columns = [x["group"] for x in some], [x["reach"] for x in some], [data[x["lo"] * unit : (x["hi"] + length) * unit] for x in some]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary()))], names=["group", "reach", "bytes"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +145,7 @@ def _neighbourhoods(docs: DataFrame, wanted: DataFrame, length: int) -> DataFram
 HALF = "group long, reach int, bytes binary, first int, low int, high int, inner long, outer binary"
 
 
-def _refined(near: DataFrame, length: int, span: int) -> DataFrame:
+def _refined(near: DataFrame, length: int, span: int, unit: int) -> DataFrame:
     """(group, places) of the starts that repeat: recursion on the names of ever narrower ranges of starts.
 
     Starts are numbered by their distance from the anchor, and ranges of distances are halved. All strings of a range
@@ -148,10 +162,10 @@ def _refined(near: DataFrame, length: int, span: int) -> DataFrame:
                 for group, reach, data, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
                     b = data.as_py()
                     for a in (first, first + half):
-                        low, high = max(a, reach - (len(b) - length)), min(a + half - 1, reach)
+                        low, high = max(a, reach - (len(b) // unit - length)), min(a + half - 1, reach)
                         if low <= high:
-                            inner = xxhash.xxh3_64_intdigest(b[reach - a : reach - a - half + 1 + length], a)
-                            outer = xxhash.xxh3_128_digest(b[reach - high : reach - low + length], low << 16 | high)
+                            inner = xxhash.xxh3_64_intdigest(b[(reach - a) * unit : (reach - a - half + 1 + length) * unit], a)
+                            outer = xxhash.xxh3_128_digest(b[(reach - high) * unit : (reach - low + length) * unit], low << 16 | high)
                             out.append((group, reach, b, a, low, high, _signed(inner), outer))
                 kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
                 columns = list(zip(*out)) if out else [()] * 8
@@ -181,13 +195,13 @@ def _refined(near: DataFrame, length: int, span: int) -> DataFrame:
     return out
 
 
-def repeated_starts(docs: DataFrame, length: int = LENGTH, span: int = SPAN) -> DataFrame:
-    """(digest, starts) for texts with strings of `length` bytes that start elsewhere too.
+def repeated_starts(docs: DataFrame, length: int = LENGTH, span: int = SPAN, unit: int = 1) -> DataFrame:
+    """(digest, starts) for texts with strings of `length` bytes (with unit=CODE, words) that start elsewhere too.
 
     digest: MD5 of the text; starts: structs of ranges (int32 pairs: first and last start) and places, offsets from
     each range's first start that repeat, or null if the whole ranges do."""
     spark = docs.sparkSession
-    sample, sample_path = written(_sample(docs, length, span), "sample")
+    sample, sample_path = written(_sample(docs, length, span, unit), "sample")
     names = sample.groupBy("core").agg(F.sum("n").alias("total"), F.min("around").alias("lowest"), F.max("around").alias("highest"))
     names = names.filter("total > 1").select("core", (F.col("lowest") == F.col("highest")).alias("whole"))
     found, found_path = written(sample.join(names, "core").withColumn("group", F.xxhash64("core", "around")), "found")
@@ -199,9 +213,9 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, span: int = SPAN) ->
     little = lambda at: sum((F.conv(F.hex(F.substring(F.col("x.ranges"), at + i, 1)), 16, 10).cast("int") * (1 << 8 * i) for i in range(1, 4)), F.conv(F.hex(F.substring(F.col("x.ranges"), at, 1)), 16, 10).cast("int"))
     wanted = first.select("core", "group", "total", F.col("x.reach").alias("reach"), F.col("x.doc_id").alias("doc_id"), F.col("x.digest").alias("digest"), little(1).alias("lo"), little(5).alias("hi"))
     wanted, wanted_path = written(wanted, "wanted")
-    near, near_path = written(_neighbourhoods(docs, wanted, length), "near")
+    near, near_path = written(_neighbourhoods(docs, wanted, length, unit), "near")
     release(spark)
-    places = _refined(near, length, span)
+    places = _refined(near, length, span, unit)
     remove(spark, near_path)
     # a neighbourhood that occurs twice repeats wholly
     groups = wanted.select("group", (F.col("total") > 1).alias("all")).join(places, "group", "left").filter("all OR places IS NOT NULL")
@@ -235,25 +249,47 @@ def removed_spans(n: int, starts: list[dict] | None, length: int) -> list[tuple[
     return list(zip(turn[::2].tolist(), turn[1::2].tolist()))
 
 
+def covered(b: bytes, starts: list[dict] | None, by_word: list[dict] | None, length: int, words: int) -> list[tuple[int, int]]:
+    """Maximal runs of removed bytes (from, to), by strings of bytes and by strings of words."""
+    spans = removed_spans(len(b), starts, length)
+    if by_word:
+        at = [m.span() for m in WORDS.finditer(b)]
+        spans, some = [], sorted(spans + [(at[lo][0], at[hi - 1][1]) for lo, hi in removed_spans(len(at), by_word, words)])
+        for lo, hi in some:
+            if spans and lo <= spans[-1][1]:
+                spans[-1] = spans[-1][0], max(hi, spans[-1][1])
+            else:
+                spans.append((lo, hi))
+    return spans
+
+
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, span: int = SPAN, text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, span: int = SPAN, text: bool = False, words: int = 0) -> DataFrame:
     """doc_id and RESULT of each document after removal of every byte that a repeated string of `length` bytes covers.
 
+    With `words`, also what a repeated string of so many words covers, from its first word to its last, whatever space is
+    between them.
+
     Strings are judged on the input, over UTF-8 bytes, inside documents; a string repeats if it starts at another
     place of any document, its own included. With text=True the result has the columns of docs instead, text being
     what is left, without characters that lost bytes. A null text counts as empty (and stays null with text=True); texts under `length` bytes
     stay whole; copies of a long text, repeated rows among them, lose everything. Null and equal ids do no harm: texts
     are matched by digest. An empty table gives no rows; other columns are ignored, or kept with text=True."""
     starts = repeated_starts(docs, length, span).withColumnRenamed("digest", "_digest").withColumnRenamed("starts", "_starts")
+    if words:
+        by_word = repeated_starts(docs, words, (words + 1) // 2, CODE).withColumnRenamed("digest", "_word_digest").withColumnRenamed("starts", "_by_word")
+        starts = starts.join(by_word, F.col("_digest") == F.col("_word_digest"), "full").select(F.coalesce("_digest", "_word_digest").alias("_digest"), "_starts", "_by_word")
+    else:
+        starts = starts.withColumn("_by_word", F.lit(None).cast(starts.schema["_starts"].dataType))
 
     def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for x, s in zip(batch.column(1), batch.column(2)):
+            for x, s, w in zip(batch.column(1), batch.column(2), batch.column(3)):
                 b = (x.as_py() or "").encode()
-                spans = removed_spans(len(b), s.as_py(), length)
+                spans = covered(b, s.as_py(), w.as_py(), length, words)
                 at, kept = 0, hashlib.sha256()
                 for lo, hi in spans:
                     kept.update(b[at:lo])
@@ -266,19 +302,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, span: int = SPAN, text
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place, out = batch.schema.get_field_index("text"), []
-            for x, s in zip(batch.column(place), batch.column(batch.num_columns - 1)):
-                if (t := x.as_py()) is not None and (starts_of := s.as_py()):
+            for x, s, w in zip(batch.column(place), batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)):
+                if (t := x.as_py()) is not None and (s.is_valid or w.is_valid):
                     b, at, parts = t.encode(), 0, []
-                    for lo, hi in removed_spans(len(b), starts_of, length):
+                    for lo, hi in covered(b, s.as_py(), w.as_py(), length, words):
                         parts.append(b[at:lo].decode(errors="ignore"))
                         at = hi
                     t = "".join([*parts, b[at:].decode(errors="ignore")])
                 out.append(t)
-            columns = [pa.array(out, pa.string()) if i == place else batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+            columns = [pa.array(out, pa.string()) if i == place else batch.column(i) for i in range(batch.num_columns - 2)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-2])
 
     kept = list(docs.columns) if text else ["doc_id", "text"]
     x = docs.select(*kept, F.unhex(F.md5("text")).alias("_own")).join(starts, F.col("_own") == F.col("_digest"), "left")
     if text:
-        return x.select(*kept, "_starts").mapInArrow(rewrite, docs.schema)
-    return x.select(*kept, "_starts").mapInArrow(shape, f"doc_id {dict(docs.dtypes)['doc_id']}, {RESULT}")
+        return x.select(*kept, "_starts", "_by_word").mapInArrow(rewrite, docs.schema)
+    return x.select(*kept, "_starts", "_by_word").mapInArrow(shape, f"doc_id {dict(docs.dtypes)['doc_id']}, {RESULT}")

@@ -302,6 +302,23 @@ def test_repeats_equal_brute_force(spark, length, span):
     assert left.columns == docs.columns and left.count() == len(rows)
 
 
+@pytest.mark.parametrize("words", [5, 8])
+def test_repeated_words_equal_brute_force(spark, words):
+    rng = random.Random(13)
+    piece = lambda n: [rng.choice(["a", "b", "é", "ab", "c" * 9]) for _ in range(n)]
+    base = [piece(14) for _ in range(5)]
+    rows = [(i, [w for _ in range(rng.randint(0, 5)) for w in rng.choice([rng.choice(base), piece(rng.randint(0, 8)), ["a", "b"] * rng.randint(0, 6)])]) for i in range(120)]
+    rows += [(500, []), (None, rows[3][1]), (7, rows[7][1])]
+    docs = frame(spark, [(i, "".join(w + rng.choice([" ", "\n", "  "]) for w in ws), None, None) for i, ws in rows] + [(501, None, None, None)])
+    count = collections.Counter(tuple(ws[i : i + words]) for _, ws in rows for i in range(len(ws) - words + 1))
+    want = []
+    for d, ws in rows:
+        gone = {i + j for i in range(len(ws) - words + 1) if count[tuple(ws[i : i + words])] > 1 for j in range(words)}
+        want.append((d, [w for i, w in enumerate(ws) if i not in gone]))
+    got = [(r["doc_id"], (r["text"] or "").split()) for r in repeats.remove_repeats(docs, text=True, words=words).collect()]
+    assert sorted(got, key=str) == sorted([*want, (501, [])], key=str) and 0 < sum(len(ws) for _, ws in want) < sum(len(ws) for _, ws in rows)
+
+
 def test_repeats_odd_tables(spark, odd, empty):
     got = {(r["doc_id"], r["n_bytes"]): r["n_removed"] for r in repeats.remove_repeats(odd).collect()}
     assert got[3, len(LONG)] == len(LONG) and got[6, 1000] == 1000 and got[2, 0] == 0
@@ -414,3 +431,19 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     mixed = stage["mixing"](spark, left, d)
     assert mixed.columns == docs.columns and abs(sum(len(r["text"].split()) for r in mixed.collect()) - sum(len((t or "").split()) for t in texts.values())) <= 3
     assert corpus_pipeline.run(spark, d).groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 1024").count() == 0
+
+
+def test_pipeline_removes_passages_of_51_short_words(spark):
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 6)))
+    own = lambda: " ".join(word() for _ in range(40))
+    passages = [" ".join(word() for _ in range(n)) for n in (50, *range(51, 61))]
+    assert all(len(p) < 400 for p in passages)
+    rows = [(10 * k + j, f"{own()} {p} {own()}") for k, p in enumerate(passages) for j in range(2)]
+    docs = frame(spark, [(i, t, "en", "s") for i, t in rows])
+    left = {r["doc_id"]: r for r in dict(corpus_pipeline.STAGES)["repeat_removal"](spark, docs, "").collect()}
+    for i, t in rows:
+        p = passages[i // 10]
+        assert left[i]["text"] == (t if i < 10 else t.replace(p, "")) and left[i]["n_chars"] == len(left[i]["text"])
