@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -58,6 +59,57 @@ class Scanner:
                 out.append(x)
         return sorted(out, key=lambda x: (x[2], x[0]))
 
+    def scan_all(self, text: str | None) -> list[tuple[str, float, int, int]]:
+        """(name, dice, first word, words) of windows taken one by one: each time the best that is left of each template
+        and overlaps none taken, and of these the one with the highest coefficient, then the longer."""
+        words = normalised(text)
+        hits: dict[str, list[int]] = {}
+        for i, b in enumerate(zip(words, words[1:])):
+            for name in self.owners.get(b, ()):
+                hits.setdefault(name, []).append(i)
+        left = {}
+        for name, at in hits.items():
+            low, high = self.bounds[name]
+            if 2 * len(at) >= self.threshold * (len(self.sets[name]) + low) - 1e-9:
+                # the best last, to be popped
+                left[name] = sorted(self._windows(words, self.sets[name], at, low, high), reverse=True)
+        starts, taken = [], []
+        while True:
+            best = None
+            for name, windows in left.items():
+                while windows:
+                    dice, start, end = windows[-1]
+                    k = bisect_right(starts, end + 1)  # only the last that starts within it can overlap
+                    if not k or starts[k - 1] + taken[k - 1][3] <= start:
+                        key = dice, start - end, start, name
+                        best = key if best is None else min(best, key)
+                        break
+                    windows.pop()
+            if best is None:
+                return taken
+            dice, n, start, name = best
+            k = bisect_right(starts, start)
+            starts.insert(k, start)
+            taken.insert(k, (name, -dice, start, 2 - n))
+
+    def _windows(self, words: list[str], template: frozenset, at: list[int], low: int, high: int) -> Iterator[tuple]:
+        """(-dice, first bigram, last bigram) of all windows at the threshold that start and end with a bigram of the
+        template; of those with one start and the same bigrams the shortest, as no other is ever taken."""
+        for k, start in enumerate(at):
+            inside, both, i, size = set(), 0, start, 0
+            for end in at[k:]:
+                while i <= end:
+                    b = words[i], words[i + 1]
+                    if b not in inside:
+                        inside.add(b)
+                        both += b in template
+                    i += 1
+                if len(inside) > high:
+                    break
+                if low <= len(inside) != size and (dice := 2 * both / (len(template) + len(inside))) >= self.threshold - 1e-12:
+                    yield -dice, start, end
+                size = len(inside)
+
     def _best(self, words: list[str], template: frozenset, at: list[int], low: int, high: int):
         """The best window starts and ends with a bigram of the template, as others could only shrink it."""
         best = None
@@ -82,9 +134,10 @@ class Scanner:
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
     """doc_id, license, dice, first_word and n_words for each licence found in a whole text.
 
-    Compared are windows of consecutive words whose number of distinct bigrams the size bounds allow; the best window
-    of a template counts (ties to the earlier, then the shorter), and of overlapping windows of different templates
-    the one with the highest coefficient (then the longer). Templates are a fixed list and go to every task. Null and empty
+    Compared are windows of consecutive words that start and end with a bigram of the template and whose number of
+    distinct bigrams the size bounds allow. Of all windows of all templates at the threshold, those are taken one by one
+    that overlap none taken before: for each template the best (ties to the earlier, then the shorter), of different
+    templates the one with the highest coefficient (then the longer). So each occurrence apart gives a row. Templates are a fixed list and go to every task. Null and empty
     texts and empty tables give no rows; repeated rows and null or equal ids are scanned apart; other columns are
     ignored. Templates under two words match nothing."""
     templates = TEMPLATES if templates is None else templates
@@ -92,7 +145,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, threshold)
         for batch in batches:
-            rows = [(i, *x) for i, text in enumerate(batch.column(1)) for x in scanner.scan(text.as_py())]
+            rows = [(i, *x) for i, text in enumerate(batch.column(1)) for x in scanner.scan_all(text.as_py())]
             columns = list(zip(*rows)) if rows else [()] * 5
             kinds = (pa.string(), pa.float64(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0], pa.int64())), *(pa.array(c, t) for c, t in zip(columns[1:], kinds))], names=["doc_id", *(x.split()[0] for x in SCHEMA.split(", "))])

@@ -251,6 +251,46 @@ def test_license_scan(spark, odd, empty):
     assert licenses.scan_licenses(odd).count() == 0 and licenses.scan_licenses(empty).count() == 0
 
 
+def brute_scan_all(text, templates, t):
+    words = licenses.normalised(text)
+    windows, taken = [], []
+    for name, x in templates.items():
+        w = licenses.normalised(x)
+        m = set(zip(w, w[1:]))
+        for a in range(len(words)):
+            for b in range(a + 2, len(words) + 1):
+                g = list(zip(words[a:b], words[a + 1 : b]))
+                d = 2 * len(set(g) & m) / (len(set(g)) + len(m))
+                if d >= t - 1e-12 and g[0] in m and g[-1] in m:
+                    windows.append((name, d, a, b - a))
+    while windows:
+        best = {}
+        for name, d, a, n in windows:
+            best[name] = min(best.get(name, (1,)), (-d, a, n))
+        d, n, a, name = min((d, -n, a, name) for name, (d, a, n) in best.items())
+        taken.append((name, -d, a, -n))
+        windows = [x for x in windows if x[2] + x[3] <= a or a - n <= x[2]]
+    return sorted(taken, key=lambda x: x[2])
+
+
+def test_license_scan_finds_every_occurrence(spark):
+    rng = random.Random(15)
+    some = {k: v for k, v in licenses.TEMPLATES.items() if len(v) < 90}
+    scanner, more = licenses.Scanner(some, 0.6), 0
+    for _ in range(40):
+        words = " ".join(rng.choice(list(some.values())) for _ in range(3)).split()
+        for _ in range(rng.randint(0, 5)):
+            words[rng.randrange(len(words))] = rng.choice(["the", "License", "foo"])
+        got = scanner.scan_all(" ".join(words))
+        assert got == brute_scan_all(" ".join(words), some, 0.6)
+        more += len(got) > len(scanner.scan(" ".join(words)))
+    assert more
+    t = licenses.TEMPLATES
+    texts = [f"{t['MIT']} foo {t['MIT']}", f"{t['Apache-2.0-header']} foo bar {t['Apache-2.0']}", f"{t['GPL-3.0']} foo bar This work is licenced under the GNU General Public License, version 2."]
+    got = licenses.scan_licenses(frame(spark, [(i, x, None, None) for i, x in enumerate(texts)])).orderBy("doc_id", "first_word").collect()
+    assert [(r["doc_id"], r["license"]) for r in got] == [(0, "MIT"), (0, "MIT"), (1, "Apache-2.0-header"), (1, "Apache-2.0"), (2, "GPL-3.0"), (2, "GPL-2.0")]
+
+
 # top k
 
 
