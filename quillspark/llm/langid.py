@@ -22,8 +22,8 @@ BUCKETS = 1 << 16
 SCRIPT_STARTS = (0x0000, 0x0370, 0x0400, 0x0530, 0x0590, 0x0600, 0x0700, 0x0900, 0x0E00, 0x0F00, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x30A0, 0x3100, 0x3400, 0xA000, 0xAC00, 0xD7B0, 0xF900, 0xFB00, 0x10000, 0x20000)
 SCRIPT_NAMES = (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 0, 1, 13, 14, 14, 15, 15, 16, 11, 11, 15, 17, 18, 15)
 SCRIPTS = max(SCRIPT_NAMES) + 1
-#: Words of one step of the two-level Viterbi; letters scored at once; candidate languages of one document.
-SEGMENT, CHUNK, CANDIDATES = 64, 400_000, 6
+#: Words of one step of the two-level Viterbi; letters scored at once; cells of its tables (segments x labels x labels) at once.
+SEGMENT, CHUNK, CELLS = 64, 400_000, 8_000_000
 UNKNOWN = "und"
 
 
@@ -120,7 +120,7 @@ def viterbi(scores: np.ndarray, doc: np.ndarray, penalty: float) -> np.ndarray:
         enter[s] = best[:m]
         best[:m] = (best[:m, :, None] + trans[s]).max(1)
     # forward again inside segments, now from what enters them, with back pointers
-    d, back = enter[order].copy(), np.empty((len(alive), len(head), k), np.int8)
+    d, back = enter[order].copy(), np.empty((len(alive), len(head), k), np.int8 if k < 128 else np.int32)
     for t, m in enumerate(alive):
         top = d[:m].argmax(-1)
         switch = d[:m].max(-1, keepdims=True) - penalty > d[:m]
@@ -161,21 +161,27 @@ class Labeller:
         candidate[~candidate.any(1)] = True  # a script that no language was learned in leaves all
         scores = np.where(candidate, scores, scores.min(1, keepdims=True) - 100.0)
         head = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-        keep = min(CANDIDATES, len(self.names))
-        own = np.argsort(-np.add.reduceat(scores, head, axis=0), axis=1, kind="stable")[:, :keep]
-        own.sort(axis=1)
-        row = np.repeat(np.arange(len(head)), np.diff(np.r_[head, len(doc)]))
-        path = viterbi(np.take_along_axis(scores, own[row], 1), doc, self.penalty)
-        share = np.zeros((len(head), keep))
+        size = np.diff(np.r_[head, len(doc)])
+        row = np.repeat(np.arange(len(head)), size)
+        path = np.empty(len(doc), int)
+        # each text has every language that the script of one of its words allows; texts with the same ones go together
+        sets, which = np.unique(np.logical_or.reduceat(candidate, head, axis=0), axis=0, return_inverse=True)
+        for s, allowed in enumerate(sets):
+            own, some = np.flatnonzero(allowed), np.flatnonzero(which.ravel() == s)
+            part = np.cumsum(-(-size[some] // SEGMENT)) * len(own) ** 2 // CELLS
+            for k in np.unique(part):
+                at = np.flatnonzero(np.isin(row, some[part == k]))
+                path[at] = own[viterbi(scores[np.ix_(at, own)], doc[at], self.penalty)]
+        share = np.zeros((len(head), len(self.names)))
         np.add.at(share, (row, path), letters)
         top = share.argmax(1)
         change = np.flatnonzero(np.r_[True, (path[1:] != path[:-1]) | (doc[1:] != doc[:-1])])
         ends = np.r_[change[1:], len(path)]
         spans: dict[int, list] = {}
         for a, b in zip(change, ends):
-            spans.setdefault(int(row[a]), []).append((int(a - head[row[a]]), int(b - head[row[a]]), self.names[own[row[a], path[a]]]))
+            spans.setdefault(int(row[a]), []).append((int(a - head[row[a]]), int(b - head[row[a]]), self.names[path[a]]))
         for i, d in enumerate(doc[head]):
-            out[d] = self.names[own[i, top[i]]], float(share[i, top[i]] / share[i].sum()), spans[i]
+            out[d] = self.names[top[i]], float(share[i, top[i]] / share[i].sum()), spans[i]
         return out
 
 

@@ -76,6 +76,21 @@ def test_languages_and_spans(spark, odd, empty):
     assert {r["lang_pred"] for r in langid.identify(odd, langid.fit(empty)).collect()} == {"und"}
 
 
+def test_two_scripts_and_many_languages(monkeypatch):
+    rng = np.random.default_rng(16)
+    names = [f"l{i}" for i in range(8)] + ["ru"]
+    logs = rng.normal(-9, 0.1, (langid.BUCKETS, 9)).astype(np.float32)
+    logs[:, 0] += 1
+    scripts = np.zeros((langid.SCRIPTS, 9), bool)
+    scripts[0, :8] = scripts[2, 8] = True
+    text = " ".join(["word"] * 90 + ["слово"] * 10)
+    want = ("l0", 360 / 410, [(0, 90, "l0"), (90, 100, "ru")])
+    labeller = langid.Labeller((names, logs, scripts), 12.0)
+    assert labeller.label([text, "", "слово " * 5, text]) == [want, ("und", 0.0, []), ("ru", 1.0, [(0, 5, "ru")]), want]
+    monkeypatch.setattr(langid, "CELLS", 1)
+    assert labeller.label([text, text]) == [want, want]
+
+
 # quality
 
 
