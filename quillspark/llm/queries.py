@@ -54,9 +54,9 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillspark.llm.repeats import remove_repeats
+    from quillspark.llm.repeats import PASSAGE, remove_repeats
 
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    return remove_repeats(table(spark, sf_dir, "documents"), words=PASSAGE)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

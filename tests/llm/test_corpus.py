@@ -344,16 +344,22 @@ def brute_repeats(rows, n):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("length,span", [(24, 12), (40, 20)])
-def test_repeats_equal_brute_force(spark, length, span):
+@pytest.mark.parametrize("v", repeats.COVERS)
+def test_covers_give_every_difference(v):
+    assert {(a - b) % v for a in repeats.COVERS[v] for b in repeats.COVERS[v]} == set(range(v))
+
+
+@pytest.mark.parametrize("length,block", [(24, 4 << 20), (24, 500), (40, 500), (60, 2000)])
+def test_repeats_equal_brute_force(spark, monkeypatch, length, block):
+    monkeypatch.setattr(repeats, "BLOCK", block)
     rng = random.Random(9)
     piece = lambda n: "".join(rng.choice("abé ") for _ in range(n))
     base = [piece(60) for _ in range(5)]
     rows = [(i, "".join(rng.choice([rng.choice(base), piece(rng.randint(0, 30)), "ab" * rng.randint(0, 40)]) for _ in range(rng.randint(0, 5)))) for i in range(120)]
     rows += [(500, None), (501, ""), (None, rows[3][1]), (7, rows[7][1]), (None, None)]
     docs = frame(spark, [(i, t, None, None) for i, t in rows])
-    assert sorted(map(tuple, repeats.remove_repeats(docs, length, span).collect()), key=str) == brute_repeats(rows, length)
-    left = repeats.remove_repeats(docs, length, span, text=True)
+    assert sorted(map(tuple, repeats.remove_repeats(docs, length).collect()), key=str) == brute_repeats(rows, length)
+    left = repeats.remove_repeats(docs, length, text=True)
     assert left.columns == docs.columns and left.count() == len(rows)
 
 
