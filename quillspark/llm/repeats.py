@@ -35,7 +35,7 @@ LENGTH, PASSAGE = 400, 51
 #: Difference covers: the residues' differences give every residue modulo the first number.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52), 91: (0, 1, 3, 9, 27, 49, 56, 61, 77, 81)}
 #: Bytes of text in a block, bytes of names in a bucket, slices of the range of names, places named at once.
-BLOCK, BUCKET, SLICES, STEP = 4 << 20, 8 << 20, 3, 1 << 13
+BLOCK, BUCKET, SLICES, STEP = 4 << 20, 4 << 20, 3, 1 << 13
 #: Words are what ASCII space separates, as in common.WORD.
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 PIECES = "key binary, n long, digests binary, twice binary, base binary, sizes binary, at binary, data binary"
@@ -247,8 +247,7 @@ def repeated(texts: DataFrame, length: int, coded: bool) -> DataFrame:
     v, residues = cover(length)
     q = len(residues)
     total = texts.agg(F.sum("n")).first()[0] or 0
-    least = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = lambda names: max(least, -(-8 * int(names) // BUCKET))
+    buckets = lambda names: max(8, -(-8 * int(names) // BUCKET))  # noqa: E731  rows sent are at most blocks x buckets, and at most names
 
     def first(row: Pieces):
         units = row.units(coded, False)
