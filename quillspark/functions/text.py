@@ -13,11 +13,16 @@ CHEAP_RUN = 24
 RERANK_CHARS = 8000
 
 
-def token_estimate(text: Column) -> Column:
-    """Tokens of a text: a quarter for each of the first CHEAP_RUN characters of an ASCII alphanumeric run, else one; rounded up."""
+def token_quarters(text: Column) -> Column:
+    """Quarter tokens of a text: one for each of the first CHEAP_RUN characters of an ASCII alphanumeric run, else four."""
     runs = F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9]+"), F.lit(0))
     cheap = F.aggregate(runs, F.lit(0), lambda s, x: s + F.least(F.length(x), F.lit(CHEAP_RUN)))
-    return F.ceil((4 * F.char_length(text) - 3 * cheap) / 4).cast("long")
+    return (4 * F.char_length(text) - 3 * cheap).cast("long")
+
+
+def token_estimate(text: Column) -> Column:
+    """Tokens of a text: its quarter tokens over four, rounded up."""
+    return F.ceil(token_quarters(text) / 4).cast("long")
 
 
 def spaced_token_estimate(parts: Column) -> Column:

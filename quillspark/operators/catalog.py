@@ -60,9 +60,12 @@ def collectable(generations: DataFrame, keep: int) -> DataFrame:
     return older.withColumn("age", F.dense_rank().over(Window.partitionBy("profile").orderBy(F.desc("generation")))).filter(F.col("age") > keep)
 
 
-def turnover(events: DataFrame, low: int, high: int) -> DataFrame:
-    """Counts by event type within an id window, with the users behind them and sum of values over 1."""
-    x = events.filter(F.col("event_id").between(low, high))
+def turnover(events: DataFrame, limit: int) -> DataFrame:
+    """Counts by event type within the last `limit` ids, with the users behind them and how many values are over 1.
+
+    The newest id is one row, which is broadcast."""
+    newest = events.agg(F.max("event_id").alias("newest"))
+    x = events.crossJoin(F.broadcast(newest)).filter(F.col("event_id") > F.col("newest") - limit)
     return x.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("n_users"), F.count_if(F.col("value") > 1).alias("n_over_one"))
 
 

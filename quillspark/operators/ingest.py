@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import stable_id, token_estimate
+from quillspark.functions.text import stable_id, token_estimate, token_quarters
 
 #: Tokens of a child chunk, the slack before it is flushed, tokens carried over; children of one parent.
 TARGET, SLACK, OVERLAP, PARENT_CHILDREN = 300, 5, 80, 5
@@ -36,13 +39,18 @@ def islands(units: DataFrame, key: str) -> DataFrame:
     return units.withColumn("boundary", F.sum(change.cast("int")).over(w))
 
 
-def estimate(text: str) -> int:
-    """token_estimate of one text, for the packing fold."""
+def quarter_tokens(text: str) -> int:
+    """token_quarters of one text, for what a fold carries over."""
     quarters = run = 0
     for c in text:
         run = run + 1 if c.isascii() and c.isalnum() else 0
         quarters += 1 if 0 < run <= 24 else 4
-    return -(-quarters // 4)
+    return quarters
+
+
+def estimate(text: str) -> int:
+    """token_estimate of one text."""
+    return -(-quarter_tokens(text) // 4)
 
 
 def overlap_start(text: str, budget: int) -> int:
@@ -60,28 +68,35 @@ def children(units: DataFrame, target: int = TARGET, overlap: int = OVERLAP) ->
     """Child chunks (source_id, boundary, child, text, first_unit, last_unit, tokens) of units (source_id, boundary, position, text).
 
     Units are packed greedily within a boundary: a chunk is flushed before the unit that would take it over the
-    target and a fifth, and the next one starts with its last `overlap` tokens. A unit is never split. A group is one
-    boundary of one source: the units of a document section."""
-    limit = target + target // SLACK
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("position")
-        out, text, first, last = [], "", None, None
-        for position, unit in zip(pdf["position"], pdf["text"]):
-            joined = f"{text} {unit}" if text else unit
-            if text and first is not None and estimate(joined) > limit:
-                out.append((text, first, last))
-                carried = text[overlap_start(text, overlap) :].strip()
-                text, first = (f"{carried} {unit}" if carried else unit), position
-            else:
-                text, first = joined, position if first is None else first
-            last = position
+    target and a fifth, and the next one starts with its last `overlap` tokens. A unit is never split. Units' costs are
+    summed as quarter tokens, which Spark counts, since a space ends every run; the fold runs over units sorted by place
+    and holds the open chunk alone, so a boundary of any length streams through its task."""
+    limit = 4 * (target + target // SLACK)
+    names = ["source_id", "boundary", "child", "text", "first_unit", "last_unit"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, child, text, cost, first, last = None, 0, "", 0, None, None
+        for batch in batches:
+            out = []
+            for source, boundary, position, unit, quarters in zip(*(c.to_pylist() for c in batch.columns)):
+                if (source, boundary) != key:
+                    if text:
+                        out.append((*key, child, text, first, last))
+                    key, child, text, cost, first = (source, boundary), 0, "", 0, None
+                if text and cost + 4 + quarters > limit:
+                    out.append((*key, child, text, first, last))
+                    carried = text[overlap_start(text, overlap) :].strip()
+                    child, text, cost, first = child + 1, carried, quarter_tokens(carried), None
+                text, cost = (f"{text} {unit}", cost + 4 + quarters) if text else (unit, quarters)
+                first, last = position if first is None else first, position
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 6, kinds)], names=names)
         if text:
-            out.append((text, first, last))
-        return pd.DataFrame([(pdf["source_id"].iloc[0], pdf["boundary"].iloc[0], i, t, a, b) for i, (t, a, b) in enumerate(out)], columns=["source_id", "boundary", "child", "text", "first_unit", "last_unit"])
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((*key, child, text, first, last), kinds)], names=names)
 
-    x = units.select(F.col("source_id").cast("long"), F.col("boundary").cast("long"), F.col("position").cast("long"), "text")
-    out = x.groupBy("source_id", "boundary").applyInPandas(fold, "source_id long, boundary long, child long, text string, first_unit long, last_unit long")
+    x = units.select(F.col("source_id").cast("long"), F.col("boundary").cast("long"), F.col("position").cast("long"), "text", token_quarters(F.col("text")).alias("quarters"))
+    x = x.repartition("source_id", "boundary").sortWithinPartitions("source_id", "boundary", "position")
+    out = x.mapInArrow(fold, "source_id long, boundary long, child long, text string, first_unit long, last_unit long")
     return out.withColumn("tokens", token_estimate(F.col("text"))).withColumn("chunk_id", stable_id("chunk", F.col("source_id"), F.col("boundary"), F.col("child"), F.sha2("text", 256)))
 
 

@@ -46,16 +46,31 @@ def boundary_islands(spark, d):
 
 
 def _children(spark, d):
-    return ingest.children(units(spark, d).withColumn("boundary", F.floor(F.col("position") / 40)))
+    return ingest.children(units(spark, d).withColumn("boundary", F.lit(0)))
 
 
-@query()
+def quarters_sql(x: str) -> str:
+    return f"(4 * length({x}) - 3 * coalesce(list_sum(list_transform(regexp_extract_all({x}, '[A-Za-z0-9]+'), lambda r: least(length(r), 24))), 0))::BIGINT"
+
+
+#: The fold over a document's units: each row has the open chunk, and the one that its unit has flushed.
+CHILDREN = rf"""{LINES}, u AS (SELECT source_id, position, text, {quarters_sql('text')} AS quarters FROM units),
+fold AS (SELECT source_id, position, text AS open, quarters AS cost, position AS first, 0 AS child, NULL::VARCHAR AS flushed, NULL::BIGINT AS flushed_first FROM u WHERE position = 0
+  UNION ALL SELECT source_id, position, CASE WHEN carried = '' THEN text ELSE carried || ' ' || text END, CASE WHEN carried = '' THEN quarters ELSE {quarters_sql('carried')} + 4 + quarters END,
+    CASE WHEN full_ THEN position ELSE first END, child + full_::INT, CASE WHEN full_ THEN open END, CASE WHEN full_ THEN first END
+  FROM (SELECT *, CASE WHEN NOT full_ THEN open ELSE regexp_replace(right(open, list_max(list_filter(range(0, 321), lambda n: n <= length(open) AND {quarters_sql('right(open, n)')} <= 320))), '^\s+|\s+$', '', 'g') END AS carried
+    FROM (SELECT u.*, open, first, child, cost + 4 + quarters > 1440 AS full_ FROM fold JOIN u ON u.source_id = fold.source_id AND u.position = fold.position + 1))),
+children AS (SELECT source_id, child - 1 AS child, flushed AS text, flushed_first AS first_unit, position - 1 AS last_unit FROM fold WHERE flushed IS NOT NULL
+  UNION ALL SELECT source_id, child, open, first, position FROM fold QUALIFY position = max(position) OVER (PARTITION BY source_id))"""
+
+
+@query(f"WITH RECURSIVE {CHILDREN} SELECT source_id, 0::BIGINT AS boundary, child::BIGINT AS child, text, first_unit::BIGINT AS first_unit, last_unit::BIGINT AS last_unit, {tokens_sql('text')} AS tokens FROM children")
 def chunk_children(spark, d):
-    """Greedy packing with overlap; the fold has no SQL form, tests hold it against a plain one."""
-    return _children(spark, d)
+    """Greedy packing with overlap; a whole document is one boundary."""
+    return _children(spark, d).drop("chunk_id")
 
 
-@query()
+@query(f"WITH RECURSIVE {CHILDREN} SELECT source_id, 0::BIGINT AS boundary, (child // 5)::BIGINT AS parent, string_agg(text, ' ' ORDER BY child) AS text, count(*) AS n_children, min(first_unit)::BIGINT AS first_unit, max(last_unit)::BIGINT AS last_unit FROM children GROUP BY source_id, child // 5")
 def parent_chunks(spark, d):
     return ingest.parents(_children(spark, d))
 
@@ -74,12 +89,14 @@ def unit_ids(spark, d):
 
 
 @query("""SELECT doc_id AS chunk_id, doc_id AS evidence_id, CASE WHEN doc_id % 5 = 0 THEN 'hash' ELSE 'bytes' END AS reason FROM documents
-WHERE text IS NOT NULL AND strlen(text) > 30 AND (doc_id % 5 = 0 OR (doc_id % 5 = 1 AND encode(text)[1:10] <> encode(text)[2:11]))""")
+WHERE text IS NOT NULL AND (doc_id % 5 = 0 OR (doc_id % 5 = 1 AND strlen(text) > 1 AND encode(text)[1:strlen(text) - 1] <> encode(text)[2:strlen(text)]))""")
 def span_integrity(spark, d):
-    x = table(spark, d, "documents").filter("text IS NOT NULL AND octet_length(text) > 30").dropDuplicates(["doc_id"])
+    """Spans over whole texts; of every five, one's evidence digest has changed and one's evidence bytes are shifted."""
+    x = table(spark, d, "documents").filter("text IS NOT NULL").dropDuplicates(["doc_id"])
     chunks, evidence = x.select(F.col("doc_id").alias("chunk_id"), "text"), x.select(F.col("doc_id").alias("evidence_id"), "text")
-    shift = (F.col("doc_id") % 5 == 1).cast("int")
-    spans = x.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("evidence_id"), F.lit(0).alias("chunk_start"), F.lit(10).alias("chunk_end"), shift.alias("evidence_start"), (shift + 10).alias("evidence_end"), F.sha2(F.when(F.col("doc_id") % 5 == 0, "changed").otherwise(F.col("text")), 256).alias("evidence_text_hash"))
+    shift = ((F.col("doc_id") % 5 == 1) & (F.octet_length("text") > 0)).cast("int")
+    size = F.octet_length("text")
+    spans = x.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("evidence_id"), F.lit(0).alias("chunk_start"), (size - shift).alias("chunk_end"), shift.alias("evidence_start"), size.alias("evidence_end"), F.sha2(F.when(F.col("doc_id") % 5 == 0, "changed").otherwise(F.col("text")), 256).alias("evidence_text_hash"))
     return ingest.span_faults(spans, chunks, evidence)
 
 

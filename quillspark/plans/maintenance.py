@@ -74,9 +74,13 @@ def gc_generations(spark, d):
     return catalog.collectable(g.join(c, "profile"), 2).select("profile", "generation", "current")
 
 
-@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS n_users, count(*) FILTER (WHERE value > 1) AS n_over_one FROM events WHERE event_id BETWEEN 100 AND 5000 GROUP BY 1")
+#: Ids that the turnover window spans, back from the newest.
+TURNOVER = 5000
+
+
+@query(f"SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS n_users, count(*) FILTER (WHERE value > 1) AS n_over_one FROM events WHERE event_id > (SELECT max(event_id) FROM events) - {TURNOVER} GROUP BY 1")
 def task_turnover(spark, d):
-    return catalog.turnover(table(spark, d, "events"), 100, 5000)
+    return catalog.turnover(table(spark, d, "events"), TURNOVER)
 
 
 @query("SELECT coalesce(CASE WHEN o_orderpriority LIKE '1%' THEN NULL ELSE o_orderpriority END, 'none given') AS reason, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, reason LIMIT 4")

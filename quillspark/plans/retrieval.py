@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.operators import dense, filters, fusion, lexical
@@ -29,6 +30,11 @@ def query_vectors(spark, d):
     return vectors(spark, d).filter(F.col("chunk_id") % EVERY == 0).select(F.col("chunk_id").alias("query_id"), "embedding")
 
 
+def question_vectors(spark, d):
+    """Each question's dense vector: the one whose id is the question's."""
+    return vectors(spark, d).join(questions(spark, d).select("query_id"), F.col("chunk_id") == F.col("query_id"), "left_semi").select(F.col("chunk_id").alias("query_id"), "embedding")
+
+
 def bm25_sql(name: str, where: str = "true", k: int = BM25_K, scope: str = "", text: str = "text", k1: float = 1.2, b: float = 0.75) -> str:
     """CTEs that end in `name` (query_id, chunk_id, score, rank)."""
     s, using = (f", {scope}", f"{scope}, ") if scope else ("", "")
@@ -44,11 +50,11 @@ def bm25_sql(name: str, where: str = "true", k: int = BM25_K, scope: str = "", t
 {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM {name}_r) WHERE rank <= {k})"""
 
 
-def dense_sql(name: str, metric: str = "l2", where: str = "true", k: int = DENSE_K) -> str:
+def dense_sql(name: str, metric: str = "l2", where: str = "true", k: int = DENSE_K, asked: str = f"q.vec_id % {EVERY} = 0") -> str:
     dot = "list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
     norm = lambda t: f"sqrt(list_sum(list_transform({t}.embedding, lambda x: x::DOUBLE * x::DOUBLE)))"
     score = {"l2": "1 / (1 + sqrt(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda z: power(z[1]::DOUBLE - z[2]::DOUBLE, 2)))))", "dot": dot, "cosine": f"{dot} / ({norm('q')} * {norm('e')})"}[metric]
-    return f"""{name}_r AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, round({score}, 6) AS score FROM embeddings e JOIN embeddings q ON q.vec_id % {EVERY} = 0 WHERE {where}),
+    return f"""{name}_r AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, round({score}, 6) AS score FROM embeddings e JOIN embeddings q ON {asked} WHERE {where}),
 {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM {name}_r) WHERE rank <= {k})"""
 
 
@@ -58,10 +64,15 @@ def fused_sql(name: str, lists: list[str], k: int) -> str:
 {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM {name}_r) WHERE rank <= {k})"""
 
 
-def lists(spark, d):
-    bm25 = lexical.bm25_top_k(chunks(spark, d), questions(spark, d), BM25_K)
-    near = dense.dense_top_k(vectors(spark, d), query_vectors(spark, d), DENSE_K)
-    return bm25, near
+ASKED = "q.vec_id IN (SELECT item_id FROM benchmark)"
+
+
+def lists(spark, d, scope: DataFrame | None = None):
+    """Both lists of every question, over the chunks of `scope` (chunk_id) where one is given: it holds before the cut."""
+    c, v = chunks(spark, d), vectors(spark, d)
+    if scope is not None:
+        c, v = (x.join(scope, "chunk_id", "left_semi") for x in (c, v))
+    return lexical.bm25_top_k(c, questions(spark, d), BM25_K), dense.dense_top_k(v, question_vectors(spark, d), DENSE_K)
 
 
 COLUMNS = ["query_id", "chunk_id", "score", "rank"]
@@ -112,7 +123,7 @@ def dense_topk_scoped(spark, d):
     return dense.dense_top_k(vectors(spark, d).filter(F.col("label").isin(1, 3, 5)), query_vectors(spark, d), DENSE_K).select(*COLUMNS)
 
 
-BOTH = f"WITH {bm25_sql('b')}, {dense_sql('v')}"
+BOTH = f"WITH {bm25_sql('b')}, {dense_sql('v', asked=ASKED)}"
 
 
 @query(f"{BOTH}, {fused_sql('r', ['b', 'v'], LIMIT)} SELECT query_id, chunk_id, score, rank FROM r")
@@ -197,11 +208,15 @@ def maxsim(spark, d):
     return dense.max_sim_top_k(docs, asked, LIMIT).select(*COLUMNS)
 
 
-@query(f"""{BOTH}, {fused_sql('r', ['b', 'v'], 1_000_000_000)}, k AS (SELECT r.query_id, r.chunk_id, r.score, d.source, substr(d.text, 1, 80) AS snippet, d.text FROM r JOIN documents d ON d.doc_id = r.chunk_id WHERE d.lang = 'en')
-SELECT query_id, chunk_id, score, source, snippet, sha256(text) AS text_hash, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM k QUALIFY rank <= {LIMIT}""")
+SCOPED = "lang = 'en'"
+
+
+@query(f"""WITH {bm25_sql('b', SCOPED)}, {dense_sql('v', where=f'e.vec_id IN (SELECT doc_id FROM documents WHERE {SCOPED})', asked=ASKED)}, {fused_sql('r', ['b', 'v'], LIMIT)}
+SELECT r.query_id, r.chunk_id, r.score, d.source, substr(d.text, 1, 80) AS snippet, sha256(d.text) AS text_hash, r.rank FROM r JOIN documents d ON d.doc_id = r.chunk_id""")
 def hybrid_retrieve(spark, d):
-    """BM25 and dense lists over the documents in scope, fused by rank, filtered before the cut, with their evidence."""
-    bm25, near = lists(spark, d)
-    fused = fusion.rrf(bm25.select("query_id", "chunk_id", "rank").unionByName(near.select("query_id", "chunk_id", "rank")), 1_000_000_000).drop("rank")
-    scope = chunks(spark, d).filter("lang = 'en'").select("chunk_id", "source", F.substring("text", 1, 80).alias("snippet"), F.sha2("text", 256).alias("text_hash"))
-    return lexical.ranked(fused.join(scope, "chunk_id"), LIMIT).select("query_id", "chunk_id", "score", "source", "snippet", "text_hash", "rank")
+    """BM25 and dense lists over the documents in scope, fused by rank, with their evidence; the scope holds before any cut."""
+    scope = chunks(spark, d).filter(SCOPED)
+    bm25, near = lists(spark, d, scope.select("chunk_id"))
+    fused = fusion.rrf(bm25.select("query_id", "chunk_id", "rank").unionByName(near.select("query_id", "chunk_id", "rank")), LIMIT)
+    evidence = scope.select("chunk_id", "source", F.substring("text", 1, 80).alias("snippet"), F.sha2("text", 256).alias("text_hash"))
+    return fused.join(evidence, "chunk_id").select("query_id", "chunk_id", "score", "source", "snippet", "text_hash", "rank")
