@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_right
+from collections import OrderedDict
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,30 +37,6 @@ class Scanner:
         ratio = (2 - threshold) / threshold
         self.bounds = {k: (math.ceil(len(v) / ratio - 1e-9), math.floor(len(v) * ratio + 1e-9)) for k, v in self.sets.items()}
 
-    def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """(name, dice, first word, words) of the best window for each template, where no better one overlaps it."""
-        words = normalised(text)
-        hits: dict[str, list[int]] = {}
-        owners = self.owners
-        for i, b in enumerate(zip(words, words[1:])):
-            if b in owners:
-                for name in owners[b]:
-                    hits.setdefault(name, []).append(i)
-        found = []
-        for name, at in hits.items():
-            low, high = self.bounds[name]
-            # too few template bigrams in the whole text: no window of an allowed size can reach the threshold
-            if 2 * len(at) < self.threshold * (len(self.sets[name]) + low) - 1e-9:
-                continue
-            if best := self._best(words, self.sets[name], at, low, high):
-                found.append((name, *best))
-        found.sort(key=lambda x: (-x[1], -x[3], x[2], x[0]))
-        out: list[tuple] = []
-        for x in found:
-            if all(x[2] + x[3] <= y[2] or y[2] + y[3] <= x[2] for y in out):
-                out.append(x)
-        return sorted(out, key=lambda x: (x[2], x[0]))
-
     def scan_all(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(name, dice, first word, words) of windows taken one by one: each time the best that is left of each template
         and overlaps none taken, and of these the one with the highest coefficient, then the longer."""
@@ -94,41 +72,23 @@ class Scanner:
 
     def _windows(self, words: list[str], template: frozenset, at: list[int], low: int, high: int) -> Iterator[tuple]:
         """(-dice, first bigram, last bigram) of all windows at the threshold that start and end with a bigram of the
-        template; of those with one start and the same bigrams the shortest, as no other is ever taken."""
-        for k, start in enumerate(at):
-            inside, both, i, size = set(), 0, start, 0
-            for end in at[k:]:
-                while i <= end:
-                    b = words[i], words[i + 1]
-                    if b not in inside:
-                        inside.add(b)
-                        both += b in template
-                    i += 1
-                if len(inside) > high:
-                    break
-                if low <= len(inside) != size and (dice := 2 * both / (len(template) + len(inside))) >= self.threshold - 1e-12:
-                    yield -dice, start, end
-                size = len(inside)
-
-    def _best(self, words: list[str], template: frozenset, at: list[int], low: int, high: int):
-        """The best window starts and ends with a bigram of the template, as others could only shrink it."""
-        best = None
-        for k, start in enumerate(at):
-            inside, both, i = set(), 0, start
-            for end in at[k:]:
-                while i <= end:
-                    b = words[i], words[i + 1]
-                    if b not in inside:
-                        inside.add(b)
-                        both += b in template
-                    i += 1
-                if len(inside) > high:
-                    break
-                if len(inside) >= low:
-                    dice = 2 * both / (len(template) + len(inside))
-                    if dice >= self.threshold - 1e-12 and (best is None or (-dice, start, end) < best[0]):
-                        best = (-dice, start, end), (dice, start, end - start + 2)
-        return best and best[1]
+        template; of those with one start and as many of its bigrams the shortest, as no other is ever taken.
+
+        Starts go from right to left, and what lies after a start is kept as the first place of each bigram, in order:
+        a step moves one bigram to the front, and no window looks at more than `high` + 1 of them."""
+        first: OrderedDict[tuple[str, str], int] = OrderedDict()
+        done = at[-1] + 1
+        for start in reversed(at):
+            for i in range(done - 1, start - 1, -1):
+                b = words[i], words[i + 1]
+                first[b] = i
+                first.move_to_end(b, last=False)
+            done, both = start, 0
+            for size, (b, end) in enumerate(islice(first.items(), high), 1):
+                if b in template:
+                    both += 1
+                    if size >= low and (dice := 2 * both / (len(template) + size)) >= self.threshold - 1e-12:
+                        yield -dice, start, end
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:

@@ -95,19 +95,19 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The rows that the mix takes, with all columns of docs: whole documents as often as they are taken, and of the one
-    at a source's edge the first words. Rows equal in id and text are taken together; n_chars, if there, follows the text."""
-    plan = mix(docs, **how).filter("taken > 0").groupBy("doc_id", "digest").agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"))
-    plan = plan.withColumnsRenamed({"doc_id": "_plan_id", "digest": "_plan_digest"})
+    at a source's edge the first words. Rows equal in id and text (null ids and texts are equal) are taken together; n_chars, if there,
+    follows the text. Null and empty texts are never taken, and an empty table gives no rows; other columns keep their values."""
+    plan = mix(docs, **how).filter("taken > 0").groupBy("doc_id", "digest").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"))
+    plan = plan.withColumnsRenamed({"doc_id": "plan_id", "digest": "plan_digest"})
     names = docs.columns
-    one = docs.withColumn("_digest", F.coalesce(F.md5("text"), F.lit(""))).dropDuplicates(["doc_id", "_digest"])
-    x = one.join(plan, F.col("doc_id").eqNullSafe(F.col("_plan_id")) & (F.col("_digest") == F.col("_plan_digest")))
-    x = x.select(*names, "_taken", "_size")
+    one = docs.select(F.struct(*names).alias("row"), F.col("doc_id"), F.coalesce(F.md5("text"), F.lit("")).alias("digest")).dropDuplicates(["doc_id", "digest"])
+    x = one.join(plan, F.col("doc_id").eqNullSafe(F.col("plan_id")) & (F.col("digest") == F.col("plan_digest"))).select("row", "taken", "size")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word = re.compile(WORD)
         for batch in batches:
-            place = batch.schema.get_field_index("text")
-            texts, taken, size = (batch.column(i).to_pylist() for i in (place, len(names), len(names) + 1))
+            columns, place = batch.column("row").flatten(), names.index("text")
+            texts, taken, size = columns[place].to_pylist(), batch.column("taken").to_pylist(), batch.column("size").to_pylist()
             rows, out = [], []
             for i, t in enumerate(texts):
                 whole, part = divmod(taken[i], size[i])
@@ -116,8 +116,8 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
                 if part:
                     rows.append(i)
                     out.append(t[: next(islice(word.finditer(t), part - 1, None)).end()])
-            kept = batch.take(pa.array(rows, pa.int64()))
-            columns = [pa.array(out, pa.string()) if k == place else kept.column(k) for k in range(len(names))]
+            rows = pa.array(rows, pa.int64())
+            columns = [pa.array(out, pa.string()) if k == place else c.take(rows) for k, c in enumerate(columns)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     out = x.mapInArrow(run, docs.schema)

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import release, remove, written
@@ -31,12 +31,16 @@ def _chunks(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, list[str]]]:
         yield begin, some
 
 
-def _name(shingles: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
+def _name(shingles: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingles.tobytes())
+
+
+def text_digest(text: str) -> Column:
+    return F.unhex(F.md5(text)).alias("digest")
 
 
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, node (a hash of the whole set; null if empty) and the set's band values."""
+    """doc_id, digest (MD5 of the text), n_shingles, node (128 bits of hash of the whole set; null if empty) and the set's band values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -53,9 +57,9 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                     values[full] = v.view(np.int64)
                 nodes = [_name(h[bounds[i] : bounds[i + 1]]) if n[i] else None for i in range(len(texts))]
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * bands, pa.int32()), pa.array(values.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), flat], names=["doc_id", "n_shingles", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), batch.column(2).slice(begin, len(texts)), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), flat], names=["doc_id", "digest", "n_shingles", "node", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, node long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text", text_digest("text")).mapInArrow(run, "doc_id long, digest binary, n_shingles long, node binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -69,10 +73,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 sets = [h[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
                 # an id may stand on several rows; only the row with the wanted set counts
                 right = [i for i, s in enumerate(sets) if len(s) and _name(s) == want[begin + i]]
-                yield pa.RecordBatch.from_arrays([pa.array([want[begin + i] for i in right], pa.int64()), pa.array([sets[i].tobytes() for i in right], pa.binary())], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([want[begin + i] for i in right], pa.binary()), pa.array([sets[i].tobytes() for i in right], pa.binary())], names=["node", "shingles"])
 
     x = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep")
-    return x.select("node", "text").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
+    return x.select("node", "text").mapInArrow(run, "node binary, shingles binary").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -90,7 +94,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     x = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("q")), "b")
     x = x.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("p")), "a")
-    return x.select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
+    return x.select("a", "b", "p", "q").mapInArrow(run, "a binary, b binary")
 
 
 def _compare_blocks(percent: int):
@@ -114,13 +118,13 @@ def _compare_blocks(percent: int):
                 both = np.bincount(owner[at], minlength=len(two))
                 good = (100 * both >= percent * (n[i] + n[two] - both)) & (root[two] != root[i])
                 out += [(block["node"].iloc[i], block["node"].iloc[two[m]]) for m in np.flatnonzero(good)]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(out, columns=["a", "b"], dtype=object)
 
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 31, rows: int = 4) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each document; links are sets with Jaccard similarity >= percent %.
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 31, rows: int = 4, digests: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each document (with `digests`, its text's MD5 too); links are sets with Jaccard similarity >= percent %.
 
     Takes doc_id and text. Circulant signatures of bands * rows coordinates propose: a pair at the threshold s meets in
     no band with probability (1 - s^rows)^bands, under 1e-6 for the arguments used. Equal sets are one node from the
@@ -152,8 +156,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     # what the stars have left apart
     r = roots.select("node", "root")
     m = around.join(r.withColumnRenamed("node", "b"), "b", "left").select("a", F.col("b").alias("node"), F.col("n_b").alias("n"), F.coalesce("root", "b").alias("root"))
-    own = m.filter("a = node").select("a", F.col("root").alias("own"))
-    m = m.join(own, "a").withColumn("apart", F.col("root") != F.col("own"))
+    own = around.filter("a = b").join(r.withColumnRenamed("node", "a"), "a", "left").select("a", F.coalesce("root", "a").alias("own"))
+    # a large group has one centre: the join ends in a table, so that Spark can split its skewed partition
+    m, m_path = written(m.join(own, "a").withColumn("apart", F.col("root") != F.col("own")), "rooted")
     size = m.groupBy("a").agg(*(F.ceil(F.sum(F.when(c, F.col("n")).otherwise(0)) / CHUNK_SHINGLES).cast("int").alias(x) for x, c in (("n_apart", F.col("apart")), ("n_own", ~F.col("apart")))))
     m = m.join(size.filter("n_apart > 0"), "a")
     deal = F.xxhash64(F.lit(3), "node")
@@ -162,13 +167,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     with_lower = F.transform(F.sequence(F.lit(0), F.least("chunk", F.col("n_apart") - 1)), lambda i: F.struct(i.alias("i"), F.col("chunk").alias("j")))
     with_higher = F.when(F.col("apart") & (F.col("chunk") + 1 < F.col("n_apart") + F.col("n_own")), F.transform(F.sequence(F.col("chunk") + 1, F.col("n_apart") + F.col("n_own") - 1), lambda j: F.struct(F.col("chunk").alias("i"), j.alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
     blocks = m.withColumn("block", F.explode(F.concat(with_lower, with_higher))).select("a", "block.i", "block.j", "chunk", "node", "root", "shingles")
-    more, more_path = written(blocks.groupBy("a", "i", "j").applyInPandas(_compare_blocks(percent), "a long, b long"), "more")
+    more, more_path = written(blocks.groupBy("a", "i", "j").applyInPandas(_compare_blocks(percent), "a binary, b binary"), "more")
     if more.limit(1).count():
         roots = components(links.union(more))
     groups = nodes.select("node", "rep", "copies").join(roots, "node", "left").filter("root IS NOT NULL OR copies > 1").withColumn("root", F.coalesce("root", "node"))
     least = groups.groupBy("root").agg(F.min("rep").alias("component"))
     named, _ = written(groups.join(least, "root").select("node", "component"), "named")
-    remove(spark, members_path, around_path, sets_path, links_path, more_path, nodes_path)
-    out = sig.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(named, "node", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    remove(spark, members_path, around_path, m_path, sets_path, links_path, more_path, nodes_path)
+    out = sig.select("doc_id", *["digest"] * digests, "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(named, "node", "left")
+    out = out.select("doc_id", *["digest"] * digests, "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

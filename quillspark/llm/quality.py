@@ -135,12 +135,12 @@ def fit_rules(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> list[li
 
     Those rows are chosen by a hash of their id; their number is known before they are broadcast, and only their
     ratios reach the driver. Without labels the list is empty."""
-    rows = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), "quality")
+    rows = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("label_id"), "quality")
     n = rows.count()
     if not n:
         return []
-    picked = F.broadcast(rows.filter(sampled(F.col("_id"), most / n)))
-    some = docs.join(picked, docs["doc_id"] == picked["_id"]).select("quality", docs["text"])
+    picked = F.broadcast(rows.filter(sampled(F.col("label_id"), most / n)))
+    some = docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("label_id")).select("quality", "text")
     named = ratios()
     pdf = with_stats(some, ("quality",)).select("quality", *[v.alias(k) for k, v in named.items()]).toPandas()
     pdf = pdf.sort_values(list(pdf.columns))  # the same split at every run

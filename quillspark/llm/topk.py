@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import remove, written
 
-#: Rows of one block of the index; queries of one chunk.
-BLOCK, CHUNK = 65_536, 128
+#: Rows of one block of the index; queries of one row that is sent to it.
+BLOCK, CHUNK = 65_536, 16
 INDEX = "dim int, block int, n int, bits int, ids binary, low binary, slices binary"
 
 
@@ -110,8 +110,9 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
 
     Takes vec_id and embedding. Queries are the rows whose id is divisible by `every`, candidates all rows with
     another id and as many components. The index is built once for each block of BLOCK rows, chosen by a hash of the
-    id; each block meets each chunk of CHUNK queries in a task of its own, which returns at most k rows a query, and
-    those are merged. Rows with a null id, a null vector, or a component that is null or not finite take no part;
+    id, and is shuffled once: queries are sent to the blocks, in rows of CHUNK, and each block answers with at most k
+    rows a query, which are merged. Where there are fewer blocks than shuffle partitions, blocks are copied so often that
+    each partition has one, and their queries are shared out. Rows with a null id, a null vector, or a component that is null or not finite take no part;
     neither do empty vectors. Rows that repeat an id are all candidates (never of that id itself), and that id asks
     once with each different vector it has. An empty table gives no rows; other columns are ignored."""
     spark = vectors.sparkSession
@@ -131,21 +132,29 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
 
     index = v.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("dim", "block").applyInArrow(make, INDEX)
     index, index_path = written(index, "index")
-    asked = v.filter(F.col("vec_id") % every == 0).distinct().withColumn("chunk", F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.lit(chunks)).cast("int"))
+    parts = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks))
+    asked = v.filter(F.col("vec_id") % every == 0).distinct().withColumn("chunk", F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.lit(chunks)))
     asked = asked.groupBy("dim", "chunk").agg(F.collect_list(F.struct("vec_id", "x")).alias("q")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = index.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).join(asked, ["dim", "block", "chunk"])
+    asked = asked.select("dim", "block", F.pmod("chunk", F.lit(parts)).cast("int").alias("part"), "q")
+    placed = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).unionByName(asked, allowMissingColumns=True)
+    # in each (dim, block, part) the row of the index comes first
+    placed = placed.repartition("dim", "block", "part").sortWithinPartitions("dim", "block", "part", F.col("q").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, made = None, None, None
         for batch in batches:
+            out = []
             for row in range(len(batch)):
-                dim, bits, ids, low, slices, q = (batch.column(i)[row] for i in range(6))
-                dim, bits = dim.as_py(), bits.as_py()
-                ids, low = np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(low.as_buffer(), np.int64)
-                made = bits, low, np.frombuffer(slices.as_buffer(), np.uint64).reshape(dim, bits, -1)
-                out = [(x["vec_id"], *search(np.array(x["x"]), x["vec_id"], ids, made, k)) for x in q.as_py()]
+                key, bits, own, low, slices, q = batch.column(0)[row].as_py(), *(batch.column(i)[row] for i in range(1, 6))
+                if not q.is_valid:
+                    at, ids, low = key, np.frombuffer(own.as_buffer(), np.int64), np.frombuffer(low.as_buffer(), np.int64)
+                    made = bits.as_py(), low, np.frombuffer(slices.as_buffer(), np.uint64).reshape(key["dim"], bits.as_py(), -1)
+                elif key == at:  # else no candidate has as many components
+                    out += [(x["vec_id"], *search(np.array(x["x"]), x["vec_id"], ids, made, k)) for x in q.as_py()]
+            if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat([a for a, _, _ in out], [len(b) for _, b, _ in out]), pa.int64()), pa.array(np.concatenate([b for _, b, _ in out])), pa.array(np.concatenate([c for _, _, c in out]))], names=["query_id", "vec_id", "score"])
 
-    best = pairs.select("dim", "bits", "ids", "low", "slices", "q").mapInArrow(run, "query_id long, vec_id long, score long")
+    best = placed.select(F.struct("dim", "block", "part").alias("key"), "bits", "ids", "low", "slices", "q").mapInArrow(run, "query_id long, vec_id long, score long")
     best, _ = written(best, "best")
     remove(spark, v_path, index_path)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

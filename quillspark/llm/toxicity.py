@@ -144,10 +144,10 @@ class Scorer:
 
 
 def _some(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    rows = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
+    rows = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
     n = rows.count()
-    picked = F.broadcast(rows.filter(sampled(F.col("_id"), most / max(1, n))))
-    return docs.join(picked, docs["doc_id"] == picked["_id"]).select("toxic", F.coalesce(docs["text"], F.lit("")).alias("text"))
+    picked = F.broadcast(rows.filter(sampled(F.col("label_id"), most / max(1, n))))
+    return docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("label_id")).select("toxic", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def learn_lexicon(some: DataFrame, entries: int = 2000, least: int = 4, precision: float = 0.8, chance: float = 0.5) -> dict[str, float]:
