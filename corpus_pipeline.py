@@ -16,11 +16,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles are similar to 0.8 or more."""
-    from quillspark.llm.neardup import near_duplicates
+    """One document of each group whose five-word shingles are similar to 0.8 or more.
 
-    gone = near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    Rows go by id and text, so a row that only shares its id with a copy stays; rows without an id stay."""
+    from quillspark.llm.neardup import near_duplicates, text_digest
+
+    gone = near_duplicates(docs, digests=True).filter("NOT kept").select("doc_id", "digest").distinct()
+    x = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long"), text_digest("text"))
+    return x.join(gone, ["doc_id", "digest"], "left_anti").select("row.*")
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
