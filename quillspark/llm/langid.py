@@ -48,14 +48,15 @@ def _words(texts: list[str]) -> tuple[np.ndarray, ...]:
     return (h >> np.uint32(16))[at].astype(np.int64), script, first, np.searchsorted(ends, at[first], side="right")
 
 
-def fit(docs: DataFrame, a_language: int = 1500, languages: int = 200, smoothing: float = 0.5) -> tuple[list[str], np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, a_language: int = 1500, smoothing: float = 0.5) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Names, log probabilities (BUCKETS x names) and the scripts of each, from text and non-null lang.
 
-    Learns from about `a_language` documents of each of the `languages` most frequent labels, outside the held-out
-    fold and chosen by a hash of the id. Trigrams are counted in Spark; at most BUCKETS counts a language reach the
-    driver."""
+    Learns from about `a_language` documents of each label, outside the held-out fold and chosen by a hash of the id.
+    Trigrams are counted in Spark; at most BUCKETS counts a language reach the driver, and the model has 256 KB a
+    language. Null texts and labels teach nothing, null ids are one id, repeated rows count each; from an empty table
+    nothing is learned and every text is `und`."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = rows.groupBy(F.col("lang").cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    counts = rows.groupBy(F.col("lang").cast("string").alias("lang")).count().collect()
     names = sorted(r["lang"] for r in counts)
     if not names:
         return [], np.zeros((BUCKETS, 0), np.float32), np.zeros((SCRIPTS, 0), bool)

@@ -1,8 +1,10 @@
 """Toxicity: a weighted finite-state grammar over word classes, scored by clause.
 
-A clause's words become class symbols (insult, threat, target, negation, report, quote, word). Small transducers for
-negation, reported speech and targets are composed into one automaton, which rewrites and weighs the symbols; what a
-clause scores depends on how its words stand together. Insults and their weights are learned from labels."""
+A clause's words become class symbols (slur, intensifier, actor, modal, violence, target, negation, report, quote,
+word). Five small transducers are composed into one automaton, which rewrites and weighs the symbols: the first makes
+insults of slurs, the second threats of verbs of violence in their frame, then come negation, reported speech and
+targets before or after. What a clause scores depends on how its words stand together. Slurs and their weights are
+learned from labels."""
 
 from __future__ import annotations
 
@@ -20,16 +22,22 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import held_out, remove, sampled, written
 
 #: Word lists of the grammar, in English, French, German and Spanish. A trailing * stands for any ending.
-THREATS = "kill* murder* hurt strangle* tuer* massacrer* frapper* töten umbringen verprügel* matar* golpear*".split()
+VIOLENCE = "kill* murder* hurt strangle* tuer* massacrer* frapper* töten umbringen verprügel* matar* golpear*".split()
+ACTORS = "i we ich wir je nous yo nosotros".split()
+MODALS = "will i'll we'll shall must should gonna going werde werden soll sollte vais allons dois devrait voy vamos debo debería".split()
+INTENSIFIERS = "so such very really total complete fucking damn stupid sehr so total völlig verdammt très si vraiment tellement muy tan realmente total maldito".split()
 TARGETS = "you your yours u he she they them him her people tu vous toi ils elle du dich dir euch sie ihr tú usted ustedes vosotros ellos".split()
 NEGATIONS = "not no never isn't aren't wasn't don't pas jamais nicht kein keine nie nunca jamás".split()
 REPORTS = "said says say called calls wrote quoted claimed dit disait sagte sagt nannte dijo dice llamó".split()
 CLAUSE_ENDS = ".!?;:\n"
 CLAUSE_END = re.compile(f"[{CLAUSE_ENDS}]")
 TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[\"“”«»„]")
-SYMBOLS = ("word", "insult", "threat", "target", "negation", "report", "quote")
-#: Weights of the symbols that the composed transducers write.
-WEIGHTS = {"insult": 1.0, "insult+target": 1.25, "threat+target": 1.5, "threat": 0.25, "denied": 0.3, "reported": 0.5}
+#: Symbols that count when nothing weakens them, and all that a transducer after the first two can read.
+HITS = ("insult", "strong insult", "threat", "violence")
+SYMBOLS = ("word", "target", "negation", "report", "quote", *HITS)
+#: Weights of the symbols that the composed transducers write; "aimed" adds what a target after a hit is worth.
+WEIGHTS = {"insult": 1.0, "strong insult": 1.1, "threat": 0.75, "violence": 0.25, "denied": 0.3, "reported": 0.5}
+WEIGHTS |= {"insult+target": 1.25, "strong insult+target": 1.35, "threat+target": 1.5, "violence+target": 1.5, "aimed insult": 0.25, "aimed strong insult": 0.25, "aimed threat": 0.75, "aimed violence": 1.25}
 FEATURES = 4
 
 
@@ -65,29 +73,46 @@ class Composed:
         return got
 
 
+def insults() -> Transducer:
+    """Makes an insult of a slur, a strong one right after an intensifier."""
+    arcs = {(s, "intensifier"): (1, "word") for s in (0, 1)} | {(0, "slur"): (0, "insult"), (1, "slur"): (0, "strong insult")}
+    return Transducer(arcs | {(1, x): (0, x) for x in ("word", "actor", "modal", "violence", "target", "negation", "report", "quote")})
+
+
+def threats() -> Transducer:
+    """Makes a threat of a verb of violence after a modal; without one it is violence. An actor alone changes nothing
+    but is what the modal may follow, and the frame ends with the verb or a verb of saying."""
+    arcs = {(s, "actor"): (s, "word") for s in (0, 1)} | {(s, "modal"): (1, "word") for s in (0, 1)}
+    arcs |= {(0, "violence"): (0, "violence"), (1, "violence"): (0, "threat"), (1, "report"): (0, "report")}
+    return Transducer(arcs)
+
+
 def negation(reach: int = 3) -> Transducer:
     """Denies an insult or threat within `reach` words after a negation."""
     arcs = {(s, "negation"): (reach, "word") for s in range(reach + 1)}
     for s in range(1, reach + 1):
-        arcs |= {(s, x): (s - 1, "denied" if x in ("insult", "threat") else x) for x in SYMBOLS if x != "negation"}
+        arcs |= {(s, x): (s - 1, "denied" if x in HITS else x) for x in SYMBOLS if x != "negation"}
     return Transducer(arcs)
 
 
 def reported() -> Transducer:
     """Marks what follows a verb of saying, or stands between quotation marks, to the end of the clause or quotation."""
-    hit = ("insult", "threat", "denied")
     arcs = {(0, "report"): (1, "word"), (0, "quote"): (2, "word"), (1, "quote"): (2, "word"), (2, "quote"): (0, "word"), (1, "report"): (1, "word"), (2, "report"): (2, "word")}
-    arcs |= {(s, x): (s, "reported") for s in (1, 2) for x in hit}
+    arcs |= {(s, x): (s, "reported") for s in (1, 2) for x in (*HITS, "denied")}
     return Transducer(arcs)
 
 
 def targets() -> Transducer:
-    """Strengthens an insult or threat that follows a target in its clause."""
-    return Transducer({(0, "target"): (1, "word"), (1, "target"): (1, "word"), (1, "insult"): (1, "insult+target"), (1, "threat"): (1, "threat+target")})
+    """Strengthens a hit that follows a target in its clause, and at a target the last hit that none precedes."""
+    arcs = {(0, "target"): (1, "word"), (1, "target"): (1, "word")}
+    arcs |= {(1, x): (1, f"{x}+target") for x in HITS}
+    arcs |= {(s, x): (x, x) for s in (0, *HITS) for x in HITS}
+    arcs |= {(x, "target"): (1, f"aimed {x}") for x in HITS}
+    return Transducer(arcs)
 
 
 def grammar() -> Composed:
-    return Composed(Composed(negation(), reported()), targets())
+    return Composed(Composed(Composed(Composed(insults(), threats()), negation()), reported()), targets())
 
 
 class Scorer:
@@ -95,16 +120,16 @@ class Scorer:
 
     def __init__(self, lexicon: dict[str, float]):
         self.exact, self.stems = {}, {}
-        for x in THREATS:
-            (self.stems if x.endswith("*") else self.exact)[x.rstrip("*")] = ("threat", 1.0)
+        for x in VIOLENCE:
+            (self.stems if x.endswith("*") else self.exact)[x.rstrip("*")] = ("violence", 1.0)
         for x, w in lexicon.items():
-            (self.stems if x.endswith("*") else self.exact)[x.rstrip("*")] = ("insult", w)
+            (self.stems if x.endswith("*") else self.exact)[x.rstrip("*")] = ("slur", w)
         self.lengths = sorted({len(x) for x in self.stems})
-        for kind, words in (("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS)):
+        for kind, words in (("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS), ("actor", ACTORS), ("modal", MODALS), ("intensifier", INTENSIFIERS)):
             self.exact |= {x: (kind, 0.0) for x in words if x not in self.exact}
         self.exact |= {x: ("quote", 0.0) for x in '"“”«»„'}
         self.finder = ahocorasick.Automaton()
-        for x in {x for x, (k, _) in {**self.exact, **self.stems}.items() if k in ("insult", "threat")}:
+        for x in {x for x, (k, _) in {**self.exact, **self.stems}.items() if k in ("slur", "violence")}:
             self.finder.add_word(x, len(x))
         self.finder.make_automaton()
         self.grammar = grammar()
@@ -132,12 +157,13 @@ class Scorer:
             begin = max(done, 0, *(low.rfind(c, max(done, 0), at) + 1 for c in CLAUSE_ENDS))
             stop = CLAUSE_END.search(low, at)
             done = stop.start() if stop else len(low)
-            state, score = self.grammar.start, 0.0
+            state, score, last = self.grammar.start, 0.0, 0.0
             for word in TOKEN.findall(low, begin, done):
                 kind, weight = self.of(word)
                 state, wrote = self.grammar.step(state, kind)
+                last = weight or last  # what a target after it aims
                 if w := WEIGHTS.get(wrote):
-                    score += w * weight
+                    score += w * last
                     weak += wrote in ("denied", "reported")
             total, most, matched = total + score, max(most, score), matched + (score > 0)
         return math.log1p(total), most, math.log1p(weak), math.log1p(matched)
@@ -150,11 +176,11 @@ def _some(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("label_id")).select("toxic", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def learn_lexicon(some: DataFrame, entries: int = 2000, least: int = 4, precision: float = 0.8, chance: float = 0.5) -> dict[str, float]:
+def learn_lexicon(some: DataFrame, least: int = 4, precision: float = 0.8, chance: float = 0.5) -> dict[str, float]:
     """Words and stems (4 to 8 letters, marked *) of toxic texts that clean ones lack, with log odds as weights.
 
-    Counted over `some` in Spark, by text; the `entries` with the highest odds reach the driver. Entries are as many as
-    there are, so an entry counts only if its likelihood ratio is one that less than about one in all of them would
+    Counted over `some` in Spark, by text; entries that pass reach the driver, at most as many as the sample's toxic
+    texts have words and stems. Of those many, an entry counts only if its likelihood ratio is one that less than about one in all of them would
     have by chance (`chance` of them, to be exact). Where a stem covers another entry, the one with the higher odds
     stays."""
 
@@ -177,7 +203,7 @@ def learn_lexicon(some: DataFrame, entries: int = 2000, least: int = 4, precisio
     surely = own >= math.log(tried / chance)
     share = (F.col("a") / n[1]) / (F.col("a") / n[1] + F.col("b") / n[0])
     odds = F.ln((F.col("a") + 0.5) / (n[1] + 1)) - F.ln((F.col("b") + 0.5) / (n[0] + 1))
-    rows = counts.filter((F.col("a") >= least) & (F.col("a") >= precision * (F.col("a") + F.col("b"))) & (share >= precision) & surely).withColumn("odds", odds).orderBy(F.desc("odds"), "entry").limit(entries).collect()
+    rows = counts.filter((F.col("a") >= least) & (F.col("a") >= precision * (F.col("a") + F.col("b"))) & (share >= precision) & surely).withColumn("odds", odds).orderBy(F.desc("odds"), "entry").collect()
     remove(some.sparkSession, path)
     out, stems, begun = {}, set(), set()
     for r in rows:
@@ -219,7 +245,10 @@ def _features(docs: DataFrame, lexicon: dict[str, float], key: str, kind: str) -
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> tuple[dict[str, float], list[float]]:
-    """Lexicon and score learned from at most about `most` labelled rows outside the held-out fold, chosen by a hash."""
+    """Lexicon and score learned from at most about `most` labelled rows outside the held-out fold, chosen by a hash.
+
+    Rows with a null id or label teach nothing; null texts count as empty; repeated rows count as often as they are
+    there. From empty tables, or labels of one kind, nothing is learned and no text is predicted to be toxic."""
     some = _some(docs, labels, most)
     lexicon = learn_lexicon(some)
     return lexicon, learn_score(some, lexicon)
@@ -239,7 +268,10 @@ def score(docs: DataFrame, model: tuple[dict[str, float], list[float]]) -> DataF
 
 
 def keep_clean(docs: DataFrame, model: tuple[dict[str, float], list[float]], threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, whose text scores below the threshold."""
+    """The rows of docs, with all their columns, whose text scores below the threshold.
+
+    Rows are judged by text alone, so repeated rows and null ids fare alike; null and empty texts match nothing and
+    stay; an empty table stays empty."""
     lexicon, b = model
     bar = math.log(threshold / (1 - threshold))
 

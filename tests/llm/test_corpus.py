@@ -407,6 +407,30 @@ def test_grammar_scores_clauses():
     assert total("you are not an idiot") < total("an idiot walked by")
     assert total("i will kill you. fine") < total("you idiot, i will kill you")
     assert total("you. idiot") == total("idiot")
+    assert total("idiot, you") == total("you idiot") > total("idiot")
+    assert total("we will kill him") > total("the frost will kill roses") > total("frost kills roses") > 0
+    assert total("such an idiot") == total("idiot") < total("very idiot") and total("i will not kill you") < total("i will kill you")
+
+
+def test_composition_equals_rewriting_in_turn():
+    """The composed automaton writes what its transducers write one after the other over the whole sequence."""
+    rng = random.Random(17)
+    kinds = ["word", "slur", "intensifier", "actor", "modal", "violence", "target", "negation", "report", "quote"]
+    chain = [toxicity.insults(), toxicity.threats(), toxicity.negation(), toxicity.reported(), toxicity.targets()]
+    for _ in range(300):
+        symbols = [rng.choice(kinds) for _ in range(rng.randint(0, 14))]
+        whole, state, got = toxicity.grammar(), toxicity.grammar().start, []
+        for x in symbols:
+            state, y = whole.step(state, x)
+            got.append(y)
+        want = symbols
+        for t in chain:
+            at, out = t.start, []
+            for x in want:
+                at, y = t.arcs.get((at, x), (at, x))
+                out.append(y)
+            want = out
+        assert got == want
 
 
 def test_toxicity_learns(spark, odd, empty):
