@@ -7,39 +7,41 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark import storage
 from quillspark.operators import dense, filters, fusion, ingest, lexical
 from quillspark.sources import markdown, readers, scripture
 
 
 class Engine:
-    """Chunks, units and vectors of one collection under `root`, as Parquet in generations that a pointer row selects."""
+    """Chunks, units and vectors of one collection under `root`, as Parquet in generations that are published whole."""
 
     def __init__(self, spark: SparkSession, root: str, embed: Callable[[DataFrame, str], DataFrame] | None = None):
         self.spark, self.root, self.embed = spark, root.rstrip("/"), embed
 
     def generation(self) -> int:
-        try:
-            return self.spark.read.parquet(f"{self.root}/pointer").agg(F.max("generation")).first()[0] or 0
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return 0
-            raise
-
-    def _publish(self, chunks: DataFrame, units: DataFrame) -> int:
-        """Write a whole generation, then append the pointer row that makes readers see it."""
-        new = self.generation() + 1
-        units.write.mode("overwrite").parquet(f"{self.root}/gen={new}/units")
-        chunks.write.mode("overwrite").parquet(f"{self.root}/gen={new}/chunks")
-        self.spark.range(1).select(F.lit(new).cast("long").alias("generation")).write.mode("append").parquet(f"{self.root}/pointer")
-        return new
+        return storage.generation(self.spark, self.root)
 
     def table(self, name: str, generation: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/gen={generation or self.generation()}/{name}")
+        return storage.published(self.spark, self.root, name, generation)
 
     def ingest(self, texts: DataFrame) -> int:
         """Texts (source_id long, text) as a new generation of units and child chunks."""
+        return self._publish(texts, self.generation())
+
+    def replace(self, texts: DataFrame) -> int:
+        """A new generation in which the units and chunks of the sources in texts are new, and all others are kept.
+
+        A source with a null text has nothing left. Rows of other sources are filtered, not made again."""
+        now = self.generation()
+        return self._publish(texts.filter("text IS NOT NULL"), now, texts.select("source_id").distinct())
+
+    def _publish(self, texts: DataFrame, now: int, replaced: DataFrame | None = None) -> int:
         units = ingest.paragraphs(texts, lines_are_units=True).withColumn("boundary", F.lit(0))
-        return self._publish(ingest.children(units), units)
+        tables = {"units": units, "chunks": ingest.children(units)}
+        if now and replaced is not None:
+            kept = {name: self.table(name, now).join(replaced, "source_id", "left_anti") for name in tables}
+            tables = {name: new.unionByName(kept[name]) for name, new in tables.items()}
+        return storage.publish(self.spark, self.root, tables, after=now)
 
     def ingest_folder(self, folder: str, ignore: list[str] | None = None) -> DataFrame:
         """Units of all files that a parser reads, by path: plaintext, Markdown, JSON and scripture."""

@@ -14,9 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where that is unset (tests), one of our own."""
+    """The folder that the cluster names in spark.checkpoint.dir; where that is unset and Spark is local, one of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -44,3 +46,42 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that are no longer referenced."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def generation(spark: SparkSession, root: str) -> int:
+    """The newest generation published under root; 0 if there is none."""
+    p, fs = _fs(spark, root)
+    names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+    return max([0, *(int(x[4:]) for x in names if x.startswith("gen="))])
+
+
+def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], after: int) -> int:
+    """Publish tables as the generation that follows `after`, for which they were made.
+
+    They are written aside; then the generation's claim is created, which only one writer can do, and their folder is
+    renamed, which makes readers see it. A writer that comes second raises and changes nothing. A reader or a crash at
+    any moment finds the old generation or the new one, whole. Older generations stay until `remove`."""
+    aside = f"{root}/writing-{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        df.write.parquet(f"{aside}/{name}")
+    new = after + 1
+    claim, fs = _fs(spark, f"{root}/claim={new}")
+    try:
+        if generation(spark, root) != after:
+            raise RuntimeError(f"generation {new} has been published meanwhile")
+        fs.create(claim, False).close()
+    except Exception as e:
+        remove(spark, aside)
+        raise RuntimeError(f"generation {new} is taken") from e
+    if not fs.rename(_fs(spark, aside)[0], _fs(spark, f"{root}/gen={new}")[0]):
+        raise RuntimeError(f"generation {new} could not be renamed")
+    return new
+
+
+def published(spark: SparkSession, root: str, name: str, number: int | None = None) -> DataFrame:
+    return spark.read.parquet(f"{root}/gen={number or generation(spark, root)}/{name}")

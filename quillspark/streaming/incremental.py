@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quillspark.operators.catalog import latest
 from quillspark.operators.ingest import paragraphs
-from quillspark.storage import remove
+from quillspark.storage import generation, publish, published, remove
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -53,17 +53,19 @@ def watch_files(spark: SparkSession, folder: str, most_files: int = 1000) -> Dat
     return files.select(F.col("path").alias("source_id"), F.decode("content", "UTF-8").alias("text"), F.unix_micros("modificationTime").alias("version"))
 
 
-def applied_mutations(batch: DataFrame, state: str) -> None:
-    """Fold versioned upserts and deletes (id, version, op, value) into a state table, written beside it and swapped in."""
+def applied_mutations(batch: DataFrame, state: str) -> int:
+    """Fold versioned upserts and deletes (id, version, op, value) into the next generation of a state table; its number.
+
+    Readers see one generation or the next, never part of one. A batch that is delivered again changes nothing, and the
+    generation before the last is deleted."""
     spark = batch.sparkSession
+    now = generation(spark, state)
     rows = batch.select("id", "version", "op", "value")
-    if _exists(spark, state):
-        rows = rows.unionByName(spark.read.parquet(state))
-    latest(rows, ["id"], [F.desc("version"), F.col("op")]).write.mode("overwrite").parquet(state + ".next")
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    remove(spark, state)
-    fs = fs_path(state).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.rename(fs_path(state + ".next"), fs_path(state))
+    if now:
+        rows = rows.unionByName(published(spark, state, "rows"))
+    new = publish(spark, state, {"rows": latest(rows, ["id"], [F.desc("version"), F.col("op")])}, after=now)
+    remove(spark, f"{state}/gen={new - 2}")
+    return new
 
 
 def event_counts(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:

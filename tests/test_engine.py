@@ -9,6 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark import storage
 from quillspark.engine import Engine
 from quillspark.functions import text as X
 from quillspark.functions import vector as V
@@ -241,6 +242,18 @@ def test_engine_round_trip(spark, tmp_path):
     assert e.generation() == 1 and e.ingest(spark.createDataFrame([(1, "new")], "source_id long, text string")) == 2
 
 
+def test_publishing_takes_one_writer_a_generation(spark, tmp_path):
+    root, rows = str(tmp_path / "r"), spark.range(3)
+    assert storage.generation(spark, root) == 0 and storage.publish(spark, root, {"x": rows}, after=0) == 1
+    with pytest.raises(RuntimeError):
+        storage.publish(spark, root, {"x": spark.range(5)}, after=0)
+    assert storage.published(spark, root, "x").count() == 3 and sorted(x for x in os.listdir(root) if not x.startswith(".")) == ["claim=1", "gen=1"]
+    e = Engine(spark, str(tmp_path / "e"))
+    e.ingest(spark.createDataFrame([(1, "one"), (2, "two"), (3, "three")], "source_id long, text string"))
+    assert e.replace(spark.createDataFrame([(2, "zwei"), (3, None), (4, "vier")], "source_id long, text string")) == 2
+    assert sorted(r["text"] for r in e.table("units").collect()) == ["one", "vier", "zwei"] == sorted(r["text"] for r in e.table("chunks").collect())
+
+
 def test_streams(spark, tmp_path):
     src, units, checkpoint = (str(tmp_path / x) for x in ("sources", "units", "cp"))
     folder = tmp_path / "in"
@@ -262,7 +275,7 @@ def test_streams(spark, tmp_path):
     state = str(tmp_path / "state")
     incremental.applied_mutations(spark.createDataFrame([(1, 1, "put", "a"), (2, 1, "put", "b")], "id long, version long, op string, value string"), state)
     incremental.applied_mutations(spark.createDataFrame([(1, 2, "delete", None), (2, 0, "put", "old")], "id long, version long, op string, value string"), state)
-    assert sorted((r["id"], r["op"], r["value"]) for r in spark.read.parquet(state).collect()) == [(1, "delete", None), (2, "put", "b")]
+    assert sorted((r["id"], r["op"], r["value"]) for r in storage.published(spark, state, "rows").collect()) == [(1, "delete", None), (2, "put", "b")]
     events = spark.readStream.schema(spark.read.parquet(f"{DATA}/events.parquet").schema).parquet(DATA + "/events*") if os.path.isdir(DATA) else None
     if events is not None:
         q = incremental.event_counts(events).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
