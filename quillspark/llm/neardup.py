@@ -160,7 +160,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     # a large group has one centre: the join ends in a table, so that Spark can split its skewed partition
     m, m_path = written(m.join(own, "a").withColumn("apart", F.col("root") != F.col("own")), "rooted")
     size = m.groupBy("a").agg(*(F.ceil(F.sum(F.when(c, F.col("n")).otherwise(0)) / CHUNK_SHINGLES).cast("int").alias(x) for x, c in (("n_apart", F.col("apart")), ("n_own", ~F.col("apart")))))
-    m = m.join(size.filter("n_apart > 0"), "a")
+    size, size_path = written(size.filter("n_apart > 0"), "size")
+    m = m.join(size, "a")
     deal = F.xxhash64(F.lit(3), "node")
     chunk = F.when(F.col("apart"), F.pmod(deal, "n_apart")).otherwise(F.col("n_apart") + F.pmod(deal, "n_own")).cast("int")
     m = m.withColumn("chunk", chunk).join(sets, "node")
@@ -173,7 +174,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     groups = nodes.select("node", "rep", "copies").join(roots, "node", "left").filter("root IS NOT NULL OR copies > 1").withColumn("root", F.coalesce("root", "node"))
     least = groups.groupBy("root").agg(F.min("rep").alias("component"))
     named, _ = written(groups.join(least, "root").select("node", "component"), "named")
-    remove(spark, members_path, around_path, m_path, sets_path, links_path, more_path, nodes_path)
+    remove(spark, members_path, around_path, m_path, size_path, sets_path, links_path, more_path, nodes_path)
     out = sig.select("doc_id", *["digest"] * digests, "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(named, "node", "left")
     out = out.select("doc_id", *["digest"] * digests, "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
