@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.plans import answers, evaluation, evidence, graphs, ingestion, maintenance, retrieval, texts  # noqa: F401
+from quillspark.plans import answers, decisions, evaluation, evidence, graphs, ingestion, maintenance, retrieval, texts  # noqa: F401
 from quillspark.plans.registry import QUERIES, SQL
 
 

@@ -1,4 +1,4 @@
-"""Small driver-side decisions: paths, overfetch, cursors, recovery, compaction, gates over counts."""
+"""Sealed cursors: where a listing stopped, for the request that goes on with it."""
 
 from __future__ import annotations
 
@@ -7,28 +7,6 @@ import hmac
 import json
 from dataclasses import dataclass
 
-from quillspark.operators.filters import EXACT_LIMIT, PLANNER_LIMIT
-
-#: Growth and bounds of overfetch; thresholds of compaction signals.
-OVERFETCH_FACTOR, OVERFETCH_MOST, OVERFETCH_ATTEMPTS = 2, 256, 9
-COMPACTION = {"tombstone_ratio": 0.2, "delta_rows": 100_000, "segments": 32, "age_hours": 24.0}
-#: Which completeness claims a kind of retriever may make.
-CLAIMS = {"top_k": {"TopK", "Approximate"}, "approximate": {"Approximate"}, "exhaustive": {"TopK", "Approximate", "All", "Only", "None", "Every"}}
-
-
-def candidate_path(authorized: int, exact: int = EXACT_LIMIT, planner: int = PLANNER_LIMIT) -> str:
-    return "zero" if authorized == 0 else "exact_scan" if authorized <= exact else "planner_selected" if authorized <= planner else "predicate_aware_ann"
-
-
-def overfetch(k: int, attempt: int, corpus: int | None = None) -> int | None:
-    """Candidates to ask for at an attempt (from 0): doubled each time and bounded; None when it must give up.
-
-    A corpus of at most k rows is scanned whole."""
-    if attempt >= OVERFETCH_ATTEMPTS:
-        return None
-    want = min(k * OVERFETCH_FACTOR**attempt, max(k, OVERFETCH_MOST))
-    return want if corpus is None else min(want, corpus)
-
 
 @dataclass(frozen=True)
 class Cursor:
@@ -58,24 +36,3 @@ def open_cursor(sealed: str, key: bytes, query: str, generation: int, principal:
     if (cursor.query, cursor.generation, cursor.principal) != (query, generation, principal):
         raise ValueError("cursor of another listing")
     return cursor
-
-
-def should_compact(signals: dict[str, float]) -> bool:
-    return any(signals.get(k, 0) >= v for k, v in COMPACTION.items())
-
-
-def recovery(staged: bool, validated: bool, published: bool) -> str:
-    """What to do with a generation that a crash interrupted."""
-    return "keep" if published else "publish" if validated else "discard" if staged else "nothing"
-
-
-def may_claim(retriever: str, claim: str) -> bool:
-    return claim in CLAIMS.get(retriever, ())
-
-
-def idempotency(known: dict[str, tuple[str, bool]], key: str, fingerprint: str) -> str:
-    """fresh, replay, in_progress or conflict for a request key; known: key -> (fingerprint, finished)."""
-    if key not in known:
-        return "fresh"
-    seen, finished = known[key]
-    return "conflict" if seen != fingerprint else "replay" if finished else "in_progress"

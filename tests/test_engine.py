@@ -13,7 +13,7 @@ from quillspark import storage
 from quillspark.engine import Engine
 from quillspark.functions import text as X
 from quillspark.functions import vector as V
-from quillspark.operators import catalog, dense, evaluate, filters, fusion, graph, ingest, lexical
+from quillspark.operators import catalog, decisions, dense, evaluate, filters, fusion, graph, ingest, lexical
 from quillspark.operators.components import components
 from quillspark.plans import policies
 from quillspark.plans.catalog import oracle_sql, queries
@@ -170,17 +170,15 @@ def test_catalog_and_evaluation(spark):
 
 
 def test_policies():
-    assert [policies.candidate_path(n) for n in (0, 512, 4096, 50_000)] == ["zero", "exact_scan", "planner_selected", "predicate_aware_ann"]
-    assert [policies.overfetch(10, a) for a in (0, 1, 5, 9)] == [10, 20, 256, None] and policies.overfetch(10, 3, corpus=12) == 12
     c = policies.Cursor("q", 3, "me", 0.5, 7, 100.0)
     sealed = policies.seal(c, b"k")
     assert policies.open_cursor(sealed, b"k", "q", 3, "me", 50) == c
     for bad in ((sealed + " ", b"k", "q", 3, "me", 50), (sealed, b"k", "q", 4, "me", 50), (sealed, b"k", "q", 3, "me", 500)):
         with pytest.raises(ValueError):
             policies.open_cursor(*bad)
-    assert policies.should_compact({"segments": 40}) and not policies.should_compact({})
-    assert policies.recovery(True, False, False) == "discard" and policies.may_claim("exhaustive", "All") and not policies.may_claim("top_k", "All")
-    assert policies.idempotency({"a": ("f", True)}, "a", "g") == "conflict"
+    assert one(spark, decisions.overfetch(F.col("k"), F.col("a"), F.col("n")), k=10, a=5, n=10_000) == 256 and one(spark, decisions.overfetch(F.col("k"), F.col("a"), F.col("n")), k=10, a=9, n=10_000) is None
+    assert one(spark, decisions.overfetch(F.col("k"), F.col("a"), F.col("n")), k=10, a=3, n=12) == 12
+    assert one(spark, decisions.may_claim(F.col("r"), F.col("c")), r="exhaustive", c="All") and not one(spark, decisions.may_claim(F.col("r"), F.col("c")), r="top_k", c="All")
 
 
 USFM = "\\id JHN Test\n\\c 3\n\\p\n\\v 16 For God \\f + \\ft a note\\f* so loved\n\\v 17 next \\nd Lord\\nd* verse\n"
