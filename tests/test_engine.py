@@ -169,7 +169,7 @@ def test_catalog_and_evaluation(spark):
     assert gates == {"a": "fail", "b": "missing"}
 
 
-def test_policies():
+def test_policies(spark):
     c = policies.Cursor("q", 3, "me", 0.5, 7, 100.0)
     sealed = policies.seal(c, b"k")
     assert policies.open_cursor(sealed, b"k", "q", 3, "me", 50) == c
