@@ -40,7 +40,7 @@ class Engine:
         tables = {"units": units, "chunks": ingest.children(units)}
         if now and replaced is not None:
             kept = {name: self.table(name, now).join(replaced, "source_id", "left_anti") for name in tables}
-            tables = {name: new.unionByName(kept[name]) for name, new in tables.items()}
+            tables = {name: new.unionByName(kept[name], allowMissingColumns=True) for name, new in tables.items()}
         return storage.publish(self.spark, self.root, tables, after=now)
 
     def ingest_folder(self, folder: str, ignore: list[str] | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Exact dense top-k of a query set: each partition keeps its k best for every query, then those are merged."""
+"""Exact dense top-k of a query set: each block of vectors gives its k best for every query, then those are merged."""
 
 from __future__ import annotations
 
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from quillspark.functions import vector as V
 from quillspark.operators.lexical import ranked
 
-#: Queries that go to a task at once; larger sets are searched in blocks.
-QUERY_BLOCK = 4096
+#: Bytes of the vectors of one block (doubles), and queries that are compared with it at once.
+BLOCK_BYTES, QUERY_BLOCK = 1 << 26, 512
 
 
 def _similarities(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
@@ -25,40 +25,67 @@ def _similarities(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return q @ x.T
 
 
+def _best(ids: np.ndarray, x: np.ndarray, asked: np.ndarray, q: np.ndarray, k: int, metric: str) -> pa.RecordBatch:
+    """The k best of the vectors x, whose ids ascend, for each query; ties go to the smaller id."""
+    s = np.round(_similarities(q, x, metric), 6)
+    s[np.isnan(s)] = -np.inf
+    least = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(q), -np.inf)
+    rows = []
+    for one, floor in zip(s, least):
+        at = np.flatnonzero((one >= floor) & (one > -np.inf))
+        rows.append(at[np.argsort(-one[at], kind="stable")[:k]])
+    n = [len(r) for r in rows]
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, n)), pa.array(ids[np.concatenate(rows)]), pa.array(np.concatenate([one[r] for one, r in zip(s, rows)]))], names=["query_id", "chunk_id", "score"])
+
+
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """query_id, chunk_id, score and rank for vectors (chunk_id, embedding) and queries (query_id, embedding).
 
-    Rows whose vector is null, or not as long as the queries', take no part. Queries are fetched in blocks of
-    QUERY_BLOCK, which bounds what a task is sent; vectors are never shuffled."""
-    spark = vectors.sparkSession
-    found = None
-    q = queries.filter("embedding IS NOT NULL").select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>"))
-    blocks = -(-q.count() // QUERY_BLOCK)
-    for i in range(max(1, blocks)):
-        rows = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))) == i).orderBy("query_id").collect()
-        ids, matrix = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float).reshape(len(rows), len(rows[0][1]) if rows else 0)
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
-            best: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
-            for batch in batches:
-                if not len(ids) or not len(batch):
+    Null vectors and scores that are no numbers take no part; a query meets the vectors of its own length. Vectors are
+    dealt once into blocks of BLOCK_BYTES, and every query goes to every block of its length. A task holds one block and
+    streams the queries past it, QUERY_BLOCK at a time, so neither table passes through the driver."""
+    v, q = (x.select(F.col(i).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("x")).filter("x IS NOT NULL").withColumn("width", F.size("x")) for x, i in ((vectors, "chunk_id"), (queries, "query_id")))
+    blocks = v.groupBy("width").agg(F.ceil(F.count(F.lit(1)) * 8 * F.col("width") / BLOCK_BYTES).cast("int").alias("blocks")).filter("width > 0")
+    v = v.join(blocks, "width").select("width", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(False).alias("asks"), "id", "x")
+    q = q.join(blocks, "width").select("width", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "id", "x")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, parts, asked = None, [], [], []
+
+        def matrix(some: list) -> np.ndarray:
+            return np.concatenate(some).reshape(-1, key[0])
+
+        def answers() -> Iterator[pa.RecordBatch]:
+            if ids and asked:
+                held = np.concatenate(ids), matrix(parts)
+                who, q = np.concatenate([a for a, _ in asked]), matrix([x for _, x in asked])
+                for i in range(0, len(who), QUERY_BLOCK):
+                    yield _best(*held, who[i : i + QUERY_BLOCK], q[i : i + QUERY_BLOCK], k, metric)
+            asked.clear()
+
+        for batch in batches:
+            width, block, asks = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            # a slice is the part of one block that holds vectors, or queries
+            turns = np.flatnonzero((np.diff(width) != 0) | (np.diff(block) != 0) | (asks[1:] != asks[:-1])) + 1
+            for lo, hi in zip([0, *turns], [*turns, len(width)]):
+                if hi == lo:
                     continue
-                chunk = batch.column(0).to_numpy()
-                x = batch.column(1).flatten().to_numpy().reshape(len(chunk), -1)
-                s = np.round(_similarities(matrix, x, metric), 6)
-                for j in range(len(ids)):
-                    c, v = np.concatenate([best[j][0], chunk]), np.concatenate([best[j][1], s[j]])
-                    o = np.lexsort((c, -v))[:k]
-                    best[j] = c[o], v[o]
-            n = [len(b[0]) for b in best]
-            if sum(n):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.concatenate([b[0] for b in best])), pa.array(np.concatenate([b[1] for b in best]))], names=["query_id", "chunk_id", "score"])
-
-        width = matrix.shape[1] if len(rows) else 0
-        some = vectors.select(F.col("chunk_id").cast("long"), F.col("embedding").cast("array<double>")).filter(F.col("embedding").isNotNull() & (F.size("embedding") == width))
-        one = some.mapInArrow(run, "query_id long, chunk_id long, score double")
-        found = one if found is None else found.union(one)
-    return ranked(found, k) if found is not None else spark.createDataFrame([], "query_id long, chunk_id long, score double, rank int")
+                if (width[lo], block[lo]) != key:
+                    yield from answers()
+                    key, ids, parts = (width[lo], block[lo]), [], []
+                some = batch.slice(lo, hi - lo)
+                pair = some.column(3).to_numpy(), some.column(4).flatten().to_numpy(zero_copy_only=False)
+                if not asks[lo]:
+                    ids.append(pair[0])
+                    parts.append(pair[1])
+                else:
+                    asked.append(pair)
+                    if sum(len(a) for a, _ in asked) >= QUERY_BLOCK:
+                        yield from answers()
+        yield from answers()
+
+    x = v.unionByName(q).repartition("width", "block").sortWithinPartitions("width", "block", "asks", "id")
+    return ranked(x.mapInArrow(run, "query_id long, chunk_id long, score double"), k)
 
 
 def rescored(pool: DataFrame, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:

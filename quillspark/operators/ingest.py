@@ -14,6 +14,8 @@ from quillspark.functions.text import stable_id, token_estimate, token_quarters
 #: Tokens of a child chunk, the slack before it is flushed, tokens carried over; children of one parent.
 TARGET, SLACK, OVERLAP, PARENT_CHILDREN = 300, 5, 80, 5
 
+SPANS = "array<struct<unit:long,chunk_start:long,chunk_end:long,evidence_start:long,evidence_end:long>>"
+
 
 def paragraphs(texts: DataFrame, lines_are_units: bool = False) -> DataFrame:
     """Units (source_id, position, first_line, last_line, text, text_hash) of texts (source_id, text).
@@ -64,42 +66,90 @@ def overlap_start(text: str, budget: int) -> int:
     return 0
 
 
+def cut_spans(spans: list[dict], start: int, end: int) -> list[dict]:
+    """The parts of spans inside bytes start to end of their chunk, counted from start."""
+    out = []
+    for s in spans:
+        lo, hi = max(s["chunk_start"], start), min(s["chunk_end"], end)
+        if lo < hi:
+            shift = s["evidence_start"] - s["chunk_start"]
+            out.append({"unit": s["unit"], "chunk_start": lo - start, "chunk_end": hi - start, "evidence_start": lo + shift, "evidence_end": hi + shift})
+    return out
+
+
 def children(units: DataFrame, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
-    """Child chunks (source_id, boundary, child, text, first_unit, last_unit, tokens) of units (source_id, boundary, position, text).
+    """Child chunks (source_id, boundary, child, text, first_unit, last_unit, spans, tokens) of units (source_id, boundary, position, text).
 
     Units are packed greedily within a boundary: a chunk is flushed before the unit that would take it over the
     target and a fifth, and the next one starts with its last `overlap` tokens. A unit is never split. Units' costs are
     summed as quarter tokens, which Spark counts, since a space ends every run; the fold runs over units sorted by place
-    and holds the open chunk alone, so a boundary of any length streams through its task."""
+    and holds the open chunk alone, so a boundary of any length streams through its task.
+
+    `spans` says which bytes of the chunk are which bytes of which unit (by its position), in the chunk's order; what a
+    chunk carries over keeps the units that it came from."""
     limit = 4 * (target + target // SLACK)
-    names = ["source_id", "boundary", "child", "text", "first_unit", "last_unit"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+    names = ["source_id", "boundary", "child", "text", "first_unit", "last_unit", "spans"]
+    span = pa.struct([("unit", pa.int64()), *((x, pa.int64()) for x in ("chunk_start", "chunk_end", "evidence_start", "evidence_end"))])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(span)]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, child, text, cost, first, last = None, 0, "", 0, None, None
+        key, child, text, cost, first, last, size, spans = None, 0, "", 0, None, None, 0, []
         for batch in batches:
             out = []
             for source, boundary, position, unit, quarters in zip(*(c.to_pylist() for c in batch.columns)):
                 if (source, boundary) != key:
                     if text:
-                        out.append((*key, child, text, first, last))
-                    key, child, text, cost, first = (source, boundary), 0, "", 0, None
+                        out.append((*key, child, text, first, last, spans))
+                    key, child, text, cost, first, size, spans = (source, boundary), 0, "", 0, None, 0, []
                 if text and cost + 4 + quarters > limit:
-                    out.append((*key, child, text, first, last))
-                    carried = text[overlap_start(text, overlap) :].strip()
+                    out.append((*key, child, text, first, last, spans))
+                    tail = text[overlap_start(text, overlap) :]
+                    carried = tail.strip()
+                    lead = size - len(tail.encode()) + len(tail[: len(tail) - len(tail.lstrip())].encode())
+                    size = len(carried.encode())
+                    spans = cut_spans(spans, lead, lead + size)
                     child, text, cost, first = child + 1, carried, quarter_tokens(carried), None
-                text, cost = (f"{text} {unit}", cost + 4 + quarters) if text else (unit, quarters)
+                begin, n = (size + 1 if text else 0), len(unit.encode())
+                spans.append({"unit": position, "chunk_start": begin, "chunk_end": begin + n, "evidence_start": 0, "evidence_end": n})
+                text, cost, size = (f"{text} {unit}", cost + 4 + quarters, begin + n) if text else (unit, quarters, n)
                 first, last = position if first is None else first, position
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 6, kinds)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 7, kinds)], names=names)
         if text:
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((*key, child, text, first, last), kinds)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((*key, child, text, first, last, spans), kinds)], names=names)
 
     x = units.select(F.col("source_id").cast("long"), F.col("boundary").cast("long"), F.col("position").cast("long"), "text", token_quarters(F.col("text")).alias("quarters"))
     x = x.repartition("source_id", "boundary").sortWithinPartitions("source_id", "boundary", "position")
-    out = x.mapInArrow(fold, "source_id long, boundary long, child long, text string, first_unit long, last_unit long")
+    out = x.mapInArrow(fold, f"source_id long, boundary long, child long, text string, first_unit long, last_unit long, spans {SPANS}")
     return out.withColumn("tokens", token_estimate(F.col("text"))).withColumn("chunk_id", stable_id("chunk", F.col("source_id"), F.col("boundary"), F.col("child"), F.sha2("text", 256)))
 
 
+def parent_spans(chunks: DataFrame, size: int = PARENT_CHILDREN) -> DataFrame:
+    """Spans of parents (source_id, boundary, parent, unit, byte ranges): those of their children, moved by the bytes of
+    the children before and a space each."""
+    x = chunks.withColumn("parent", F.floor(F.col("child") / size)).withColumn("n_bytes", F.octet_length("text") + 1)
+    before = F.coalesce(F.sum("n_bytes").over(Window.partitionBy("source_id", "boundary", "parent").orderBy("child").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    x = x.withColumn("before", before).select("source_id", "boundary", "parent", "before", F.explode("spans").alias("s"))
+    return x.select("source_id", "boundary", "parent", F.col("s.unit").alias("unit"), *((F.col(f"s.chunk_{e}") + F.col("before")).alias(f"chunk_{e}") for e in ("start", "end")), "s.evidence_start", "s.evidence_end")
+
+
+def mixed_children(units: DataFrame) -> DataFrame:
+    """Child chunks of units (source_id, position, text, boundary, canonical, book, chapter), each unit by its locator:
+    canonical ones go to `canonical_children`, all others (null too) to `children`; with `strategy` and `place`.
+
+    `place` merges both lists of a source by their chunks' first unit. Where two begin alike, the strategy of the
+    source's first unit comes first, then the child's number."""
+    canonical = F.coalesce(F.col("canonical"), F.lit(False))
+    columns = ["source_id", "boundary", "child", "text", "first_unit", "last_unit"]
+    names = {True: "canonical", False: "generic"}
+    one = canonical_children(units.filter(canonical)).select(*columns, F.lit(names[True]).alias("strategy"), F.col("first_unit").alias("least"))
+    two = children(units.filter(~canonical)).select(*columns, F.lit(names[False]).alias("strategy"), F.coalesce(F.array_min(F.col("spans.unit")), F.col("first_unit")).alias("least"))
+    leads = units.groupBy(F.col("source_id").cast("long").alias("source_id")).agg(F.min_by(F.when(canonical, names[True]).otherwise(names[False]), "position").alias("leads"))
+    x = one.unionByName(two).join(leads, "source_id")
+    w = Window.partitionBy("source_id").orderBy("least", (F.col("strategy") != F.col("leads")).cast("int"), "boundary", "child")
+    chunk_id = stable_id("chunk", F.col("strategy"), F.col("source_id"), F.col("boundary"), F.col("child"), F.sha2("text", 256))
+    return x.withColumn("place", F.row_number().over(w) - 1).withColumn("chunk_id", chunk_id).drop("leads")
+
+
 def parents(chunks: DataFrame, size: int = PARENT_CHILDREN) -> DataFrame:
     """Parents of every `size` children of a boundary: their texts joined by spaces, their number and first and last units."""
     parts = F.array_sort(F.collect_list(F.struct("child", "text")))

@@ -53,21 +53,27 @@ def quarters_sql(x: str) -> str:
     return f"(4 * length({x}) - 3 * coalesce(list_sum(list_transform(regexp_extract_all({x}, '[A-Za-z0-9]+'), lambda r: least(length(r), 24))), 0))::BIGINT"
 
 
-#: The fold over a document's units: each row has the open chunk, and the one that its unit has flushed.
-CHILDREN = rf"""{LINES}, u AS (SELECT source_id, position, text, {quarters_sql('text')} AS quarters FROM units),
-fold AS (SELECT source_id, position, text AS open, quarters AS cost, position AS first, 0 AS child, NULL::VARCHAR AS flushed, NULL::BIGINT AS flushed_first FROM u WHERE position = 0
-  UNION ALL SELECT source_id, position, CASE WHEN carried = '' THEN text ELSE carried || ' ' || text END, CASE WHEN carried = '' THEN quarters ELSE {quarters_sql('carried')} + 4 + quarters END,
-    CASE WHEN full_ THEN position ELSE first END, child + full_::INT, CASE WHEN full_ THEN open END, CASE WHEN full_ THEN first END
-  FROM (SELECT *, CASE WHEN NOT full_ THEN open ELSE regexp_replace(right(open, list_max(list_filter(range(0, 321), lambda n: n <= length(open) AND {quarters_sql('right(open, n)')} <= 320))), '^\s+|\s+$', '', 'g') END AS carried
-    FROM (SELECT u.*, open, first, child, cost + 4 + quarters > 1440 AS full_ FROM fold JOIN u ON u.source_id = fold.source_id AND u.position = fold.position + 1))),
-children AS (SELECT source_id, child - 1 AS child, flushed AS text, flushed_first AS first_unit, position - 1 AS last_unit FROM fold WHERE flushed IS NOT NULL
-  UNION ALL SELECT source_id, child, open, first, position FROM fold QUALIFY position = max(position) OVER (PARTITION BY source_id))"""
+TAIL = rf"right(open, list_max(list_filter(range(0, 321), lambda n: n <= length(open) AND {quarters_sql('right(open, n)')} <= 320)))"
+#: The fold over `u`: each row has the open chunk with its spans (bytes), and the chunk that its unit has flushed.
+FOLD = rf"""fold AS (SELECT source_id, seq, position, text AS open, quarters AS cost, position AS first, 0 AS child, [{{'unit': position, 'a': 0::BIGINT, 'b': strlen(text), 'c': 0::BIGINT}}] AS spans,
+    NULL::VARCHAR AS flushed, NULL::BIGINT AS flushed_first, NULL::BIGINT AS flushed_last, NULL::STRUCT(unit BIGINT, a BIGINT, b BIGINT, c BIGINT)[] AS flushed_spans FROM u WHERE seq = 0
+  UNION ALL SELECT source_id, seq, position, CASE WHEN carried = '' THEN text ELSE carried || ' ' || text END, CASE WHEN carried = '' THEN quarters ELSE {quarters_sql('carried')} + 4 + quarters END,
+    CASE WHEN full_ THEN position ELSE first END, child + full_::INT,
+    list_concat(list_transform(list_filter(spans, lambda s: greatest(s.a, lo) < least(s.b, lo + strlen(carried))), lambda s: {{'unit': s.unit, 'a': greatest(s.a, lo) - lo, 'b': least(s.b, lo + strlen(carried)) - lo, 'c': s.c + greatest(s.a, lo) - s.a}}),
+      [{{'unit': position, 'a': CASE WHEN carried = '' THEN 0 ELSE strlen(carried) + 1 END, 'b': CASE WHEN carried = '' THEN 0 ELSE strlen(carried) + 1 END + strlen(text), 'c': 0::BIGINT}}]),
+    CASE WHEN full_ THEN open END, CASE WHEN full_ THEN first END, CASE WHEN full_ THEN last END, CASE WHEN full_ THEN spans END
+  FROM (SELECT *, CASE WHEN full_ THEN strlen(open) - strlen(regexp_replace(tail, '^\s+', '')) ELSE 0 END AS lo, CASE WHEN full_ THEN regexp_replace(tail, '^\s+|\s+$', '', 'g') ELSE open END AS carried
+    FROM (SELECT *, CASE WHEN full_ THEN {TAIL} END AS tail
+      FROM (SELECT u.*, open, first, child, spans, fold.position AS last, cost + 4 + quarters > 1440 AS full_ FROM fold JOIN u ON u.source_id = fold.source_id AND u.seq = fold.seq + 1)))),
+children AS (SELECT source_id, child - 1 AS child, flushed AS text, flushed_first AS first_unit, flushed_last AS last_unit, flushed_spans AS spans FROM fold WHERE flushed IS NOT NULL
+  UNION ALL SELECT source_id, child, open, first, position, spans FROM fold QUALIFY seq = max(seq) OVER (PARTITION BY source_id))"""
+CHILDREN = f"{LINES}, u AS (SELECT source_id, position AS seq, position, text, {quarters_sql('text')} AS quarters FROM units), {FOLD}"
 
 
 @query(f"WITH RECURSIVE {CHILDREN} SELECT source_id, 0::BIGINT AS boundary, child::BIGINT AS child, text, first_unit::BIGINT AS first_unit, last_unit::BIGINT AS last_unit, {tokens_sql('text')} AS tokens FROM children")
 def chunk_children(spark, d):
     """Greedy packing with overlap; a whole document is one boundary."""
-    return _children(spark, d).drop("chunk_id")
+    return _children(spark, d).drop("chunk_id", "spans")
 
 
 @query(f"WITH RECURSIVE {CHILDREN} SELECT source_id, 0::BIGINT AS boundary, (child // 5)::BIGINT AS parent, string_agg(text, ' ' ORDER BY child) AS text, count(*) AS n_children, min(first_unit)::BIGINT AS first_unit, max(last_unit)::BIGINT AS last_unit FROM children GROUP BY source_id, child // 5")
@@ -121,8 +127,63 @@ def json_flatten(spark, d):
     return flattened_json(table(spark, d, "events"), "event_id", "props").select("event_id", "path", "value")
 
 
-@query()
-def canonical_chunks(spark, d):
-    """Lines as verses: eight make a chapter, a document's language is its book."""
+#: The fold over `cu` (units in order inside a boundary): `now` is the open chunk, `run` and `spent` count since a hard break.
+CANONICAL = f"""cfold AS (SELECT source_id, boundary, seq, chapter, [{{'p': position, 't': text}}] AS now, 1 AS run, tokens AS spent, 0 AS child, NULL::STRUCT(p BIGINT, t VARCHAR)[] AS flushed FROM cu WHERE seq = 0
+  UNION ALL SELECT source_id, boundary, seq, chapter, list_append(CASE WHEN fresh THEN [] WHEN full_ THEN list_slice(now, greatest(2, len(now) - 1), len(now)) ELSE now END, {{'p': position, 't': text}}),
+    CASE WHEN fresh THEN 1 ELSE run + 1 END, CASE WHEN fresh THEN tokens ELSE spent + tokens END, child + (fresh OR full_)::INT, CASE WHEN fresh OR full_ THEN now END
+  FROM (SELECT *, NOT fresh AND (len(now) >= 20 OR {tokens_sql("array_to_string(list_transform(list_append(now, {'p': position, 't': text}), lambda x: x.t), ' ')")} > 360) AS full_
+    FROM (SELECT cu.*, now, run, spent, child, (cf.chapter IS NOT NULL AND cu.chapter IS DISTINCT FROM cf.chapter) OR run >= 20 OR spent + tokens > 600 AS fresh
+      FROM cfold cf JOIN cu ON cu.source_id = cf.source_id AND cu.boundary = cf.boundary AND cu.seq = cf.seq + 1))),
+cc AS (SELECT source_id, boundary, child - 1 AS child, flushed AS now FROM cfold WHERE flushed IS NOT NULL UNION ALL SELECT source_id, boundary, child, now FROM cfold QUALIFY seq = max(seq) OVER (PARTITION BY source_id, boundary)),
+canonical AS (SELECT source_id, boundary::BIGINT AS boundary, child::BIGINT AS child, array_to_string(list_transform(now, lambda x: x.t), ' ') AS text, now[1].p::BIGINT AS first_unit, now[-1].p::BIGINT AS last_unit, len(now)::BIGINT AS n_units FROM cc)"""
+
+
+def cu_sql(units: str) -> str:
+    return f"""cb AS (SELECT *, sum((book IS NULL OR position = first OR book IS DISTINCT FROM before)::INT) OVER (PARTITION BY source_id ORDER BY position) AS boundary
+  FROM (SELECT *, lag(book) OVER (PARTITION BY source_id ORDER BY position) AS before, min(position) OVER (PARTITION BY source_id) AS first FROM {units})),
+cu AS (SELECT *, row_number() OVER (PARTITION BY source_id, boundary ORDER BY position) - 1 AS seq, {tokens_sql('text')} AS tokens FROM cb)"""
+
+
+#: Lines as verses: eight make a chapter, a document's language is its book.
+VERSES = f"{LINES}, verses AS (SELECT u.source_id, u.position, u.text, d.lang AS book, u.position // 8 AS chapter FROM units u JOIN documents d ON d.doc_id = u.source_id)"
+
+
+def verses(spark, d):
     books = table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), F.col("lang").alias("book")).dropDuplicates(["source_id"])
-    return ingest.canonical_children(units(spark, d).join(books, "source_id").withColumn("chapter", F.expr("position div 8")))
+    return units(spark, d).join(books, "source_id").withColumn("chapter", F.expr("position div 8"))
+
+
+@query(f"WITH RECURSIVE {VERSES}, {cu_sql('verses')}, {CANONICAL} SELECT * FROM canonical")
+def canonical_chunks(spark, d):
+    return ingest.canonical_children(verses(spark, d))
+
+
+#: Notes stand between verses: lines that end in a full stop are canonical, all others go to the generic chunker.
+MIXED = f"""{VERSES}, mixed AS (SELECT *, right(text, 1) = '.' AS canonical FROM verses), picked AS (SELECT * FROM mixed WHERE canonical),
+u AS (SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY position) - 1 AS seq, position, text, {quarters_sql('text')} AS quarters FROM mixed WHERE NOT canonical)"""
+
+
+@query(f"""WITH RECURSIVE {MIXED}, {FOLD}, {cu_sql('picked')}, {CANONICAL},
+a AS (SELECT source_id, boundary, child, text, first_unit, last_unit, 'canonical' AS strategy, first_unit AS least FROM canonical
+  UNION ALL SELECT source_id, 0, child, text, first_unit, last_unit, 'generic', list_min(list_transform(spans, lambda s: s.unit)) FROM children),
+l AS (SELECT source_id, CASE WHEN arg_min(canonical, position) THEN 'canonical' ELSE 'generic' END AS leads FROM mixed GROUP BY source_id)
+SELECT source_id, boundary::BIGINT AS boundary, child::BIGINT AS child, text, first_unit::BIGINT AS first_unit, last_unit::BIGINT AS last_unit, strategy, least::BIGINT AS least,
+  (row_number() OVER (PARTITION BY source_id ORDER BY least, strategy <> leads, boundary, child) - 1)::INT AS place FROM a JOIN l USING (source_id)""")
+def mixed_chunks(spark, d):
+    """Both chunkers over one source, merged by place."""
+    x = verses(spark, d).withColumn("canonical", F.expr("right(text, 1) = '.'")).withColumn("boundary", F.lit(0))
+    return ingest.mixed_children(x).drop("chunk_id")
+
+
+@query(f"""WITH RECURSIVE {CHILDREN}, s AS (SELECT source_id, child, unnest(spans) AS s FROM children)
+SELECT source_id, child::BIGINT AS child, s.unit AS unit, s.a AS chunk_start, s.b AS chunk_end, s.c AS evidence_start, s.c + s.b - s.a AS evidence_end FROM s""")
+def chunk_spans(spark, d):
+    """Which bytes of each chunk are which bytes of which unit."""
+    return _children(spark, d).select("source_id", "child", F.inline("spans"))
+
+
+@query(f"""WITH RECURSIVE {CHILDREN}, p AS (SELECT *, coalesce(sum(strlen(text) + 1) OVER (PARTITION BY source_id, child // 5 ORDER BY child ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS moved FROM children),
+s AS (SELECT source_id, child // 5 AS parent, moved, unnest(spans) AS s FROM p)
+SELECT source_id, 0::BIGINT AS boundary, parent::BIGINT AS parent, s.unit AS unit, s.a + moved AS chunk_start, s.b + moved AS chunk_end, s.c AS evidence_start, s.c + s.b - s.a AS evidence_end FROM s""")
+def parent_spans(spark, d):
+    return ingest.parent_spans(_children(spark, d))

@@ -355,3 +355,49 @@ def test_canonical_chunks_equal_runs_and_windows(spark):
         got = ingest.canonical_children(df, target, overlap, most).orderBy("boundary", "child").collect()
         assert [(r["first_unit"], r["last_unit"], r["n_units"]) for r in got] == canonical_by_hand(units, target, overlap, most)
 
+
+
+def test_spans_point_at_equal_bytes(spark):
+    rng = random.Random(8)
+    units = [(s, b, p, " ".join(rng.choice(["a1", "שלום", "naïve", "日本", "tail\t", " x"]) for _ in range(rng.randint(1, 25)))) for s in (1, 2) for b in (0, 1) for p in range(40)]
+    df = spark.createDataFrame(units, "source_id long, boundary long, position long, text string")
+    source = {(s, b, p): t.encode() for s, b, p, t in units}
+    made = ingest.children(df, 40, 8)
+    chunks = made.collect()
+    assert any(r["spans"][0]["unit"] < r["first_unit"] for r in chunks)
+    for r in chunks:
+        at = 0
+        for s in r["spans"]:
+            assert r["text"].encode()[s["chunk_start"] : s["chunk_end"]] == source[r["source_id"], r["boundary"], s["unit"]][s["evidence_start"] : s["evidence_end"]]
+            assert s["chunk_start"] == at
+            at = s["chunk_end"] + 1
+        assert at == len(r["text"].encode()) + 1
+    whole = {(r["source_id"], r["boundary"], r["parent"]): r["text"].encode() for r in ingest.parents(made).collect()}
+    spans = ingest.parent_spans(made).collect()
+    assert len(spans) == sum(len(r["spans"]) for r in chunks)
+    for r in spans:
+        assert whole[r["source_id"], r["boundary"], r["parent"]][r["chunk_start"] : r["chunk_end"]] == source[r["source_id"], r["boundary"], r["unit"]][r["evidence_start"] : r["evidence_end"]]
+
+
+def test_mixed_chunks_keep_each_unit_with_its_chunker(spark):
+    rows = [(1, 0, "verse one", 0, True, "John", 3), (1, 1, "a note", 0, False, None, None), (1, 2, "verse two", 0, True, "John", 3), (2, 0, "plain", 0, None, None, None)]
+    df = spark.createDataFrame(rows, "source_id long, position long, text string, boundary long, canonical boolean, book string, chapter long")
+    got = [(r["source_id"], r["place"], r["strategy"], r["text"]) for r in ingest.mixed_children(df).orderBy("source_id", "place").collect()]
+    assert got == [(1, 0, "canonical", "verse one verse two"), (1, 1, "generic", "a note"), (2, 0, "generic", "plain")]
+    assert ingest.mixed_children(df.limit(0)).count() == 0
+
+
+def test_dense_blocks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(dense, "BLOCK_BYTES", 640)
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 3)
+    rng = random.Random(4)
+    point = lambda w: [float(rng.randint(-2, 2)) for _ in range(w)]
+    held = [(i, point(4)) for i in range(90)] + [(100 + i, point(3)) for i in range(30)] + [(200, None), (201, [math.nan] * 4), (202, [])]
+    asked = [(i, point(4)) for i in range(8)] + [(50 + i, point(3)) for i in range(4)] + [(60, None), (61, point(5)), (62, [])]
+    want = []
+    for q, x in asked:
+        near = sorted((-round(sum(a * b for a, b in zip(x, v)), 6), c) for c, v in held if x and v and len(v) == len(x) and not math.isnan(v[0]))
+        want += [(q, c, -s, n + 1) for n, (s, c) in enumerate(near[:7])]
+    tables = [spark.createDataFrame(t, f"{n} long, embedding array<double>") for t, n in ((held, "chunk_id"), (asked, "query_id"))]
+    assert sorted(map(tuple, dense.dense_top_k(*tables, 7, "dot").select("query_id", "chunk_id", "score", "rank").collect())) == sorted(want)
+    assert dense.dense_top_k(tables[0].limit(0), tables[1], 7).count() == dense.dense_top_k(tables[0], tables[1].limit(0), 7).count() == 0
