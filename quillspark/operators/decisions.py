@@ -43,3 +43,42 @@ def request_states(requests: DataFrame, known: DataFrame) -> DataFrame:
     k = known.select("key", F.col("fingerprint").alias("seen"), "finished")
     state = F.when(F.col("seen").isNull(), "fresh").when(F.col("seen") != F.col("fingerprint"), "conflict").when(F.col("finished"), "replay").otherwise("in_progress")
     return requests.join(k, "key", "left").select("request_id", state.alias("state"))
+
+
+#: Clauses of one plan over named vector spaces; the operation that takes many vectors a query.
+MOST_CLAUSES, LATE = 64, "late_interaction_max_sim"
+
+
+def plan_faults(clauses: DataFrame, spaces: DataFrame) -> DataFrame:
+    """plan_id, n_clauses and fault of each plan of clauses (plan_id, position, space, operation, dimension, late) over
+    spaces (space, dimension, operations).
+
+    A plan with a space asked twice, or with too many clauses, is an invalid query plan; else the first clause that
+    does not fit its space gives the fault, which is null where all fit."""
+    s = spaces.select("space", F.col("dimension").alias("native"), F.col("operations").alias("offered"))
+    shape = F.col("dimension").eqNullSafe(F.col("native")) & F.col("late").eqNullSafe(F.col("operation") == LATE)
+    fault = F.when(F.col("offered").isNull(), "missing_vector_space").when(~F.coalesce(F.array_contains("offered", F.col("operation")), F.lit(False)), "unsupported_query_operation").when(~shape, "incompatible_query_shape")
+    x = clauses.join(s, "space", "left").withColumn("fault", fault)
+    n, first = F.count(F.lit(1)), F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("position")))
+    x = x.groupBy("plan_id").agg(n.alias("n_clauses"), F.count_distinct("space").alias("n_spaces"), first.alias("fault"))
+    broken = (F.col("n_clauses") > MOST_CLAUSES) | (F.col("n_spaces") < F.col("n_clauses"))
+    return x.select("plan_id", "n_clauses", F.when(broken, "invalid_query_plan").otherwise(F.col("fault")).alias("fault"))
+
+
+#: The dimensions of the query matrix.
+MATRIX = {
+    "query_class": ("semantic", "lexical", "exact_identifier_reference", "phrase", "multilingual", "mixed_language", "multi_hop"),
+    "selectivity": ("full_100", "ten_percent", "one_percent", "point_one_percent", "point_zero_one_percent", "single_source_document", "zero_authorized"),
+    "concurrency": ("one", "eight", "thirty_two", "saturation"),
+    "cache_state": ("cold", "warm", "cache_churn"),
+    "update_state": ("read_only", "mixed_updates", "source_replacement", "delete_heavy", "compaction"),
+}
+
+
+def matrix_coverage(runs: DataFrame) -> DataFrame:
+    """Every cell of the query matrix with its number of runs (0 where none), and whether a suite must have measured it."""
+    cells = runs.sparkSession.range(1).select()
+    for name, values in MATRIX.items():
+        cells = cells.select("*", F.explode(F.array(*map(F.lit, values))).alias(name))
+    n = runs.groupBy(*MATRIX).agg(F.count(F.lit(1)).alias("runs"))
+    return cells.join(n, list(MATRIX), "left").withColumn("runs", F.coalesce("runs", F.lit(0))).withColumn("required", F.col("cache_state").isin("cold", "warm"))

@@ -84,3 +84,9 @@ def source_pack(hits: DataFrame, evidence: DataFrame, most: int) -> DataFrame:
     first = hits.join(evidence, "chunk_id").groupBy("query_id", "evidence_id").agg(F.min(F.struct("rank", "chunk_id")).alias("x"))
     n = F.row_number().over(Window.partitionBy("query_id").orderBy("x.rank", "x.chunk_id", "evidence_id"))
     return first.withColumn("n", n).filter(F.col("n") <= most).select("query_id", F.concat(F.lit("E"), "n").alias("label"), "evidence_id", F.col("x.chunk_id").alias("chunk_id"))
+
+
+def shared_budget(lists: DataFrame, budget: int) -> DataFrame:
+    """Candidates (query_id, space, chunk_id, rank) of all spaces that one budget of a query allows: rank by rank, spaces by name."""
+    turn = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "space", "chunk_id"))
+    return lists.withColumn("turn", turn).filter(F.col("turn") <= budget)

@@ -97,3 +97,34 @@ def content_changes(spark, d):
     o = n.filter("source_id % 5 <> 0").select("source_id", F.when(F.col("source_id") % 4 == 0, "old").otherwise(F.col("hash")).alias("known"), F.lit(True).alias("there"))
     change = F.when(F.col("there").isNull(), "new").when(~F.col("hash").eqNullSafe(F.col("known")), "changed").otherwise("same")
     return n.join(o, "source_id", "left").select("source_id", change.alias("change"))
+
+
+SPACES = [("click", 64, ["nearest"]), ("view", 128, ["nearest", D.LATE]), ("purchase", 64, ["nearest", D.LATE, "sparse"]), ("error", 128, [D.LATE, "sparse"])]
+
+
+@query(f"""WITH s(space, native, offered) AS (VALUES {', '.join(map(str, SPACES))}),
+c AS (SELECT event_id // 2 AS plan_id, event_id AS position, event_type AS space, ['nearest', '{D.LATE}', 'sparse'][(event_id % 3 + 1)::INT] AS operation, CASE WHEN value < 10 THEN 64 ELSE 128 END AS dimension, event_id % 3 = 1 AS late FROM events),
+f AS (SELECT *, CASE WHEN offered IS NULL THEN 'missing_vector_space' WHEN NOT list_contains(offered, operation) THEN 'unsupported_query_operation' WHEN dimension IS DISTINCT FROM native OR late <> (operation = '{D.LATE}') THEN 'incompatible_query_shape' END AS fault FROM c LEFT JOIN s USING (space))
+SELECT plan_id, count(*) AS n_clauses, CASE WHEN count(DISTINCT space) < count(*) OR count(*) > {D.MOST_CLAUSES} THEN 'invalid_query_plan' ELSE arg_min(fault, position) FILTER (WHERE fault IS NOT NULL) END AS fault FROM f GROUP BY plan_id""")
+def named_space_plans(spark, d):
+    """Event types as spaces (one of them unknown); two events make a plan."""
+    n = F.col("event_id")
+    operation = F.array(*map(F.lit, ("nearest", D.LATE, "sparse")))[(n % 3).cast("int")]
+    clauses = table(spark, d, "events").select(F.expr("event_id div 2").alias("plan_id"), n.alias("position"), F.col("event_type").alias("space"), operation.alias("operation"), F.when(F.col("value") < 10, 64).otherwise(128).alias("dimension"), (n % 3 == 1).alias("late"))
+    return D.plan_faults(clauses, spark.createDataFrame(SPACES, "space string, dimension int, operations array<string>"))
+
+
+def _pick(name: str, at: str) -> str:
+    return f"(ARRAY{list(D.MATRIX[name])})[({at} % {len(D.MATRIX[name])} + 1)::INT] AS {name}"
+
+
+RUNS = {"query_class": "event_id", "selectivity": "event_id // 7", "concurrency": "user_id", "cache_state": "floor(value)", "update_state": "user_id // 4"}
+
+
+@query(f"""WITH r AS (SELECT {', '.join(_pick(k, v) for k, v in RUNS.items())} FROM events), n AS (SELECT *, count(*) AS runs FROM r GROUP BY ALL),
+cells AS (SELECT * FROM {', '.join(f"(SELECT unnest({list(v)}) AS {k})" for k, v in D.MATRIX.items())})
+SELECT c.*, coalesce(n.runs, 0) AS runs, c.cache_state IN ('cold', 'warm') AS required FROM cells c LEFT JOIN n USING ({', '.join(D.MATRIX)})""")
+def query_matrix(spark, d):
+    """Events as runs, dealt over the dimensions by their numbers."""
+    pick = lambda name, at: F.array(*map(F.lit, D.MATRIX[name]))[(F.expr(at) % len(D.MATRIX[name])).cast("int")].alias(name)
+    return D.matrix_coverage(table(spark, d, "events").select(*(pick(k, v.replace("//", "div")) for k, v in RUNS.items())))

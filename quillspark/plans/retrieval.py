@@ -220,3 +220,13 @@ def hybrid_retrieve(spark, d):
     fused = fusion.rrf(bm25.select("query_id", "chunk_id", "rank").unionByName(near.select("query_id", "chunk_id", "rank")), LIMIT)
     evidence = scope.select("chunk_id", "source", F.substring("text", 1, 80).alias("snippet"), F.sha2("text", 256).alias("text_hash"))
     return fused.join(evidence, "chunk_id").select("query_id", "chunk_id", "score", "source", "snippet", "text_hash", "rank")
+
+
+#: Candidates that all spaces of a question may give together.
+SHARED = 60
+
+
+@query(f"""{BOTH}, a AS (SELECT query_id, 'bm25' AS space, chunk_id, rank FROM b UNION ALL SELECT query_id, 'dense', chunk_id, rank FROM v)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, space, chunk_id)::INT AS turn FROM a QUALIFY turn <= {SHARED}""")
+def shared_budget_candidates(spark, d):
+    return fusion.shared_budget(_listed(spark, d).select("query_id", F.col("list").alias("space"), "chunk_id", "rank"), SHARED)
