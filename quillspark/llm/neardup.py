@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,9 +102,8 @@ def _compare_blocks(percent: int):
     def run(block: pd.DataFrame) -> pd.DataFrame:
         """Links between different roots, found over an index from shingles to the block's rows."""
         sets = [np.frombuffer(x, np.uint64) for x in block["shingles"]]
-        root, chunk = block["root"].to_numpy(), block["chunk"].to_numpy()
-        left, right = block["i"].iloc[0], block["j"].iloc[0]
-        one, two = np.flatnonzero(chunk == left), np.flatnonzero(chunk == right)
+        root = block["root"].to_numpy()
+        one, two = np.flatnonzero(block["one"]), np.flatnonzero(block["two"])
         out: list[tuple[int, int]] = []
         if len(two) and len(np.unique(root)) > 1:
             n = np.array([len(s) for s in sets])
@@ -123,6 +123,26 @@ def _compare_blocks(percent: int):
     return run
 
 
+def _block_pairs() -> Column:
+    """The blocks (low class, whether its two sides are of two classes, chunks i and j, which sides it is on) of a node
+    of class `cls` in chunk `chunk`. Chunks below n_apart hold nodes outside the centre's component; each block has one."""
+
+    def pairs(upto: Column, start: Column, make) -> Column:
+        return F.when(upto > start, F.transform(F.sequence(start, upto - 1), make)).otherwise(F.array().cast("array<struct<low:bigint,cross:boolean,i:int,j:int,one:boolean,two:boolean>>"))
+
+    def block(low: Column, cross: bool, i: Column, j: Column, one: Column, two: Column) -> Column:
+        return F.struct(low.alias("low"), F.lit(cross).alias("cross"), i.alias("i"), j.alias("j"), one.alias("one"), two.alias("two"))
+
+    cls, chunk, yes, no, zero = F.col("cls"), F.col("chunk"), F.lit(True), F.lit(False), F.lit(0)
+    partners = lambda x: F.col(f"{x}_apart") + F.when(F.col("apart"), F.col(f"{x}_own")).otherwise(0)
+    return F.concat(
+        pairs(F.least(chunk + 1, F.col("n_apart")), zero, lambda i: block(cls, False, i, chunk, i == chunk, yes)),
+        pairs(F.when(F.col("apart"), F.col("n_apart") + F.col("n_own")).otherwise(0), chunk + 1, lambda j: block(cls, False, chunk, j, yes, no)),
+        pairs(partners("up"), zero, lambda j: block(cls, True, chunk, j, yes, no)),
+        pairs(partners("down"), zero, lambda i: block(cls - 1, True, i, chunk, no, yes)),
+    )
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 31, rows: int = 4, digests: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document (with `digests`, its text's MD5 too); links are sets with Jaccard similarity >= percent %.
 
@@ -131,8 +151,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     start. Around each band value, nodes are compared with its centre, the node that shares most band values; this
     joins most members of large groups with one comparison each. Where the nodes around one centre still form
     several components, whatever lies outside the centre's component is compared with all nodes around that centre,
-    in blocks of bounded size and only across components, so no link that the bands propose is missed and no pair
-    inside a component is made. Components then take the smallest doc_id.
+    in blocks of bounded size, between neighbouring classes of set sizes and only across components, so no link that the
+    bands propose is missed and no pair inside a component is made. Components then take the smallest doc_id.
 
     Null and empty texts, and texts of white space, have the empty set and link with nothing. A null doc_id gets a
     null component_id and is kept. Repeated rows share a component; those with its id are all kept. An empty table
@@ -159,16 +179,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     own = around.filter("a = b").join(r.withColumnRenamed("node", "a"), "a", "left").select("a", F.coalesce("root", "a").alias("own"))
     # a large group has one centre: the join ends in a table, so that Spark can split its skewed partition
     m, m_path = written(m.join(own, "a").withColumn("apart", F.col("root") != F.col("own")), "rooted")
-    size = m.groupBy("a").agg(*(F.ceil(F.sum(F.when(c, F.col("n")).otherwise(0)) / CHUNK_SHINGLES).cast("int").alias(x) for x, c in (("n_apart", F.col("apart")), ("n_own", ~F.col("apart")))))
-    size, size_path = written(size.filter("n_apart > 0"), "size")
-    m = m.join(size, "a")
+    # sets alike to percent % lie in one class of sizes or in neighbours; the last factor keeps rounding on the safe side
+    m = m.withColumn("cls", F.floor(F.ln("n") / (math.log(100 / min(max(percent, 1), 99)) * (1 + 1e-9))))
+    size = m.groupBy("a", "cls").agg(*(F.ceil(F.sum(F.when(c, F.col("n")).otherwise(0)) / CHUNK_SHINGLES).cast("int").alias(x) for x, c in (("n_apart", F.col("apart")), ("n_own", ~F.col("apart")))))
+    size, size_path = written(size, "size")
+    near = size
+    for x, step in (("up", 1), ("down", -1)):
+        other = size.select("a", (F.col("cls") - step).alias("cls"), F.col("n_apart").alias(f"{x}_apart"), F.col("n_own").alias(f"{x}_own"))
+        near = near.join(other, ["a", "cls"], "left").fillna(0, [f"{x}_apart", f"{x}_own"])
+    m = m.join(near.filter("n_apart + up_apart + down_apart > 0"), ["a", "cls"])
     deal = F.xxhash64(F.lit(3), "node")
-    chunk = F.when(F.col("apart"), F.pmod(deal, "n_apart")).otherwise(F.col("n_apart") + F.pmod(deal, "n_own")).cast("int")
-    m = m.withColumn("chunk", chunk).join(sets, "node")
-    with_lower = F.transform(F.sequence(F.lit(0), F.least("chunk", F.col("n_apart") - 1)), lambda i: F.struct(i.alias("i"), F.col("chunk").alias("j")))
-    with_higher = F.when(F.col("apart") & (F.col("chunk") + 1 < F.col("n_apart") + F.col("n_own")), F.transform(F.sequence(F.col("chunk") + 1, F.col("n_apart") + F.col("n_own") - 1), lambda j: F.struct(F.col("chunk").alias("i"), j.alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
-    blocks = m.withColumn("block", F.explode(F.concat(with_lower, with_higher))).select("a", "block.i", "block.j", "chunk", "node", "root", "shingles")
-    more, more_path = written(blocks.groupBy("a", "i", "j").applyInPandas(_compare_blocks(percent), "a binary, b binary"), "more")
+    m = m.withColumn("chunk", F.when(F.col("apart"), F.pmod(deal, "n_apart")).otherwise(F.col("n_apart") + F.pmod(deal, "n_own")).cast("int"))
+    m = m.withColumn("pairs", _block_pairs()).filter(F.size("pairs") > 0).join(sets, "node")
+    blocks = m.select("a", "node", "root", "shingles", F.explode("pairs").alias("p")).select("a", "p.*", "node", "root", "shingles")
+    more, more_path = written(blocks.groupBy("a", "low", "cross", "i", "j").applyInPandas(_compare_blocks(percent), "a binary, b binary"), "more")
     if more.limit(1).count():
         roots = components(links.union(more))
     groups = nodes.select("node", "rep", "copies").join(roots, "node", "left").filter("root IS NOT NULL OR copies > 1").withColumn("root", F.coalesce("root", "node"))

@@ -477,6 +477,24 @@ def brute_near(rows, k, percent):
     return {d: (len(sets[i]), least[find(i)]) for i, (d, _) in enumerate(rows)}
 
 
+def test_blocks_by_size_miss_no_link_around_a_centre(spark, monkeypatch):
+    """Many sets share half their words with one centre, so bands meet there; links lie between the others, of all sizes."""
+    monkeypatch.setattr(neardup, "CHUNK_SHINGLES", 150)
+    rng = random.Random(12)
+    core = [f"c{i}" for i in range(30)]
+    texts = [" ".join(core)]
+    for g in range(25):
+        own = [f"g{g}_{i}" for i in range(rng.randint(5, 60))]
+        for _ in range(3):
+            more = [f"x{rng.random()}" for _ in range(rng.choice([0, 1, 2, 5, 9]))]
+            texts.append(" ".join(core + own + more))
+    for percent in (85, 60, 100):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        # one row a band: nearly every pair with something in common meets
+        got = neardup.near_duplicates(docs, 3, percent, 60, 1).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_near(list(enumerate(texts)), 3, percent)
+
+
 def test_near_duplicates_equal_brute_force(spark, odd, empty):
     rng = random.Random(11)
     vocabulary = [f"w{i}" for i in range(400)]
