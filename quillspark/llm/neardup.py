@@ -187,7 +187,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     for x, step in (("up", 1), ("down", -1)):
         other = size.select("a", (F.col("cls") - step).alias("cls"), F.col("n_apart").alias(f"{x}_apart"), F.col("n_own").alias(f"{x}_own"))
         near = near.join(other, ["a", "cls"], "left").fillna(0, [f"{x}_apart", f"{x}_own"])
-    m = m.join(near.filter("n_apart + up_apart + down_apart > 0"), ["a", "cls"])
+    near, near_path = written(near.filter("n_apart + up_apart + down_apart > 0"), "near")
+    m = m.join(near, ["a", "cls"])
     deal = F.xxhash64(F.lit(3), "node")
     m = m.withColumn("chunk", F.when(F.col("apart"), F.pmod(deal, "n_apart")).otherwise(F.col("n_apart") + F.pmod(deal, "n_own")).cast("int"))
     m = m.withColumn("pairs", _block_pairs()).filter(F.size("pairs") > 0).join(sets, "node")
@@ -198,7 +199,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     groups = nodes.select("node", "rep", "copies").join(roots, "node", "left").filter("root IS NOT NULL OR copies > 1").withColumn("root", F.coalesce("root", "node"))
     least = groups.groupBy("root").agg(F.min("rep").alias("component"))
     named, _ = written(groups.join(least, "root").select("node", "component"), "named")
-    remove(spark, members_path, around_path, m_path, size_path, sets_path, links_path, more_path, nodes_path)
+    remove(spark, members_path, around_path, m_path, size_path, near_path, sets_path, links_path, more_path, nodes_path)
     out = sig.select("doc_id", *["digest"] * digests, "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(named, "node", "left")
     out = out.select("doc_id", *["digest"] * digests, "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
