@@ -18,6 +18,8 @@ from quillspark.operators.components import components
 
 #: Characters of text whose shingles are made at once; shingles of one chunk of a group in the second comparison.
 CHUNK, CHUNK_SHINGLES = 2_000_000, 16_000
+#: Chunks around one centre up to which all its blocks are compared; beyond, only nodes that share a rare shingle are.
+FEW = 16
 
 
 def _chunks(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, list[str]]]:
@@ -143,6 +145,54 @@ def _block_pairs() -> Column:
     )
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, node, shingles as integers)"""
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)]
+        bounds = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(sets)))], names=["a", "node", "s"])
+
+
+def _rare(m: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, list[str]]:
+    """The rows of m, dealt anew: one for each shingle of the node's prefix that another component around the centre has
+    in a prefix too; `a` then names centre and shingle. With a set's shingles in the order of how many nodes around the
+    centre hold them, two sets alike to percent % share one of the first n - ceil(n * percent / 100) + 1 of each."""
+    tokens, tokens_path = written(m.join(sets, "node").select("a", "node", "shingles").mapInArrow(_listed, "a binary, node binary, s array<long>").select("a", "node", F.explode("s").alias("s")), "tokens")
+    # what only one node holds comes first in its prefix and pairs it with none
+    held = tokens.groupBy("a", "s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    shared = tokens.join(held, ["a", "s"]).groupBy("a", "node").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("f"))
+    left = F.greatest(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("f")), F.lit(0)).cast("int")
+    prefix = m.join(shared, ["a", "node"]).withColumn("p", F.explode(F.slice("f", 1, left)))
+    prefix = prefix.select(F.unhex(F.md5(F.concat("a", F.col("p.s").cast("string").cast("binary")))).alias("a"), "node", "n", "cls", "root", "apart")
+    prefix, prefix_path = written(prefix, "prefixes")
+    mixed = prefix.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("apart").alias("some")).filter("some AND lo <> hi").select("a")
+    return prefix.join(mixed, "a"), [tokens_path, prefix_path]
+
+
+def _near(m: DataFrame) -> tuple[DataFrame, str]:
+    """Per a and class of sizes: how many chunks it and the classes next to it have apart from the centre's component and
+    inside it; only where there is something to compare."""
+    size = m.groupBy("a", "cls").agg(*(F.ceil(F.sum(F.when(c, F.col("n")).otherwise(0)) / CHUNK_SHINGLES).cast("int").alias(x) for x, c in (("n_apart", F.col("apart")), ("n_own", ~F.col("apart")))))
+    size, size_path = written(size, "size")
+    near = size
+    for x, step in (("up", 1), ("down", -1)):
+        other = size.select("a", (F.col("cls") - step).alias("cls"), F.col("n_apart").alias(f"{x}_apart"), F.col("n_own").alias(f"{x}_own"))
+        near = near.join(other, ["a", "cls"], "left").fillna(0, [f"{x}_apart", f"{x}_own"])
+    near, near_path = written(near.filter("n_apart + up_apart + down_apart > 0"), "near")
+    remove(m.sparkSession, size_path)
+    return near, near_path
+
+
+def _across(m: DataFrame, near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components around the same a, compared in blocks."""
+    m = m.join(near, ["a", "cls"])
+    deal = F.xxhash64(F.lit(3), "node")
+    m = m.withColumn("chunk", F.when(F.col("apart"), F.pmod(deal, "n_apart")).otherwise(F.col("n_apart") + F.pmod(deal, "n_own")).cast("int"))
+    m = m.withColumn("pairs", _block_pairs()).filter(F.size("pairs") > 0).join(sets, "node")
+    blocks = m.select("a", "node", "root", "shingles", F.explode("pairs").alias("p")).select("a", "p.*", "node", "root", "shingles")
+    return blocks.groupBy("a", "low", "cross", "i", "j").applyInPandas(_compare_blocks(percent), "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 31, rows: int = 4, digests: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document (with `digests`, its text's MD5 too); links are sets with Jaccard similarity >= percent %.
 
@@ -152,7 +202,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     joins most members of large groups with one comparison each. Where the nodes around one centre still form
     several components, whatever lies outside the centre's component is compared with all nodes around that centre,
     in blocks of bounded size, between neighbouring classes of set sizes and only across components, so no link that the
-    bands propose is missed and no pair inside a component is made. Components then take the smallest doc_id.
+    bands propose is missed and no pair inside a component is made. Around a centre of many nodes, these comparisons are
+    made for each shingle that nodes share among their rarest (prefixes that alike sets cannot fail to share), so nodes
+    that have only what all have meet in no block. Components then take the smallest doc_id.
 
     Null and empty texts, and texts of white space, have the empty set and link with nothing. A null doc_id gets a
     null component_id and is kept. Repeated rows share a component; those with its id are all kept. An empty table
@@ -181,25 +233,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     m, m_path = written(m.join(own, "a").withColumn("apart", F.col("root") != F.col("own")), "rooted")
     # sets alike to percent % lie in one class of sizes or in neighbours; the last factor keeps rounding on the safe side
     m = m.withColumn("cls", F.floor(F.ln("n") / (math.log(100 / min(max(percent, 1), 99)) * (1 + 1e-9))))
-    size = m.groupBy("a", "cls").agg(*(F.ceil(F.sum(F.when(c, F.col("n")).otherwise(0)) / CHUNK_SHINGLES).cast("int").alias(x) for x, c in (("n_apart", F.col("apart")), ("n_own", ~F.col("apart")))))
-    size, size_path = written(size, "size")
-    near = size
-    for x, step in (("up", 1), ("down", -1)):
-        other = size.select("a", (F.col("cls") - step).alias("cls"), F.col("n_apart").alias(f"{x}_apart"), F.col("n_own").alias(f"{x}_own"))
-        near = near.join(other, ["a", "cls"], "left").fillna(0, [f"{x}_apart", f"{x}_own"])
-    near, near_path = written(near.filter("n_apart + up_apart + down_apart > 0"), "near")
-    m = m.join(near, ["a", "cls"])
-    deal = F.xxhash64(F.lit(3), "node")
-    m = m.withColumn("chunk", F.when(F.col("apart"), F.pmod(deal, "n_apart")).otherwise(F.col("n_apart") + F.pmod(deal, "n_own")).cast("int"))
-    m = m.withColumn("pairs", _block_pairs()).filter(F.size("pairs") > 0).join(sets, "node")
-    blocks = m.select("a", "node", "root", "shingles", F.explode("pairs").alias("p")).select("a", "p.*", "node", "root", "shingles")
-    more, more_path = written(blocks.groupBy("a", "low", "cross", "i", "j").applyInPandas(_compare_blocks(percent), "a binary, b binary"), "more")
+    near, near_path = _near(m)
+    big, big_path = written(near.groupBy("a").agg(F.sum(F.col("n_apart") + F.col("n_own")).alias("chunks")).filter(F.col("chunks") > FEW).select("a"), "big")
+    spare = [big_path, near_path]
+    some = big.limit(1).count() > 0
+    more = _across(m, near.join(big, "a", "left_anti") if some else near, sets, percent)
+    if some:
+        rare, paths = _rare(m.join(near.join(big, "a").select("a", "cls"), ["a", "cls"]).select("a", "node", "n", "cls", "root", "apart"), sets, percent)
+        near, near_path = _near(rare)
+        more = more.union(_across(rare, near, sets, percent))
+        spare += [near_path, *paths]
+    more, more_path = written(more, "more")
     if more.limit(1).count():
         roots = components(links.union(more))
     groups = nodes.select("node", "rep", "copies").join(roots, "node", "left").filter("root IS NOT NULL OR copies > 1").withColumn("root", F.coalesce("root", "node"))
     least = groups.groupBy("root").agg(F.min("rep").alias("component"))
     named, _ = written(groups.join(least, "root").select("node", "component"), "named")
-    remove(spark, members_path, around_path, m_path, size_path, near_path, sets_path, links_path, more_path, nodes_path)
+    remove(spark, *spare, members_path, around_path, m_path, sets_path, links_path, more_path, nodes_path)
     out = sig.select("doc_id", *["digest"] * digests, "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(named, "node", "left")
     out = out.select("doc_id", *["digest"] * digests, "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

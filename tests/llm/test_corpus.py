@@ -488,7 +488,8 @@ def test_blocks_by_size_miss_no_link_around_a_centre(spark, monkeypatch):
         for _ in range(3):
             more = [f"x{rng.random()}" for _ in range(rng.choice([0, 1, 2, 5, 9]))]
             texts.append(" ".join(core + own + more))
-    for percent in (85, 60, 100):
+    for percent, few in ((85, 16), (60, 1000), (100, 16), (85, 0), (60, 3)):
+        monkeypatch.setattr(neardup, "FEW", few)
         docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
         # one row a band: nearly every pair with something in common meets
         got = neardup.near_duplicates(docs, 3, percent, 60, 1).collect()
