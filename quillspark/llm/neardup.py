@@ -146,11 +146,13 @@ def _block_pairs() -> Column:
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, node, shingles as integers)"""
-    for batch in batches:
-        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)]
-        bounds = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(sets)))], names=["a", "node", "s"])
+    """(a, node, shingles as integers), some sets at a time."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 200):
+            batch = whole.slice(at, 200)
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)]
+            bounds = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(sets)))], names=["a", "node", "s"])
 
 
 def _rare(m: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, list[str]]:
@@ -159,14 +161,17 @@ def _rare(m: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, list[
     centre hold them, two sets alike to percent % share one of the first n - ceil(n * percent / 100) + 1 of each."""
     tokens, tokens_path = written(m.join(sets, "node").select("a", "node", "shingles").mapInArrow(_listed, "a binary, node binary, s array<long>").select("a", "node", F.explode("s").alias("s")), "tokens")
     # what only one node holds comes first in its prefix and pairs it with none
-    held = tokens.groupBy("a", "s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    shared = tokens.join(held, ["a", "s"]).groupBy("a", "node").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("f"))
+    held, held_path = written(tokens.groupBy("a", "s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "held")
+    # what all nodes hold is one key: the join ends in a table, so that Spark can split its skewed partition
+    counted, counted_path = written(tokens.join(held, ["a", "s"]), "counted")
+    shared = counted.groupBy("a", "node").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("f"))
     left = F.greatest(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("f")), F.lit(0)).cast("int")
     prefix = m.join(shared, ["a", "node"]).withColumn("p", F.explode(F.slice("f", 1, left)))
     prefix = prefix.select(F.unhex(F.md5(F.concat("a", F.col("p.s").cast("string").cast("binary")))).alias("a"), "node", "n", "cls", "root", "apart")
     prefix, prefix_path = written(prefix, "prefixes")
     mixed = prefix.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("apart").alias("some")).filter("some AND lo <> hi").select("a")
-    return prefix.join(mixed, "a"), [tokens_path, prefix_path]
+    remove(m.sparkSession, tokens_path, held_path, counted_path)
+    return prefix.join(mixed, "a"), [prefix_path]
 
 
 def _near(m: DataFrame) -> tuple[DataFrame, str]:
