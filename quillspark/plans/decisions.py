@@ -47,11 +47,11 @@ def request_states(spark, d):
     return D.request_states(asked, known)
 
 
-@query("SELECT doc_id FROM documents WHERE source IN (SELECT DISTINCT source FROM documents WHERE lang = 'de' AND doc_id % 2 = 1)")
+@query("SELECT doc_id FROM documents WHERE source IN (SELECT DISTINCT source FROM documents WHERE lang = 'de' AND n_chars > 1000)")
 def collection_scope(spark, d):
-    """A collection's members are the sources of odd German documents."""
+    """A collection's members are the sources of long German documents."""
     x = table(spark, d, "documents")
-    members = x.filter("lang = 'de' AND doc_id % 2 = 1").select("source", F.lit("german").alias("collection"))
+    members = x.filter("lang = 'de' AND n_chars > 1000").select("source", F.lit("german").alias("collection"))
     return filters.in_scope(x, filters.collection_scope(members, ["german"])).select("doc_id")
 
 

@@ -20,10 +20,10 @@ def valid_hits(spark, d):
     return E.valid_hits(hits, chunks, 2).select("query_id", "chunk_id", "position", "rank")
 
 
-@query("SELECT event_type AS list, user_id AS query_id, event_id AS chunk_id, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id)::INT AS rank FROM events WHERE event_id % 3 <> 0")
+@query("SELECT event_type AS list, user_id AS query_id, event_id AS chunk_id, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id)::INT AS rank FROM events WHERE value < 50")
 def identity_filtered_lists(spark, d):
     x = table(spark, d, "events").select(F.col("event_type").alias("list"), F.col("user_id").alias("query_id"), F.col("event_id").alias("chunk_id"), F.col("event_id").alias("rank"))
-    return E.identity_filtered(x, x.filter("chunk_id % 3 <> 0").select("chunk_id")).select("list", "query_id", "chunk_id", "rank")
+    return E.identity_filtered(x, table(spark, d, "events").filter("value < 50").select(F.col("event_id").alias("chunk_id"))).select("list", "query_id", "chunk_id", "rank")
 
 
 #: Keys from customers and events from nations, of all nine kinds.
