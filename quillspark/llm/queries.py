@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and the SQL of those that SQL can express."""
+"""The queries op1 to op13 and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -72,13 +72,32 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85, bands=25, rows=5)
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.codes import compress
+
+    return compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.bpe import decode, digests, encode
+
+    return digests(decode(encode(table(spark, sf_dir, "documents"))))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.runs import periodic_runs
+
+    return periodic_runs(table(spark, sf_dir, "documents"), plant=True)
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
+    from quillspark.llm.codes import CODES_SQL
     from quillspark.llm.mixing import MIX_SQL
     from quillspark.llm.topk import TOP_K_SQL
     from quillspark.llm.warc import WARC_SQL
 
-    return {"op5_warc": WARC_SQL.format(pages="pages"), "op7_topk": TOP_K_SQL.format(embeddings="embeddings"), "op3_mixing": f"SELECT doc_id, size, source_size, target, taken FROM ({MIX_SQL.format(documents='documents')})"}
+    return {"op5_warc": WARC_SQL.format(pages="pages"), "op7_topk": TOP_K_SQL.format(embeddings="embeddings"), "op11_codes": CODES_SQL.format(embeddings="embeddings"), "op3_mixing": f"SELECT doc_id, size, source_size, target, taken FROM ({MIX_SQL.format(documents='documents')})"}
