@@ -12,15 +12,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Id that ends every document.
-END_ID = 0
+#: Id that ends every document; the vocabulary's special token, whose id follows the ranks.
+END_ID, SPECIAL = 0, "<|endoftext|>"
 
 
 def tokenizer(name: str = "byte_bpe_50k"):
     """str -> ids of the byte-level BPE of that name.
 
     `<name>.json` (library tokenizers) and `<name>.tiktoken` hold one vocabulary and one pattern; the second library
-    gives the same ids several times faster. Special tokens' strings are ordinary text."""
+    gives the same ids several times faster. The file's special token is one id wherever its string stands, as the
+    first library has it by default."""
     import base64
 
     import public_tokenizers
@@ -28,7 +29,8 @@ def tokenizer(name: str = "byte_bpe_50k"):
 
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    encoding = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)})
+    return lambda text: encoding.encode(text, allowed_special="all")
 
 
 def differencing(sizes: list[int], windows: int) -> list[list[int]]:
