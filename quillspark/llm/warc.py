@@ -7,16 +7,19 @@ import hashlib
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import remove
+from quillspark.llm.common import remove, written
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
+#: Bytes of payload of one shard, and most shards: beyond, shards grow, so the list of their first keys has a bound.
+SHARD_BYTES, MOST_SHARDS = 8 << 20, 100_000
 MANIFEST = "temp string, file string, records long, bytes long, sha256 string, first_page long, last_page long"
 
 
@@ -61,51 +64,103 @@ def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, block
 
 
-def revisits(pages: DataFrame, least: int = 100) -> DataFrame:
-    """(page_id, digest, refers_to) of the records whose payload a smaller page_id has too. Only digests are shuffled."""
+def payloads(pages: DataFrame) -> DataFrame:
+    """(page_id, digest, bytes) of each payload that a page_id has, with the bytes of all its rows in `total`."""
     payload = F.coalesce("html", F.lit(""))
-    slim = pages.filter((F.octet_length(payload) >= least) & F.col("page_id").isNotNull()).select(F.col("page_id").cast("long"), F.sha2(payload.cast("binary"), 256).alias("digest"))
+    slim = pages.select(F.col("page_id").cast("long"), F.sha2(payload.cast("binary"), 256).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
+    return slim.groupBy("page_id", "digest").agg(F.min("bytes").alias("bytes"), F.sum("bytes").alias("total"))
+
+
+def revisits(slim: DataFrame, least: int = 100) -> DataFrame:
+    """(page_id, digest, refers_to) of the payloads that a smaller page_id has too."""
+    slim = slim.filter((F.col("bytes") >= least) & F.col("page_id").isNotNull()).select("page_id", "digest")
     first = slim.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return slim.join(first, "digest").filter("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
+    return slim.join(first, "digest").filter("page_id <> refers_to").select("page_id", "digest", "refers_to")
+
+
+def _within(digest: Column) -> Column:
+    """A place among the payloads of one page_id, so that an id with very many rows is cut too."""
+    return F.conv(F.substring(digest, 1, 4), 16, 10).cast("long")
+
+
+def _key(page_id: int | None, within: int) -> int:
+    return (-(1 << 63) - 1 if page_id is None else int(page_id)) * 65_536 + int(within)
+
+
+def shard_keys(slim: DataFrame, shard_bytes: int, most: int = MOST_SHARDS) -> list[int]:
+    """First key of each shard: places in the order of page_id (null first) at which as many bytes lie before.
+
+    Ranges are sampled and differ from run to run, but prefix sums over them do not: the sums of whole ranges, one row
+    each, and then of the rows in a range."""
+    order = [F.col("page_id").asc_nulls_first(), "within"]
+    sizes = slim.groupBy("page_id", _within(F.col("digest")).alias("within")).agg(F.sum("total").alias("total"))
+    sizes, path = written(sizes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()), "sizes")
+    sums = sizes.groupBy("range").agg(F.sum("total").alias("of_range"))
+    total = sums.agg(F.sum("of_range")).first()[0] or 0
+    before = F.sum("of_range").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    within = F.sum("total").over(Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select("range", F.coalesce(before, F.lit(0)).alias("before"))
+    x = sizes.withColumn("inside", F.coalesce(within, F.lit(0))).join(sums, "range")
+    size = max(1, shard_bytes, -(-total // most))
+    first = x.groupBy(F.floor((F.col("before") + F.col("inside")) / size).alias("shard")).agg(F.min(F.struct("page_id", "within")).alias("k"))
+    keys = sorted(_key(r["k"]["page_id"], r["k"]["within"]) for r in first.collect())
+    remove(slim.sparkSession, path)
+    return keys
 
 
-def write_archives(pages: DataFrame, root: str, roll_bytes: int = 64 << 20, least: int = 100, level: int = 6) -> DataFrame:
+def write_archives(pages: DataFrame, root: str, roll_bytes: int = 64 << 20, least: int = 100, level: int = 6, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write pages under `root` and return the manifest (file, records, bytes, sha256, first and last page).
 
-    Pages are sorted by page_id over ranges; each range is one task and starts its own files, and a file ends once
-    it has `roll_bytes`. Tasks write under temporary names that no other attempt shares; only files that the
-    manifest of finished tasks names get their final name, the rest goes with the temporary folder. Names, headers and
-    digests depend on the pages alone, so reruns give equal files."""
+    Shards are ranges of page_id with about shard_bytes of payload, cut by exact prefix sums. A shard is sorted and
+    written by one task; its files end once they have `roll_bytes`. Tasks write under temporary names that no
+    other attempt shares; only files that the manifest of finished tasks names get their final name, the rest goes with
+    the temporary folder. Names, headers and digests depend on the pages alone, not on partitions, so reruns give equal
+    files. Rows of one page_id are cut by payload; rows equal in both are in one shard."""
     spark = pages.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    marks = revisits(pages, least).select("page_id", F.lit(0).alias("kind"), "digest", "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
-    rows = pages.select(F.col("page_id").cast("long"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to"), "url", "html")
+    slim, slim_path = written(payloads(pages), "payloads")
+    keys = np.array(shard_keys(slim, shard_bytes), dtype=object)
+
+    @F.pandas_udf("long")
+    def shard_of(page_id: pd.Series, within: pd.Series) -> pd.Series:
+        own = np.array([_key(None if pd.isna(p) else p, w) for p, w in zip(page_id.astype("object"), within)], dtype=object)
+        return pd.Series(np.searchsorted(keys, own, "right") - 1, dtype="int64")
+
+    null = F.lit(None).cast("string")
+    marks = revisits(slim, least).select("page_id", F.lit(0).alias("kind"), "digest", "refers_to", null.alias("url"), null.alias("html"))
+    rows = pages.select(F.col("page_id").cast("long"), F.lit(1).alias("kind"), F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256).alias("digest"), F.lit(None).cast("long").alias("refers_to"), "url", "html")
+    # ids go to Python as text: a column of longs with nulls would turn to doubles
+    both = marks.unionByName(rows).withColumn("within", _within(F.col("digest")))
+    both = both.withColumn("shard", shard_of(F.col("page_id").cast("string"), "within")).repartition("shard")
     # a mark precedes the pages of its id: one shuffle of the texts serves sorting and deduplication
-    both = marks.unionByName(rows).repartitionByRange(n, F.col("page_id").asc_nulls_first()).sortWithinPartitions(F.col("page_id").asc_nulls_first(), "kind", "digest", "url", "html")
+    both = both.sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "within", "kind", "digest", "url", "html")
+    both = both.select("page_id", "kind", "digest", "refers_to", "url", "html", "shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(root)
-        part, temp = TaskContext.get().partitionId(), f"{base}/_temporary/{uuid.uuid4().hex}"
+        temp = f"{base}/_temporary/{uuid.uuid4().hex}"
         done: list[tuple] = []
-        out, sha, size, count, first, last, marks_of, at = None, None, 0, 0, None, None, {}, None
+        out, sha, size, count, first, last, marks_of, at, part, rolled = None, None, 0, 0, None, None, {}, None, None, 0
 
         def close():
             out.close()
-            done.append((name, f"{base}/part-{part:06d}-{len(done):05d}.warc.gz", count, size, sha.hexdigest(), first, last))
+            done.append((name, f"{base}/part-{part:06d}-{rolled:05d}.warc.gz", count, size, sha.hexdigest(), first, last))
 
         for batch in batches:
             ids, kinds, digests, refers, urls = (batch.column(i).to_pylist() for i in range(5))
-            for i, page_id in enumerate(ids):
+            for i, (page_id, shard) in enumerate(zip(ids, batch.column(6).to_pylist())):
+                if shard != part:
+                    if out is not None:
+                        close()
+                    out, part, rolled, at = None, shard, 0, ()
                 if page_id != at:
                     at, marks_of = page_id, {}
                 if not kinds[i]:
                     marks_of[digests[i]] = refers[i]
                     continue
                 payload = (batch.column(5)[i].as_py() or "").encode()
-                ref = marks_of.get(hashlib.sha256(payload).hexdigest()) if marks_of else None
-                member = record(page_id, urls[i], payload, ref, level)
+                member = record(page_id, urls[i], payload, marks_of.get(digests[i]), level)
                 if out is None:
                     store.create_dir(temp, recursive=True)
                     name = f"{temp}/{len(done):05d}.warc.gz"
@@ -115,7 +170,7 @@ def write_archives(pages: DataFrame, root: str, roll_bytes: int = 64 << 20, leas
                 size, count, last = size + len(member), count + 1, page_id
                 if size >= roll_bytes:
                     close()
-                    out = None
+                    out, rolled = None, rolled + 1
         if out is not None:
             close()
         columns = list(zip(*done)) if done else [[]] * 7
@@ -135,7 +190,7 @@ def write_archives(pages: DataFrame, root: str, roll_bytes: int = 64 << 20, leas
     both.mapInArrow(run, MANIFEST).write.parquet(f"{root}/_temporary_manifest")
     manifest = spark.read.schema(MANIFEST).parquet(f"{root}/_temporary_manifest")
     manifest.mapInArrow(rename, MANIFEST).drop("temp").write.parquet(f"{root}/_manifest")
-    remove(spark, f"{root}/_temporary", f"{root}/_temporary_manifest")
+    remove(spark, f"{root}/_temporary", f"{root}/_temporary_manifest", slim_path)
     return spark.read.parquet(f"{root}/_manifest")
 
 
