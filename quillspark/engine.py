@@ -7,41 +7,41 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark import storage
 from quillspark.operators import dense, filters, fusion, ingest, lexical
+from quillspark.operators.postings import Index
+from quillspark.segments import Segments
 from quillspark.sources import markdown, readers, scripture
 
 
 class Engine:
-    """Chunks, units and vectors of one collection under `root`, as Parquet in generations that are published whole."""
+    """Units, chunks and postings of one collection under `root`, in segments and generations that are published whole."""
 
     def __init__(self, spark: SparkSession, root: str, embed: Callable[[DataFrame, str], DataFrame] | None = None):
-        self.spark, self.root, self.embed = spark, root.rstrip("/"), embed
+        self.spark, self.embed, self.store = spark, embed, Segments(spark, root)
+        self.index = Index(self.store)
 
     def generation(self) -> int:
-        return storage.generation(self.spark, self.root)
+        return self.store.generation()
 
     def table(self, name: str, generation: int | None = None) -> DataFrame:
-        return storage.published(self.spark, self.root, name, generation)
+        return self.store.read(name, generation).drop("segment")
+
+    def _write(self, texts: DataFrame, segment: str) -> None:
+        units = ingest.paragraphs(texts, lines_are_units=True).withColumn("boundary", F.lit(0))
+        self.store.write(segment, "units", units)
+        self.store.write(segment, "chunks", ingest.children(units))
+        self.index.write(self.store.table(segment, "chunks"), segment)
 
     def ingest(self, texts: DataFrame) -> int:
-        """Texts (source_id long, text) as a new generation of units and child chunks."""
-        return self._publish(texts, self.generation())
+        """Texts (source_id long, text) as a new generation of units, child chunks and postings."""
+        return self.store.rewrite(lambda segment: self._write(texts, segment), texts)
 
     def replace(self, texts: DataFrame) -> int:
         """A new generation in which the units and chunks of the sources in texts are new, and all others are kept.
 
-        A source with a null text has nothing left. Rows of other sources are filtered, not made again."""
-        now = self.generation()
-        return self._publish(texts.filter("text IS NOT NULL"), now, texts.select("source_id").distinct())
-
-    def _publish(self, texts: DataFrame, now: int, replaced: DataFrame | None = None) -> int:
-        units = ingest.paragraphs(texts, lines_are_units=True).withColumn("boundary", F.lit(0))
-        tables = {"units": units, "chunks": ingest.children(units)}
-        if now and replaced is not None:
-            kept = {name: self.table(name, now).join(replaced, "source_id", "left_anti") for name in tables}
-            tables = {name: new.unionByName(kept[name], allowMissingColumns=True) for name, new in tables.items()}
-        return storage.publish(self.spark, self.root, tables, after=now)
+        A source with a null text has nothing left. Rows of other sources stay in the segments that hold them."""
+        some = texts.filter("text IS NOT NULL")
+        return self.store.replace(lambda segment: self._write(some, segment), some, texts)
 
     def ingest_folder(self, folder: str, ignore: list[str] | None = None) -> DataFrame:
         """Units of all files that a parser reads, by path: plaintext, Markdown, JSON and scripture."""
@@ -54,20 +54,25 @@ class Engine:
         return plain.unionByName(marked).unionByName(data).unionByName(verses)
 
     def retrieve(self, questions: DataFrame, limit: int = 12, scope: DataFrame | None = None, vectors: DataFrame | None = None, question_vectors: DataFrame | None = None) -> DataFrame:
-        """Ranked chunks for questions (query_id, text): BM25, fused with dense neighbours where vectors are given."""
-        chunks = self.table("chunks").select(F.xxhash64("chunk_id").alias("chunk_id"), "source_id", "text")
+        """Ranked chunks for questions (query_id, text): BM25, fused with dense neighbours where vectors (chunk_id,
+        embedding) are given. A scope (source_id) holds before anything is ranked."""
+        chunks = self.table("chunks").select("chunk_id", "source_id", "text")
         if scope is not None:
             chunks = filters.in_scope(chunks, scope, "source_id")
-        lists = lexical.bm25_top_k(chunks, questions, 50).select("query_id", "chunk_id", "rank")
+        lists = lexical.index_top_k(self.index, questions, 50, within=chunks if scope is not None else None).select("query_id", "chunk_id", "rank")
         if vectors is not None:
             near = dense.dense_top_k(vectors.join(chunks.select("chunk_id"), "chunk_id", "left_semi"), question_vectors, 80)
             lists = lists.unionByName(near.select("query_id", "chunk_id", "rank"))
         return fusion.rrf(lists, limit).join(chunks, "chunk_id")
 
+    def search(self, queries: DataFrame, limit: int = 12) -> DataFrame:
+        """Ranked chunks for queries (query_id, text) with phrases and + and - before words (`lexical.clauses`)."""
+        return lexical.boolean_top_k(self.index, queries, limit).join(self.table("chunks").select("chunk_id", "source_id", "text"), "chunk_id")
+
     def evidence(self, hits: DataFrame) -> DataFrame:
-        """The units behind hits (query_id, rank, chunk_id), in order, each once a query."""
-        chunks = self.table("chunks").select(F.xxhash64("chunk_id").alias("chunk_id"), "source_id", "first_unit", "last_unit")
-        x = hits.select("query_id", "rank", "chunk_id").join(chunks, "chunk_id")
-        x = x.select("query_id", "rank", "source_id", F.explode(F.sequence("first_unit", "last_unit")).alias("position"))
+        """The units behind hits (query_id, rank, chunk_id), by the spans of the chunks, each once a query; units whose
+        text a chunk carries over from the one before are among them."""
+        spans = self.table("chunks").select("chunk_id", "source_id", F.explode("spans.unit").alias("position"))
+        x = hits.select("query_id", "rank", "chunk_id").join(spans, "chunk_id")
         first = x.groupBy("query_id", "source_id", "position").agg(F.min("rank").alias("rank"))
         return first.join(self.table("units").select("source_id", F.col("position").cast("long").alias("position"), "text", "text_hash"), ["source_id", "position"])

@@ -1,4 +1,4 @@
-"""BM25 top-k of many queries at once."""
+"""BM25 top-k of many queries at once, and clauses of phrases, required, excluded and field terms, over postings."""
 
 from __future__ import annotations
 
@@ -15,24 +15,25 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
 
 
-def scored_terms(docs: DataFrame, queries: DataFrame, scope: list[str] | None = None, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, chunk_id, term, weight) for docs (chunk_id, text and the scope columns).
+def _idf(n: Column, df: Column) -> Column:
+    return F.greatest(F.ln((n - df + 0.5) / (df + 0.5)), F.lit(1e-6))
 
-    Only postings of terms that a query holds are kept: each document's terms are cut to those before they are
-    exploded. Numbers of documents and mean lengths are taken over the whole corpus, or within each value of scope."""
+
+def _saturated(tf: Column, length: Column, mean_length: Column, k1: float, b: float) -> Column:
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean_length))
+
+
+def weighted_terms(postings: DataFrame, lengths: DataFrame, q: DataFrame, scope: list[str] | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, chunk_id, term, weight) of postings (chunk_id, length, term, tf and the scope columns) of the terms q
+    (query_id, term). Numbers of chunks and mean lengths are taken over `lengths` (length and the scope columns), one row
+    a chunk, or within each value of scope."""
     scope = scope or []
-    q = query_terms(queries)
-    # grouping keeps one row a term; Spark broadcasts it while its size allows
-    wanted = q.select("term").distinct()
-    d = docs.select("chunk_id", *scope, terms(F.col("text")).alias("t")).withColumn("length", F.size("t"))
-    stats = d.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
-    tf = d.select("chunk_id", *scope, "length", F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy("chunk_id", *scope, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
-    x = tf.join(df, [*scope, "term"])
+    stats = lengths.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
+    df = postings.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
+    x = postings.join(df, [*scope, "term"])
     x = x.join(stats, scope) if scope else x.crossJoin(F.broadcast(stats))  # stats is one row
-    idf = F.greatest(F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    return x.select("chunk_id", "term", (idf * part).alias("weight")).join(q, "term")
+    weight = _idf(F.col("n"), F.col("df")) * _saturated(F.col("tf"), F.col("length"), F.col("mean_length"), k1, b)
+    return x.select("chunk_id", "term", weight.alias("weight")).join(q, "term")
 
 
 def ranked(scores: DataFrame, k: int, score: Column | str = "score") -> DataFrame:
@@ -42,16 +43,92 @@ def ranked(scores: DataFrame, k: int, score: Column | str = "score") -> DataFram
     return x.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def _summed(weights: DataFrame, k: int) -> DataFrame:
+    return ranked(weights.groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("score")), k)
+
+
+def _scan(docs: DataFrame, name: str, wanted: DataFrame, scope: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Postings of the wanted terms and lengths of a text column, without an index: texts are cut into terms once, and
+    rows are made of distinct terms, not of tokens."""
+    from quillspark.operators.postings import counted
+
+    keys = F.struct(*(scope or ["chunk_id"]))
+    p = counted(docs.select("chunk_id", keys.alias("source_id"), F.col(name).alias("text")), ["text"]).join(wanted, "term", "left_semi")
+    lengths = docs.select(*scope, F.coalesce(F.size(terms(F.col(name))), F.lit(0)).alias("length"))
+    return p.select("chunk_id", *(F.col(f"source_id.{s}").alias(s) for s in scope), "length", "term", "tf"), lengths
+
+
 def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, scope: list[str] | None = None, k1: float = K1, b: float = B) -> DataFrame:
-    """query_id, chunk_id, score and rank. For a scope filter, filter docs before."""
-    sums = scored_terms(docs, queries, scope, k1, b).groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("score"))
-    return ranked(sums, k)
+    """query_id, chunk_id, score and rank over docs (chunk_id, text and the scope columns) that no index holds. For a scope
+    filter, filter docs before."""
+    q = query_terms(queries)
+    p, lengths = _scan(docs, "text", q.select("term").distinct(), scope or [])
+    return _summed(weighted_terms(p, lengths, q, scope, k1, b), k)
 
 
-def bm25_fields_top_k(docs: DataFrame, queries: DataFrame, fields: dict[str, float], k: int) -> DataFrame:
-    """Weighted sum of each field's BM25."""
-    parts = None
-    for name, boost in fields.items():
-        one = scored_terms(docs.select("chunk_id", F.col(name).alias("text")), queries).select("query_id", "chunk_id", (F.col("weight") * boost).alias("weight"))
+def _held(index, wanted: DataFrame, name: str, scope: list[str], within: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    p, docs = index.postings(wanted, [name]), index.docs()
+    if within is not None:
+        p, docs = (x.join(within.select("chunk_id"), "chunk_id", "left_semi") for x in (p, docs))
+    if scope and scope != ["source_id"]:
+        p = p.join(docs.select("chunk_id", *scope), "chunk_id")
+    return p.select("chunk_id", *scope, "length", "term", "tf"), docs.select(*scope, F.col(f"length_{name}").alias("length"))
+
+
+def index_top_k(index, queries: DataFrame, k: int, scope: list[str] | None = None, within: DataFrame | None = None, fields: dict[str, float] | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """query_id, chunk_id, score and rank from an index's postings of the queries' terms alone.
+
+    `within` (chunk_id) holds before anything is counted; `scope` names kept columns within whose values chunks are
+    counted; `fields` are summed by their weights."""
+    q, parts = query_terms(queries), None
+    wanted = q.select("term").distinct()
+    for name, boost in (fields or {"text": 1.0}).items():
+        p, lengths = _held(index, wanted, name, scope or [], within)
+        one = weighted_terms(p, lengths, q, scope, k1, b).select("query_id", "chunk_id", (F.col("weight") * boost).alias("weight"))
         parts = one if parts is None else parts.unionByName(one)
-    return ranked(parts.groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("score")), k)
+    return _summed(parts, k)
+
+
+def clauses(queries: DataFrame, fields: list[str]) -> DataFrame:
+    """(query_id, clause, sign, field, terms) of queries (query_id, text) in the usual syntax: words and "phrases", before
+    them + (required) or - (excluded), and a field's name and a colon; without a field, a clause is one for each.
+
+    The clause is its place in the query. A word with marks inside is a phrase of its parts; clauses without letters or
+    digits are none."""
+    pattern = r'([+-]?)(?:(\w+):)?("[^"]*"|[^\s"]+)'
+    found = queries.select("query_id", F.posexplode(F.regexp_extract_all("text", F.lit(r'[+-]?(?:\w+:)?(?:"[^"]*"|[^\s"]+)'), F.lit(0))).alias("clause", "raw"))
+    part = lambda i: F.regexp_extract("raw", pattern, i)
+    known = part(2).isin(*fields)
+    # a word before a colon that names no field belongs to the clause
+    body = F.when(known | (part(2) == ""), part(3)).otherwise(F.concat_ws(" ", part(2), part(3)))
+    x = found.select("query_id", "clause", part(1).alias("sign"), F.when(known, F.array(part(2))).otherwise(F.array(*map(F.lit, fields))).alias("f"), terms(body).alias("terms"))
+    return x.filter(F.size("terms") > 0).select("query_id", "clause", "sign", F.explode("f").alias("field"), "terms")
+
+
+def boolean_top_k(index, queries: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """query_id, chunk_id, score and rank of queries in the syntax of `clauses`.
+
+    A phrase holds where its terms stand side by side in one field, as often as they do; its idf is the sum of its
+    terms'. A chunk must hold every required clause and no excluded one in any of the clause's fields, and some clause
+    that is not excluded; these are summed."""
+    c = clauses(queries, index.fields)
+    words = c.select("query_id", "clause", "field", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("offset", "term"))
+    p = index.postings(words.select("term"), index.fields).select("field", "term", "chunk_id", "length", "tf", "positions")
+    stats = None
+    for name in index.fields:
+        one = index.docs().agg(F.lit(name).alias("field"), F.count(F.lit(1)).alias("n"), F.avg(f"length_{name}").alias("mean_length"))
+        stats = one if stats is None else stats.unionByName(one)
+    df = p.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    known = words.join(df, ["field", "term"]).join(stats, "field").withColumn("idf", _idf(F.col("n"), F.col("df")))
+    starts = F.transform("positions", lambda x: x - F.col("offset"))
+    x = known.join(p, ["field", "term"]).select("query_id", "clause", "field", "chunk_id", "n_terms", "idf", "length", "mean_length", "offset", starts.alias("starts"))
+    x = x.groupBy("query_id", "clause", "field", "chunk_id").agg(
+        F.first("n_terms").alias("n_terms"), F.count(F.lit(1)).alias("held"), F.sum("idf").alias("idf"), F.first("length").alias("length"), F.first("mean_length").alias("mean_length"), F.collect_list("starts").alias("starts"))
+    x = x.filter("held = n_terms").withColumn("tf", F.size(F.aggregate(F.slice("starts", 2, F.size("starts")), F.col("starts")[0], F.array_intersect))).filter("tf > 0")
+    held = x.select("query_id", "clause", "chunk_id", (F.col("idf") * _saturated(F.col("tf"), F.col("length"), F.col("mean_length"), k1, b)).alias("weight"))
+    held = held.groupBy("query_id", "clause", "chunk_id").agg(F.sum("weight").alias("weight")).join(c.select("query_id", "clause", "sign").distinct(), ["query_id", "clause"])
+    needed = c.filter("sign = '+'").groupBy("query_id").agg(F.countDistinct("clause").alias("needed"))
+    sums = held.groupBy("query_id", "chunk_id").agg(
+        F.sum(F.when(F.col("sign") != "-", F.col("weight"))).alias("score"), F.count_if(F.col("sign") == "+").alias("required"), F.count_if(F.col("sign") == "-").alias("excluded"))
+    sums = sums.join(needed, "query_id", "left").filter("excluded = 0 AND score IS NOT NULL AND required = coalesce(needed, 0)")
+    return ranked(sums.select("query_id", "chunk_id", "score"), k)

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import terms
 from quillspark.operators import dense, filters, fusion, lexical
+from quillspark.operators.postings import Index
 from quillspark.plans.registry import query, terms_sql
-from quillspark.storage import table
+from quillspark.segments import Segments
+from quillspark.storage import fingerprint, new_path, table
 
 BM25_K, DENSE_K, LIMIT = 50, 80, 12
 #: Vectors whose id is divisible by this are the queries, asked against all vectors.
@@ -18,6 +21,29 @@ def chunks(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source", "lang")
 
 
+def indexed(spark, d):
+    """The documents as an index takes them: a heading (the first line) beside the text, sources replaceable one by one."""
+    return chunks(spark, d).select("chunk_id", F.col("source").alias("source_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("heading"), "text", "source", "lang")
+
+
+def new_index(spark) -> Index:
+    return Index(Segments(spark, new_path(spark, "lexical")), fields=["text", "heading"], keep=["source", "lang"])
+
+
+#: The index of each folder of tables that this application has searched, with the state of the files it was made from.
+_KEPT: dict[tuple[str, str], tuple[str, Index]] = {}
+
+
+def index(spark, d) -> Index:
+    """The kept index of the documents: made by the first query that needs it, made anew where their files have changed."""
+    key, state = (spark.sparkContext.applicationId, d), fingerprint(spark, f"{d}/documents.parquet")
+    if _KEPT.get(key, ("", None))[0] != state:
+        made = new_index(spark)
+        made.build(indexed(spark, d))
+        _KEPT[key] = state, made
+    return _KEPT[key][1]
+
+
 def questions(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -69,10 +95,10 @@ ASKED = "q.vec_id IN (SELECT item_id FROM benchmark)"
 
 def lists(spark, d, scope: DataFrame | None = None):
     """Both lists of every question, over the chunks of `scope` (chunk_id) where one is given: it holds before the cut."""
-    c, v = chunks(spark, d), vectors(spark, d)
+    v = vectors(spark, d)
     if scope is not None:
-        c, v = (x.join(scope, "chunk_id", "left_semi") for x in (c, v))
-    return lexical.bm25_top_k(c, questions(spark, d), BM25_K), dense.dense_top_k(v, question_vectors(spark, d), DENSE_K)
+        v = v.join(scope, "chunk_id", "left_semi")
+    return lexical.index_top_k(index(spark, d), questions(spark, d), BM25_K, within=scope), dense.dense_top_k(v, question_vectors(spark, d), DENSE_K)
 
 
 COLUMNS = ["query_id", "chunk_id", "score", "rank"]
@@ -80,18 +106,20 @@ COLUMNS = ["query_id", "chunk_id", "score", "rank"]
 
 @query(f"WITH {bm25_sql('r')} SELECT query_id, chunk_id, score, rank FROM r")
 def bm25_topk(spark, d):
-    return lexical.bm25_top_k(chunks(spark, d), questions(spark, d), BM25_K).select(*COLUMNS)
+    """Reads only the postings of the questions' terms."""
+    return lexical.index_top_k(index(spark, d), questions(spark, d), BM25_K).select(*COLUMNS)
 
 
 @query(f"""WITH {bm25_sql('r', where="source IN ('src1', 'src2', 'src3')")} SELECT query_id, chunk_id, score, rank FROM r""")
 def bm25_topk_scoped(spark, d):
     scope = spark.createDataFrame([("src1",), ("src2",), ("src3",)], "source string")
-    return lexical.bm25_top_k(filters.in_scope(chunks(spark, d), scope), questions(spark, d), BM25_K).select(*COLUMNS)
+    held = index(spark, d)
+    return lexical.index_top_k(held, questions(spark, d), BM25_K, within=filters.in_scope(held.docs(), scope)).select(*COLUMNS)
 
 
 @query(f"WITH {bm25_sql('r', scope='source')} SELECT query_id, chunk_id, score, rank FROM r")
 def bm25_idf_per_source(spark, d):
-    return lexical.bm25_top_k(chunks(spark, d), questions(spark, d), BM25_K, scope=["source"]).select(*COLUMNS)
+    return lexical.index_top_k(index(spark, d), questions(spark, d), BM25_K, scope=["source"]).select(*COLUMNS)
 
 
 @query(f"""WITH {bm25_sql('a', text="split_part(text, chr(10), 1)", k=1_000_000_000)}, {bm25_sql('b', k=1_000_000_000)},
@@ -99,8 +127,53 @@ u AS (SELECT query_id, chunk_id, 2.0::DOUBLE * w AS w FROM a_w UNION ALL SELECT
 s AS (SELECT query_id, chunk_id, round(sum(w), 6) AS score FROM u GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM s) WHERE rank <= {BM25_K}""")
 def bm25f_topk(spark, d):
-    x = chunks(spark, d).withColumn("heading", F.split_part("text", F.lit("\n"), F.lit(1)))
-    return lexical.bm25_fields_top_k(x, questions(spark, d), {"heading": 2.0, "text": 1.0}, BM25_K).select(*COLUMNS)
+    return lexical.index_top_k(index(spark, d), questions(spark, d), BM25_K, fields={"heading": 2.0, "text": 1.0}).select(*COLUMNS)
+
+
+@query(f"""WITH {bm25_sql('r', where="source <> 'src1' OR doc_id % 2 = 0")} SELECT query_id, chunk_id, score, rank FROM r""")
+def bm25_after_replace(spark, d):
+    """One source replaced by half of its documents: the other sources' postings are not written again."""
+    held, docs = new_index(spark), indexed(spark, d)
+    held.build(docs)
+    some = docs.filter("source_id = 'src1'")
+    held.replace(some.filter("chunk_id % 2 = 0"), some.select("source_id"))
+    return lexical.index_top_k(held, questions(spark, d), BM25_K).select(*COLUMNS)
+
+
+@query(f"""WITH x AS (SELECT doc_id, 'text' AS field, {terms_sql('text')} AS t FROM documents UNION ALL SELECT doc_id, 'heading', {terms_sql('split_part(text, chr(10), 1)')} FROM documents)
+SELECT field, count(*) AS chunks, sum(coalesce(len(t), 0))::BIGINT AS tokens, sum(coalesce(len(list_distinct(t)), 0))::BIGINT AS postings, len(list_distinct(flatten(list(t))))::BIGINT AS terms FROM x GROUP BY 1""")
+def corpus_stats(spark, d):
+    """What scoring takes over the whole corpus, from the index alone."""
+    held = index(spark, d)
+    p = held.postings().groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")).groupBy("field").agg(F.sum("df").alias("postings"), F.count(F.lit(1)).alias("terms"))
+    docs = held.docs().select(F.explode(F.create_map(F.lit("text"), "length_text", F.lit("heading"), "length_heading")).alias("field", "length"))
+    return docs.groupBy("field").agg(F.count(F.lit(1)).alias("chunks"), F.sum("length").cast("long").alias("tokens")).join(p, "field")
+
+
+#: Places of the words (from 1) that a clause query takes from a question: one it needs, a phrase, one that no heading may
+#: hold, one that it may have.
+_CLAUSES_SQL = f"""WITH d AS (SELECT doc_id, 'text' AS field, {terms_sql('text')} AS t FROM documents UNION ALL SELECT doc_id, 'heading', {terms_sql('split_part(text, chr(10), 1)')} FROM documents),
+st AS (SELECT field, count(*) AS n, avg(coalesce(len(t), 0)) AS m FROM d GROUP BY 1),
+w AS (SELECT doc_id, field, len(t) AS length, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM d),
+f AS (SELECT field, term, count(DISTINCT doc_id) AS df FROM w GROUP BY ALL),
+q AS (SELECT item_id AS query_id, {terms_sql('text')} AS t FROM benchmark),
+c AS (SELECT query_id, 0 AS clause, '+' AS sign, unnest(['text', 'heading']) AS field, t[1:1] AS ts FROM q UNION ALL SELECT query_id, 1, '', unnest(['text', 'heading']), t[3:4] FROM q
+  UNION ALL SELECT query_id, 2, '-', 'heading', t[5:5] FROM q UNION ALL SELECT query_id, 3, '', unnest(['text', 'heading']), t[7:7] FROM q),
+o AS (SELECT query_id, clause, field, len(ts) AS k, unnest(ts) AS term, generate_subscripts(ts, 1) AS off FROM c),
+h AS (SELECT query_id, clause, field, doc_id, pos - off AS start, k, any_value(length) AS length FROM o JOIN w USING (field, term) GROUP BY ALL HAVING count(*) = k),
+i AS (SELECT query_id, clause, field, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6)) AS idf FROM o JOIN f USING (field, term) JOIN st USING (field) GROUP BY ALL),
+s AS (SELECT query_id, clause, field, doc_id, any_value(length) AS length, count(*) AS tf FROM h GROUP BY ALL),
+p AS (SELECT query_id, clause, doc_id, sum(idf * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / m)))) AS weight FROM s JOIN i USING (query_id, clause, field) JOIN st USING (field) GROUP BY ALL),
+r AS (SELECT query_id, doc_id AS chunk_id, round(sum(CASE WHEN clause <> 2 THEN weight END), 6) AS score, count(CASE WHEN clause = 0 THEN 1 END) AS needed, count(CASE WHEN clause = 2 THEN 1 END) AS barred FROM p GROUP BY ALL)
+SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM r WHERE needed = 1 AND barred = 0 QUALIFY rank <= {BM25_K}"""
+
+
+@query(_CLAUSES_SQL)
+def clauses_topk(spark, d):
+    """+word "two words" -heading:word word, over both fields, by positions in the postings."""
+    t = terms(F.col("text"))
+    text = F.concat(F.lit("+"), t[0], F.lit(' "'), t[2], F.lit(" "), t[3], F.lit('" -heading:'), t[4], F.lit(" "), t[6])
+    return lexical.boolean_top_k(index(spark, d), questions(spark, d).select("query_id", text.alias("text")), BM25_K).select(*COLUMNS)
 
 
 @query(f"WITH {dense_sql('r')} SELECT query_id, chunk_id, score, rank FROM r")
@@ -179,7 +252,7 @@ def fusion_explain(spark, d):
 
 @query(f"WITH {bm25_sql('r', k=12)} SELECT query_id, chunk_id, score, rank FROM r WHERE rank > 5 AND rank <= 10")
 def retrieve_page(spark, d):
-    return fusion.page(lexical.bm25_top_k(chunks(spark, d), questions(spark, d), 12), 2, 5, 12).select(*COLUMNS)
+    return fusion.page(lexical.index_top_k(index(spark, d), questions(spark, d), 12), 2, 5, 12).select(*COLUMNS)
 
 
 @query("""WITH e AS (SELECT event_id // 2 AS chunk_id, CASE WHEN event_type = 'click' THEN 'Generated' WHEN event_type = 'view' THEN 'Image' ELSE 'Text' END AS kind FROM events)

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quillspark.operators.catalog import latest
 from quillspark.operators.ingest import paragraphs
-from quillspark.storage import generation, publish, published, remove
+from quillspark.storage import publish, published, remove, settled
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -59,7 +59,7 @@ def applied_mutations(batch: DataFrame, state: str) -> int:
     Readers see one generation or the next, never part of one. A batch that is delivered again changes nothing, and the
     generation before the last is deleted."""
     spark = batch.sparkSession
-    now = generation(spark, state)
+    now = settled(spark, state)
     rows = batch.select("id", "version", "op", "value")
     if now:
         rows = rows.unionByName(published(spark, state, "rows"))
