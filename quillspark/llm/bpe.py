@@ -6,7 +6,7 @@ import base64
 import codecs
 import os
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 #: Characters of text whose pieces are held at once; pieces of a longer text held at once; pieces kept from one chunk to the next.
 CHUNK, PIECES, KEPT = 2_000_000, 400_000, 300_000
-#: Pieces of more characters are not kept.
-LONG_PIECE = 64
 
 
 def byte_characters() -> dict[int, str]:
@@ -39,7 +37,7 @@ class Encoder:
     two tokens that make a third, and goes before another if its result ranks lower; a piece that is a token stays
     whole. Ids of pieces met before are kept."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, offsets: bool = False):
         from tokenizers import Tokenizer, models, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -48,8 +46,9 @@ class Encoder:
         merges = [(name[t[:i]], name[t[i:]]) for t in sorted(ranks, key=ranks.get) for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.library = Tokenizer(models.BPE({name[t]: r for t, r in ranks.items()}, merges, ignore_merges=True))
         self.library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.pattern = regex.compile(pattern)
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.pattern, self.offsets = regex.compile(pattern), offsets
+        self.known: dict[str, bytes] = {}
+        self.spans: dict[str, np.ndarray] = {}
 
     def _cut(self, text: str) -> Iterator[list[str]]:
         if len(text) <= CHUNK:
@@ -60,48 +59,54 @@ class Encoder:
                 yield some
 
     def _learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.known]
-        for p, e in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
-            self.known[p] = np.array(e.ids, "<u4").tobytes(), np.array(e.offsets, "<i4").tobytes()
-
-    def encode(self, texts: list[str], offsets: bool = False) -> list[tuple[bytes, np.ndarray | None]]:
-        """Each text's ids as little-endian unsigned 32-bit integers and, if asked for, each id's first character and the
+        """Ids of pieces that are not known yet, which the library gets as words of one list."""
+        if new := [p for p in pieces if p not in self.known]:
+            made = self.library.encode(new, is_pretokenized=True, add_special_tokens=False)
+            bounds = np.searchsorted(np.array(made.word_ids), np.arange(len(new) + 1)).tolist()
+            ids = np.array(made.ids, "<u4").tobytes()
+            self.known.update(zip(new, [ids[4 * a : 4 * b] for a, b in pairwise(bounds)]))
+            if self.offsets:
+                spans = np.array(made.offsets, np.int64).reshape(-1, 2)
+                self.spans.update(zip(new, [spans[a:b] for a, b in pairwise(bounds)]))
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, np.ndarray | None]]:
+        """Each text's ids as little-endian unsigned 32-bit integers and, with offsets, each id's first character and the
         one after its last. An id that holds a part of a character spans that character."""
         out, cuts = [], [self._cut(t) for t in texts]
-        if sum(map(len, texts)) <= CHUNK:  # else there is one text, whose pieces come in several lots
+        if short := sum(map(len, texts)) <= CHUNK:  # else there is one text, whose pieces come in several lots
             cuts = [list(c) for c in cuts]
             self._learn({p for c in cuts for lot in c for p in lot})
         for lots in cuts:
-            ids, spans, at = [], [], 0
+            ids, spans, at = [], [np.zeros((0, 2), np.int64)], 0
             for lot in lots:
-                if not isinstance(lots, list):
+                if not short:
                     self._learn(set(lot))
-                ids.append(b"".join([self.known[p][0] for p in lot]))
-                if offsets:
-                    own = [np.frombuffer(self.known[p][1], "<i4") for p in lot]
-                    begins = at + np.cumsum([0, *map(len, lot)])
-                    spans.append((np.concatenate(own) if own else np.zeros(0, np.int32)).reshape(-1, 2) + np.repeat(begins[:-1], [len(x) // 2 for x in own])[:, None])
-                    at = begins[-1]
-                if not isinstance(lots, list):
+                ids.append(b"".join([self.known[p] for p in lot]))
+                if self.offsets:
+                    for p in lot:
+                        spans.append(self.spans[p] + at)
+                        at += len(p)
+                if not short:
                     self._forget()
-            out.append((b"".join(ids), (np.concatenate(spans) if spans else np.zeros((0, 2), int)) if offsets else None))
+            out.append((b"".join(ids), np.concatenate(spans) if self.offsets else None))
         self._forget()
         return out
 
     def _forget(self) -> None:
-        if len(self.known) > KEPT:
+        """Keep what was met while it is not too much."""
+        if len(self.known) > KEPT or sum(map(len, self.known.values())) > 16 * KEPT:
             self.known.clear()
-        for p in [p for p in self.known if len(p) > LONG_PIECE]:
-            del self.known[p]
+            self.spans.clear()
 
 
 class Decoder:
     """Ids to bytes, by the reversed table of byte characters."""
 
     def __init__(self, path: str):
-        byte = {c: b for b, c in byte_characters().items()}
-        name = {rank: "".join(map(byte_characters().__getitem__, token)) for token, rank in read_ranks(path).items()}
-        self.token = {rank: bytes(byte[c] for c in text) for rank, text in name.items()}
+        char = byte_characters()
+        byte = {c: b for b, c in char.items()}
+        name = {rank: "".join(map(char.__getitem__, token)) for token, rank in read_ranks(path).items()}
+        self.token = {rank: bytes(map(byte.__getitem__, text)) for rank, text in name.items()}
 
     def bytes_of(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.token.__getitem__, ids.tolist()))
@@ -139,10 +144,10 @@ def encode(docs: DataFrame, vocabulary: str = "byte_bpe_multi_50k", offsets: boo
     schema = "doc_id long, ids binary" + ", starts array<int>, ends array<int>" * offsets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(*_files(vocabulary))
+        encoder = Encoder(*_files(vocabulary), offsets)
         for batch in batches:
             for lot in _lots(batch, 1):
-                found = encoder.encode([t or "" for t in lot.column(1).to_pylist()], offsets)
+                found = encoder.encode([t or "" for t in lot.column(1).to_pylist()])
                 columns = [lot.column(0), pa.array([ids for ids, _ in found], pa.binary())]
                 if offsets:
                     bounds = pa.array(np.cumsum([0, *(len(s) for _, s in found)]), pa.int32())

@@ -118,8 +118,8 @@ def test_ids_and_bytes_are_those_of_the_other_library(library):
 def test_offsets_and_split_characters(library, monkeypatch):
     path, pattern = bpe._files("byte_bpe_multi_50k")
     texts = ODD_TEXTS + random_texts(2, 200, ["word ", "日", "👩", "\U0001f9ff", "\n"])
-    encoder, decoder = bpe.Encoder(path, pattern), bpe.Decoder(path)
-    whole = encoder.encode(texts, offsets=True)
+    encoder, decoder = bpe.Encoder(path, pattern, offsets=True), bpe.Decoder(path)
+    whole = encoder.encode(texts)
     for text, (ids, spans) in zip(texts, whole):
         place, last = 0, 0
         for i, (lo, hi) in zip(np.frombuffer(ids, "<u4").tolist(), spans.tolist()):
@@ -132,9 +132,9 @@ def test_offsets_and_split_characters(library, monkeypatch):
     monkeypatch.setattr(bpe, "CHUNK", 50)
     monkeypatch.setattr(bpe, "PIECES", 7)
     monkeypatch.setattr(bpe, "KEPT", 5)
-    small = bpe.Encoder(path, pattern)
+    small = bpe.Encoder(path, pattern, offsets=True)
     for text, (ids, spans) in zip(texts, whole):
-        ((a, b),) = small.encode([text], offsets=True)
+        ((a, b),) = small.encode([text])
         assert a == ids and np.array_equal(b, spans)
     assert len(small.known) <= 5
 
