@@ -43,9 +43,14 @@ def startable(tasks: DataFrame) -> DataFrame:
 
 
 def mentioning(payloads: DataFrame, column: str, values: list[str]) -> DataFrame:
-    """Rows whose JSON payload has one of the values at any of its top-level keys."""
-    x = F.map_values(F.from_json(F.col(column), "map<string,string>"))
-    return payloads.filter(F.coalesce(F.exists(x, lambda v: v.isin(*values)), F.lit(False)))
+    """Rows whose JSON payload has one of the values anywhere: in objects and arrays at any depth, never as a key.
+
+    A payload's tokens are its texts, with a colon behind them if they are keys, and its bare numbers and words. What is
+    no JSON has no values."""
+    tokens = F.regexp_extract_all(F.col(column), F.lit(r'("(?:[^"\\]|\\.)*"\s*:?|[^\s,:\[\]{}"]+)'), F.lit(1))
+    plain = lambda t: F.get_json_object(F.concat(F.lit("["), t, F.lit("]")), "$[0]")
+    good = F.get_json_object(F.col(column), "$").isNotNull()
+    return payloads.filter(good & F.coalesce(F.exists(tokens, lambda t: ~t.endswith(":") & plain(t).isin(*values)), F.lit(False)))
 
 
 def near_text(images: DataFrame, units: DataFrame) -> DataFrame:

@@ -68,6 +68,19 @@ def applied_mutations(batch: DataFrame, state: str) -> int:
     return new
 
 
-def event_counts(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Counts by type in tumbling windows of an event stream with a watermark."""
-    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    x = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return x.withWatermark("ts", late) if events.isStreaming else x
+
+
+def event_counts(events: DataFrame, window: str = "1 hour", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
+    """Counts by type in tumbling windows, or sliding ones, of an event stream with a watermark, or of a table."""
+    at = F.window("ts", window, slide) if slide else F.window("ts", window)
+    return _timed(events, late).groupBy(at, "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """Each user's sessions (start, end, n): events less than a gap apart; a session ends a gap after its last event. Takes a
+    stream, for which a session comes out once the watermark has passed its end, or a table."""
+    x = _timed(events, late).groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    return x.select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
