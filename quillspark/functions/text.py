@@ -125,6 +125,14 @@ def ignored(path: Column, patterns: list[str], is_dir: Column | None = None) ->
     return out
 
 
+def first_profile(text: Column, profiles: dict[str, Column], most: int = 200) -> Column:
+    """The name of the first profile that reads the text with certainty; null for none, and for texts of more characters."""
+    out = None
+    for name, sure in profiles.items():
+        out = F.when(sure, name) if out is None else out.when(sure, name)
+    return F.when(F.char_length(text) <= most, out)
+
+
 def metadata_string(metadata: Column, key: str) -> Column:
     return F.nullif(F.trim(F.get_json_object(metadata, f"$.{key}")), F.lit(""))
 

@@ -27,6 +27,15 @@ def hierarchy_edges(rows: DataFrame, child: str, parent: Column) -> DataFrame:
     return x.select(F.explode(F.array(edge("parent", "c", "p"), edge("child", "p", "c"))).alias("e")).select("e.*").distinct()
 
 
+def structural_edges(units: DataFrame, group: str, order: list[str], unit: str, levels: list[str]) -> DataFrame:
+    """All structural edges of units: next and previous in each group's order, and parent and child between each unit and
+    its first level, and each level and the one above (columns of node names, from the nearest up)."""
+    out = sequence_edges(units, group, order, unit)
+    for low, high in zip([unit, *levels], levels):
+        out = out.unionByName(hierarchy_edges(units, low, F.col(high)))
+    return out
+
+
 def section_nodes(units: DataFrame) -> DataFrame:
     """One node for every prefix of a heading path (source_id, heading_path array), with its depth and units below it."""
     prefixes = F.transform(F.sequence(F.lit(1), F.size("heading_path")), lambda i: F.slice("heading_path", F.lit(1), i))
@@ -45,6 +54,7 @@ def hops(edges: DataFrame, seeds: DataFrame, most: int, closed: DataFrame | None
 
     Nodes of `closed` are reached but not passed through. Each hop joins the frontier with the edges; a node already
     reached from that seed is dropped before the next."""
+    # over an adjacency in buckets of from_node this needs no shuffle, and the joins below none of the edges
     e = edges.select(F.col("from_node").alias("node"), F.col("to_node").alias("next")).distinct()
     reached = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hop"), "score")
     frontier = reached
@@ -57,25 +67,6 @@ def hops(edges: DataFrame, seeds: DataFrame, most: int, closed: DataFrame | None
     return reached.filter("hop > 0").select("seed", "node", "hop", F.round(hop_score(F.col("score"), F.col("hop")), 6).alias("score"))
 
 
-def expanded(seeds: list[tuple], neighbours: dict, per_seed: int = 6, total: int = 30) -> list[tuple]:
-    """Budgeted expansion of one query's ranked seeds (node, score): breadth first, seed after seed, with one set of seen
-    nodes and budgets that only nodes that are new consume. Runs on the page of one query, not on the graph."""
-    seen, out = {s for s, _ in seeds}, []
-    for seed, score in seeds:
-        frontier, taken, hop = [seed], 0, 0
-        while frontier and taken < per_seed and len(out) < total:
-            hop, nxt = hop + 1, []
-            for node in frontier:
-                for n in neighbours.get(node, ()):
-                    if n not in seen and taken < per_seed and len(out) < total:
-                        seen.add(n)
-                        nxt.append(n)
-                        out.append((n, seed, hop, score * 0.5 ** max(hop, 1)))
-                        taken += 1
-            frontier = nxt
-    return out
-
-
 def canonical_entities(nodes: DataFrame) -> DataFrame:
     """Entities by type and label key: labels, nodes and sources of each."""
     return nodes.groupBy("entity_type", lookup_key(F.col("label")).alias("key")).agg(

@@ -95,7 +95,7 @@ def write_results(rows: DataFrame, path: str, kind: str) -> None:
     """Results as csv, tsv, json, markdown or snippets, in order of query and rank."""
     x = rows.select(*[c for c in RESULT_COLUMNS if c in rows.columns]).orderBy("query_id", "rank")
     if kind in ("csv", "tsv"):
-        x.write.option("header", "true").option("sep", "," if kind == "csv" else "\t").option("escape", '"').csv(path)
+        x.write.option("header", "true").option("sep", "," if kind == "csv" else "\t").option("escape", '"').option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
     elif kind == "json":
         x.write.json(path)
     elif kind == "markdown":
