@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark import storage
 from quillspark.operators import dense, filters, fusion, ingest, lexical
 from quillspark.operators.postings import Index
 from quillspark.segments import Segments
@@ -30,6 +31,7 @@ class Engine:
         units = ingest.paragraphs(texts, lines_are_units=True).withColumn("boundary", F.lit(0))
         self.store.write(segment, "units", units)
         self.store.write(segment, "chunks", ingest.children(units))
+        self.store.write(segment, "hashes", texts.select("source_id", F.sha2("text", 256).alias("hash")))
         self.index.write(self.store.table(segment, "chunks"), segment)
 
     def ingest(self, texts: DataFrame) -> int:
@@ -43,6 +45,63 @@ class Engine:
         some = texts.filter("text IS NOT NULL")
         return self.store.replace(lambda segment: self._write(some, segment), some, texts)
 
+    def sync(self, texts: DataFrame, force: bool = False, whole: bool = True) -> dict[str, int]:
+        """Take texts (source_id, text) in by the hash of their text; how many sources were added, changed, removed, same.
+
+        Only what is new or other than stored is cut and written; with `force` all of texts is. If texts are the `whole`
+        collection, a source that is not among them is removed; else only one with a null text. Without a difference there
+        is no new generation."""
+        if not self.generation():
+            self.ingest(texts.filter("text IS NOT NULL"))
+            return {"added": texts.filter("text IS NOT NULL").count(), "changed": 0, "removed": 0, "same": 0}
+        now = texts.select("source_id", F.sha2("text", 256).alias("now"), F.lit(True).alias("given"))
+        x = now.join(self.table("hashes"), "source_id", "full")
+        gone = F.col("now").isNull() & (F.lit(whole) | F.coalesce("given", F.lit(False)))
+        what = F.when(F.col("hash").isNull() & F.col("now").isNotNull(), "added").when(F.col("hash").isNotNull() & gone, "removed").when(F.col("now").isNotNull() & (F.lit(force) | (F.col("now") != F.col("hash"))), "changed").otherwise("same")
+        x, path = storage.written(x.select("source_id", what.alias("what")), "sync")
+        counts = {k: 0 for k in ("added", "changed", "removed", "same")} | {r["what"]: r["n"] for r in x.groupBy("what").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if counts["added"] + counts["changed"] + counts["removed"]:
+            other = x.filter("what <> 'same'").select("source_id")
+            some = texts.filter("text IS NOT NULL").join(other, "source_id", "left_semi")
+            self.store.replace(lambda segment: self._write(some, segment), some, other)
+        storage.remove(self.spark, path)
+        return counts
+
+    def _vectors(self, profile: str) -> Segments:
+        return Segments(self.spark, f"{self.store.root}/vectors/{profile}")
+
+    def vectors(self, profile: str) -> DataFrame:
+        """source_id, chunk_id, input_hash and embedding of a profile's vectors."""
+        return self._vectors(profile).read("vectors").drop("segment")
+
+    def build_vectors(self, profile: str) -> dict[str, int]:
+        """Bring a profile's vectors to the chunks: sources, inputs that were embedded, and those that were known.
+
+        Only sources whose chunks and vectors differ are written. `embed` gets each input (input_hash, text) once that no
+        vector of the profile has yet, and returns input_hash and embedding."""
+        store = self._vectors(profile)
+        chunks = self.table("chunks").select("source_id", "chunk_id", "text", F.sha2(F.concat_ws("\n", F.lit(profile), "text"), 256).alias("input_hash"))
+        if store.generation():
+            held = self.vectors(profile)
+            pairs = lambda t: t.select("source_id", "chunk_id")
+            other = pairs(chunks).join(pairs(held), ["source_id", "chunk_id"], "left_anti").unionByName(pairs(held).join(pairs(chunks), ["source_id", "chunk_id"], "left_anti")).select("source_id").distinct()
+            known = held.select("input_hash", "embedding").dropDuplicates(["input_hash"])
+        else:
+            other, known = chunks.select("source_id").distinct(), None
+        other, other_path = storage.written(other, "sources")
+        some = chunks.join(other, "source_id", "left_semi")
+        wanted = some.select("input_hash", "text").dropDuplicates(["input_hash"])
+        missing = wanted if known is None else wanted.join(known, "input_hash", "left_anti")
+        made, made_path = storage.written(self.embed(missing, profile).select("input_hash", F.col("embedding").cast("array<double>").alias("embedding")), "embedded")
+        counts = {"sources": other.count(), "embedded": made.count(), "known": wanted.count()}
+        counts["known"] -= counts["embedded"]
+        if counts["sources"]:
+            every = made if known is None else made.unionByName(known)
+            rows = some.join(every, "input_hash").select("source_id", "chunk_id", "input_hash", "embedding")
+            store.replace(lambda segment: store.write(segment, "vectors", rows), rows.select("source_id"), other)
+        storage.remove(self.spark, other_path, made_path)
+        return counts
+
     def ingest_folder(self, folder: str, ignore: list[str] | None = None) -> DataFrame:
         """Units of all files that a parser reads, by path: plaintext, Markdown, JSON and scripture."""
         files = readers.discover(self.spark, folder, ignore).filter("parser IS NOT NULL")

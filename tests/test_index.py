@@ -175,6 +175,30 @@ def test_engine_keeps_other_sources_and_reads_spans(spark, tmp_path):
     assert both.filter("query_id = 1").count() == min(12, e.table("chunks").count())
 
 
+def test_engine_takes_only_what_differs(spark, tmp_path):
+    asked = []
+
+    def embed(inputs, profile):
+        rows = inputs.collect()
+        asked.append(sorted(r["text"] for r in rows))
+        return spark.createDataFrame([(r["input_hash"], [float(len(r["text"])), 1.0]) for r in rows], "input_hash string, embedding array<double>")
+
+    e = Engine(spark, str(tmp_path), embed)
+    frame = lambda *rows: spark.createDataFrame(rows, "source_id long, text string")
+    assert e.sync(frame((1, "alpha"), (2, "beta"), (3, "alpha"), (4, None))) == {"added": 3, "changed": 0, "removed": 0, "same": 0}
+    assert e.build_vectors("p") == {"sources": 3, "embedded": 2, "known": 0} and e.build_vectors("p") == {"sources": 0, "embedded": 0, "known": 0}
+    assert e.sync(frame((1, "alpha"), (2, "beta"), (3, "alpha"))) == {"added": 0, "changed": 0, "removed": 0, "same": 3} and e.generation() == 1
+    before = files(tmp_path)
+    assert e.sync(frame((1, "alpha"), (2, "gamma alpha"), (5, "beta"))) == {"added": 1, "changed": 1, "removed": 1, "same": 1}
+    assert before.items() <= files(tmp_path).items()
+    assert sorted((r["source_id"], r["text"]) for r in e.table("units").collect()) == [(1, "alpha"), (2, "gamma alpha"), (5, "beta")]
+    # what a vector has been made of before is not embedded again
+    assert e.build_vectors("p") == {"sources": 3, "embedded": 1, "known": 1} and asked[0] == ["alpha", "beta"] and asked[-1] == ["gamma alpha"]
+    assert sorted(r["embedding"][0] for r in e.vectors("p").collect()) == [4.0, 5.0, 11.0]
+    assert e.sync(frame((2, "gamma alpha"), (5, None)), whole=False) == {"added": 0, "changed": 0, "removed": 1, "same": 2}
+    assert e.sync(frame((1, "alpha")), force=True, whole=False)["changed"] == 1 and e.table("units").count() == 2
+
+
 # publication
 
 
