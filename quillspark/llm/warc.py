@@ -130,7 +130,8 @@ def write_archives(pages: DataFrame, root: str, roll_bytes: int = 64 << 20, leas
     rows = pages.select(F.col("page_id").cast("long"), F.lit(1).alias("kind"), F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256).alias("digest"), F.lit(None).cast("long").alias("refers_to"), "url", "html")
     # ids go to Python as text: a column of longs with nulls would turn to doubles
     both = marks.unionByName(rows).withColumn("within", _within(F.col("digest")))
-    both = both.withColumn("shard", shard_of(F.col("page_id").cast("string"), "within")).repartition("shard")
+    # a task gets one shard, whatever the number of shuffle partitions
+    both = both.withColumn("shard", shard_of(F.col("page_id").cast("string"), "within")).repartitionById(max(1, len(keys)), F.col("shard").cast("int"))
     # a mark precedes the pages of its id: one shuffle of the texts serves sorting and deduplication
     both = both.sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "within", "kind", "digest", "url", "html")
     both = both.select("page_id", "kind", "digest", "refers_to", "url", "html", "shard")
