@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.storage import written
+
 #: Trust of a metadata value's origin, highest first.
 ORIGINS = ("manual", "canonical_package", "embedded", "filename", "model_derived")
 
@@ -73,9 +75,38 @@ def buckets(rows: DataFrame, column: str, default: str, n: int) -> DataFrame:
     return rows.groupBy(F.coalesce(F.col(column).cast("string"), F.lit(default)).alias("reason")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "reason").limit(n)
 
 
+def sums_before(rows: DataFrame, group: str, order: list[str], amount: str, name: str) -> DataFrame:
+    """rows with `name`: the sum of `amount` over the rows of the group that precede in the order.
+
+    Rows are dealt to ranges of group and order; ranges are summed, one row each and group, and rows only within their
+    range, so a group of any size is shared out."""
+    x, _ = written(rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("_range", F.spark_partition_id()), "ordered")
+    sums = x.groupBy(group, "_range").agg(F.sum(amount).alias("_sum"))
+    earlier = F.sum("_sum").over(Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(F.col(group).alias("_group"), F.col("_range").alias("_of"), F.coalesce(earlier, F.lit(0)).alias("_earlier"))
+    within = F.sum(amount).over(Window.partitionBy("_range", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    x = x.withColumn("_within", F.coalesce(within, F.lit(0))).join(sums, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_of")))
+    return x.withColumn(name, F.col("_earlier") + F.col("_within")).drop("_range", "_within", "_earlier", "_group", "_of")
+
+
 def queue_positions(rows: DataFrame, kind: str, order: list[str]) -> DataFrame:
     """How many rows of its kind precede each row."""
-    return rows.withColumn("ahead", F.row_number().over(Window.partitionBy(kind).orderBy(*order)) - 1)
+    return sums_before(rows.withColumn("_one", F.lit(1)), kind, order, "_one", "ahead").drop("_one")
+
+
+def percentiles(rows: DataFrame, group: str, value: str, shares: list[float]) -> DataFrame:
+    """(group, share, value): exact percentiles of each group's values, between two values in proportion. Nulls do not count.
+
+    The values at the ranks are picked by sums over distinct values before them; no group's values are in one buffer."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
+    x = sums_before(counts, group, [value], "n", "start")
+    total = x.groupBy(F.col(group).alias("_g")).agg(F.sum("n").alias("total"))
+    rank = F.col("share") * (F.col("total") - 1)
+    x = x.join(total, F.col(group).eqNullSafe(F.col("_g"))).withColumn("share", F.explode(F.array(*map(F.lit, shares)))).withColumn("rank", rank)
+    held = lambda r: (F.col("start") <= r) & (r < F.col("start") + F.col("n"))
+    low, high = F.floor("rank"), F.ceil("rank")
+    x = x.filter(held(low) | held(high)).groupBy(group, "share", "rank").agg(F.max(F.when(held(low), F.col(value))).alias("a"), F.max(F.when(held(high), F.col(value))).alias("b"))
+    return x.select(group, "share", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - F.floor("rank"))).alias("value"))
 
 
 def mutation_faults(batch: DataFrame, committed: DataFrame) -> DataFrame:

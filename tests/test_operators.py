@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import adjacency, audit, diversity, evidence, expansion, extents, folds, graph, reports, research
+from quillspark.operators import adjacency, audit, catalog, diversity, evidence, expansion, extents, folds, graph, reports, research
 from quillspark.segments import Segments
 from quillspark.streaming import files
 
@@ -219,6 +219,25 @@ def test_values_are_found_at_any_depth(spark):
     assert sorted(r["i"] for r in evidence.mentioning(t, "p", ["22", "true"]).collect()) == [4]
 
 
+# orders of large groups
+
+
+def test_percentiles_and_positions_equal_sorted_lists(spark):
+    rng = random.Random(11)
+    rows = [(g, rng.choice([rng.randrange(20), None]) if g else 1, i) for i, g in enumerate(["a"] * 200 + ["b"] * 7 + [None] * 5 + ["c"])]
+    t = spark.createDataFrame([(g, None if v is None else float(v), i) for g, v, i in rows], "g string, v double, i long").repartition(5)
+    got = {(r["g"], r["share"]): r["value"] for r in catalog.percentiles(t, "g", "v", [0.0, 0.3, 0.95, 1.0]).collect()}
+    for g in ("a", "b", None, "c"):
+        values = sorted(v for h, v, _ in rows if h == g and v is not None)
+        for share in (0.0, 0.3, 0.95, 1.0) if values else ():
+            k = share * (len(values) - 1)
+            a, b = values[int(k)], values[min(int(k) + (k > int(k)), len(values) - 1)]
+            assert abs(got[g, share] - (a + (b - a) * (k - int(k)))) < 1e-9
+    ahead = {r["i"]: r["ahead"] for r in catalog.queue_positions(t, "g", ["v", "i"]).collect()}
+    key = lambda r: (r[1] is not None, r[1] or 0, r[2])
+    assert ahead == {i: sum(key(o) < key((g, v, i)) for o in rows if o[0] == g) for g, v, i in rows}
+
+
 # adjacency
 
 
