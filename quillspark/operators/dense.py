@@ -181,7 +181,7 @@ def max_sim_top_k(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     docs: chunk_id and d_tokens, queries: query_id and q_tokens (arrays of vectors of one length; others take no
     part). Ids of docs are unique. The same join of blocks as dense_top_k."""
     d, q = (
-        _with_id(t, name).select("id", F.size(F.col(tokens)[0]).alias("width"), F.col(tokens).cast("array<array<double>>").alias("t"))
+        _with_id(t, name).select("id", F.size(F.get(tokens, F.lit(0))).alias("width"), F.col(tokens).cast("array<array<double>>").alias("t"))
         .filter("width > 0 AND forall(t, v -> size(v) = width)").select("id", "width", F.flatten("t").alias("x"))
         for t, name, tokens in ((docs, "chunk_id", "d_tokens"), (queries, "query_id", "q_tokens"))
     )

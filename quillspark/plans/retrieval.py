@@ -172,7 +172,9 @@ SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER
 def clauses_topk(spark, d):
     """+word "two words" -heading:word word, over both fields, by positions in the postings."""
     t = terms(F.col("text"))
-    text = F.concat(F.lit("+"), t[0], F.lit(' "'), t[2], F.lit(" "), t[3], F.lit('" -heading:'), t[4], F.lit(" "), t[6])
+    word = lambda i: F.get(t, F.lit(i))
+    phrase = F.concat(F.lit('"'), F.concat_ws(" ", word(2), word(3)), F.lit('"'))
+    text = F.concat_ws(" ", F.concat(F.lit("+"), word(0)), phrase, F.concat(F.lit("-heading:"), word(4)), word(6))
     return lexical.boolean_top_k(index(spark, d), questions(spark, d).select("query_id", text.alias("text")), BM25_K).select(*COLUMNS)
 
 
