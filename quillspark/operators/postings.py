@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.text import terms
 from quillspark.operators import catalog
 from quillspark.segments import Segments
+from quillspark.storage import remove, written
 
 #: Raised when the terms of a text or the columns of a segment change: an index of another version is rebuilt.
 VERSION = 1
@@ -77,7 +78,10 @@ class Index:
         """The tables of docs into a segment."""
         lengths = [F.coalesce(F.size(terms(F.col(f))), F.lit(0)).alias(f"length_{f}") for f in self.fields]
         self.store.write(segment, "docs", docs.select("chunk_id", "source_id", *lengths, *self.keep, F.lit(VERSION).alias("version"), F.lit(self.buckets).alias("buckets")))
-        self._write_postings(counted(docs, self.fields), segment)
+        # ranges are sampled before they are dealt: from a table, not by cutting the texts again
+        found, path = written(counted(docs, self.fields), "counted")
+        self._write_postings(found, segment)
+        remove(docs.sparkSession, path)
 
     def _write_postings(self, postings: DataFrame, segment: str) -> None:
         x = postings.withColumn("bucket", bucket_of(F.col("term"), self.buckets))
