@@ -6,8 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import terms
+from quillspark.storage import remove, written
 
 K1, B = 1.2, 0.75
+#: A query's best terms are scored first, until they have so many postings for each row that is asked for.
+FIRST = 8
+#: What rounding to six places and the order of sums may add to a score.
+SLACK = 2e-6
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -79,16 +84,81 @@ def index_top_k(index, queries: DataFrame, k: int, scope: list[str] | None = Non
     """query_id, chunk_id, score and rank from an index's postings of the queries' terms alone.
 
     `within` (chunk_id) holds before anything is counted; `scope` names kept columns within whose values chunks are
-    counted; `fields` are summed by their weights."""
+    counted; `fields` are summed by their weights, which are not negative. Without within and scope, postings that cannot
+    change the result are left out (`pruned_top_k`)."""
+    fields = fields or {"text": 1.0}
+    if within is None and not scope:
+        return pruned_top_k(index, queries, k, fields, k1, b)
     q, parts = query_terms(queries), None
     wanted = q.select("term").distinct()
-    for name, boost in (fields or {"text": 1.0}).items():
+    for name, boost in fields.items():
         p, lengths = _held(index, wanted, name, scope or [], within)
         one = weighted_terms(p, lengths, q, scope, k1, b).select("query_id", "chunk_id", (F.col("weight") * boost).alias("weight"))
         parts = one if parts is None else parts.unionByName(one)
     return _summed(parts, k)
 
 
+def _field_stats(index, fields) -> DataFrame:
+    out = None
+    for name in fields:
+        one = index.docs().agg(F.lit(name).alias("field"), F.count(F.lit(1)).alias("n"), F.avg(f"length_{name}").alias("mean_length"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _kth(scores: DataFrame, k: int) -> DataFrame:
+    """(query_id, least): the k-th best score of each query that has so many; scores are (query_id, chunk_id, score)."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    return scores.withColumn("rank", rank).filter(F.col("rank") <= k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+
+
+def pruned_top_k(index, queries: DataFrame, k: int, fields: dict[str, float], k1: float = K1, b: float = B) -> DataFrame:
+    """`index_top_k` over all chunks, with the same rows and scores, without a row for each posting of each query.
+
+    The most that a term can add is known from its blocks. A query's terms are ranked by it; the first ones are scored and
+    give a score that k chunks reach. Only terms that are not in the tail whose sum stays below it find candidates, and only
+    in blocks that could reach it with all other terms; the tail, where the frequent words are, is scored for the candidates
+    that can still reach the k-th best of them. So a word that every chunk holds costs rows for candidates, not for all
+    chunks times all queries that ask it. Queries that fewer than k chunks answer take every posting."""
+    session = queries.sparkSession
+    boosts = F.create_map(*(F.lit(x) for pair in fields.items() for x in pair))
+    q = query_terms(queries).select("query_id", "term", F.explode(boosts).alias("field", "boost"))
+    blocks, b_path = written(index.blocks(q, list(fields)).join(F.broadcast(_field_stats(index, fields)), "field").withColumn("idf", _idf(F.col("n"), F.col("df"))), "blocks")
+    most = F.col("idf") * _saturated(F.col("tf"), F.col("length"), F.col("mean_length"), k1, b)
+    blocks = blocks.select("field", "term", "block", "df", "idf", "mean_length", most.alias("most"))
+    best = blocks.groupBy("field", "term").agg(F.first("df").alias("df"), F.first("idf").alias("idf"), F.first("mean_length").alias("mean_length"), F.max("most").alias("most"))
+    x = q.join(best, ["field", "term"]).withColumn("idf", F.col("idf") * F.col("boost")).withColumn("most", F.col("most") * F.col("boost"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("most"), "field", "term")
+    x = x.withColumn("before", F.coalesce(F.sum("df").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    x = x.withColumn("tail", F.sum("most").over(w.rowsBetween(0, Window.unboundedFollowing))).withColumn("whole", F.sum("most").over(Window.partitionBy("query_id")))
+    x, x_path = written(x, "asked")  # one row for each term of each query
+
+    def weights(asked: DataFrame, on: list[str]) -> DataFrame:
+        p = index.postings(asked, list(fields)).select("field", "term", "block", "chunk_id", "length", "tf")
+        return p.join(asked, on).select("query_id", "chunk_id", (F.col("idf") * _saturated(F.col("tf"), F.col("length"), F.col("mean_length"), k1, b)).alias("weight"))
+
+    def sums(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("score"))
+
+    first = x.filter(F.col("before") < FIRST * k)
+    least, l_path = written(_kth(sums(weights(first, ["field", "term"])), k), "least")
+    x = x.join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)) - SLACK)
+    finding = x.filter("tail >= least")
+    reach = finding.join(blocks.select("field", "term", "block", F.col("most").alias("in_block")), ["field", "term"])
+    reach = reach.filter("whole - most + in_block * boost >= least").select("query_id", "field", "term", "block", "idf", "mean_length")
+    found, f_path = written(sums(weights(reach, ["field", "term", "block"])), "found")
+    ends = x.groupBy("query_id").agg(F.max("least").alias("least"), F.coalesce(F.sum(F.when(F.col("tail") < F.col("least"), F.col("most"))), F.lit(0.0)).alias("rest"))
+    ends = ends.join(_kth(found, k).withColumnRenamed("least", "later"), "query_id", "left").withColumn("least", F.greatest("least", F.col("later") - SLACK))
+    held, h_path = written(found.join(ends, "query_id").filter("score + rest >= least").select("query_id", "chunk_id", "score"), "held")
+    tail = x.filter("tail < least").select("query_id", "field", "term", "idf", "mean_length")
+    p = index.postings(tail, list(fields)).select("field", "term", "chunk_id", "length", "tf")
+    more = p.join(held.select("query_id", "chunk_id"), "chunk_id").join(tail, ["query_id", "field", "term"])
+    more = more.select("query_id", "chunk_id", (F.col("idf") * _saturated(F.col("tf"), F.col("length"), F.col("mean_length"), k1, b)).alias("weight"))
+    out, _ = written(ranked(sums(held.withColumnRenamed("score", "weight").unionByName(more)), k), "best")
+    remove(session, b_path, x_path, l_path, f_path, h_path)
+    return out
+
+
 def clauses(queries: DataFrame, fields: list[str]) -> DataFrame:
     """(query_id, clause, sign, field, terms) of queries (query_id, text) in the usual syntax: words and "phrases", before
     them + (required) or - (excluded), and a field's name and a colon; without a field, a clause is one for each.
@@ -114,10 +184,7 @@ def boolean_top_k(index, queries: DataFrame, k: int, k1: float = K1, b: float =
     c = clauses(queries, index.fields)
     words = c.select("query_id", "clause", "field", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("offset", "term"))
     p = index.postings(words.select("term"), index.fields).select("field", "term", "chunk_id", "length", "tf", "positions")
-    stats = None
-    for name in index.fields:
-        one = index.docs().agg(F.lit(name).alias("field"), F.count(F.lit(1)).alias("n"), F.avg(f"length_{name}").alias("mean_length"))
-        stats = one if stats is None else stats.unionByName(one)
+    stats = _field_stats(index, index.fields)
     df = p.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     known = words.join(df, ["field", "term"]).join(stats, "field").withColumn("idf", _idf(F.col("n"), F.col("df")))
     starts = F.transform("positions", lambda x: x - F.col("offset"))

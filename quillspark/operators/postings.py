@@ -16,7 +16,7 @@ from quillspark.segments import Segments
 from quillspark.storage import remove, written
 
 #: Raised when the terms of a text or the columns of a segment change: an index of another version is rebuilt.
-VERSION = 1
+VERSION = 2
 #: Terms up to which a search names them in its scan; more are joined.
 MOST_TERMS = 4096
 
@@ -59,12 +59,18 @@ def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def block_of(tf: Column, length: Column) -> Column:
+    """Postings of a term with like tf and like length of text, and so of like weight, are a block."""
+    return (F.floor(F.log2(tf)) * 64 + F.floor(2 * F.log2(length))).cast("int")
+
+
 @dataclass
 class Index:
     """Postings of chunks, in the segments of `store`.
 
-    A segment holds `postings` (by field and bucket of the term; sorted by term and chunk), `docs` (chunk_id, source_id,
-    lengths and the columns in `keep`) and whatever else its writer puts there. `docs` given to the methods have chunk_id,
+    A segment holds `postings` (by field and bucket of the term; sorted by term, block and chunk), `blocks` (number of
+    postings, largest tf and least length of each block of a term), `docs` (chunk_id, source_id, lengths and the columns in
+    `keep`) and whatever else its writer puts there. `docs` given to the methods have chunk_id,
     source_id, the fields and `keep`; a chunk_id stands on one row."""
 
     store: Segments
@@ -84,10 +90,12 @@ class Index:
         remove(docs.sparkSession, path)
 
     def _write_postings(self, postings: DataFrame, segment: str) -> None:
-        x = postings.withColumn("bucket", bucket_of(F.col("term"), self.buckets))
+        x = postings.withColumn("bucket", bucket_of(F.col("term"), self.buckets)).withColumn("block", block_of(F.col("tf"), F.col("length")))
         # ranges end inside a term that very many chunks hold
-        x = x.repartitionByRange("field", "bucket", "term", "chunk_id").sortWithinPartitions("field", "bucket", "term", "chunk_id")
-        self.store.write(segment, "postings", x, by=["field", "bucket"])
+        by = ["field", "bucket", "term", "block", "chunk_id"]
+        self.store.write(segment, "postings", x.repartitionByRange(*by).sortWithinPartitions(*by), by=by[:2])
+        blocks = x.groupBy(*by[:4]).agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("tf"), F.min("length").alias("length"))
+        self.store.write(segment, "blocks", blocks.repartitionByRange(*by[:3]).sortWithinPartitions(*by[:4]), by=by[:2])
 
     def build(self, docs: DataFrame) -> int:
         """All of docs as one segment of a new generation; its number."""
@@ -104,7 +112,7 @@ class Index:
 
         def write(segment: str) -> None:
             self.store.write(segment, "docs", docs.drop("segment"))
-            self._write_postings(self.postings().drop("segment", "bucket"), segment)
+            self._write_postings(self.postings().drop("segment", "bucket", "block"), segment)
 
         docs = self.docs()
         return self.store.rewrite(write, docs.select("source_id"))
@@ -115,11 +123,7 @@ class Index:
         """chunk_id, source_id, length_<field> of each field, kept columns and segment of every living chunk."""
         return self.store.read("docs")
 
-    def postings(self, wanted: DataFrame | None = None, fields: list[str] | None = None) -> DataFrame:
-        """Living postings: field, bucket, term, chunk_id, source_id, length, tf, positions, segment.
-
-        With `wanted` (term) only those of these terms: up to MOST_TERMS of them stand in the scan as buckets, which are
-        folders, and terms, which are sorted; more are joined on bucket and term."""
+    def _cut(self, wanted: DataFrame | None, fields: list[str] | None) -> list:
         cut = [lambda x: x.filter(F.col("field").isin(*(fields or self.fields)))]
         if wanted is not None:
             wanted = wanted.select("term").filter("term IS NOT NULL").distinct().withColumn("bucket", bucket_of(F.col("term"), self.buckets))
@@ -129,7 +133,29 @@ class Index:
                 cut.append(lambda x: x.filter(named))
             else:
                 cut.append(lambda x: x.join(wanted, ["bucket", "term"], "left_semi"))
-        return self.store.read("postings", cut=cut)
+        return cut
+
+    def postings(self, wanted: DataFrame | None = None, fields: list[str] | None = None) -> DataFrame:
+        """Living postings: field, bucket, term, block, chunk_id, source_id, length, tf, positions, segment.
+
+        With `wanted` (term) only those of these terms: up to MOST_TERMS of them stand in the scan as buckets, which are
+        folders, and terms, which are sorted; more are joined on bucket and term."""
+        return self.store.read("postings", cut=self._cut(wanted, fields))
+
+    def blocks(self, wanted: DataFrame | None = None, fields: list[str] | None = None) -> DataFrame:
+        """(field, term, block, df, tf, length): in how many living chunks the term is, repeated on each of its blocks, and
+        the largest tf and the least length in a block, which sources that were replaced since may have held.
+
+        Counts are kept; only postings of replaced sources are read, to take them off."""
+        cut = self._cut(wanted, fields)
+        x = self.store.read("blocks", cut=cut, living=False)
+        out = x.groupBy("field", "term", "block").agg(F.sum("n").alias("n"), F.max("tf").alias("tf"), F.min("length").alias("length"))
+        df = x.groupBy("field", "term").agg(F.sum("n").alias("df"))
+        if len(self.store.segments()) > 1:
+            gone = self.store.read("postings", cut=cut, living=False).join(self.store.removed(), ["segment", "source_id"], "left_semi")
+            gone = gone.groupBy("field", "term").agg((-F.count(F.lit(1))).alias("df"))
+            df = df.unionByName(gone).groupBy("field", "term").agg(F.sum("df").alias("df")).filter("df > 0")
+        return out.drop("n").join(df, ["field", "term"])
 
     # maintenance
 

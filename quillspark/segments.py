@@ -41,8 +41,9 @@ class Segments:
         path = f"{self.root}/segments/{segment}/{name}"
         return self.spark.read.schema(StructType.fromJson(json.loads(content(self.spark, f"{path}.schema")))).parquet(path)
 
-    def read(self, name: str, number: int | None = None, cut: list[Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
-        """The living rows of a table with their segment; `cut` is applied to each segment's scan."""
+    def read(self, name: str, number: int | None = None, cut: list[Callable[[DataFrame], DataFrame]] | None = None, living: bool = True) -> DataFrame:
+        """The living rows of a table with their segment, or with `living` false those of replaced sources too; `cut` is
+        applied to each segment's scan."""
         number = number or self.generation()
         names, out = self.segments(number), None
         for s in names:
@@ -51,9 +52,13 @@ class Segments:
                 x = f(x)
             x = x.withColumn("segment", F.lit(s))
             out = x if out is None else out.unionByName(x, allowMissingColumns=True)
-        if len(names) < 2:
+        if len(names) < 2 or not living:
             return out
-        return out.join(published(self.spark, self._lists, "removed", number), ["segment", "source_id"], "left_anti")
+        return out.join(self.removed(number), ["segment", "source_id"], "left_anti")
+
+    def removed(self, number: int | None = None) -> DataFrame:
+        """(segment, source_id) of the sources that later segments have replaced."""
+        return published(self.spark, self._lists, "removed", number or self.generation())
 
     def _publish(self, names: list[str], removed: DataFrame, after: int) -> int:
         listed = self.spark.createDataFrame(list(enumerate(names)), "number int, segment string")
@@ -78,7 +83,7 @@ class Segments:
             return self.rewrite(write, sources)
         new = self._new(write, sources)
         held = self.read("sources", now).join(replaced.select("source_id").distinct(), "source_id", "left_semi").select("segment", "source_id")
-        removed = published(self.spark, self._lists, "removed", now).unionByName(held).distinct()
+        removed = self.removed(now).unionByName(held).distinct()
         return self._publish([*self.segments(now), new], removed, now)
 
     def vacuum(self, keep: int = 1) -> list[str]:

@@ -109,6 +109,51 @@ def test_search_scans_only_the_buckets_and_terms_asked_for(spark, tmp_path):
     assert "positions" not in scan.partition("ReadSchema")[2]
 
 
+@pytest.mark.parametrize("k, first", [(1, 8), (3, 1), (10, 1), (10, 8), (500, 8)])
+def test_pruned_search_equals_scoring_every_posting(spark, tmp_path, monkeypatch, k, first):
+    """Frequent and rare words, ties, repeated texts, sources replaced since; queries whose words all, some or none are rare."""
+    monkeypatch.setattr(lexical, "FIRST", first)
+    rng = random.Random(k + first)
+    words = [f"w{i}" for i in range(60)]
+    text = lambda n: " ".join(rng.choices(words, [1 / (i + 1) for i in range(60)], k=n))
+    rows = [(i, f"s{i % 4}", text(rng.choice([0, 1, 5, 30, 200])), text(rng.randint(0, 3)), None) for i in range(300)]
+    rows += [(1000 + i, "s9", rows[7][2], "w0", None) for i in range(20)] + [(2000, None, None, None, None)]
+    index = Index(Segments(spark, str(tmp_path)), fields=["text", "title"], buckets=3)
+    index.build(spark.createDataFrame(rows, DOCS))
+    rows = [r for r in rows if r[1] != "s1" or r[0] % 3]
+    index.replace(spark.createDataFrame(rows, DOCS), spark.createDataFrame([("s1",)], "source_id string"))
+    asked = {1: "w0 w1 w2 w40 w55", 2: "w0 w1", 3: "w58 w59 nothing", 4: text(80), 5: "w0", 6: rows[7][2] + " w57", 7: "", 8: "nothing"}
+    q = spark.createDataFrame(list(asked.items()), "query_id long, text string")
+    for fields, weights in (({"text": 1.0}, [(2, 1.0)]), ({"text": 1.0, "title": 2.5}, [(2, 1.0), (3, 2.5)])):
+        got = {}
+        for r in lexical.index_top_k(index, q, k, fields=fields).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((r["chunk_id"], r["score"]))
+        for i, t in asked.items():
+            whole = plain_scores(rows, t, weights)
+            best = sorted(whole.items(), key=lambda x: (-x[1], x[0]))[:k]
+            mine = got.get(i, [])
+            assert len(mine) == len(best) and all(abs(a[1] - b[1]) < 2e-6 and abs(whole[a[0]] - a[1]) < 2e-6 for a, b in zip(mine, best, strict=True))
+
+
+def test_frequent_words_find_no_candidates(spark, tmp_path, monkeypatch):
+    """A word of every chunk, beside rare ones, is looked up for candidates alone."""
+    rows = [(i, "s", "the " * (1 + i % 3) + f"r{i % 50} of", None, None) for i in range(2000)]
+    index = Index(Segments(spark, str(tmp_path)))
+    index.build(spark.createDataFrame(rows, DOCS))
+    sizes, plain = {}, lexical.written
+
+    def counting(df, name):
+        out = plain(df, name)
+        sizes[name] = out[0].count()
+        return out
+
+    monkeypatch.setattr(lexical, "written", counting)
+    q = spark.createDataFrame([(i, f"the r{i} of") for i in range(5)], "query_id long, text string")
+    assert lexical.index_top_k(index, q, 10).count() == 50
+    # of 2,000 chunks, 40 hold a question's rare word, and blocks of long ones cannot reach the tenth of these
+    assert 5 * 10 <= sizes["held"] <= sizes["found"] <= 5 * 40
+
+
 def plain_clauses(rows, parsed):
     """Scores of one query's clauses (sign, fields, terms) over rows with fields text (2) and title (3)."""
     place = {"text": 2, "title": 3}
