@@ -133,3 +133,22 @@ def reconciled(store: DataFrame, index: DataFrame, key: str) -> DataFrame:
     s, i = store.select(key, F.col("version").alias("stored")), index.select(key, F.col("version").alias("indexed"))
     finding = F.when(F.col("indexed").isNull(), "missing").when(F.col("stored").isNull(), "orphan").when(F.col("indexed") < F.col("stored"), "behind").when(F.col("indexed") > F.col("stored"), "ahead")
     return s.join(i, key, "full").withColumn("finding", finding).filter("finding IS NOT NULL")
+
+
+def relocations(sources: DataFrame, files: DataFrame, supported: dict[str, list[str]]) -> DataFrame:
+    """(source_id, outcome, new_path) of the sources (source_id, path, hash, parser) whose path is gone from files (path,
+    hash): relocated to the one file of equal content that no source has and whose extension the source's parser takes.
+
+    ambiguous: there are several; contested: several sources would go to it; unsupported: content is found under other
+    extensions alone; no_target: nowhere. Equal files are counted by content and extension, never paired with sources, so a
+    content that a third of all files share costs no square. Null hashes and paths match nothing."""
+    free = files.select("path", "hash").dropna().distinct().join(sources.select("path").dropna(), "path", "left_anti")
+    free = free.groupBy("hash", F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).alias("extension")).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("target"))
+    gone = sources.filter("path IS NOT NULL").join(files.select("path").dropna(), "path", "left_anti").select("source_id", "hash", "parser")
+    takes = F.create_map(*(x for p, e in supported.items() for x in (F.lit(p), F.array(*map(F.lit, e)))))
+    wants = gone.select("source_id", "hash", F.explode(F.coalesce(takes[F.col("parser")], F.array().cast("array<string>"))).alias("extension"))
+    fits = wants.join(free, ["hash", "extension"]).groupBy("source_id").agg(F.sum("n").alias("n"), F.min("target").alias("target"))
+    rivals = fits.filter("n = 1").groupBy("target").agg(F.count(F.lit(1)).alias("rivals"))
+    x = gone.join(fits, "source_id", "left").join(rivals, "target", "left").join(free.select("hash", F.lit(True).alias("known")).distinct(), "hash", "left")
+    outcome = F.when((F.col("n") == 1) & (F.col("rivals") == 1), "relocated").when(F.col("n") == 1, "contested").when(F.col("n") > 1, "ambiguous").when(F.col("known"), "unsupported").otherwise("no_target")
+    return x.select("source_id", outcome.alias("outcome"), F.when(outcome == "relocated", F.col("target")).alias("new_path"))

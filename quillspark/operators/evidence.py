@@ -119,16 +119,46 @@ def erasure_plan(sources: DataFrame, targets: list[str], done: DataFrame) -> Dat
     return every.join(done.select("source_id", "target"), ["source_id", "target"], "left_anti")
 
 
-def quotation_status(claims: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Each claim (claim_id, evidence_id, quote) as match, approximate (equal but for case and spacing), missing,
-    not_provided or unknown_evidence, and whether it is publishable."""
+def _quotation(bindings: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Bindings (evidence_id, quote) with the status of their quotation in `evidence` (evidence_id, text)."""
     plain = lambda c: F.regexp_replace(F.lower(c), r"\s+", " ")
-    x = claims.join(evidence.select("evidence_id", "text"), "evidence_id", "left")
+    x = bindings.drop("text", "status").join(evidence.select("evidence_id", "text"), "evidence_id", "left")
     status = (
         F.when(F.col("text").isNull(), "unknown_evidence").when(F.coalesce("quote", F.lit("")) == "", "not_provided")
         .when(F.contains("text", "quote"), "match").when(F.contains(plain(F.col("text")), plain(F.col("quote"))), "approximate").otherwise("missing")
     )
-    return x.select("claim_id", status.alias("status"), (status == "match").alias("publishable"))
+    return x.withColumn("status", status).drop("text")
+
+
+def quotation_status(claims: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Each claim (claim_id, evidence_id, quote) as match, approximate (equal but for case and spacing), missing,
+    not_provided or unknown_evidence, and whether it is publishable."""
+    return _quotation(claims, evidence).select("claim_id", "status", (F.col("status") == "match").alias("publishable"))
+
+
+def claim_support(claims: DataFrame, bindings: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(claim_id, support, bindings, holding, publishable) of claims (claim_id, pack_id, subject, value, factual), whose
+    bindings (claim_id, evidence_id, quote, stance) are quotations of evidence, or bare ids, for or against them.
+
+    A binding for a claim holds if its quotation is found, or if it has none and its evidence is there. non_factual: not a
+    statement; conflict: a quotation against it is found, or its pack has a holding claim of another value on its subject;
+    supported: all bindings for it hold, and there are some; partial: some hold, or are found but for case and spacing;
+    else unsupported. Only supported claims are publishable. Subjects are compared by their least and greatest value, never
+    claim by claim; a null subject or value contradicts nothing, a null `factual` counts as true."""
+    x = _quotation(bindings, evidence)
+    against = F.coalesce(F.col("stance") == "against", F.lit(False))
+    n = x.groupBy("claim_id").agg(
+        F.count_if(~against).alias("bindings"), F.count_if(~against & F.col("status").isin("match", "not_provided")).alias("holding"),
+        F.count_if(~against & (F.col("status") == "approximate")).alias("close"), F.count_if(against & (F.col("status") == "match")).alias("denied"))
+    c = claims.select("claim_id", "pack_id", "subject", "value", F.coalesce("factual", F.lit(True)).alias("factual")).join(n, "claim_id", "left").na.fill(0, ["bindings", "holding", "close", "denied"])
+    held = c.filter("factual AND holding > 0").groupBy("pack_id", "subject").agg(F.min("value").alias("least"), F.max("value").alias("most"))
+    c = c.join(held, ["pack_id", "subject"], "left")
+    other = (F.col("denied") > 0) | F.coalesce((F.col("holding") > 0) & (F.col("least") != F.col("most")), F.lit(False))
+    support = (
+        F.when(~F.col("factual"), "non_factual").when(other, "conflict").when((F.col("bindings") > 0) & (F.col("holding") == F.col("bindings")), "supported")
+        .when(F.col("holding") + F.col("close") > 0, "partial").otherwise("unsupported")
+    )
+    return c.select("claim_id", support.alias("support"), "bindings", "holding", (support == "supported").alias("publishable"))
 
 
 def growth_steps(points: DataFrame) -> DataFrame:

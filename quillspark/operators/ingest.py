@@ -158,12 +158,23 @@ def parents(chunks: DataFrame, size: int = PARENT_CHILDREN) -> DataFrame:
 
 
 def span_faults(spans: DataFrame, chunks: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Spans (chunk_id, evidence_id, chunk and evidence byte ranges, evidence_text_hash) that do not hold: bytes that
-    differ, or an evidence text whose digest has changed."""
-    x = spans.join(chunks.select("chunk_id", F.encode("text", "UTF-8").alias("c")), "chunk_id").join(evidence.select("evidence_id", F.encode("text", "UTF-8").alias("e"), F.sha2("text", 256).alias("now")), "evidence_id")
-    cut = lambda b, lo, hi: F.substring(F.col(b), F.col(lo) + 1, F.col(hi) - F.col(lo))
-    equal = cut("c", "chunk_start", "chunk_end") == cut("e", "evidence_start", "evidence_end")
-    return x.withColumn("reason", F.when(F.col("now") != F.col("evidence_text_hash"), "hash").when(~equal, "bytes")).filter("reason IS NOT NULL").select("chunk_id", "evidence_id", "reason")
+    """Spans (chunk_id, evidence_id, chunk and evidence byte ranges, evidence_text_hash) that do not hold, with the first
+    reason: missing_chunk, missing_evidence, bytes that differ or are out of range, hash (the evidence text has changed).
+
+    Where spans and evidence have a locator it must be the same; where spans have a trust and evidence derived_from, it must
+    be derived for evidence that was derived and else direct. Null texts and bounds resolve to nothing, and so are bytes."""
+    c = chunks.select("chunk_id", F.encode("text", "UTF-8").alias("c"), F.lit(True).alias("has_chunk"))
+    e = evidence.select("evidence_id", F.encode("text", "UTF-8").alias("e"), F.sha2("text", 256).alias("now"), F.lit(True).alias("has_evidence"), *(F.col(x).alias(f"e_{x}") for x in ("locator", "derived_from") if x in evidence.columns))
+    known = ("chunk_id", "evidence_id", "chunk_start", "chunk_end", "evidence_start", "evidence_end", "evidence_text_hash", "locator", "trust")
+    x = spans.select(*(k for k in known if k in spans.columns)).join(c, "chunk_id", "left").join(e, "evidence_id", "left")
+    cut = lambda b, lo, hi: F.when((F.col(lo) >= 0) & (F.col(lo) <= F.col(hi)) & (F.col(hi) <= F.octet_length(b)), F.substring(F.col(b), F.col(lo) + 1, F.col(hi) - F.col(lo)))
+    equal = F.coalesce(cut("c", "chunk_start", "chunk_end") == cut("e", "evidence_start", "evidence_end"), F.lit(False))
+    reason = F.when(F.col("has_chunk").isNull(), "missing_chunk").when(F.col("has_evidence").isNull(), "missing_evidence").when(~equal, "bytes").when(~F.col("now").eqNullSafe(F.col("evidence_text_hash")), "hash")
+    if "locator" in spans.columns and "e_locator" in x.columns:
+        reason = reason.when(~F.col("locator").eqNullSafe(F.col("e_locator")), "locator")
+    if "trust" in spans.columns and "e_derived_from" in x.columns:
+        reason = reason.when(~F.col("trust").eqNullSafe(F.when(F.col("e_derived_from").isNull(), "direct").otherwise("derived")), "trust")
+    return x.withColumn("reason", reason).filter("reason IS NOT NULL").select("chunk_id", "evidence_id", "reason")
 
 
 def cache_plan(inputs: DataFrame, cache: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.plans import answers, collections, decisions, evaluation, evidence, formats, graphs, ingestion, logs, maintenance, retrieval, texts  # noqa: F401
+from quillspark.plans import answers, collections, decisions, evaluation, evidence, formats, graphs, ingestion, logs, maintenance, provenance, retrieval, texts  # noqa: F401
 from quillspark.plans.registry import QUERIES, SQL
 
 

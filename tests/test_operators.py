@@ -1,5 +1,6 @@
 """Expansion, collapse, reports, folds, plans, extents, audits, adjacency and folders against plain versions."""
 
+import hashlib
 import itertools
 import os
 import random
@@ -8,7 +9,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import adjacency, audit, catalog, diversity, evidence, expansion, extents, folds, graph, reports, research
+from quillspark.operators import adjacency, audit, catalog, diversity, erasure, evidence, expansion, extents, folds, graph, ingest, reports, research
 from quillspark.segments import Segments
 from quillspark.streaming import files
 
@@ -312,3 +313,94 @@ def test_folders_are_kept_in_step(spark, tmp_path):
             break
     q.stop()
     assert ("n0.txt", "by stream") in texts()
+
+
+# provenance, support, erasure, moved sources
+
+
+def test_spans_name_their_first_fault(spark):
+    chunks = spark.createDataFrame([(1, "héllo", "x"), (2, None, "x")], "chunk_id long, text string, c string")
+    evidence = spark.createDataFrame([(1, "xhéllo", "p1", None), (2, "héllo", None, 7), (3, None, None, None)], "evidence_id long, text string, locator string, derived_from long")
+    h = {i: hashlib.sha256(t.encode()).hexdigest() for i, t in ((1, "xhéllo"), (2, "héllo"))}
+    rows = [
+        (1, 1, 0, 6, 1, 7, h[1], "p1", "direct", None), (1, 2, 0, 6, 0, 6, h[2], None, "derived", None),  # these hold
+        (9, 1, 0, 6, 1, 7, h[1], "p1", "direct", "missing_chunk"), (1, 9, 0, 6, 1, 7, h[1], "p1", "direct", "missing_evidence"),
+        (1, 1, 0, 5, 1, 7, h[1], "p1", "direct", "bytes"), (1, 1, 0, 7, 0, 7, h[1], "p1", "direct", "bytes"), (1, 1, -1, 6, 1, 7, h[1], "p1", "direct", "bytes"),
+        (1, 1, None, 6, 1, 7, h[1], "p1", "direct", "bytes"), (2, 3, 0, 0, 0, 0, None, None, "direct", "bytes"), (None, 1, 0, 6, 1, 7, h[1], "p1", "direct", "missing_chunk"),
+        (1, 1, 0, 6, 1, 7, h[2], "p1", "direct", "hash"), (1, 1, 0, 6, 1, 7, None, "p1", "direct", "hash"), (1, 1, 0, 6, 1, 7, h[1], None, "direct", "locator"),
+        (1, 1, 0, 6, 1, 7, h[1], "p1", "derived", "trust"), (1, 2, 0, 6, 0, 6, h[2], None, None, "trust"), (1, 1, 3, 3, 2, 2, h[1], "p1", "direct", None),
+    ]
+    schema = "chunk_id long, evidence_id long, chunk_start int, chunk_end int, evidence_start int, evidence_end int, evidence_text_hash string, locator string, trust string, e string"
+    spans = spark.createDataFrame(rows, schema)
+    got = sorted((tuple(r) for r in ingest.span_faults(spans, chunks, evidence).collect()), key=str)
+    assert got == sorted(((r[0], r[1], r[-1]) for r in rows if r[-1]), key=str)
+    assert ingest.span_faults(spans.limit(0), chunks, evidence).count() == 0 and ingest.span_faults(spans, chunks.limit(0), evidence).count() == len(rows)
+
+
+def test_support_of_claims(spark):
+    evidence = spark.createDataFrame([(1, "The sky is Blue"), (2, "Grass is green")], "evidence_id long, text string")
+    bindings = [
+        (1, 1, "sky is Blue", "for"), (1, 2, None, "for"), (2, 1, "sky  is blue", "for"), (3, 1, "no", "for"), (3, 9, "", "for"), (4, 2, "green", None), (4, 1, "no", "for"),
+        (5, 2, "green", "for"), (5, 1, "Blue", "against"), (6, 2, "green", "for"), (7, 2, "green", "for"), (8, 2, "green", "for"), (10, 1, "", "for"), (10, 1, "no", "against"), (11, 2, "green", "for"),
+    ]
+    claims = [(1, 1, "a", "x", True), (2, 1, "b", "x", None), (3, 1, "a", "z", True), (4, 1, "c", "x", True), (5, 1, "d", "x", True), (6, 1, "e", "x", True), (7, 1, "e", "y", True), (8, 1, "e", "y", False), (9, 1, None, None, True), (10, 2, "e", "q", True), (11, 1, None, "y", True)]
+    c = spark.createDataFrame(claims, "claim_id long, pack_id long, subject string, value string, factual boolean")
+    b = spark.createDataFrame([(*r, "clash") for r in bindings], "claim_id long, evidence_id long, quote string, stance string, text string")
+    got = {r["claim_id"]: (r["support"], r["bindings"], r["holding"], r["publishable"]) for r in evidence_support(c, b, evidence)}
+    assert got == {
+        1: ("supported", 2, 2, True), 2: ("partial", 1, 0, False), 3: ("unsupported", 2, 0, False), 4: ("partial", 2, 1, False), 5: ("conflict", 1, 1, False), 6: ("conflict", 1, 1, False),
+        7: ("conflict", 1, 1, False), 8: ("non_factual", 1, 1, False), 9: ("unsupported", 0, 0, False), 10: ("supported", 1, 1, True), 11: ("supported", 1, 1, True),
+    }
+    assert {r["support"] for r in evidence_support(c, b.limit(0), evidence)} == {"unsupported", "non_factual"} and not evidence_support(c.limit(0), b, evidence)
+
+
+def evidence_support(*tables):
+    return evidence.claim_support(*tables).collect()
+
+
+def test_erasure_is_proved_or_its_faults_are_named(spark):
+    places = list(erasure.TARGETS)
+    scope = [(p, s) for p in range(1, 8) for s in ("a", "b", "b")] + [(8, None), (None, "a")]
+    acks = [(p, s, t, erasure.TARGETS[t]) for p in range(1, 8) for s in "ab" for t in places]
+    gone = lambda p, s, t: acks.remove((p, s, t, erasure.TARGETS[t]))
+    gone(2, "a", "replica")  # told by a letter
+    gone(3, "a", "graph")
+    gone(4, "b", "replica")  # not told
+    acks += [(5, "c", "catalog", 0), (5, "a", "moon", 0), (5, "a", "catalog", 0), (6, "a", "files", -1)]
+    letters = [(2, "a", "replica"), (7, "a", "files"), (7, "a", "replica")]
+    s = spark.createDataFrame(scope, "plan_id long, source_id string")
+    a = spark.createDataFrame(acks, "plan_id long, source_id string, target string, at long")
+    m = spark.createDataFrame(letters, "plan_id long, source_id string, target string")
+    faults = sorted(tuple(r) for r in erasure.erasure_faults(s, a, m).collect())
+    assert faults == [(3, "coverage", 1), (4, "mismatch", 1), (5, "out_of_scope", 2), (6, "order", 1), (7, "local_letter", 1), (7, "mismatch", 1)]
+    proofs = erasure.erasure_proofs(s, a, m).collect()
+    assert {(r["plan_id"], r["target"]) for r in proofs} == {(p, t) for p in (1, 2) for t in places} and {r["sources"] for r in proofs} == {2}
+    assert [(r["plan_id"], r["target"], r["pending"]) for r in proofs if r["outcome"] != "confirmed"] == [(2, "replica", 1)]
+    assert len({r["commitment"] for r in proofs}) == 1 and not {"a", "b"} & {r["commitment"] for r in proofs}
+    assert erasure.erasure_proofs(s.limit(0), a.limit(0), m.limit(0)).count() == 0
+    digest = lambda rows: {r["plan_id"]: r["commitment"] for r in erasure.commitments(spark.createDataFrame(rows, "plan_id long, source_id string"), 1).collect()}
+    ids = [(1, f"s{i}") for i in range(100)]
+    assert digest(ids) == digest(ids[::-1] + ids) != digest(ids[1:]) and digest([(1, "ab"), (1, "c")]) != digest([(1, "a"), (1, "bc")])
+
+
+def test_moved_sources_find_their_files(spark):
+    rng = random.Random(5)
+    for _ in range(3):
+        content = lambda: rng.choice(["h1", "h2", "h3", "h4", "h5", "h6", None])
+        files = [(rng.choice(["a", "b", "c.d/x"]) + f"{i}" + rng.choice([".md", ".MD", ".pdf", ""]), content()) for i in range(8)] + [(None, "h1")]
+        sources = [(i, rng.choice([f"old{i}.md", files[i][0], None]) if i < 8 else f"old{i}.md", content(), rng.choice(["markdown", "markdown", "other", None])) for i in range(9)]
+        files += files[:2]
+        have, taken, fits = {p for p, _ in files if p}, {s[1] for s in sources}, {}
+        gone = [s for s in sources if s[1] and s[1] not in have]
+        free = {(p, h) for p, h in files if p and h and p not in taken}
+        for i, _, h, parser in gone:
+            fits[i] = sorted(p for p, x in free if x == h and parser == "markdown" and p.lower().endswith(".md"))
+        want = []
+        for i, _, h, _ in gone:
+            rivals = sum(len(f) == 1 and f == fits[i] for f in fits.values())
+            outcome = ("relocated" if rivals == 1 else "contested") if len(fits[i]) == 1 else "ambiguous" if fits[i] else "unsupported" if any(x == h for _, x in free) else "no_target"
+            want.append((i, outcome, fits[i][0] if outcome == "relocated" else None))
+        s = spark.createDataFrame(sources, "source_id long, path string, hash string, parser string")
+        f = spark.createDataFrame(files, "path string, hash string")
+        assert sorted(map(tuple, catalog.relocations(s, f, {"markdown": ["md"]}).collect())) == sorted(want)
+    assert catalog.relocations(s, f.limit(0), {"markdown": ["md"]}).filter("outcome <> 'no_target'").count() == 0
