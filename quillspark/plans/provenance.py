@@ -1,10 +1,10 @@
-"""Whole provenance checks, support of claims, proofs of erasure, and sources that have moved."""
+"""Whole provenance checks, support of claims, proofs of erasure, sources that have moved, packs of evidence."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import catalog, erasure, ingest
+from quillspark.operators import catalog, erasure, ingest, packs
 from quillspark.operators import evidence as E
 from quillspark.plans.registry import query
 from quillspark.storage import table
@@ -114,3 +114,53 @@ def source_relocations(spark, d):
     sources = x.select(F.col("doc_id").alias("source_id"), F.expr("'home/' || doc_id || '.md'").alias("path"), "hash", F.lit("markdown").alias("parser"))
     files = x.filter("doc_id % 20 <> 1").select(F.expr(_MOVED).alias("path"), "hash")
     return catalog.relocations(sources, files, {"markdown": ["md", "markdown"], "plaintext": ["txt"]})
+
+
+#: Results are an order's lines, evidence of a part up to four, which neighbours share; of even parts one is selected.
+_PACKS = """r AS (SELECT l_orderkey AS query_id, l_partkey AS chunk_id, l_linenumber AS rank, CASE WHEN l_suppkey % 10 = 0 THEN 'graph_report' ELSE 'search' END AS origin, CASE WHEN l_suppkey % 3 = 0 THEN l_partkey + 1 END AS seed_chunk_id FROM (SELECT l_orderkey, l_partkey, l_linenumber, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY ALL)),
+e AS (SELECT p_partkey AS chunk_id, o AS ordinal, p_partkey + o AS evidence_id, CASE (p_partkey + o) % 5 WHEN 0 THEN 'Image' WHEN 1 THEN 'Verse' ELSE 'Text' END AS kind, p_partkey % 3 <> 0 AS canonical FROM (SELECT p_partkey, unnest(range(0, p_size % 4 + 1)) AS o FROM part)),
+s AS (SELECT query_id, chunk_id, chunk_id + 1 AS chosen FROM (SELECT DISTINCT query_id, chunk_id FROM r) WHERE chunk_id % 2 = 0),
+j AS (SELECT query_id, rank, r.chunk_id, ordinal, evidence_id, kind, origin, chosen, count(*) OVER w > 1 AND bool_and(canonical) OVER w AS one, first_value(evidence_id) OVER (w ORDER BY ordinal) AS head, max(CASE WHEN evidence_id = chosen THEN chosen END) OVER w AS pick
+  FROM r JOIN e USING (chunk_id) LEFT JOIN s USING (query_id, chunk_id) WINDOW w AS (PARTITION BY query_id, rank, r.chunk_id))"""
+
+
+def _packed_sql(entries: str) -> str:
+    role = "CASE WHEN origin = 'graph_report' THEN 'graph_report' WHEN kind = 'Image' THEN 'image_artifact' ELSE 'original_text' END"
+    return f"""u AS (SELECT * FROM {entries} QUALIFY row_number() OVER (PARTITION BY query_id, shown ORDER BY rank, chunk_id, ordinal) = 1)
+SELECT query_id, 'E' || row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id, ordinal) AS label, rank, chunk_id, shown AS evidence_id, {role} AS role FROM u"""
+
+
+def _pack_tables(spark, d):
+    line = table(spark, d, "lineitem").groupBy("l_orderkey", "l_partkey", "l_linenumber").agg(F.min("l_suppkey").alias("l_suppkey"))
+    part = table(spark, d, "part")
+    n = F.col("l_suppkey")
+    results = line.select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("chunk_id"), F.col("l_linenumber").alias("rank"), F.lit(1.0).alias("score"), F.when(n % 10 == 0, "graph_report").otherwise("search").alias("origin"), F.when(n % 3 == 0, F.col("l_partkey") + 1).alias("seed_chunk_id"))
+    e = part.select(F.col("p_partkey").alias("chunk_id"), F.explode(F.sequence(F.lit(0), (F.col("p_size") % 4).cast("int"))).alias("ordinal"), (F.col("p_partkey") % 3 != 0).alias("canonical"))
+    e = e.withColumn("evidence_id", F.col("chunk_id") + F.col("ordinal"))
+    e = e.withColumn("kind", F.when(F.col("evidence_id") % 5 == 0, "Image").when(F.col("evidence_id") % 5 == 1, "Verse").otherwise("Text")).withColumn("derived_from", F.lit(None).cast("long"))
+    selected = results.filter("chunk_id % 2 = 0").select("query_id", "chunk_id", (F.col("chunk_id") + 1).alias("evidence_id")).distinct()
+    return results, e, selected
+
+
+PACK = ["query_id", "label", "rank", "chunk_id", "evidence_id", "role"]
+
+
+@query(f"WITH {_PACKS}, f AS (SELECT *, evidence_id AS shown FROM j WHERE chosen IS NULL OR chosen = evidence_id), {_packed_sql('f')}")
+def final_evidence_pack(spark, d):
+    return packs.final_pack(*_pack_tables(spark, d)).select(*PACK)
+
+
+@query(f"""WITH {_PACKS}, h AS (SELECT * FROM j WHERE NOT one OR evidence_id = head), v AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id, evidence_id ORDER BY rank, chunk_id, ordinal) = 1),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id, ordinal) - 1 AS place FROM v), k AS (SELECT p.* REPLACE (coalesce(e.kind, p.kind) AS kind), coalesce(e.evidence_id, p.evidence_id) AS shown
+  FROM p LEFT JOIN e ON one AND place BETWEEN 1 AND 4 AND e.chunk_id = p.chunk_id AND e.evidence_id = pick), {_packed_sql('k')}""")
+def display_evidence_pack(spark, d):
+    """The page shows the places 1 to 4 of each query."""
+    return packs.display_pack(*_pack_tables(spark, d), 1, 5).select(*PACK)
+
+
+@query(f"""WITH {_PACKS}, g AS (SELECT chunk_id FROM e GROUP BY 1 HAVING bool_and(kind IN ('Text', 'Image')))
+SELECT query_id, chunk_id, seed_chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id)::INT AS rank FROM r
+WHERE chunk_id IN (SELECT chunk_id FROM g) AND (seed_chunk_id IS NULL OR seed_chunk_id IN (SELECT chunk_id FROM g))""")
+def bounded_results(spark, d):
+    results, e, _ = _pack_tables(spark, d)
+    return packs.bounded_results(results, e).select("query_id", "chunk_id", "seed_chunk_id", "rank")

@@ -9,7 +9,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import adjacency, audit, catalog, diversity, erasure, evidence, expansion, extents, folds, graph, ingest, reports, research
+from quillspark.operators import adjacency, audit, catalog, diversity, erasure, evidence, expansion, extents, folds, graph, ingest, packs, reports, research
 from quillspark.segments import Segments
 from quillspark.streaming import files
 
@@ -404,3 +404,54 @@ def test_moved_sources_find_their_files(spark):
         f = spark.createDataFrame(files, "path string, hash string")
         assert sorted(map(tuple, catalog.relocations(s, f, {"markdown": ["md"]}).collect())) == sorted(want)
     assert catalog.relocations(s, f.limit(0), {"markdown": ["md"]}).filter("outcome <> 'no_target'").count() == 0
+
+
+def plain_packs(results, evidence, selected, start, end):
+    """Both packs of one query, result by result."""
+    final, shown, seen, display = [], set(), set(), []
+    place = 0
+
+    def add(r, e):
+        if e[1] not in shown:
+            shown.add(e[1])
+            display.append((f"E{len(display) + 1}", r[0], r[1], e[1]))
+
+    for r in sorted(results):
+        units = sorted(evidence.get(r[1], []))
+        chosen = selected.get(r[1])
+        for e in units:
+            if (chosen is None or e[1] == chosen) and e[1] not in {x[3] for x in final}:
+                final.append((f"E{len(final) + 1}", r[0], r[1], e[1]))
+        one = len(units) > 1 and all(e[2] for e in units)
+        for e in units[:1] if one else units:
+            if e[1] in seen:
+                continue
+            seen.add(e[1])
+            picks = [x for x in units if x[1] == chosen] if one and start <= place < end else []
+            place += 1
+            add(r, picks[0] if picks else e)
+    return final, display
+
+
+def test_packs_equal_plain_ones(spark):
+    rng = random.Random(11)
+    evidence = {c: [(o, rng.randint(0, 25), rng.choice([True, True, True, False, None])) for o in range(rng.randint(0, 4))] for c in range(20)}
+    evidence = {c: [e for i, e in enumerate(v) if e[1] not in {x[1] for x in v[:i]}] for c, v in evidence.items()}
+    results = {q: [(rank + 1, rng.randint(0, 22)) for rank in range(rng.randint(0, 12))] for q in range(12)}
+    selected = {q: {c: rng.randint(0, 25) if rng.random() < 0.3 else rng.choice(evidence[c])[1] for c in range(20) if evidence[c] and rng.random() < 0.6} for q in range(12)}
+    r = spark.createDataFrame([(q, c, k, 0.5, "search", "x") for q, v in results.items() for k, c in v], "query_id long, chunk_id long, rank int, score double, origin string, kind string")
+    e = spark.createDataFrame([(c, o, i, "text", None, b, 9) for c, v in evidence.items() for o, i, b in v], "chunk_id long, ordinal int, evidence_id long, kind string, derived_from long, canonical boolean, rank int")
+    s = spark.createDataFrame([(q, c, i) for q, v in selected.items() for c, i in v.items()], "query_id long, chunk_id long, evidence_id long")
+    want = {q: plain_packs(v, evidence, selected[q], 1, 4) for q, v in results.items()}
+    columns = ["query_id", "label", "rank", "chunk_id", "evidence_id"]
+    for at, got in enumerate((packs.final_pack(r, e, s), packs.display_pack(r, e, s, 1, 4))):
+        assert sorted(map(tuple, got.select(columns).collect())) == sorted((q, *x) for q, both in want.items() for x in both[at])
+        assert set(row["role"] for row in got.collect()) == {"original_text"}
+    assert packs.display_pack(r.limit(0), e, s, 0, 9).count() == packs.final_pack(r, e.limit(0), s).count() == 0
+
+
+def test_results_rest_on_source_text(spark):
+    e = spark.createDataFrame([(1, "Text"), (1, "Image"), (2, "Text"), (2, "Generated"), (3, None), (4, "Image"), (None, "Text")], "chunk_id long, kind string")
+    r = spark.createDataFrame([(1, 2, 1, None), (1, 1, 2, None), (1, 4, 3, 2), (1, 1, 4, 4), (1, 3, 5, None), (1, 9, 6, None), (2, 4, 1, 9), (2, None, 2, None)], "query_id long, chunk_id long, rank int, seed_chunk_id long")
+    got = sorted((x["query_id"], x["chunk_id"], x["rank"]) for x in packs.bounded_results(r, e).collect())
+    assert got == [(1, 1, 1), (1, 1, 2)] and packs.bounded_results(r, e.limit(0)).count() == 0
