@@ -11,6 +11,8 @@ from quillspark.storage import remove, written
 K1, B = 1.2, 0.75
 #: A query's best terms are scored first, until they have so many postings for each row that is asked for.
 FIRST = 8
+#: Up to so many postings of all questions together, each is scored: that is less than what pruning costs in jobs.
+PRUNE_FROM = 4_000_000
 #: What rounding to six places and the order of sums may add to a score.
 SLACK = 2e-6
 
@@ -80,7 +82,7 @@ def _held(index, wanted: DataFrame, name: str, scope: list[str], within: DataFra
     return p.select("chunk_id", *scope, "length", "term", "tf"), docs.select(*scope, F.col(f"length_{name}").alias("length"))
 
 
-def index_top_k(index, queries: DataFrame, k: int, scope: list[str] | None = None, within: DataFrame | None = None, fields: dict[str, float] | None = None, k1: float = K1, b: float = B) -> DataFrame:
+def index_top_k(index, queries: DataFrame, k: int, scope: list[str] | None = None, within: DataFrame | None = None, fields: dict[str, float] | None = None, k1: float = K1, b: float = B, prune_from: int = PRUNE_FROM) -> DataFrame:
     """query_id, chunk_id, score and rank from an index's postings of the queries' terms alone.
 
     `within` (chunk_id) holds before anything is counted; `scope` names kept columns within whose values chunks are
@@ -88,7 +90,7 @@ def index_top_k(index, queries: DataFrame, k: int, scope: list[str] | None = Non
     change the result are left out (`pruned_top_k`)."""
     fields = fields or {"text": 1.0}
     if within is None and not scope:
-        return pruned_top_k(index, queries, k, fields, k1, b)
+        return pruned_top_k(index, queries, k, fields, k1, b, prune_from)
     q, parts = query_terms(queries), None
     wanted = q.select("term").distinct()
     for name, boost in fields.items():
@@ -112,14 +114,15 @@ def _kth(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", rank).filter(F.col("rank") <= k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
 
 
-def pruned_top_k(index, queries: DataFrame, k: int, fields: dict[str, float], k1: float = K1, b: float = B) -> DataFrame:
+def pruned_top_k(index, queries: DataFrame, k: int, fields: dict[str, float], k1: float = K1, b: float = B, prune_from: int = PRUNE_FROM) -> DataFrame:
     """`index_top_k` over all chunks, with the same rows and scores, without a row for each posting of each query.
 
     The most that a term can add is known from its blocks. A query's terms are ranked by it; the first ones are scored and
     give a score that k chunks reach. Only terms that are not in the tail whose sum stays below it find candidates, and only
     in blocks that could reach it with all other terms; the tail, where the frequent words are, is scored for the candidates
     that can still reach the k-th best of them. So a word that every chunk holds costs rows for candidates, not for all
-    chunks times all queries that ask it. Queries that fewer than k chunks answer take every posting."""
+    chunks times all queries that ask it. Queries that fewer than k chunks answer take every posting, and so do all where there are
+    no more than `prune_from`."""
     session = queries.sparkSession
     boosts = F.create_map(*(F.lit(x) for pair in fields.items() for x in pair))
     q = query_terms(queries).select("query_id", "term", F.explode(boosts).alias("field", "boost"))
@@ -140,6 +143,10 @@ def pruned_top_k(index, queries: DataFrame, k: int, fields: dict[str, float], k1
     def sums(rows: DataFrame) -> DataFrame:
         return rows.groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("score"))
 
+    if (x.agg(F.sum("df")).first()[0] or 0) <= prune_from:
+        out, _ = written(ranked(sums(weights(x.select("query_id", "field", "term", "idf", "mean_length"), ["field", "term"])), k), "best")
+        remove(session, b_path, x_path)
+        return out
     first = x.filter(F.col("before") < FIRST * k)
     least, l_path = written(_kth(sums(weights(first, ["field", "term"])), k), "least")
     x = x.join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)) - SLACK)

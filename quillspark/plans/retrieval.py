@@ -127,7 +127,8 @@ u AS (SELECT query_id, chunk_id, 2.0::DOUBLE * w AS w FROM a_w UNION ALL SELECT
 s AS (SELECT query_id, chunk_id, round(sum(w), 6) AS score FROM u GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM s) WHERE rank <= {BM25_K}""")
 def bm25f_topk(spark, d):
-    return lexical.index_top_k(index(spark, d), questions(spark, d), BM25_K, fields={"heading": 2.0, "text": 1.0}).select(*COLUMNS)
+    """Prunes at every size."""
+    return lexical.index_top_k(index(spark, d), questions(spark, d), BM25_K, fields={"heading": 2.0, "text": 1.0}, prune_from=0).select(*COLUMNS)
 
 
 @query(f"""WITH {bm25_sql('r', where="source <> 'src1' OR doc_id % 2 = 0")} SELECT query_id, chunk_id, score, rank FROM r""")

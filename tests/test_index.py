@@ -126,7 +126,7 @@ def test_pruned_search_equals_scoring_every_posting(spark, tmp_path, monkeypatch
     q = spark.createDataFrame(list(asked.items()), "query_id long, text string")
     for fields, weights in (({"text": 1.0}, [(2, 1.0)]), ({"text": 1.0, "title": 2.5}, [(2, 1.0), (3, 2.5)])):
         got = {}
-        for r in lexical.index_top_k(index, q, k, fields=fields).orderBy("query_id", "rank").collect():
+        for r in lexical.index_top_k(index, q, k, fields=fields, prune_from=0).orderBy("query_id", "rank").collect():
             got.setdefault(r["query_id"], []).append((r["chunk_id"], r["score"]))
         for i, t in asked.items():
             whole = plain_scores(rows, t, weights)
@@ -149,7 +149,7 @@ def test_frequent_words_find_no_candidates(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(lexical, "written", counting)
     q = spark.createDataFrame([(i, f"the r{i} of") for i in range(5)], "query_id long, text string")
-    assert lexical.index_top_k(index, q, 10).count() == 50
+    assert lexical.index_top_k(index, q, 10, prune_from=0).count() == 50
     # of 2,000 chunks, 40 hold a question's rare word, and blocks of long ones cannot reach the tenth of these
     assert 5 * 10 <= sizes["held"] <= sizes["found"] <= 5 * 40
 
