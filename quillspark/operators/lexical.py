@@ -12,7 +12,7 @@ K1, B = 1.2, 0.75
 #: A query's best terms are scored first, until they have so many postings for each row that is asked for.
 FIRST = 8
 #: Up to so many postings of all questions together, each is scored: that is less than what pruning costs in jobs.
-PRUNE_FROM = 4_000_000
+PRUNE_FROM = 100_000_000
 #: What rounding to six places and the order of sums may add to a score.
 SLACK = 2e-6
 
