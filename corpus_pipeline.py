@@ -19,11 +19,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose five-word shingles are similar to 0.8 or more.
 
     Rows go by id and text, so a row that only shares its id with a copy stays; rows without an id stay."""
+    from quillspark.llm.common import likely
     from quillspark.llm.neardup import near_duplicates, text_digest
 
-    gone = near_duplicates(docs, digests=True).filter("NOT kept").select("doc_id", "digest").distinct()
+    gone, _ = written(near_duplicates(docs, digests=True).filter("NOT kept").select("doc_id", "digest").distinct(), "gone")
     x = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long"), text_digest("text"))
-    return x.join(gone, ["doc_id", "digest"], "left_anti").select("row.*")
+    # only what may be gone is dealt
+    x, _ = likely(x, gone, ["doc_id", "digest"])
+    rest = x.filter("likely").join(gone, ["doc_id", "digest"], "left_anti")
+    return x.filter("NOT likely").unionByName(rest.select(*x.columns)).select("row.*")
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,17 +9,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import release, remove, written
+from quillspark.llm.common import likely, release, remove, written
 from quillspark.llm.shingles import circulant_signature, mix64, shingle_sets
 from quillspark.operators.components import components
 
 #: Characters of text whose shingles are made at once; shingles of one chunk of a group in the second comparison.
-CHUNK, CHUNK_SHINGLES = 2_000_000, 16_000
+CHUNK, CHUNK_SHINGLES = 2_000_000, 64_000
 #: Chunks around one centre up to which all its blocks are compared; beyond, only nodes that share a rare shingle are.
-FEW = 16
+FEW = 4
 
 
 def _chunks(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, list[str]]]:
@@ -65,21 +65,23 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text", text_digest("text")).mapInArrow(run, "doc_id long, digest binary, n_shingles long, node binary, bands array<long>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """node and its sorted shingles (8 bytes each), for the documents `wanted` (node, rep) names."""
+def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> tuple[DataFrame, str]:
+    """node and its sorted shingles (8 bytes each), for the documents `wanted` (node, rep) names. Texts are not dealt: what
+    may be wanted is known by marks, and only its sets are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            want = batch.column(0).to_pylist()
-            for begin, texts in _chunks(batch, 1):
+            for _, texts in _chunks(batch, 0):
                 h, bounds = shingle_sets(texts, k)
-                sets = [h[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
-                # an id may stand on several rows; only the row with the wanted set counts
-                right = [i for i, s in enumerate(sets) if len(s) and _name(s) == want[begin + i]]
-                yield pa.RecordBatch.from_arrays([pa.array([want[begin + i] for i in right], pa.binary()), pa.array([sets[i].tobytes() for i in right], pa.binary())], names=["node", "shingles"])
+                sets = [h[i:j] for i, j in zip(bounds, bounds[1:]) if i < j]
+                yield pa.RecordBatch.from_arrays([pa.array(map(_name, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
 
-    x = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep")
-    return x.select("node", "text").mapInArrow(run, "node binary, shingles binary").dropDuplicates(["node"])
+    x, marks = likely(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), wanted, ["rep"])
+    x = x.filter("likely").select("text").mapInArrow(run, "node binary, shingles binary")
+    # an id may stand on several rows; only the row with the wanted set counts
+    out = written(x.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    remove(docs.sparkSession, marks)
+    return out
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -176,8 +178,9 @@ def _rare(m: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, list[
 
 def _near(m: DataFrame) -> tuple[DataFrame, str]:
     """Per a and class of sizes: how many chunks it and the classes next to it have apart from the centre's component and
-    inside it; only where there is something to compare."""
-    size = m.groupBy("a", "cls").agg(*(F.ceil(F.sum(F.when(c, F.col("n")).otherwise(0)) / CHUNK_SHINGLES).cast("int").alias(x) for x, c in (("n_apart", F.col("apart")), ("n_own", ~F.col("apart")))))
+    inside it, and whether all around a fits one chunk; only where there is something to compare."""
+    size = m.groupBy("a", "cls").agg(*(F.ceil(F.sum(F.when(c, F.col("n")).otherwise(0)) / CHUNK_SHINGLES).cast("int").alias(x) for x, c in (("n_apart", F.col("apart")), ("n_own", ~F.col("apart")))), F.sum("n").alias("all"))
+    size = size.withColumn("whole", F.sum("all").over(Window.partitionBy("a")) <= CHUNK_SHINGLES).drop("all")
     size, size_path = written(size, "size")
     near = size
     for x, step in (("up", 1), ("down", -1)):
@@ -193,7 +196,9 @@ def _across(m: DataFrame, near: DataFrame, sets: DataFrame, percent: int) -> Dat
     m = m.join(near, ["a", "cls"])
     deal = F.xxhash64(F.lit(3), "node")
     m = m.withColumn("chunk", F.when(F.col("apart"), F.pmod(deal, "n_apart")).otherwise(F.col("n_apart") + F.pmod(deal, "n_own")).cast("int"))
-    m = m.withColumn("pairs", _block_pairs()).filter(F.size("pairs") > 0).join(sets, "node")
+    # a set goes once to the one block of a small centre
+    one_block = F.array(F.struct(F.lit(-1).cast("long").alias("low"), F.lit(False).alias("cross"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("apart").alias("one"), F.lit(True).alias("two")))
+    m = m.withColumn("pairs", F.when(F.col("whole"), one_block).otherwise(_block_pairs())).filter(F.size("pairs") > 0).join(sets, "node")
     blocks = m.select("a", "node", "root", "shingles", F.explode("pairs").alias("p")).select("a", "p.*", "node", "root", "shingles")
     return blocks.groupBy("a", "low", "cross", "i", "j").applyInPandas(_compare_blocks(percent), "a binary, b binary")
 
@@ -225,10 +230,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     around = members.join(centre, "band").select(F.col("c.node").alias("a"), F.col("c.n").alias("n_a"), F.col("node").alias("b"), F.col("n").alias("n_b")).distinct()
     around, around_path = written(around, "around")
     wanted = around.select(F.col("b").alias("node")).distinct().join(nodes.select("node", "rep"), "node")
-    sets, sets_path = written(_sets(docs, wanted, k), "sets")
+    sets, sets_path = _sets(docs, wanted, k)
     release(spark)
     fit = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.col("a") != F.col("b"))
     links, links_path = written(_verified(around.filter(fit).select("a", "b"), sets, percent), "stars")
+    release(spark)
     roots = components(links)
     # what the stars have left apart
     r = roots.select("node", "root")
@@ -242,19 +248,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     big, big_path = written(near.groupBy("a").agg(F.sum(F.col("n_apart") + F.col("n_own")).alias("chunks")).filter(F.col("chunks") > FEW).select("a"), "big")
     spare = [big_path, near_path]
     some = big.limit(1).count() > 0
-    more = _across(m, near.join(big, "a", "left_anti") if some else near, sets, percent)
+    more, more_path = written(_across(m, near.join(big, "a", "left_anti") if some else near, sets, percent), "more")
+    spare.append(more_path)
     if some:
+        release(spark)
         rare, paths = _rare(m.join(near.join(big, "a").select("a", "cls"), ["a", "cls"]).select("a", "node", "n", "cls", "root", "apart"), sets, percent)
         near, near_path = _near(rare)
-        more = more.union(_across(rare, near, sets, percent))
-        spare += [near_path, *paths]
-    more, more_path = written(more, "more")
+        rest, rest_path = written(_across(rare, near, sets, percent), "more")
+        more = more.union(rest)
+        spare += [near_path, rest_path, *paths]
+    release(spark)
     if more.limit(1).count():
         roots = components(links.union(more))
     groups = nodes.select("node", "rep", "copies").join(roots, "node", "left").filter("root IS NOT NULL OR copies > 1").withColumn("root", F.coalesce("root", "node"))
     least = groups.groupBy("root").agg(F.min("rep").alias("component"))
     named, _ = written(groups.join(least, "root").select("node", "component"), "named")
-    remove(spark, *spare, members_path, around_path, m_path, sets_path, links_path, more_path, nodes_path)
+    remove(spark, *spare, members_path, around_path, m_path, sets_path, links_path, nodes_path)
     out = sig.select("doc_id", *["digest"] * digests, "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(named, "node", "left")
     out = out.select("doc_id", *["digest"] * digests, "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -605,3 +605,24 @@ def test_pipeline_removes_passages_of_51_short_words(spark):
     for i, t in rows:
         p = passages[i // 10]
         assert left[i]["text"] == (t if i < 10 else t.replace(p, "")) and left[i]["n_chars"] == len(left[i]["text"])
+
+
+def test_only_likely_rows_are_dealt(spark):
+    """Marks never miss a key, and leave nearly all else out; null keys count as equal here, the join decides."""
+    from quillspark.llm.common import likely
+
+    keys = spark.range(0, 2000, 7).select(F.col("id").alias("k"), F.lit(b"x").alias("b"))
+    x, _ = likely(spark.range(2000).select(F.col("id").alias("k"), F.lit(b"x").alias("b")), keys, ["k", "b"])
+    found = {r["k"] for r in x.filter("likely").collect()}
+    assert x.count() == 2000 and found >= set(range(0, 2000, 7)) and len(found) < 290
+    assert likely(keys, keys.limit(0), ["k"])[0].filter("likely").count() == 0
+
+
+def test_a_small_centre_sends_each_set_once(spark, monkeypatch):
+    """Nodes of many classes of sizes around one centre, all apart: each went to its own class's block and to both neighbours'."""
+    monkeypatch.setattr(neardup, "_compare_blocks", lambda percent: lambda block: block[["node", "node"]].set_axis(["a", "b"], axis=1))
+    m = spark.createDataFrame([(b"a", bytes([i]), n, n // 10, bytes([i]), i > 0) for i, n in enumerate((30, 33, 40, 44, 50))], "a binary, node binary, n long, cls long, root binary, apart boolean")
+    sets = m.select("node", F.lit(b"\0" * 8).alias("shingles"))
+    near, _ = neardup._near(m)
+    sent = [r["a"] for r in neardup._across(m, near, sets, 80).collect()]
+    assert len(sent) == len(set(sent)) == 5
