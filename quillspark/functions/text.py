@@ -147,3 +147,10 @@ def stable_id(kind: str, *parts: Column) -> Column:
     """Content-addressed id: kind and a digest of length-prefixed parts."""
     framed = [F.concat(F.octet_length(F.coalesce(p.cast("string"), F.lit(""))).cast("string"), F.lit(":"), F.coalesce(p.cast("string"), F.lit(""))) for p in parts]
     return F.concat(F.lit(f"{kind}:v1:"), F.sha2(F.concat(*framed), 256))
+
+
+def upper_letters(text: Column) -> Column:
+    """Upper case letter by letter: a letter whose capital is one letter takes it (ß takes ẞ), others stay, so lower case
+    leads back. Spark's `upper` makes SS of ß."""
+    letters = F.split(F.translate(text, "ß", "ẞ"), "")
+    return F.array_join(F.transform(letters, lambda c: F.when(F.char_length(F.upper(c)) == F.char_length(c), F.upper(c)).otherwise(c)), "")

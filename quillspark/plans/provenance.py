@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import upper_letters
 from quillspark.operators import catalog, erasure, ingest, packs
 from quillspark.operators import evidence as E
 from quillspark.plans.registry import query
@@ -52,7 +53,7 @@ def claim_support(spark, d):
     """Three documents back a claim, each with a quotation that is exact, of other case, absent, invented or short; of every ten claims one has invented ones alone."""
     x, n = _texts(spark, d), F.col("doc_id")
     part = F.substring("text", 5, 20)
-    quote = F.when(n % 5 == 0, part).when(n % 5 == 1, F.upper(part)).when(n % 5 == 2, "").when(n % 5 == 3, "not to be found").otherwise(F.substring("text", 1, 9))
+    quote = F.when(n % 5 == 0, part).when(n % 5 == 1, upper_letters(part)).when(n % 5 == 2, "").when(n % 5 == 3, "not to be found").otherwise(F.substring("text", 1, 9))
     claim = F.floor(n / 3)
     quote = F.when(claim % 10 == 4, "not to be found").otherwise(quote)
     bindings = x.select(claim.alias("claim_id"), F.when(n % 11 == 0, -1).otherwise(n).alias("evidence_id"), F.when(n % 13 == 0, "against").otherwise("for").alias("stance"), quote.alias("quote"))

@@ -455,3 +455,17 @@ def test_results_rest_on_source_text(spark):
     r = spark.createDataFrame([(1, 2, 1, None), (1, 1, 2, None), (1, 4, 3, 2), (1, 1, 4, 4), (1, 3, 5, None), (1, 9, 6, None), (2, 4, 1, 9), (2, None, 2, None)], "query_id long, chunk_id long, rank int, seed_chunk_id long")
     got = sorted((x["query_id"], x["chunk_id"], x["rank"]) for x in packs.bounded_results(r, e).collect())
     assert got == [(1, 1, 1), (1, 1, 2)] and packs.bounded_results(r, e.limit(0)).count() == 0
+
+
+def test_claim_support_finds_quotations_of_other_case_with_a_sharp_s(spark, tmp_path):
+    import duckdb
+
+    from quillspark.plans import catalog as plans
+
+    texts = ["Das ieß ieschein cherge, weiß", "Fußball und Spaß ﬁndet er", "ŉa ǰb straße ß"]
+    rows = [(i, texts[i % 3], "src1", "de") for i in range(1, 60)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    wanted = con.execute(plans.oracle_sql()["claim_support"]).fetchall()
+    assert sorted(map(tuple, plans.queries()["claim_support"](spark, str(tmp_path)).collect())) == sorted(wanted)
