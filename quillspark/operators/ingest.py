@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -196,29 +195,45 @@ def canonical_children(units: DataFrame, target: int = TARGET, overlap: int = 2,
 
     No chunk crosses a book, and a unit without one stands alone. Units of a chapter are packed up to the target and
     a fifth, or `most` units, and the next chunk repeats the last `overlap`. Nothing is repeated across a chapter, nor
-    where a run of units has `most` of them or twice the target. A group is one book of one source."""
+    where a run of units has `most` of them or twice the target. Costs are summed as quarter tokens, and the fold
+    holds the open chunk alone, as in `children`; the window that finds the books has dealt and sorted the units already."""
     w = Window.partitionBy("source_id").orderBy("position")
-    new = F.col("book").isNull() | ~F.col("book").eqNullSafe(F.lag("book").over(w))
-    x = units.withColumn("boundary", F.sum(new.cast("int")).over(w)).select(F.col("source_id").cast("long"), F.col("boundary").cast("long"), F.col("position").cast("long"), F.col("chapter").cast("string"), "text")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("position")
-        place, chapter, text = pdf["position"].tolist(), pdf["chapter"].tolist(), pdf["text"].tolist()
-        cost = [estimate(t) for t in text]
-        whole = lambda some: " ".join(text[i] for i in some if text[i])
-        out, now, run, spent = [], [], 0, 0
-        for i in range(len(place)):
-            turned = i and chapter[i - 1] is not None and chapter[i] != chapter[i - 1]
-            if run and (turned or run >= most or spent + cost[i] > 2 * target):
-                out.append(now)
-                now, run, spent = [], 0, 0
-            elif now and (len(now) >= most or estimate(whole([*now, i])) > target + target // SLACK):
-                out.append(now)
-                now = now[max(1, len(now) - overlap) :] if overlap else []
-            now = [*now, i]
-            run, spent = run + 1, spent + cost[i]
-        out.append(now)
-        rows = [(pdf["source_id"].iloc[0], pdf["boundary"].iloc[0], n, whole(c), place[c[0]], place[c[-1]], len(c)) for n, c in enumerate(out)]
-        return pd.DataFrame(rows, columns=["source_id", "boundary", "child", "text", "first_unit", "last_unit", "n_units"])
-
-    return x.groupBy("source_id", "boundary").applyInPandas(fold, "source_id long, boundary long, child long, text string, first_unit long, last_unit long, n_units long")
+    limit = 4 * (target + target // SLACK)
+    book = F.col("book").isNull() | ~F.col("book").eqNullSafe(F.lag("book").over(w))
+    x = units.withColumns({c: F.col(c).cast("long") for c in ("source_id", "position")}).withColumn("boundary", F.sum(book.cast("int")).over(w).cast("long"))
+    x = x.select("source_id", "boundary", "position", F.col("chapter").cast("string"), "text", token_quarters(F.col("text")).alias("quarters"))
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["source_id", "boundary", "child", "text", "first_unit", "last_unit", "n_units"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, before, child, now, run, spent = None, None, 0, [], 0, 0  # now: (position, text, quarters) of the open chunk
+
+        def flushed() -> tuple:
+            return (*key, child, " ".join(t for _, t, _ in now if t), now[0][0], now[-1][0], len(now))
+
+        def over(unit: tuple) -> bool:
+            costs = [q for _, t, q in (*now, unit) if t]
+            return sum(costs) + 4 * max(0, len(costs) - 1) > limit
+
+        for batch in batches:
+            out = []
+            for source, boundary, position, chapter, text, quarters in zip(*(c.to_pylist() for c in batch.columns)):
+                unit, cost = (position, text, quarters), -(-quarters // 4)
+                if (source, boundary) != key:
+                    if now:
+                        out.append(flushed())
+                    key, before, child, now, run, spent = (source, boundary), None, 0, [], 0, 0
+                if run and ((before is not None and chapter != before) or run >= most or spent + cost > 2 * target):
+                    out.append(flushed())
+                    child, now, run, spent = child + 1, [], 0, 0
+                elif now and (len(now) >= most or over(unit)):
+                    out.append(flushed())
+                    child, now = child + 1, now[max(1, len(now) - overlap) :] if overlap else []
+                now = [*now, unit]
+                before, run, spent = chapter, run + 1, spent + cost
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 7, kinds)], names=names)
+        if now:
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(flushed(), kinds)], names=names)
+
+    x = x.sortWithinPartitions("source_id", "boundary", "position")
+    return x.mapInArrow(fold, "source_id long, boundary long, child long, text string, first_unit long, last_unit long, n_units long")

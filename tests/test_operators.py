@@ -469,3 +469,18 @@ def test_claim_support_finds_quotations_of_other_case_with_a_sharp_s(spark, tmp_
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     wanted = con.execute(plans.oracle_sql()["claim_support"]).fetchall()
     assert sorted(map(tuple, plans.queries()["claim_support"](spark, str(tmp_path)).collect())) == sorted(wanted)
+
+
+def test_canonical_chunks_stream_over_sorted_units(spark):
+    """The fold takes units in batches of any size and holds the open chunk, not a book; books are dealt once."""
+    rows = [(s, i, f"verse {i} " + "word " * (i % 37), None if i % 29 == 0 else f"b{i // 50}", i // 8) for s in (1, 2) for i in range(200)]
+    units = spark.createDataFrame(rows, "source_id long, position long, text string, book string, chapter long").repartition(3)
+    out = ingest.canonical_children(units)
+    one = sorted(map(tuple, out.collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        assert sorted(map(tuple, ingest.canonical_children(units).collect())) == one
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(s, u) for s, _, _, _, a, b, _ in one for u in range(a, b + 1)} == {(s, i) for s in (1, 2) for i in range(200)}
+    assert "InPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
