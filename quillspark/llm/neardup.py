@@ -20,6 +20,8 @@ from quillspark.operators.components import components
 CHUNK, CHUNK_SHINGLES = 2_000_000, 64_000
 #: Chunks around one centre up to which all its blocks are compared; beyond, only nodes that share a rare shingle are.
 FEW = 4
+#: Slots in which shingles around centres are counted.
+SLOTS = 1 << 20
 
 
 def _chunks(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, list[str]]]:
@@ -147,32 +149,61 @@ def _block_pairs() -> Column:
     )
 
 
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, node, shingles as integers), some sets at a time."""
-    for whole in batches:
-        for at in range(0, whole.num_rows, 200):
-            batch = whole.slice(at, 200)
-            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)]
-            bounds = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(sets)))], names=["a", "node", "s"])
+def _slots(a: bytes, shingles: np.ndarray) -> np.ndarray:
+    """The slot among SLOTS of each shingle around the centre a."""
+    return (mix64(shingles ^ np.uint64(xxhash.xxh3_64_intdigest(a))) % np.uint64(SLOTS)).astype(np.int64)
+
+
+def _frequencies(around: DataFrame) -> np.ndarray:
+    """For each slot, how many rows of `around` (a, shingles) hold its shingles: of one shingle around one centre, at least
+    as many as hold it. Tasks count their own rows; SLOTS bounds what they send and what comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for a, x in zip(batch.column(0), batch.column(1)):
+                np.add.at(n, _slots(a.as_py(), np.frombuffer(x.as_buffer(), np.uint64)), 1)
+        at = np.flatnonzero(n)
+        for i in range(0, len(at), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + (1 << 16)], pa.int32()), pa.array(n[at[i : i + (1 << 16)]])], names=["slot", "n"])
+
+    found = around.select("a", "shingles").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
 
 
 def _rare(m: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, list[str]]:
     """The rows of m, dealt anew: one for each shingle of the node's prefix that another component around the centre has
-    in a prefix too; `a` then names centre and shingle. With a set's shingles in the order of how many nodes around the
-    centre hold them, two sets alike to percent % share one of the first n - ceil(n * percent / 100) + 1 of each."""
-    tokens, tokens_path = written(m.join(sets, "node").select("a", "node", "shingles").mapInArrow(_listed, "a binary, node binary, s array<long>").select("a", "node", F.explode("s").alias("s")), "tokens")
-    # what only one node holds comes first in its prefix and pairs it with none
-    held, held_path = written(tokens.groupBy("a", "s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "held")
-    # what all nodes hold is one key: the join ends in a table, so that Spark can split its skewed partition
-    counted, counted_path = written(tokens.join(held, ["a", "s"]), "counted")
-    shared = counted.groupBy("a", "node").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("f"))
-    left = F.greatest(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("f")), F.lit(0)).cast("int")
-    prefix = m.join(shared, ["a", "node"]).withColumn("p", F.explode(F.slice("f", 1, left)))
-    prefix = prefix.select(F.unhex(F.md5(F.concat("a", F.col("p.s").cast("string").cast("binary")))).alias("a"), "node", "n", "cls", "root", "apart")
-    prefix, prefix_path = written(prefix, "prefixes")
+    in a prefix too; `a` then names centre and shingle. With a set's shingles in any one order around the centre, two sets
+    alike to percent % share one of the first n - ceil(n * percent / 100) + 1 of each. The order is by how many nodes hold a
+    shingle, counted by slots, so no shingle that is in no prefix is a row."""
+    whole, whole_path = written(m.join(sets, "node").select("a", "shingles", "node", "n", "cls", "root", "apart"), "around")
+    counts = m.sparkSession.sparkContext.broadcast(_frequencies(whole))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, keys = [], []
+            for i, (a, x, n) in enumerate(zip(batch.column(0), batch.column(1), batch.column(3).to_pylist())):
+                s = np.frombuffer(x.as_buffer(), np.uint64)
+                c = counts.value[_slots(a.as_py(), s)]
+                # what only one node holds comes first in its prefix and pairs it with none
+                held = c > 1
+                left = max(n - -(-n * percent // 100) + 1 - int((~held).sum()), 0)
+                s, c = s[held], c[held]
+                s = s[np.lexsort((s, c))[:left]]
+                name = np.frombuffer(xxhash.xxh3_128_digest(a.as_py()), np.uint64)
+                rows += [i] * len(s)
+                keys.append(np.column_stack([mix64(s ^ name[0]), mix64(s ^ name[1])]).ravel())
+            key = np.concatenate(keys).tobytes() if keys else b""
+            at = pa.array(rows, pa.int32())
+            named = pa.Array.from_buffers(pa.binary(16), len(rows), [None, pa.py_buffer(key)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([named, *(batch.column(j).take(at) for j in range(2, 7))], names=["a", "node", "n", "cls", "root", "apart"])
+
+    prefix, prefix_path = written(whole.mapInArrow(run, "a binary, node binary, n long, cls long, root binary, apart boolean"), "prefixes")
     mixed = prefix.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("apart").alias("some")).filter("some AND lo <> hi").select("a")
-    remove(m.sparkSession, tokens_path, held_path, counted_path)
+    counts.unpersist()
+    remove(m.sparkSession, whole_path)
     return prefix.join(mixed, "a"), [prefix_path]
 
 

@@ -516,6 +516,25 @@ def test_blocks_by_size_miss_no_link_around_a_centre(spark, monkeypatch):
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_near(list(enumerate(texts)), 3, percent)
 
 
+def test_common_shingles_make_no_rows_around_a_centre(spark, monkeypatch):
+    """All nodes hold the same 60 shingles: rows are made of prefixes alone, and sets that are alike share a key."""
+    rng = np.random.default_rng(5)
+    common, sets = np.arange(60, dtype=np.uint64), []
+    for g in range(40):
+        own = rng.integers(1000, 1 << 60, 40).astype(np.uint64)
+        sets += [np.sort(np.r_[common, own]), np.sort(np.r_[common, own[:37], rng.integers(1000, 1 << 60, 2).astype(np.uint64)])]
+    names = [b"%04d" % i for i in range(len(sets))]
+    m = spark.createDataFrame([(b"c", names[i], len(s), 1, names[i], True) for i, s in enumerate(sets)], "a binary, node binary, n long, cls long, root binary, apart boolean")
+    held = spark.createDataFrame([(names[i], s.tobytes()) for i, s in enumerate(sets)], "node binary, shingles binary")
+    sizes, write = [], neardup.written
+    monkeypatch.setattr(neardup, "written", lambda df, name: (out := write(df, name), sizes.append(out[0].count()))[0])
+    rows = neardup._rare(m, held, 85)[0].collect()
+    assert max(sizes) <= sum(len(s) - -(-len(s) * 85 // 100) + 1 for s in sets)
+    keys = {n: {r["a"] for r in rows if r["node"] == n} for n in names}
+    assert all(keys[names[i]] & keys[names[i + 1]] for i in range(0, len(names), 2))
+    assert not keys[names[0]] & keys[names[3]]
+
+
 def test_near_duplicates_equal_brute_force(spark, odd, empty):
     rng = random.Random(11)
     vocabulary = [f"w{i}" for i in range(400)]
