@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import vector as V
 from quillspark.operators.lexical import ranked
 
-#: Bytes of the vectors of one block (doubles), queries that are compared with it at once, scores that are held at once,
+#: Bytes of the vectors of one block, queries that are compared with it at once, scores that are held at once,
 #: and queries for which a copy of a block is made where there are more partitions than blocks.
 BLOCK_BYTES, QUERY_BLOCK, CELLS, SHARE = 1 << 26, 512, 1 << 21, 16
 #: Scores are rounded to six places, so what differs by less may be a tie.
@@ -56,9 +56,9 @@ def _similar(q: np.ndarray, x: np.ndarray, metric: str) -> tuple[np.ndarray, np.
 
 def _nearest(items: np.ndarray, bounds: np.ndarray, queries: np.ndarray, q_bounds: np.ndarray, own: np.ndarray | None, k: int, metric: str) -> Best:
     """The k best rows of items for each row of queries; scores are held for a tile of rows."""
-    best = Best(len(queries), k)
+    best, queries = Best(len(queries), k), queries.astype(float)
     for lo in range(0, len(items), step := max(k, CELLS // len(queries))):
-        x = items[lo : lo + step]
+        x = items[lo : lo + step].astype(float)
         low, high = _similar(queries, x, metric)
         low = np.where(np.isnan(low), -np.inf, low)
         # a tile's k best raise the floor; what may be rounded to it stays in
@@ -99,7 +99,8 @@ def _block_join(items: DataFrame, queries: DataFrame, k: int, kernel: Callable,
     neither table passes through the driver."""
     partitions = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kinds = {name: dict(t.dtypes)["id"] for name, t in (("chunk_id", items), ("query_id", queries))}
-    blocks = items.groupBy("width").agg(F.ceil(F.sum(F.size("x").cast("long")) * 8 / BLOCK_BYTES).cast("int").alias("blocks")).filter("width > 0")
+    size = 4 if dict(items.dtypes)["x"] == "array<float>" else 8
+    blocks = items.groupBy("width").agg(F.ceil(F.sum(F.size("x").cast("long")) * size / BLOCK_BYTES).cast("int").alias("blocks")).filter("width > 0")
     asks = queries.groupBy("width").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares"))
     dealt = blocks.join(asks, "width").withColumn("parts", F.least(F.ceil(partitions / F.col("blocks")).cast("int"), F.col("shares")))
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -121,8 +122,10 @@ def _block_join(items: DataFrame, queries: DataFrame, k: int, kernel: Callable,
 
         def answers() -> Iterator[pa.RecordBatch]:
             nonlocal block
-            if held and asked:
-                block = block or rows(held, 4)
+            if block is None and held:
+                block = rows(held, 4)
+                held.clear()
+            if block and asked:
                 ids, x, bounds = block
                 who, q, q_bounds = rows(asked, 5)
                 place = {v: i for i, v in enumerate(ids.tolist())} if kernel is _late else {}
@@ -162,8 +165,10 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l
     """query_id, chunk_id, score and rank for vectors (chunk_id, embedding) and queries (query_id, embedding).
 
     Null vectors and scores that are no numbers take no part; a query meets the vectors of its own length. Distances of
-    what may be among the k best are summed from exact differences. Ids are integers or text."""
-    v, q = (_with_id(t, name).select("id", F.col("embedding").cast("array<double>").alias("x")).filter("x IS NOT NULL").withColumn("width", F.size("x")) for t, name in ((vectors, "chunk_id"), (queries, "query_id")))
+    what may be among the k best are summed from exact differences; floats are dealt as floats and become doubles, which
+    hold them exactly, where they are compared. Ids are integers or text."""
+    kind = "float" if all(dict(t.dtypes)["embedding"] == "array<float>" for t in (vectors, queries)) else "double"
+    v, q = (_with_id(t, name).select("id", F.col("embedding").cast(f"array<{kind}>").alias("x")).filter("x IS NOT NULL").withColumn("width", F.size("x")) for t, name in ((vectors, "chunk_id"), (queries, "query_id")))
     return _block_join(v, q, k, _nearest, metric)
 
 
