@@ -17,6 +17,8 @@ from quillspark.storage import remove, written
 
 #: Raised when the terms of a text or the columns of a segment change: an index of another version is rebuilt.
 VERSION = 2
+#: Texts whose terms are gathered at once.
+GATHERED = 500
 #: Terms up to which a search names them in its scan; more are joined.
 MOST_TERMS = 4096
 
@@ -34,7 +36,7 @@ def counted(docs: DataFrame, fields: list[str]) -> DataFrame:
         whole = whole.unionByName(other)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, GATHERED) for whole in batches for i in range(0, whole.num_rows, GATHERED)):
             lists = batch.column(3)
             sizes = np.diff(lists.offsets.to_numpy())
             sizes[~lists.is_valid().to_numpy(zero_copy_only=False)] = 0
@@ -148,14 +150,20 @@ class Index:
 
         Counts are kept; only postings of replaced sources are read, to take them off."""
         cut = self._cut(wanted, fields)
-        x = self.store.read("blocks", cut=cut, living=False)
-        out = x.groupBy("field", "term", "block").agg(F.sum("n").alias("n"), F.max("tf").alias("tf"), F.min("length").alias("length"))
-        df = x.groupBy("field", "term").agg(F.sum("n").alias("df"))
+        out = self.store.read("blocks", cut=cut, living=False).groupBy("field", "term", "block").agg(F.max("tf").alias("tf"), F.min("length").alias("length"))
+        return out.join(self._frequencies(cut), ["field", "term"])
+
+    def frequencies(self, wanted: DataFrame | None = None, fields: list[str] | None = None) -> DataFrame:
+        """(field, term, df): in how many living chunks each term is, from the counts of its blocks."""
+        return self._frequencies(self._cut(wanted, fields))
+
+    def _frequencies(self, cut: list) -> DataFrame:
+        df = self.store.read("blocks", cut=cut, living=False).groupBy("field", "term").agg(F.sum("n").alias("df"))
         if len(self.store.segments()) > 1:
             gone = self.store.read("postings", cut=cut, living=False).join(self.store.removed(), ["segment", "source_id"], "left_semi")
             gone = gone.groupBy("field", "term").agg((-F.count(F.lit(1))).alias("df"))
             df = df.unionByName(gone).groupBy("field", "term").agg(F.sum("df").alias("df")).filter("df > 0")
-        return out.drop("n").join(df, ["field", "term"])
+        return df
 
     # maintenance
 
