@@ -33,14 +33,23 @@ def _saturated(tf: Column, length: Column, mean_length: Column, k1: float, b: fl
 def weighted_terms(postings: DataFrame, lengths: DataFrame, q: DataFrame, scope: list[str] | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, chunk_id, term, weight) of postings (chunk_id, length, term, tf and the scope columns) of the terms q
     (query_id, term). Numbers of chunks and mean lengths are taken over `lengths` (length and the scope columns), one row
-    a chunk, or within each value of scope."""
+    a chunk, or within each value of scope.
+
+    What is known of a term is a table with a row for each term, scope and query, so that Spark sees how small it is and
+    need not deal postings by scope or term, of which few may hold them all."""
     scope = scope or []
     stats = lengths.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
     df = postings.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
-    x = postings.join(df, [*scope, "term"])
-    x = x.join(stats, scope) if scope else x.crossJoin(F.broadcast(stats))  # stats is one row
-    weight = _idf(F.col("n"), F.col("df")) * _saturated(F.col("tf"), F.col("length"), F.col("mean_length"), k1, b)
-    return x.select("chunk_id", "term", weight.alias("weight")).join(q, "term")
+    asked = df.join(stats, scope) if scope else df.crossJoin(F.broadcast(stats))  # stats is one row
+    asked, _ = written(asked.join(q, "term").select(*scope, "term", "query_id", _idf(F.col("n"), F.col("df")).alias("idf"), "mean_length"), "asked")
+    weight = F.col("idf") * _saturated(F.col("tf"), F.col("length"), F.col("mean_length"), k1, b)
+    return postings.join(asked, [*scope, "term"]).select("query_id", "chunk_id", "term", weight.alias("weight"))
+
+
+def _by_chunk(postings: DataFrame) -> DataFrame:
+    """Postings dealt by chunk: after joins with small tables, sums by query and chunk need no other shuffle, so a posting
+    is dealt once and not for each query that asks its term."""
+    return postings.repartition("chunk_id")
 
 
 def ranked(scores: DataFrame, k: int, score: Column | str = "score") -> DataFrame:
@@ -74,7 +83,7 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, scope: list[str] | N
 
 
 def _held(index, wanted: DataFrame, name: str, scope: list[str], within: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    p, docs = index.postings(wanted, [name]), index.docs()
+    p, docs = _by_chunk(index.postings(wanted, [name]).select("chunk_id", "source_id", "length", "term", "tf")), index.docs()
     if within is not None:
         p, docs = (x.join(within.select("chunk_id"), "chunk_id", "left_semi") for x in (p, docs))
     if scope and scope != ["source_id"]:
@@ -137,7 +146,7 @@ def pruned_top_k(index, queries: DataFrame, k: int, fields: dict[str, float], k1
     x, x_path = written(x, "asked")  # one row for each term of each query
 
     def weights(asked: DataFrame, on: list[str]) -> DataFrame:
-        p = index.postings(asked, list(fields)).select("field", "term", "block", "chunk_id", "length", "tf")
+        p = _by_chunk(index.postings(asked, list(fields)).select("field", "term", "block", "chunk_id", "length", "tf"))
         return p.join(asked, on).select("query_id", "chunk_id", (F.col("idf") * _saturated(F.col("tf"), F.col("length"), F.col("mean_length"), k1, b)).alias("weight"))
 
     def sums(rows: DataFrame) -> DataFrame:
@@ -189,20 +198,20 @@ def boolean_top_k(index, queries: DataFrame, k: int, k1: float = K1, b: float =
     terms'. A chunk must hold every required clause and no excluded one in any of the clause's fields, and some clause
     that is not excluded; these are summed."""
     c = clauses(queries, index.fields)
-    words = c.select("query_id", "clause", "field", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("offset", "term"))
-    p = index.postings(words.select("term"), index.fields).select("field", "term", "chunk_id", "length", "tf", "positions")
+    words = c.select("query_id", "clause", "sign", "field", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("offset", "term"))
+    p = _by_chunk(index.postings(words.select("term"), index.fields).select("field", "term", "chunk_id", "length", "positions"))
     stats = _field_stats(index, index.fields)
-    df = p.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    known = words.join(df, ["field", "term"]).join(stats, "field").withColumn("idf", _idf(F.col("n"), F.col("df")))
+    df = index.frequencies(words.select("term"), index.fields)
+    needed = c.filter("sign = '+'").groupBy("query_id").agg(F.countDistinct("clause").alias("needed"))
+    known, _ = written(words.join(df, ["field", "term"]).join(stats, "field").join(needed, "query_id", "left").withColumn("idf", _idf(F.col("n"), F.col("df"))), "known")
     starts = F.transform("positions", lambda x: x - F.col("offset"))
-    x = known.join(p, ["field", "term"]).select("query_id", "clause", "field", "chunk_id", "n_terms", "idf", "length", "mean_length", "offset", starts.alias("starts"))
+    x = known.join(p, ["field", "term"]).select("query_id", "clause", "sign", "needed", "field", "chunk_id", "n_terms", "idf", "length", "mean_length", "offset", starts.alias("starts"))
     x = x.groupBy("query_id", "clause", "field", "chunk_id").agg(
-        F.first("n_terms").alias("n_terms"), F.count(F.lit(1)).alias("held"), F.sum("idf").alias("idf"), F.first("length").alias("length"), F.first("mean_length").alias("mean_length"), F.collect_list("starts").alias("starts"))
+        F.first("sign").alias("sign"), F.first("needed").alias("needed"), F.first("n_terms").alias("n_terms"), F.count(F.lit(1)).alias("held"), F.sum("idf").alias("idf"), F.first("length").alias("length"), F.first("mean_length").alias("mean_length"), F.collect_list("starts").alias("starts"))
     x = x.filter("held = n_terms").withColumn("tf", F.size(F.aggregate(F.slice("starts", 2, F.size("starts")), F.col("starts")[0], F.array_intersect))).filter("tf > 0")
-    held = x.select("query_id", "clause", "chunk_id", (F.col("idf") * _saturated(F.col("tf"), F.col("length"), F.col("mean_length"), k1, b)).alias("weight"))
-    held = held.groupBy("query_id", "clause", "chunk_id").agg(F.sum("weight").alias("weight")).join(c.select("query_id", "clause", "sign").distinct(), ["query_id", "clause"])
-    needed = c.filter("sign = '+'").groupBy("query_id").agg(F.countDistinct("clause").alias("needed"))
+    held = x.select("query_id", "clause", "sign", "needed", "chunk_id", (F.col("idf") * _saturated(F.col("tf"), F.col("length"), F.col("mean_length"), k1, b)).alias("weight"))
+    held = held.groupBy("query_id", "clause", "chunk_id").agg(F.first("sign").alias("sign"), F.first("needed").alias("needed"), F.sum("weight").alias("weight"))
     sums = held.groupBy("query_id", "chunk_id").agg(
-        F.sum(F.when(F.col("sign") != "-", F.col("weight"))).alias("score"), F.count_if(F.col("sign") == "+").alias("required"), F.count_if(F.col("sign") == "-").alias("excluded"))
-    sums = sums.join(needed, "query_id", "left").filter("excluded = 0 AND score IS NOT NULL AND required = coalesce(needed, 0)")
+        F.sum(F.when(F.col("sign") != "-", F.col("weight"))).alias("score"), F.count_if(F.col("sign") == "+").alias("required"), F.count_if(F.col("sign") == "-").alias("excluded"), F.first("needed").alias("needed"))
+    sums = sums.filter("excluded = 0 AND score IS NOT NULL AND required = coalesce(needed, 0)")
     return ranked(sums.select("query_id", "chunk_id", "score"), k)
