@@ -20,8 +20,8 @@ from quillspark.operators.components import components
 CHUNK, CHUNK_SHINGLES = 2_000_000, 64_000
 #: Chunks around one centre up to which all its blocks are compared; beyond, only nodes that share a rare shingle are.
 FEW = 4
-#: Slots in which shingles around centres are counted.
-SLOTS = 1 << 20
+#: Slots in which shingles around centres are counted, and the ranges of slots, each a row of what a task has counted.
+SLOTS, RANGES = 1 << 20, 64
 
 
 def _chunks(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, list[str]]]:
@@ -156,21 +156,38 @@ def _slots(a: bytes, shingles: np.ndarray) -> np.ndarray:
 
 def _frequencies(around: DataFrame) -> np.ndarray:
     """For each slot, how many rows of `around` (a, shingles) hold its shingles: of one shingle around one centre, at least
-    as many as hold it. Tasks count their own rows; SLOTS bounds what they send and what comes to the driver."""
+    as many as hold it. A task sends at most a row for each range of slots, whatever it has read; ranges are added up
+    where they meet, and SLOTS bounds what comes to the driver."""
+    width, kind = SLOTS // RANGES, "part int, slots array<int>, n array<long>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(parts: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        """The counts other than 0 of each of the parts; n is one array of `width` for each."""
+        which, at = np.nonzero(n)
+        bounds = pa.array(np.searchsorted(which, np.arange(len(parts) + 1)), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.ListArray.from_arrays(bounds, pa.array(at, pa.int32())), pa.ListArray.from_arrays(bounds, pa.array(n[which, at]))], names=["part", "slots", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for a, x in zip(batch.column(0), batch.column(1)):
                 np.add.at(n, _slots(a.as_py(), np.frombuffer(x.as_buffer(), np.uint64)), 1)
-        at = np.flatnonzero(n)
-        for i in range(0, len(at), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + (1 << 16)], pa.int32()), pa.array(n[at[i : i + (1 << 16)]])], names=["slot", "n"])
-
-    found = around.select("a", "shingles").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(SLOTS, np.int64)
-    out[found["slot"].to_numpy()] = found["n"].to_numpy()
-    return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
+        n = n.reshape(RANGES, width)
+        parts = np.flatnonzero(n.any(axis=1))
+        yield rows(parts, n[parts])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, slots, more in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                n.setdefault(part, np.zeros(width, np.int64))[slots.values.to_numpy()] += more.values.to_numpy()
+        if n:
+            yield rows(np.array(list(n)), np.stack(list(n.values())))
+
+    found = around.select("a", "shingles").mapInArrow(count, kind).repartition("part").mapInArrow(add, kind).toArrow()
+    out = np.zeros((RANGES, width), np.int64)
+    for part, slots, n in zip(found["part"].to_pylist(), found["slots"], found["n"]):
+        out[part, slots.values.to_numpy()] = n.values.to_numpy()
+    return np.minimum(out.ravel(), np.iinfo(np.int32).max).astype(np.int32)
 
 
 def _rare(m: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, list[str]]:

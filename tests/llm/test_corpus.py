@@ -535,6 +535,22 @@ def test_common_shingles_make_no_rows_around_a_centre(spark, monkeypatch):
     assert not keys[names[0]] & keys[names[3]]
 
 
+def test_counts_of_slots_are_few_rows_whatever_a_task_reads(spark, monkeypatch):
+    """A task's counts are a row for each range of slots at most, and add up to those of all rows."""
+    rng = np.random.default_rng(6)
+    sets = [rng.integers(0, 1 << 60, 400).astype(np.uint64) for _ in range(60)]
+    rows = [(b"c%d" % (i % 3), np.sort(np.r_[s, sets[0][:50]]).tobytes()) for i, s in enumerate(sets)]
+    around = spark.createDataFrame(rows, "a binary, shingles binary").repartition(4)
+    made, real = [], type(around).mapInArrow
+    monkeypatch.setattr(type(around), "mapInArrow", lambda self, *args: (out := real(self, *args), made.append(out.count()))[0])
+    got = neardup._frequencies(around)
+    want = np.zeros(neardup.SLOTS, np.int64)
+    for a, x in rows:
+        np.add.at(want, neardup._slots(a, np.frombuffer(x, np.uint64)), 1)
+    assert (got == want).all() and want.max() > 1
+    assert max(made) <= 4 * 64 < (want > 0).sum()
+
+
 def test_near_duplicates_equal_brute_force(spark, odd, empty):
     rng = random.Random(11)
     vocabulary = [f"w{i}" for i in range(400)]
