@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.text import lookup_key, token_set
 from quillspark.functions.vector import hop_score
 from quillspark.operators.components import components
+from quillspark.operators.pairs import paired
 
 #: Weight of a whole query found in a report, and of each of its claims.
 EXACT_BONUS, CLAIM_WEIGHT = 2.0, 0.001
@@ -46,7 +47,7 @@ def section_nodes(units: DataFrame) -> DataFrame:
 def siblings(members: DataFrame, seeds: DataFrame) -> DataFrame:
     """For each seed, the other chunks of its sections: section, seed, chunk_id. Takes members (section, chunk_id)."""
     own = seeds.join(members.withColumnRenamed("chunk_id", "seed"), "seed").select("section", "seed").distinct()
-    return own.join(members, "section").filter("seed <> chunk_id")
+    return paired(own, members, "section", "chunk_id").filter("seed <> chunk_id")
 
 
 def hops(edges: DataFrame, seeds: DataFrame, most: int, closed: DataFrame | None = None) -> DataFrame:

@@ -484,3 +484,16 @@ def test_canonical_chunks_stream_over_sorted_units(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {(s, u) for s, _, _, _, a, b, _ in one for u in range(a, b + 1)} == {(s, i) for s in (1, 2) for i in range(200)}
     assert "InPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_a_section_are_dealt_evenly(spark):
+    """One section holds nearly all members, in one file: no task makes most of the pairs."""
+    members = spark.createDataFrame([("big" if i % 50 else f"s{i % 3}", i) for i in range(6000)] + [(None, 7000)], "section string, chunk_id long").coalesce(1)
+    seeds = members.filter("chunk_id % 100 = 1").select(F.col("chunk_id").alias("seed"))
+    out = graph.siblings(members, seeds)
+    held = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert max(held) <= 0.7 * sum(held)
+    rows = members.filter("section IS NOT NULL").collect()
+    want = {(s["section"], s["chunk_id"], m["chunk_id"]) for s in rows if s["chunk_id"] % 100 == 1 for m in rows if m["section"] == s["section"] and m["chunk_id"] != s["chunk_id"]}
+    got = [tuple(r) for r in out.select("section", "seed", "chunk_id").collect()]
+    assert len(got) == len(want) and set(got) == want
