@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
 from quillspark.functions import vector as V
+from quillspark.operators.pairs import paired
 from quillspark.plans.registry import norm_key_sql, query, terms_sql, tokens_sql
 from quillspark.storage import table
 
@@ -117,7 +118,10 @@ SELECT q_id, vec_id, round(list_sum(list_transform(list_zip(q, embedding), lambd
   abs(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) - 1) <= 1e-4 AS is_unit
 FROM q JOIN embeddings e ON e.label = q.label AND e.vec_id <> q_id""")
 def exact_kernels(spark, d):
-    e = table(spark, d, "embeddings")
-    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"), "label")
+    """What is known of one vector is computed once, not for each of its pairs."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", "embedding", V.norm(F.col("embedding")).alias("norm"), V.is_unit(F.col("embedding")).alias("is_unit"))
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"), F.col("norm").alias("q_norm"), "label")
     a, b = F.col("q"), F.col("embedding")
-    return q.join(e, "label").filter("vec_id <> q_id").select("q_id", "vec_id", F.round(V.dot(a, b), 6).alias("dot"), F.round(V.cosine(a, b), 6).alias("cosine"), F.round(V.l2_score(a, b), 6).alias("l2_score"), V.is_unit(b).alias("is_unit"))
+    x = paired(q, e, "label", "vec_id").filter("vec_id <> q_id").withColumn("_dot", V.dot(a, b))
+    cosine = F.col("_dot") / F.nullif(F.col("q_norm") * F.col("norm"), F.lit(0.0))
+    return x.select("q_id", "vec_id", F.round("_dot", 6).alias("dot"), F.round(cosine, 6).alias("cosine"), F.round(V.l2_score(a, b), 6).alias("l2_score"), "is_unit")

@@ -9,7 +9,9 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import adjacency, audit, catalog, diversity, erasure, evidence, expansion, extents, folds, graph, ingest, packs, reports, research
+from quillspark.functions import vector as V
+from quillspark.operators import adjacency, audit, catalog, diversity, erasure, evidence, expansion, extents, folds, graph, ingest, packs, pairs, reports, research
+from quillspark.plans import texts
 from quillspark.segments import Segments
 from quillspark.streaming import files
 
@@ -497,3 +499,21 @@ def test_pairs_of_a_section_are_dealt_evenly(spark):
     want = {(s["section"], s["chunk_id"], m["chunk_id"]) for s in rows if s["chunk_id"] % 100 == 1 for m in rows if m["section"] == s["section"] and m["chunk_id"] != s["chunk_id"]}
     got = [tuple(r) for r in out.select("section", "seed", "chunk_id").collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_exact_kernels_deal_a_label_evenly_and_keep_odd_vectors(spark, tmp_path, monkeypatch):
+    """Nearly all vectors have one label and lie in one file; lengths, nulls and zeros give the values they always gave."""
+    monkeypatch.setattr(pairs, "BLOCK", 100)
+    rng = random.Random(8)
+    odd = [[], [0.0] * 4, None, [1.0, None, 0.0, 0.0], [float("nan")] * 4, [1.0, 2.0], [1.0, 0.0, 0.0, 0.0]]
+    rows = [(i, odd[i // 100] if i % 100 == 0 and i // 100 < len(odd) else [rng.uniform(-1, 1) for _ in range(4)], 1 if i % 40 else None) for i in range(1, 3001)]
+    rows = [(i, v, 1 if i % 100 == 0 else label) for i, v, label in rows] + [(3100 + i, v, 1) for i, v in enumerate(odd)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label long").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = texts.exact_kernels(spark, str(tmp_path))
+    held = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert max(held) <= 0.8 * sum(held)
+    e = spark.read.parquet(f"{tmp_path}/embeddings.parquet")
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"), "label")
+    a, b = F.col("q"), F.col("embedding")
+    want = q.join(e, "label").filter("vec_id <> q_id").select("q_id", "vec_id", F.round(V.dot(a, b), 6).alias("dot"), F.round(V.cosine(a, b), 6).alias("cosine"), F.round(V.l2_score(a, b), 6).alias("l2_score"), V.is_unit(b).alias("is_unit"))
+    assert out.count() == want.count() > 0 == out.exceptAll(want).count()
