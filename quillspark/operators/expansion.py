@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.marks import likely
 from quillspark.storage import remove, written
 
 
 def _open_edges(edges: DataFrame, types: list[str] | None, closed: DataFrame | None, most: int) -> DataFrame:
-    """(node, next, turn): the first `most` different neighbours of each node by edge type, ordinal and id."""
+    """(node, nexts): the first `most` different neighbours of each node, in order of edge type, ordinal and id."""
     e = edges.filter(F.col("edge_type").isin(*types)) if types is not None else edges
     if closed is not None:
         for end in ("from_node", "to_node"):
-            e = e.join(closed.select(F.col("node").alias(end)).distinct(), end, "left_anti")
+            e = e.join(closed.select(F.col("node").alias(end)), end, "left_anti")
     e = e.groupBy(F.col("from_node").alias("node"), F.col("to_node").alias("next")).agg(F.min(F.struct("edge_type", "ordinal")).alias("first"))
     # the limit is known to Spark before the shuffle, so a hub sends `most` rows a task
     turn = F.row_number().over(Window.partitionBy("node").orderBy("first", "next"))
-    return e.withColumn("turn", turn).filter(F.col("turn") <= most).select("node", "next", "turn")
+    first = e.withColumn("turn", turn).filter(F.col("turn") <= most)
+    return first.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "next"))), lambda x: x["next"]).alias("nexts"))
 
 
 def expanded(seeds: DataFrame, edges: DataFrame, per_seed: int = 6, total: int = 30, most_hops: int = 2, types: list[str] | None = None, closed: DataFrame | None = None) -> DataFrame:
@@ -28,8 +30,8 @@ def expanded(seeds: DataFrame, edges: DataFrame, per_seed: int = 6, total: int =
     has one set of seen nodes, its seeds among them; only new nodes count, `per_seed` for a seed and `total` for the
     query. Edges of other types and those that touch a closed node are not followed. A score is halved each hop.
 
-    All queries take a step together: a join of the frontier with the edges, and one ranked window over each query's new
-    nodes, which are few. As a frontier node adds no more than the budget and all that is skipped has been seen, its
+    All queries take a step together: a join of the frontier with the neighbours of its nodes, and one ranked window over
+    each query's new nodes, which are few. Neighbours of other nodes are not dealt, and a frontier without room takes no step. As a frontier node adds no more than the budget and all that is skipped has been seen, its
     first per_seed + total + seeds neighbours suffice. Seeds that repeat a node count once, by their least rank; an
     empty table gives no rows."""
     spark = seeds.sparkSession
@@ -37,8 +39,14 @@ def expanded(seeds: DataFrame, edges: DataFrame, per_seed: int = 6, total: int =
     s = s.select("query_id", "node", "x.score", F.row_number().over(Window.partitionBy("query_id").orderBy("x.rank", "node")).alias("rank"))
     s, s_path = written(s, "seeds")
     most = s.agg(F.max("rank")).first()[0] or 0
+    paths = [s_path]
+    if closed is not None:
+        # a table, of which Spark knows how small it is
+        closed, c_path = written(closed.select("node").distinct(), "closed")
+        paths.append(c_path)
     e, e_path = written(_open_edges(edges, types, closed, per_seed + total + most), "edges")
-    seen, found, paths = s.select("query_id", "node"), None, [s_path, e_path]
+    seen, found = s.select("query_id", "node"), None
+    paths.append(e_path)
     for rank in range(1, most + 1):
         frontier = s.filter(F.col("rank") == rank).select("query_id", F.col("node").alias("seed"), "score", "node", F.lit(1).alias("turn_of"))
         if found is None:
@@ -47,23 +55,20 @@ def expanded(seeds: DataFrame, edges: DataFrame, per_seed: int = 6, total: int =
             spent = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("spent"))
             room = F.least(F.lit(per_seed), total - F.coalesce("spent", F.lit(0)))
             frontier = frontier.join(spent, "query_id", "left").withColumn("room", room).drop("spent")
-        steps, own_seen = [], seen
         for hop in range(1, most_hops + 1):
-            x = frontier.filter("room > 0").join(e, "node")
+            asked = frontier.filter("room > 0")
+            near, marks = likely(e, asked, ["node"])
+            x = asked.join(near.filter("likely").drop("likely"), "node").select("query_id", "seed", "score", "room", "turn_of", F.posexplode("nexts").alias("turn", "next"))
             x = x.groupBy("query_id", F.col("next").alias("node")).agg(F.min(F.struct("turn_of", "turn")).alias("first"), *(F.first(c).alias(c) for c in ("seed", "score", "room")))
-            x = x.join(own_seen, ["query_id", "node"], "left_anti")
+            x = x.join(seen, ["query_id", "node"], "left_anti")
             x = x.withColumn("turn_of", F.row_number().over(Window.partitionBy("query_id").orderBy("first", "node"))).filter("turn_of <= room")
-            x = x.withColumn("hop", F.lit(hop)).drop("first")
-            steps.append(x)
-            own_seen = own_seen.unionByName(x.select("query_id", "node"))
-            frontier = x.withColumn("room", F.col("room") - F.count(F.lit(1)).over(Window.partitionBy("query_id"))).drop("hop")
-        new = steps[0]
-        for x in steps[1:]:
-            new = new.unionByName(x)
-        new, path = written(new.withColumn("rank", F.lit(rank)), "expanded")
-        paths.append(path)
-        found = new if found is None else found.unionByName(new)
-        seen = seen.unionByName(new.select("query_id", "node"))
+            new, path = written(x.withColumn("hop", F.lit(hop)).withColumn("rank", F.lit(rank)).drop("first"), "expanded")
+            paths += [path, marks]
+            found = new if found is None else found.unionByName(new)
+            seen = seen.unionByName(new.select("query_id", "node"))
+            frontier = new.withColumn("room", F.col("room") - F.count(F.lit(1)).over(Window.partitionBy("query_id")))
+            if hop < most_hops and not frontier.filter("room > 0").limit(1).count():
+                break
     if found is None:
         found = s.select("query_id", F.col("node").alias("seed"), "node", "score", F.lit(0).alias("hop"), "rank", F.lit(0).alias("turn_of")).limit(0)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "hop", "turn_of"))

@@ -517,3 +517,19 @@ def test_exact_kernels_deal_a_label_evenly_and_keep_odd_vectors(spark, tmp_path,
     a, b = F.col("q"), F.col("embedding")
     want = q.join(e, "label").filter("vec_id <> q_id").select("q_id", "vec_id", F.round(V.dot(a, b), 6).alias("dot"), F.round(V.cosine(a, b), 6).alias("cosine"), F.round(V.l2_score(a, b), 6).alias("l2_score"), V.is_unit(b).alias("is_unit"))
     assert out.count() == want.count() > 0 == out.exceptAll(want).count()
+
+
+def test_expansion_deals_only_what_a_step_asks(spark, monkeypatch):
+    """Of a large graph a step deals the neighbours of its frontier, and a frontier without room asks nothing more."""
+    edges = [(i, (i * 7 + j) % 5000, "a", j) for i in range(5000) for j in range(3)]
+    seeds = {q: [(r, 100 * q + r, 1.0) for r in range(1, 4)] for q in range(3)}
+    s = spark.createDataFrame([(q, *x) for q, rows in seeds.items() for x in rows], "query_id long, rank int, node long, score double")
+    e = spark.createDataFrame(edges, "from_node long, to_node long, edge_type string, ordinal int")
+    dealt, real = [], expansion.likely
+    monkeypatch.setattr(expansion, "likely", lambda *args: (out := real(*args), dealt.append(out[0].filter("likely").count()))[0])
+    got = {}
+    for r in expansion.expanded(s, e, 2, 5, 2, ["a"]).orderBy("query_id", "place").collect():
+        got.setdefault(r["query_id"], []).append(tuple(r)[1:])
+    assert got == {q: plain_expansion(rows, edges, 2, 5, 2, ["a"], []) for q, rows in seeds.items()}
+    # two of three neighbours fill a seed's room, so the second hop is left out but for the last seed's
+    assert len(dealt) <= 4 and max(dealt) <= 20
