@@ -33,7 +33,7 @@ r AS (SELECT *, sum((raw = '')::INT) OVER (PARTITION BY source_id ORDER BY line)
 p AS (SELECT source_id, min(line) AS first_line, max(line) AS last_line, string_agg(raw, ' ' ORDER BY line) AS text FROM r WHERE raw <> '' GROUP BY source_id, run)
 SELECT source_id, (row_number() OVER (PARTITION BY source_id ORDER BY first_line) - 1)::INT AS position, first_line::INT AS first_line, last_line::INT AS last_line, text, sha256(text) AS text_hash FROM p""")
 def paragraph_units(spark, d):
-    x = table(spark, d, "documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("source_id"), F.regexp_replace("text", "((?:[^\\n]*\\n){3})", "$1\n").alias("text"))
+    x = table(spark, d, "documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("source_id"), F.regexp_replace("text", "\\G((?:[^\\n]*+\\n){3})", "$1\n").alias("text"))
     return ingest.paragraphs(x)
 
 

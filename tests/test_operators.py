@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import os
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import vector as V
 from quillspark.operators import adjacency, audit, catalog, diversity, erasure, evidence, expansion, extents, folds, graph, ingest, packs, pairs, reports, research
-from quillspark.plans import texts
+from quillspark.plans import ingestion, texts
 from quillspark.segments import Segments
 from quillspark.streaming import files
 
@@ -533,3 +534,13 @@ def test_expansion_deals_only_what_a_step_asks(spark, monkeypatch):
     assert got == {q: plain_expansion(rows, edges, 2, 5, 2, ["a"], []) for q, rows in seeds.items()}
     # two of three neighbours fill a seed's room, so the second hop is left out but for the last seed's
     assert len(dealt) <= 4 and max(dealt) <= 20
+
+
+def test_gaps_between_paragraphs_cost_a_text_once(spark, tmp_path):
+    """A long last line is read once: from each of its places it took minutes."""
+    texts_ = ["a\nb\nc\nd\n\ne\nf\ng\nh", "", "\n\n\n\n", "x\ny", "one\ntwo\nthree\n" + "z" * 400_000]
+    spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    start = time.monotonic()
+    got = sorted((r["source_id"], r["position"], r["first_line"], r["last_line"], r["text"]) for r in ingestion.paragraph_units(spark, str(tmp_path)).collect())
+    assert time.monotonic() - start < 30
+    assert got == [(0, 0, 1, 3, "a b c"), (0, 1, 5, 5, "d"), (0, 2, 7, 7, "e"), (0, 3, 9, 11, "f g h"), (3, 0, 1, 2, "x y"), (4, 0, 1, 3, "one two three"), (4, 1, 5, 5, "z" * 400_000)]
