@@ -7,10 +7,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import terms
+from quillspark.functions.text import normalize_key, terms
 from quillspark.operators import catalog
 from quillspark.segments import Segments
 from quillspark.storage import remove, written
@@ -19,6 +20,8 @@ from quillspark.storage import remove, written
 VERSION = 2
 #: Texts whose terms are gathered at once.
 GATHERED = 500
+#: Bytes of texts whose terms a scan gathers at once.
+GATHERED_BYTES = 1 << 20
 #: Terms up to which a search names them in its scan; more are joined.
 MOST_TERMS = 4096
 
@@ -57,6 +60,44 @@ def counted(docs: DataFrame, fields: list[str]) -> DataFrame:
     return whole.mapInArrow(gather, f"field string, chunk_id {kinds['chunk_id']}, source_id {kinds['source_id']}, length int, term string, tf int, positions array<int>")
 
 
+def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of rows whose sizes sum up to `most`; a larger row is a run of its own."""
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def tallied(docs: DataFrame, name: str) -> DataFrame:
+    """(chunk_id, source_id, length, term, tf) of each term of the text column `name`, and a row with no term and tf 0 for
+    each text. As `counted` without positions; each text is cut once for both. A task gathers GATHERED_BYTES of texts, or
+    one that is longer, so its memory depends neither on the table nor on Spark's batches."""
+    kinds = dict(docs.dtypes)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False)
+            for lo, hi in _runs(sizes, GATHERED_BYTES):
+                part = batch.slice(lo, hi - lo)
+                text = pc.fill_null(part.column(2), "")
+                words, none = pc.split_pattern(text, " "), pc.equal(text, "").to_numpy(zero_copy_only=False)
+                n = np.diff(words.offsets.to_numpy())
+                words, n = words.flatten().filter(pa.array(np.repeat(~none, n))).dictionary_encode(), np.where(none, 0, n)
+                # a key for each text, then one for each term of a text
+                row, width = np.arange(len(n)), len(words.dictionary) + 1
+                key, tf = np.unique(np.repeat(row, n) * width + words.indices.to_numpy() + 1, return_counts=True)
+                key, tf = np.r_[row * width, key], np.r_[np.zeros(len(row), np.int64), tf]
+                at, term = np.divmod(key, width)
+                columns = [part.column(i).take(pa.array(at)) for i in range(2)]
+                columns += [pa.array(n[at], pa.int32()), words.dictionary.take(pa.array(term - 1, mask=term == 0)), pa.array(tf, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["chunk_id", "source_id", "length", "term", "tf"])
+
+    # the terms of a text, joined by single spaces
+    x = docs.select("chunk_id", "source_id", normalize_key(F.col(name)).alias("text"))
+    return x.mapInArrow(gather, f"chunk_id {kinds['chunk_id']}, source_id {kinds['source_id']}, length int, term string, tf int")
+
+
 def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
@@ -189,3 +230,33 @@ class Index:
         both = docs.select("chunk_id", "source_id").unionByName(self.docs().select("chunk_id", "source_id"))
         self.replace(docs, both.join(found.select("chunk_id"), "chunk_id", "left_semi").select("source_id"))
         return {"status": "repaired", "reason": "missing_rows" if counts["missing"] else "orphan_rows", **counts}
+
+
+class Scanned:
+    """What a search asks of an index, of texts that no index holds and for the terms (term) of its queries alone.
+
+    The column `text` of docs (chunk_id, source_id, text) is scanned once. Only postings of these terms are kept, unsorted
+    and without positions: for one table of queries that is a small part of what an index has to write."""
+
+    fields = ["text"]
+
+    def __init__(self, docs: DataFrame, wanted: DataFrame):
+        # written, so that Spark sees how small it is and does not deal the postings
+        asked, path = written(wanted.select("term").filter("term IS NOT NULL").distinct().withColumn("asked", F.lit(True)), "wanted")
+        rows = tallied(docs, "text").join(asked, "term", "left").filter("asked OR term IS NULL").drop("asked")
+        self._rows, self.path = written(rows, "tallied")
+        remove(docs.sparkSession, path)
+
+    def docs(self) -> DataFrame:
+        return self._rows.filter("term IS NULL").select("chunk_id", "source_id", F.col("length").alias("length_text"))
+
+    def postings(self, wanted: DataFrame, fields: list[str] | None = None) -> DataFrame:
+        """field, term, block, chunk_id, source_id, length and tf of the wanted terms (term)."""
+        x = self._rows.filter("term IS NOT NULL").join(wanted.select("term").distinct(), "term", "left_semi")
+        return x.select(F.lit("text").alias("field"), "term", block_of(F.col("tf"), F.col("length")).alias("block"), "chunk_id", "source_id", "length", "tf")
+
+    def blocks(self, wanted: DataFrame, fields: list[str] | None = None) -> DataFrame:
+        """(field, term, block, df, tf, length), as an index has them."""
+        x = self.postings(wanted).groupBy("field", "term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("tf"), F.min("length").alias("length"))
+        df = F.sum("n").over(Window.partitionBy("field", "term"))
+        return x.select("field", "term", "block", df.alias("df"), "tf", "length")

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from quillspark import storage
 from quillspark.engine import Engine
 from quillspark.operators import dense, lexical, postings
-from quillspark.operators.postings import Index
+from quillspark.operators.postings import Index, Scanned
+from quillspark.plans import retrieval
 from quillspark.segments import Segments
 
 DOCS = "chunk_id long, source_id string, text string, title string, lang string"
@@ -380,3 +381,44 @@ def test_postings_are_dealt_by_chunk_and_counts_come_from_blocks(spark, tmp_path
     counts = index.frequencies()
     assert not any("/postings/" in f for f in counts.inputFiles())
     assert {tuple(r) for r in counts.collect()} == {tuple(r) for r in index.postings().groupBy("field", "term").count().collect()}
+
+
+@pytest.mark.parametrize("prune_from", [0, lexical.PRUNE_FROM])
+def test_a_scan_answers_as_an_index_does(spark, prune_from):
+    rows = [*some_docs(80, 5), (2000, "s1", "  ALPHA...zeta\nzeta ", None, None), (2001, None, "?!", None, None)]
+    docs = spark.createDataFrame(rows, DOCS).select("chunk_id", "source_id", "text")
+    q = spark.createDataFrame([(1, "alpha zeta"), (2, "Beta unheard"), (3, None), (4, "")], "query_id long, text string")
+    scanned = Scanned(docs, lexical.query_terms(q))
+    assert {r["term"] for r in scanned.postings(lexical.query_terms(q)).collect()} == {"alpha", "beta", "zeta"}
+    assert scanned.docs().count() == len(rows)
+    plain = [r if r[0] < 2000 else (r[0], r[1], {2000: "alpha zeta zeta", 2001: ""}[r[0]]) for r in rows]
+    for k in (5, 1000):
+        got = lexical.index_top_k(scanned, q, k, prune_from=prune_from).collect()
+        for i, text in ((1, "alpha zeta"), (2, "beta")):
+            want = sorted(plain_scores(plain, text, [(2, 1.0)]).items(), key=lambda x: (-x[1], x[0]))[:k]
+            mine = sorted((r["rank"], r["chunk_id"], r["score"]) for r in got if r["query_id"] == i)
+            assert [m[1:] for m in mine] == [(c, pytest.approx(v, abs=2e-6)) for c, v in want]
+        assert {r["query_id"] for r in got} == {1, 2}
+    within = docs.filter("chunk_id % 2 = 0").select("chunk_id")
+    assert near(found(lexical.index_top_k(scanned, q.filter("query_id = 1"), 1000, within=within)), plain_scores([r for r in plain if r[0] % 2 == 0], "alpha zeta", [(2, 1.0)]))
+
+
+def test_questions_asked_once_write_no_index(spark, tmp_path, monkeypatch):
+    """Fused lists of tables that no index holds come from a scan, and are those of the index."""
+    rng = random.Random(3)
+    texts = [(i, " ".join(rng.choices(WORDS, k=rng.randint(0, 12))), "en", f"s{i % 3}") for i in range(40)]
+    for name, rows, columns in (
+        ("documents", texts, "doc_id long, text string, lang string, source string"), ("benchmark", [(i, " ".join(WORDS[i : i + 3])) for i in range(4)], "item_id long, text string"),
+        ("embeddings", [(i, [float(i % 7), 1.0], i % 3) for i in range(40)], "vec_id long, embedding array<float>, label int"),
+    ):
+        spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    def none(_):
+        raise AssertionError("an index was made")
+
+    queries = [retrieval.max_fuse_truncate, retrieval.exact_reference_precedence, retrieval.hybrid_retrieve]
+    with monkeypatch.context() as m:
+        m.setattr(retrieval, "new_index", none)
+        scanned = [sorted(map(str, f(spark, str(tmp_path)).collect())) for f in queries]
+    retrieval.index(spark, str(tmp_path))
+    assert all(scanned) and scanned == [sorted(map(str, f(spark, str(tmp_path)).collect())) for f in queries]
