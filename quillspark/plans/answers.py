@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import rerank_text, support_score
-from quillspark.operators import dense, evaluate, fusion, lexical
+from quillspark.operators import dense, evaluate, fusion
 from quillspark.plans.registry import query, terms_sql
-from quillspark.plans.retrieval import BM25_K, COLUMNS, LIMIT, bm25_sql, chunks, index, query_vectors, questions, vectors
+from quillspark.plans.retrieval import BM25_K, COLUMNS, LIMIT, bm25_sql, chunks, lexical_list, query_vectors, questions, vectors
 from quillspark.storage import table
 
 
@@ -17,7 +17,7 @@ h AS (SELECT b.*, round(len(list_filter({terms_sql('q.text')}, lambda w: list_co
 SELECT query_id, chunk_id, score, relevance, rank AS fused_rank, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, rank)::INT AS rank FROM h""")
 def rerank_topk(spark, d):
     """The best lexical hits again, by the share of the question's terms in the text that a reranker reads."""
-    hits = lexical.index_top_k(index(spark, d), questions(spark, d), BM25_K).select(*COLUMNS)
+    hits = lexical_list(spark, d, BM25_K).select(*COLUMNS)
     pairs = hits.filter("rank <= 20").select("query_id", "chunk_id").join(chunks(spark, d).select("chunk_id", "text"), "chunk_id").join(questions(spark, d).withColumnRenamed("text", "question"), "query_id")
     relevance = pairs.select("query_id", "chunk_id", F.round(support_score(F.col("question"), rerank_text(F.lit(""), F.col("text"))), 6).alias("relevance"))
     return fusion.reranked(hits, relevance, 20).select(*COLUMNS, "relevance", "fused_rank")
@@ -27,7 +27,7 @@ def rerank_topk(spark, d):
 f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY query_id, evidence_id ORDER BY rank, chunk_id) = 1)
 SELECT query_id, 'E' || row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS label, evidence_id, chunk_id FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) <= {LIMIT}""")
 def source_pack(spark, d):
-    hits = lexical.index_top_k(index(spark, d), questions(spark, d), BM25_K)
+    hits = lexical_list(spark, d, BM25_K)
     return fusion.source_pack(hits.select("query_id", "rank", "chunk_id"), chunks(spark, d).select("chunk_id", F.sha2("text", 256).alias("evidence_id")), LIMIT)
 
 

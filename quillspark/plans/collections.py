@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import diversity, expansion, lexical, reports
+from quillspark.operators import diversity, expansion, reports
 from quillspark.plans.registry import query
-from quillspark.plans.retrieval import BM25_K, bm25_sql, index, questions
+from quillspark.plans.retrieval import BM25_K, bm25_sql, lexical_list
 from quillspark.storage import table
 
 PER_SEED, TOTAL, HOPS, SEEDS = 6, 30, 2, 7
@@ -92,7 +92,7 @@ SELECT query_id, hit_id, rank, representative, reason, CASE WHEN reason IS NULL
 @query(_collapse_sql().replace("SELECT query_id, x AS hit_id", "SELECT r.query_id, r.x AS hit_id"))
 def diversity_collapse(spark, d):
     """The lexical hits of every question, collapsed by all eight kinds of identity."""
-    hits = lexical.index_top_k(index(spark, d), questions(spark, d), BM25_K).select("query_id", F.col("chunk_id").alias("hit_id"), "rank")
+    hits = lexical_list(spark, d, BM25_K).select("query_id", F.col("chunk_id").alias("hit_id"), "rank")
     hits = hits.withColumns({"strength": (F.col("hit_id") % 3).cast("int"), "protected": F.col("hit_id") % 5 == 0})
     docs, ids = table(spark, d, "documents"), None
     for kind, value, _, where in _IDENTITIES:

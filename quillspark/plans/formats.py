@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
-from quillspark.operators import adjacency, graph, lexical
+from quillspark.operators import adjacency, graph
 from quillspark.plans.graphs import links
 from quillspark.plans.registry import query
-from quillspark.plans.retrieval import BM25_K, bm25_sql, index, questions
+from quillspark.plans.retrieval import BM25_K, bm25_sql, lexical_list
 from quillspark.sources import markdown, readers, scripture
 from quillspark.storage import new_path, table
 
@@ -120,7 +120,7 @@ def reference_profiles(spark, d):
 @query(f"""WITH {bm25_sql('r', k=5)} SELECT query_id, chunk_id, round(score, 6) AS score, rank, source, replace(replace(substr(text, 1, 60), chr(10), '", '), chr(13), '') AS snippet FROM r JOIN documents ON doc_id = chunk_id""")
 def written_results(spark, d):
     """Results with quotes, commas and separators in their snippets, written as CSV and read back."""
-    hits = lexical.index_top_k(index(spark, d), questions(spark, d), 5)
+    hits = lexical_list(spark, d, 5)
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "source", F.replace(F.replace(F.substring("text", 1, 60), F.lit("\n"), F.lit('", ')), F.lit("\r"), F.lit("")).alias("snippet"))
     path = new_path(spark, "results")
     readers.write_results(hits.join(docs, "chunk_id"), path, "csv")

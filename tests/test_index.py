@@ -15,7 +15,7 @@ from quillspark import storage
 from quillspark.engine import Engine
 from quillspark.operators import dense, lexical, postings
 from quillspark.operators.postings import Index, Scanned
-from quillspark.plans import retrieval
+from quillspark.plans import answers, retrieval
 from quillspark.segments import Segments
 
 DOCS = "chunk_id long, source_id string, text string, title string, lang string"
@@ -404,7 +404,7 @@ def test_a_scan_answers_as_an_index_does(spark, prune_from):
 
 
 def test_questions_asked_once_write_no_index(spark, tmp_path, monkeypatch):
-    """Fused lists of tables that no index holds come from a scan, and are those of the index."""
+    """Fused and reranked lists of tables that no index holds come from a scan, and are those of the index."""
     rng = random.Random(3)
     texts = [(i, " ".join(rng.choices(WORDS, k=rng.randint(0, 12))), "en", f"s{i % 3}") for i in range(40)]
     for name, rows, columns in (
@@ -416,9 +416,23 @@ def test_questions_asked_once_write_no_index(spark, tmp_path, monkeypatch):
     def none(_):
         raise AssertionError("an index was made")
 
-    queries = [retrieval.max_fuse_truncate, retrieval.exact_reference_precedence, retrieval.hybrid_retrieve]
+    queries = [retrieval.max_fuse_truncate, retrieval.exact_reference_precedence, retrieval.hybrid_retrieve, answers.rerank_topk]
     with monkeypatch.context() as m:
         m.setattr(retrieval, "new_index", none)
         scanned = [sorted(map(str, f(spark, str(tmp_path)).collect())) for f in queries]
     retrieval.index(spark, str(tmp_path))
     assert all(scanned) and scanned == [sorted(map(str, f(spark, str(tmp_path)).collect())) for f in queries]
+
+
+def test_a_scan_gathers_some_bytes_at_a_time(spark, monkeypatch):
+    texts = [" ".join(f"w{(i * 7 + j) % 900}" for j in range(2000)) for i in range(600)] + [None, ""]
+    docs = spark.createDataFrame([(1, "s", "")], "chunk_id long, source_id string, text string")
+    kept = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, run, schema: kept.append(run))
+    postings.tallied(docs, "text")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(["s"] * len(texts)), pa.array(texts)], names=["chunk_id", "source_id", "text"])
+    tracemalloc.start()
+    seen = [(b.num_rows, b.column(4).to_numpy().sum()) for b in kept[0](iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(n for n, _ in seen) == 600 * 900 + 602 and sum(t for _, t in seen) == 600 * 2000 and peak < 40e6
