@@ -112,7 +112,7 @@ def index_top_k(index, queries: DataFrame, k: int, scope: list[str] | None = Non
 def _field_stats(index, fields) -> DataFrame:
     out = None
     for name in fields:
-        one = index.docs().agg(F.lit(name).alias("field"), F.count(F.lit(1)).alias("n"), F.avg(f"length_{name}").alias("mean_length"))
+        one = index.lengths(name).agg(F.lit(name).alias("field"), F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -197,21 +197,30 @@ def boolean_top_k(index, queries: DataFrame, k: int, k1: float = K1, b: float =
     A phrase holds where its terms stand side by side in one field, as often as they do; its idf is the sum of its
     terms'. A chunk must hold every required clause and no excluded one in any of the clause's fields, and some clause
     that is not excluded; these are summed."""
-    c = clauses(queries, index.fields)
-    words = c.select("query_id", "clause", "sign", "field", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("offset", "term"))
-    p = _by_chunk(index.postings(words.select("term"), index.fields).select("field", "term", "chunk_id", "length", "positions"))
-    stats = _field_stats(index, index.fields)
-    df = index.frequencies(words.select("term"), index.fields)
+    c = clauses(queries, index.fields).withColumn("phrase", F.concat_ws(" ", "terms"))
+    words = c.select("query_id", "clause", "sign", "field", "phrase", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("offset", "term"))
+    # the number of partitions is set, as each posting meets all queries that ask it and Spark would deal by the postings' size
+    partitions = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    p = index.postings(words.select("term"), index.fields).select("field", "term", "chunk_id", "length", "positions").repartition(partitions, "chunk_id")
     needed = c.filter("sign = '+'").groupBy("query_id").agg(F.countDistinct("clause").alias("needed"))
-    known, _ = written(words.join(df, ["field", "term"]).join(stats, "field").join(needed, "query_id", "left").withColumn("idf", _idf(F.col("n"), F.col("df"))), "known")
+    known = words.join(index.frequencies(words.select("term"), index.fields), ["field", "term"]).join(_field_stats(index, index.fields), "field")
+    known, known_path = written(known.withColumn("idf", _idf(F.col("n"), F.col("df"))), "known")
+    # what each query asks: small tables, so that Spark sees how small they are
+    asked = known.groupBy("query_id", "clause", "sign", "field", "phrase").agg(F.sum("idf").alias("idf"), F.first("mean_length").alias("mean_length"), F.count(F.lit(1)).alias("held"), F.first("n_terms").alias("n_terms"))
+    asked = asked.filter("held = n_terms").join(needed, "query_id", "left")
+    asked, _ = written(asked.select("query_id", "clause", (F.col("sign") == "+").alias("required"), (F.col("sign") == "-").alias("excluded"), F.coalesce("needed", F.lit(0)).alias("needed"), "field", "phrase", "idf", "mean_length"), "asked")
+    units, _ = written(known.select("field", "phrase", "n_terms", "offset", "term").distinct(), "units")
+    remove(queries.sparkSession, known_path)
+    # a word or phrase is looked for once, however many queries ask it; a word's places are not gathered
+    one = p.join(units.filter("n_terms = 1").drop("n_terms", "offset"), ["field", "term"]).select("field", "phrase", "chunk_id", "length", F.size("positions").alias("tf"))
     starts = F.transform("positions", lambda x: x - F.col("offset"))
-    x = known.join(p, ["field", "term"]).select("query_id", "clause", "sign", "needed", "field", "chunk_id", "n_terms", "idf", "length", "mean_length", "offset", starts.alias("starts"))
-    x = x.groupBy("query_id", "clause", "field", "chunk_id").agg(
-        F.first("sign").alias("sign"), F.first("needed").alias("needed"), F.first("n_terms").alias("n_terms"), F.count(F.lit(1)).alias("held"), F.sum("idf").alias("idf"), F.first("length").alias("length"), F.first("mean_length").alias("mean_length"), F.collect_list("starts").alias("starts"))
-    x = x.filter("held = n_terms").withColumn("tf", F.size(F.aggregate(F.slice("starts", 2, F.size("starts")), F.col("starts")[0], F.array_intersect))).filter("tf > 0")
-    held = x.select("query_id", "clause", "sign", "needed", "chunk_id", (F.col("idf") * _saturated(F.col("tf"), F.col("length"), F.col("mean_length"), k1, b)).alias("weight"))
-    held = held.groupBy("query_id", "clause", "chunk_id").agg(F.first("sign").alias("sign"), F.first("needed").alias("needed"), F.sum("weight").alias("weight"))
+    more = p.join(units.filter("n_terms > 1"), ["field", "term"]).select("field", "phrase", "chunk_id", "n_terms", "length", starts.alias("starts"))
+    more = more.groupBy("field", "phrase", "chunk_id").agg(F.first("n_terms").alias("n_terms"), F.first("length").alias("length"), F.collect_list("starts").alias("starts")).filter(F.size("starts") == F.col("n_terms"))
+    more = more.withColumn("tf", F.size(F.aggregate(F.slice("starts", 2, F.size("starts")), F.col("starts")[0], F.array_intersect))).filter("tf > 0")
+    x = one.unionByName(more.select(*one.columns)).join(asked, ["field", "phrase"])
+    x = x.select("query_id", "clause", "required", "excluded", "needed", "chunk_id", (F.col("idf") * _saturated(F.col("tf"), F.col("length"), F.col("mean_length"), k1, b)).alias("weight"))
+    held = x.groupBy("query_id", "clause", "chunk_id").agg(F.max("required").alias("required"), F.max("excluded").alias("excluded"), F.max("needed").alias("needed"), F.sum("weight").alias("weight"))
     sums = held.groupBy("query_id", "chunk_id").agg(
-        F.sum(F.when(F.col("sign") != "-", F.col("weight"))).alias("score"), F.count_if(F.col("sign") == "+").alias("required"), F.count_if(F.col("sign") == "-").alias("excluded"), F.first("needed").alias("needed"))
-    sums = sums.filter("excluded = 0 AND score IS NOT NULL AND required = coalesce(needed, 0)")
+        F.sum(F.when(~F.col("excluded"), F.col("weight"))).alias("score"), F.count_if("required").alias("held"), F.max("excluded").alias("excluded"), F.max("needed").alias("needed"))
+    sums = sums.filter("NOT excluded AND score IS NOT NULL AND held = needed")
     return ranked(sums.select("query_id", "chunk_id", "score"), k)

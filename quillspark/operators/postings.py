@@ -69,13 +69,16 @@ def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def tallied(docs: DataFrame, name: str) -> DataFrame:
+def tallied(docs: DataFrame, name: str, named: list[str] | None = None, positions: bool = False) -> DataFrame:
     """(chunk_id, source_id, length, term, tf) of each term of the text column `name`, and a row with no term and tf 0 for
-    each text. As `counted` without positions; each text is cut once for both. A task gathers GATHERED_BYTES of texts, or
-    one that is longer, so its memory depends neither on the table nor on Spark's batches."""
+    each text; of the terms in `named` alone where it is given, and with their `positions`, as `counted` has them. Each text is
+    cut once for all. A task gathers GATHERED_BYTES of texts, or one that is longer, so its memory depends neither on the
+    table nor on Spark's batches."""
     kinds = dict(docs.dtypes)
+    names = ["chunk_id", "source_id", "length", "term", "tf", "positions"][: 6 if positions else 5]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None if named is None else pa.array(named, pa.string())
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False)
             for lo, hi in _runs(sizes, GATHERED_BYTES):
@@ -83,19 +86,35 @@ def tallied(docs: DataFrame, name: str) -> DataFrame:
                 text = pc.fill_null(part.column(2), "")
                 words, none = pc.split_pattern(text, " "), pc.equal(text, "").to_numpy(zero_copy_only=False)
                 n = np.diff(words.offsets.to_numpy())
-                words, n = words.flatten().filter(pa.array(np.repeat(~none, n))).dictionary_encode(), np.where(none, 0, n)
+                words, n = words.flatten().filter(pa.array(np.repeat(~none, n))), np.where(none, 0, n)
+                row = np.arange(len(n))
+                of, place = np.repeat(row, n), np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
+                if known is None:
+                    coded = words.dictionary_encode()
+                    held, code = coded.dictionary, coded.indices.to_numpy()
+                else:
+                    held, code = known, pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy()
+                    asked = np.flatnonzero(code >= 0)
+                    of, place, code = of[asked], place[asked], code[asked]
                 # a key for each text, then one for each term of a text
-                row, width = np.arange(len(n)), len(words.dictionary) + 1
-                key, tf = np.unique(np.repeat(row, n) * width + words.indices.to_numpy() + 1, return_counts=True)
+                width = len(held) + 1
+                every = of * width + code + 1
+                key, tf = np.unique(every, return_counts=True)
+                ends = np.cumsum(tf)
                 key, tf = np.r_[row * width, key], np.r_[np.zeros(len(row), np.int64), tf]
                 at, term = np.divmod(key, width)
                 columns = [part.column(i).take(pa.array(at)) for i in range(2)]
-                columns += [pa.array(n[at], pa.int32()), words.dictionary.take(pa.array(term - 1, mask=term == 0)), pa.array(tf, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, names=["chunk_id", "source_id", "length", "term", "tf"])
+                columns += [pa.array(n[at], pa.int32()), held.take(pa.array(term - 1, mask=term == 0)), pa.array(tf, pa.int32())]
+                if positions:
+                    # a text's terms come in order
+                    places = place[np.argsort(every, kind="stable")]
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.r_[np.zeros(len(row) + 1, np.int64), ends], pa.int32()), pa.array(places, pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     # the terms of a text, joined by single spaces
     x = docs.select("chunk_id", "source_id", normalize_key(F.col(name)).alias("text"))
-    return x.mapInArrow(gather, f"chunk_id {kinds['chunk_id']}, source_id {kinds['source_id']}, length int, term string, tf int")
+    schema = f"chunk_id {kinds['chunk_id']}, source_id {kinds['source_id']}, length int, term string, tf int"
+    return x.mapInArrow(gather, schema + (", positions array<int>" if positions else ""))
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
@@ -166,6 +185,10 @@ class Index:
         """chunk_id, source_id, length_<field> of each field, kept columns and segment of every living chunk."""
         return self.store.read("docs")
 
+    def lengths(self, name: str) -> DataFrame:
+        """length of the field `name`, a row for every living chunk."""
+        return self.docs().select(F.col(f"length_{name}").alias("length"))
+
     def _cut(self, wanted: DataFrame | None, fields: list[str] | None) -> list:
         cut = [lambda x: x.filter(F.col("field").isin(*(fields or self.fields)))]
         if wanted is not None:
@@ -235,28 +258,47 @@ class Index:
 class Scanned:
     """What a search asks of an index, of texts that no index holds and for the terms (term) of its queries alone.
 
-    The column `text` of docs (chunk_id, source_id, text) is scanned once. Only postings of these terms are kept, unsorted
-    and without positions: for one table of queries that is a small part of what an index has to write."""
-
-    fields = ["text"]
-
-    def __init__(self, docs: DataFrame, wanted: DataFrame):
-        # written, so that Spark sees how small it is and does not deal the postings
-        asked, path = written(wanted.select("term").filter("term IS NOT NULL").distinct().withColumn("asked", F.lit(True)), "wanted")
-        rows = tallied(docs, "text").join(asked, "term", "left").filter("asked OR term IS NULL").drop("asked")
+    The text columns `fields` of docs (chunk_id, source_id and these) are scanned once. Only postings of these terms are kept,
+    unsorted, and with positions only where `positions` is set: for one table of queries that is a small part of what an
+    index has to write. Up to MOST_TERMS terms are told apart where texts are cut; more are joined."""
+
+    def __init__(self, docs: DataFrame, wanted: DataFrame, fields: list[str] | None = None, positions: bool = False):
+        self.fields, self._positions, paths = fields or ["text"], positions, []
+        wanted = wanted.select("term").filter("term IS NOT NULL").distinct()
+        some = [r["term"] for r in wanted.limit(MOST_TERMS + 1).collect()]
+        named = sorted(some) if len(some) <= MOST_TERMS else None
+        rows = None
+        for f in self.fields:
+            one = tallied(docs.select("chunk_id", "source_id", f), f, named, positions).withColumn("field", F.lit(f))
+            rows = one if rows is None else rows.unionByName(one)
+        if named is None:
+            # written, so that Spark sees how small it is and does not deal the postings
+            asked, path = written(wanted.withColumn("asked", F.lit(True)), "wanted")
+            paths.append(path)
+            rows = rows.join(asked, "term", "left").filter("asked OR term IS NULL").drop("asked")
         self._rows, self.path = written(rows, "tallied")
-        remove(docs.sparkSession, path)
+        remove(docs.sparkSession, *paths)
 
     def docs(self) -> DataFrame:
-        return self._rows.filter("term IS NULL").select("chunk_id", "source_id", F.col("length").alias("length_text"))
+        x = self._rows.filter("term IS NULL")
+        if len(self.fields) == 1:
+            return x.select("chunk_id", "source_id", F.col("length").alias(f"length_{self.fields[0]}"))
+        return x.groupBy("chunk_id", "source_id").agg(*(F.max(F.when(F.col("field") == f, F.col("length"))).alias(f"length_{f}") for f in self.fields))
+
+    def lengths(self, name: str) -> DataFrame:
+        return self._rows.filter("term IS NULL").filter(F.col("field") == name).select("length")
 
     def postings(self, wanted: DataFrame, fields: list[str] | None = None) -> DataFrame:
-        """field, term, block, chunk_id, source_id, length and tf of the wanted terms (term)."""
-        x = self._rows.filter("term IS NOT NULL").join(wanted.select("term").distinct(), "term", "left_semi")
-        return x.select(F.lit("text").alias("field"), "term", block_of(F.col("tf"), F.col("length")).alias("block"), "chunk_id", "source_id", "length", "tf")
+        """field, term, block, chunk_id, source_id, length, tf and, if kept, positions of the wanted terms (term)."""
+        x = self._rows.filter("term IS NOT NULL").filter(F.col("field").isin(*(fields or self.fields))).join(wanted.select("term").distinct(), "term", "left_semi")
+        return x.select("field", "term", block_of(F.col("tf"), F.col("length")).alias("block"), "chunk_id", "source_id", "length", "tf", *["positions"] * self._positions)
+
+    def frequencies(self, wanted: DataFrame, fields: list[str] | None = None) -> DataFrame:
+        """(field, term, df): in how many chunks each of the wanted terms is."""
+        return self.postings(wanted, fields).groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
 
     def blocks(self, wanted: DataFrame, fields: list[str] | None = None) -> DataFrame:
         """(field, term, block, df, tf, length), as an index has them."""
-        x = self.postings(wanted).groupBy("field", "term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("tf"), F.min("length").alias("length"))
+        x = self.postings(wanted, fields).groupBy("field", "term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("tf"), F.min("length").alias("length"))
         df = F.sum("n").over(Window.partitionBy("field", "term"))
         return x.select("field", "term", "block", df.alias("df"), "tf", "length")
